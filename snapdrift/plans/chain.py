@@ -1,0 +1,17 @@
+"""Monitors that start other monitors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from snapdrift.operators.scans import with_previous
+from snapdrift.plans.detect import VersionMonitor, version_scans
+from snapdrift.schema import SCAN
+
+
+def due_scans(captures: DataFrame, targets: DataFrame, spec: VersionMonitor, monitor: str) -> DataFrame:
+    """Scans of ``monitor`` to make: a first sight or a new version in ``spec``."""
+    linked = with_previous(version_scans(captures, targets, spec), ["fingerprint"])
+    due = linked.filter(F.col("previous").isNull() | (F.col("previous.fingerprint") != F.col("fingerprint")))
+    return due.select(F.lit(monitor).alias("monitor"), *SCAN[1:], "version")
