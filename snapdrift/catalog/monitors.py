@@ -82,9 +82,8 @@ JS_TAILS = ["Coming soon to", "Photo Studio", "open the saved file of", "x"]
 
 def _bundle_body() -> Column:
     """A script of the document's lines as literals, padded to a real size."""
-    literals = F.transform(
-        F.split("body", "\n"), lambda s: text('t("', F.translate(F.substring(s, 1, 60), "\"\\'`", ""), '");')
-    )
+    clean = F.transform(F.split("body", "\n"), lambda s: F.translate(F.substring(s, 1, 60), "\"'`\\", ""))
+    literals = F.transform(F.filter(clean, lambda s: F.length(s) >= 3), lambda s: text('t("', s, '");'))
     tail = text("u('", pick(JS_TAILS, F.col("scan_id")), " ", F.col("target_id"), "');", F.lit("/*" + "-" * 100 + "*/"))
     return F.concat(F.array_join(literals, "\n"), F.lit("\n"), tail)
 
@@ -103,7 +102,7 @@ def js_captures(spark: SparkSession, folder: str) -> DataFrame:
 JS_ITEMS = (
     "raw AS (SELECT target_id, scan_id, body FROM docs WHERE status = 200), "
     "found AS (SELECT target_id, scan_id, substring(translate(unnest(list_transform(string_split(body, chr(10)), "
-    "lambda s: substring(s, 1, 60))), '\"\\''`', ''), 1, 60) AS s FROM raw "
+    "lambda s: substring(s, 1, 60))), '\"''`\\', ''), 1, 60) AS s FROM raw "
     f"UNION ALL SELECT target_id, scan_id, concat({pick_sql(JS_TAILS, 'scan_id')}, ' ', target_id) FROM raw), "
     f"tidy AS (SELECT target_id, scan_id, {q.strip('s')} AS item FROM found WHERE length(s) >= 3), "
     f"items AS (SELECT target_id, scan_id, item FROM tidy WHERE {q.script_ok('item')} AND ({q.script_category('item')}) IS NOT NULL)"
@@ -198,8 +197,8 @@ def _page_lines(x: str) -> str:
 
     visible = q.visible_lines(x)
     return (
-        f"CASE length(target_id) % 3 WHEN 0 THEN {by('<h1>(.*?)</h1>')} "
-        f"WHEN 2 THEN {by('<div class=.ad.>(.*?)</div>')} "
+        f"CASE length(target_id) % 3 WHEN 0 THEN {by('(?s)<h1>(.*?)</h1>')} "
+        f"WHEN 2 THEN {by('(?s)<div class=.ad.>(.*?)</div>')} "
         f"ELSE CASE WHEN len({visible}) = 0 THEN [''] ELSE {visible} END END"
     )
 
@@ -720,7 +719,10 @@ query(
 
 def flags_body(entries: Column) -> Column:
     plain = joined(entries, lambda e: text('{"name": "', F.lower(F.translate(title(e), " ", "-")), '", "expiry": 9}\n'))
-    return F.when(F.col("p_partkey") % 4 == 1, plain).otherwise(F.base64(F.encode(plain, "UTF-8")))
+    # padded to a length that is no base64 text
+    letters = F.length(F.regexp_replace(plain, "[^A-Za-z0-9+/]", ""))
+    raw = F.concat(plain, F.repeat(F.lit("a"), (F.lit(5) - letters % 4) % 4))
+    return F.when(F.col("p_partkey") % 4 == 1, raw).otherwise(F.base64(F.encode(plain, "UTF-8")))
 
 
 def flag_captures(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,6 +17,7 @@ BLANK = (
     r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+BOUNDARY_BEFORE = f"(?:^|[^{WORD}])"
 STRIP = f"^[{BLANK}]+|[{BLANK}]+$"
 BLANKS = f"[{BLANK}]+"
 _CLASSES = {"w": WORD, "d": r"\p{Nd}", "s": BLANK}
@@ -25,7 +26,7 @@ _CLASSES = {"w": WORD, "d": r"\p{Nd}", "s": BLANK}
 def portable(pattern: str) -> str:
     """Expand ``\\w \\d \\s`` everywhere and ``\\b`` at either end."""
     if pattern.startswith(r"\b"):
-        pattern = f"(?:^|[^{WORD}])" + pattern[2:]
+        pattern = BOUNDARY_BEFORE + pattern[2:]
     if pattern.endswith(r"\b"):
         pattern = pattern[:-2] + f"(?:$|[^{WORD}])"
     out, in_class, i = [], False, 0
@@ -46,8 +47,16 @@ def portable(pattern: str) -> str:
 
 
 def any_of(patterns: Sequence[str], ignore_case: bool = False) -> str:
-    """One alternation, compiled once per task."""
-    body = "|".join(f"(?:{portable(p)})" for p in patterns)
+    """One alternation, compiled once per task.
+
+    Patterns with a common start share it: a matcher then looks at the head of
+    the text only (``^``) or at word starts only (``\\b``).
+    """
+    starts: dict[str, list[str]] = {}
+    for pattern in map(portable, patterns):
+        start = next((s for s in ("^", BOUNDARY_BEFORE) if pattern.startswith(s)), "")
+        starts.setdefault(start, []).append(pattern[len(start) :])
+    body = "|".join(f"{start}(?:{'|'.join(rest)})" for start, rest in starts.items())
     return f"(?i){body}" if ignore_case else body
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from snapdrift.functions import patterns as p
 
 
+_ENTITIES = json.dumps({name: chr(point) for name, point in name2codepoint.items()})
+
+
 def strip(text: Column) -> Column:
     """Trim every Unicode blank, not only spaces."""
     return F.regexp_replace(text, p.STRIP, "")
@@ -59,7 +63,8 @@ def _code_point(number: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references, decoded in one pass."""
-    named = F.create_map(*[F.lit(x) for k, v in name2codepoint.items() for x in (k, chr(v))])
+    # one literal, folded to a constant map before execution
+    named = F.from_json(F.lit(_ENTITIES), "map<string,string>")
 
     def piece(token: Column) -> Column:
         decimal = F.regexp_extract(token, r"^&#([0-9]{1,7});$", 1)

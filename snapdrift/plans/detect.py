@@ -127,7 +127,7 @@ def with_target(df: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _columns(spec: ItemMonitor) -> list[str]:
-    extra = [c for c, on in (("pos", spec.order == "pos"), ("detail", spec.detailed)) if on]
+    extra = [c for c, on in (("pos", spec.order == "pos" or spec.detailed), ("detail", spec.detailed)) if on]
     return [*SCAN, "item", *extra]
 
 
