@@ -12,6 +12,7 @@ from snapdrift.catalog import monitors as m
 from snapdrift.catalog import sqltext as q
 from snapdrift.catalog.monitors import pick_sql, text, title_sql
 from snapdrift.catalog.registry import query
+from snapdrift.functions import patterns as p
 from snapdrift.operators import feed_extractors as feed
 from snapdrift.operators import page_extractors as page
 from snapdrift.operators.diff import explode_items
@@ -85,7 +86,7 @@ SEEDED_URLS = (
 @query(
     "js_bundle_urls",
     "SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS target_id, page_id AS scan_id, "
-    f"unnest([{SEEDED_URLS}]) AS item FROM pages",
+    f"unnest(list_filter([{SEEDED_URLS}], lambda u: NOT {q.has('lower(u)', p.TRACKER_WORDS)})) AS item FROM pages",
 )
 def js_bundle_urls(spark, folder):
     rows = h.page_captures(spark, folder, "js_deep", body=seeded_html())
@@ -172,7 +173,7 @@ feed_items(
 @query(
     "job_titles_page",
     "SELECT c_mktsegment AS target_id, c_custkey AS scan_id, unnest(["
-    "concat(c_name, ' Lead Engineer'), concat('Research Scientist for ', c_mktsegment)]) AS item FROM customer",
+    "concat(c_name, 'Lead'), concat(c_name, ' Lead Engineer'), concat('Research Scientist for ', c_mktsegment)]) AS item FROM customer",
 )
 def job_titles_page(spark, folder):
     body = text(

@@ -19,7 +19,7 @@ def is_active(ts: Column) -> Column:
 
 
 def scan_cadence(ts: Column) -> Column:
-    """U16: ``struct(cadence, next_scan_seconds)`` for a UTC timestamp.
+    """U16: ``struct(cadence, next_scan_seconds)`` for a naive UTC timestamp.
 
     The wait to the next 6:00 is wall-clock time, so a clock change in
     between does not alter it.
@@ -35,9 +35,8 @@ def scan_cadence(ts: Column) -> Column:
     overnight = (minute_of_day >= 20 * 60) | (minute_of_day < 6 * 60)
     weekend = F.weekday(local.cast("date")) >= 5
     market = minute_of_day.between(9 * 60 + 30, 16 * 60 - 1)
-    return (
-        F.when(overnight, F.struct(F.lit("overnight").alias("cadence"), wait.cast("int").alias("next_scan_seconds")))
-        .when(weekend, F.struct(F.lit("weekend"), wait.cast("int")))
-        .when(market, F.struct(F.lit("market"), F.lit(900)))
-        .otherwise(F.struct(F.lit("off_hours"), F.lit(3600)))
+    name = (
+        F.when(overnight, "overnight").when(weekend, "weekend").when(market, "market").otherwise("off_hours")
     )
+    seconds = F.when(overnight | weekend, wait).when(market, 900).otherwise(3600)
+    return F.struct(name.alias("cadence"), seconds.cast("int").alias("next_scan_seconds"))

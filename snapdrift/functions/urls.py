@@ -26,7 +26,7 @@ def _fold_dots(path: Column) -> Column:
     )
     closed = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
     joined = F.array_join(closed, "/")
-    return F.when(joined == "", "/").otherwise(joined)
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
 def resolve_url(base: Column, ref: Column) -> Column:
@@ -43,6 +43,7 @@ def resolve_url(base: Column, ref: Column) -> Column:
     tail = F.concat(query, fragment)
     return (
         F.when(ref == "", base)
+        .when(ref.rlike(_SCHEME) & (_part(ref, 1) != _part(base, 1)), ref)
         .when(ref.rlike(_SCHEME), F.regexp_replace(ref, r"[?#]$", ""))
         .when(ref.startswith("//"), F.concat(_part(base, 1), F.lit(":"), F.regexp_replace(ref, r"[?#]$", "")))
         .when((ref_path == "") & (query == ""), F.concat(origin, base_path, _part(base, 4), fragment))

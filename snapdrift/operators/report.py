@@ -51,6 +51,12 @@ def change_counts(changes: DataFrame) -> DataFrame:
     )
 
 
+def magnitude_guard(changes: DataFrame, op: str, below: int) -> DataFrame:
+    """Changes of scans with fewer than ``below`` rows of ``op``."""
+    small = changes.filter(F.col("op") == op).groupBy(*SCAN).count().filter(F.col("count") < below)
+    return changes.filter(F.col("op") == op).join(small.select(*SCAN), list(SCAN), "left_semi")
+
+
 def section_text(lines: Column, sections: Sequence[Section], joiner: str) -> Column:
     """Sections in order, each a heading and its lines; empty ones vanish."""
     parts = []

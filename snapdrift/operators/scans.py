@@ -121,11 +121,14 @@ def change_gate(scans: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     return linked.filter(F.col("previous").isNotNull() & (F.col("previous.fingerprint") != F.col("fingerprint")))
 
 
-def latest_per_key(state: DataFrame, update: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """A5: one row per key, the one with the highest ``scan_id``."""
-    both = state.unionByName(update)
-    newest = both.groupBy(*keys).agg(F.max_by(F.struct(*both.columns), "scan_id").alias("r"))
-    return newest.select("r.*")
+def newest(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per key, the one with the highest ``scan_id``."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), "scan_id").alias("r")).select("r.*")
+
+
+def baseline_upsert(state: DataFrame, update: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """A5: the state after an update replaces the rows of its keys."""
+    return newest(state.unionByName(update), keys)
 
 
 def baseline_read(keys: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -21,7 +21,6 @@ from snapdrift.operators.scans import (
     merged_fingerprint,
     set_fingerprint,
     usable_captures,
-    with_previous,
 )
 from snapdrift.schema import KEYS, SCAN
 from snapdrift.sources.staging import stage
@@ -176,16 +175,20 @@ def extract(captures: DataFrame, targets: DataFrame, spec: ItemMonitor) -> tuple
     return _merged(captures, targets, spec) if spec.collect else _single(captures, targets, spec)
 
 
+def item_rows(items: DataFrame, spec: ItemMonitor) -> DataFrame:
+    """One row per item with the columns ``spec`` compares and words."""
+    return _open(items, spec).select(*_columns(spec))
+
+
 def compare(items: DataFrame, scans: DataFrame, spec: ItemMonitor) -> DataFrame:
     """``SCAN, op, item`` of every changed scan."""
     changed = change_gate(scans)
-    rows = _open(items, spec)
+    rows = item_rows(items, spec)
     if spec.mode == "set":
-        return history_diff(rows.select(*_columns(spec)), changed)
+        return history_diff(rows, changed)
     if spec.mode == "list":
-        return ordered_new(rows.select(*_columns(spec)), changed).withColumn("op", F.lit("added"))
-    whole = rows.select(*_columns(spec)).join(changed.select(*SCAN), list(SCAN), "left_semi")
-    return whole.withColumn("op", F.lit("added"))
+        return ordered_new(rows, changed).withColumn("op", F.lit("added"))
+    return rows.join(changed.select(*SCAN), list(SCAN), "left_semi").withColumn("op", F.lit("added"))
 
 
 def _words(row: dict[str, Column]) -> Callable[[str], Column]:
@@ -200,6 +203,7 @@ def _target_words() -> dict[str, Column]:
         "url": t["url"],
         "domain": t["domain"],
         "org": t["attrs"]["org"],
+        "package": F.coalesce(t["attrs"]["package"], F.col("target_id")),
         "target_id": F.col("target_id"),
     }
 
@@ -347,8 +351,3 @@ def detect(captures: DataFrame, targets: DataFrame, spec: ItemMonitor | VersionM
     items, scans = extract(captures, targets, spec)
     return word(compare(items, scans, spec), targets, spec)
 
-
-__all__ = [
-    "Alert", "ItemMonitor", "VersionMonitor", "compare", "detect", "extract", "fields", "phrase",
-    "version_scans", "version_transition", "with_previous", "with_target", "word", "word_versions",
-]

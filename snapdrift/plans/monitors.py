@@ -670,17 +670,20 @@ PLAY_STORE = VersionMonitor(
     record=lambda: feed.android_app_version(F.col("body")),
     strict=False,
     title="Play Store Update: {name}",
-    text="**`{target_id}`** has been updated\n\n{move}**What's New:**\n{notes}",
+    text="**`{package}`** has been updated\n\n{move}**What's New:**\n{notes}",
     no_notes="No changelog provided by developer",
     notes_clip=1500,
     color=0x4CAF50,
-    url="https://play.google.com/store/apps/details?id={target_id}",
+    url="https://play.google.com/store/apps/details?id={package}",
     fields=lambda: fields(
         ("Version", F.col("version"), True),
         ("Updated", F.substring(F.col("detail")["updated"], 1, 10), True),
         (
             "Store",
-            phrase("[Google Play](https://play.google.com/store/apps/details?id={p})", p=F.col("target_id")),
+            phrase(
+                "[Google Play](https://play.google.com/store/apps/details?id={p})",
+                p=F.coalesce(F.col("target.attrs")["package"], F.col("target_id")),
+            ),
             True,
         ),
     ),
