@@ -82,7 +82,7 @@ _net = "string_agg(concat(length(item), ':', item), '' ORDER BY {o})"
 @query(
     "set_fingerprint_capture",
     f"WITH docs AS ({cte.DOCS}), l AS (SELECT DISTINCT target_id, scan_id, unnest({q.lines('body')}) AS item FROM docs) "
-    f"SELECT d.target_id, d.scan_id, sha256(coalesce({_net.format(o='item')}, '')) AS fingerprint FROM docs d "
+    f"SELECT d.target_id, d.scan_id, sha256(coalesce({_net.format(o='item')} FILTER (WHERE item IS NOT NULL), '')) AS fingerprint FROM docs d "
     "LEFT JOIN l ON l.target_id = d.target_id AND l.scan_id = d.scan_id GROUP BY ALL",
 )
 def set_fingerprint_capture(spark, folder):

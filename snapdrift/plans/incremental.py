@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snapdrift.operators.scans import newest
 from snapdrift.plans.detect import (
@@ -27,6 +28,7 @@ from snapdrift.plans.detect import (
 from snapdrift.schema import KEYS, SCAN
 
 STATE = "monitor string, target_id string, scan_id bigint, fingerprint string, version string, items_scan bigint"
+EPOCH = T.StructField("epoch", T.IntegerType())
 
 
 def _read(spark: SparkSession, path: str, schema, epoch: int) -> DataFrame | None:
@@ -91,7 +93,7 @@ def _item_epoch(captures, targets, spec, state, folder, sink, epoch) -> None:
     spark = captures.sparkSession
     items, scans = extract(captures, targets, spec)
     rows = item_rows(items, spec)
-    log = _read(spark, f"{folder}/items", rows.schema.add("epoch", "int"), epoch)
+    log = _read(spark, f"{folder}/items", T.StructType([*rows.schema.fields, EPOCH]), epoch)
     touched = state.join(scans.select(*KEYS).distinct(), list(KEYS), "left_semi")
     if log is not None:
         kept = touched.select(*KEYS, F.col("items_scan").alias("scan_id"), F.col("scan_id").alias("at"))
