@@ -95,7 +95,7 @@ newly pricing renewed
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct lines and words of the documents, with the seeds among them."""
-    d = h.table(spark, folder, "documents")
+    d = h.text_table(spark, folder, "documents")
     strings = F.concat(t.lines(F.col("text")), t.words(F.col("text")), F.array(pick(SEEDS, F.col("doc_id"))))
     return d.select(F.explode(strings).alias("s")).distinct()
 
@@ -188,7 +188,7 @@ def notable_removed(spark, folder):
     f"SELECT doc_id, item, substring(item, 1, 80) AS c80, substring(item, 1, 150) AS c150 FROM (SELECT doc_id, unnest({q.lines('text')}) AS item FROM documents)",
 )
 def text_clip(spark, folder):
-    lines = h.table(spark, folder, "documents").select("doc_id", F.explode(t.lines(F.col("text"))).alias("item"))
+    lines = h.text_table(spark, folder, "documents").select("doc_id", F.explode(t.lines(F.col("text"))).alias("item"))
     return lines.select("doc_id", "item", t.clip(F.col("item"), 80).alias("c80"), t.clip(F.col("item"), 150).alias("c150"))
 
 

@@ -17,6 +17,7 @@ BLANK = (
     r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+BLANK_CHARS = "".join(chr(c) for c in range(0x3001) if re.match(r"\s", chr(c)))
 BOUNDARY_BEFORE = f"(?:^|[^{WORD}])"
 STRIP = f"^[{BLANK}]+|[{BLANK}]+$"
 BLANKS = f"[{BLANK}]+"

@@ -16,7 +16,7 @@ _ENTITIES = json.dumps({name: chr(point) for name, point in name2codepoint.items
 
 def strip(text: Column) -> Column:
     """Trim every Unicode blank, not only spaces."""
-    return F.regexp_replace(text, p.STRIP, "")
+    return F.trim(text, F.lit(p.BLANK_CHARS))
 
 
 def words(text: Column) -> Column:
@@ -25,7 +25,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    return F.regexp_count(text, F.lit(f"[^{p.BLANK}]+"))
 
 
 def starts_upper(text: Column) -> Column:
@@ -33,7 +33,7 @@ def starts_upper(text: Column) -> Column:
 
 
 def letter_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    return F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
 
 
 def count_chars(text: Column, chars: str) -> Column:

@@ -53,5 +53,5 @@ def resolve_url(base: Column, ref: Column) -> Column:
 
 
 def strip_query(url: Column) -> Column:
-    """Host and path only."""
-    return F.concat(_part(url, 2), _part(url, 3))
+    """Host and path only, without parameters of the last segment."""
+    return F.concat(_part(url, 2), F.regexp_replace(_part(url, 3), ";[^/]*$", ""))

@@ -11,12 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapdrift.schema import CAPTURES, TARGETS
+from snapdrift.sources.staging import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose texts are to be taken apart."""
+    return spread(table(spark, folder, name))
+
+
 def as_captures(
     df: DataFrame,
     monitor: str,
@@ -59,7 +65,7 @@ def failing_status(scan_id: Column) -> Column:
 
 def document_captures(spark: SparkSession, folder: str, monitor: str = "docs") -> DataFrame:
     """Documents as the page history of their source, with failed and empty scans."""
-    d = table(spark, folder, "documents")
+    d = text_table(spark, folder, "documents")
     body = F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("text"))
     return as_captures(d, monitor, F.col("source"), F.col("doc_id"), body, failing_status(F.col("doc_id")))
 
@@ -82,7 +88,7 @@ def host(url: Column) -> Column:
 
 def page_captures(spark: SparkSession, folder: str, monitor: str, body: Column | None = None, role: Column | None = None) -> DataFrame:
     """Web pages as the history of their host."""
-    pages = table(spark, folder, "pages")
+    pages = text_table(spark, folder, "pages")
     html = F.col("html") if body is None else body
     return as_captures(pages, monitor, host(F.col("url")), F.col("page_id"), html, url=F.col("url"), role=role)
 
@@ -135,7 +141,7 @@ def feed_captures(spark: SparkSession, folder: str, monitor: str, body, role: Co
     ``body(entries, part)`` renders a window of consecutive entry numbers that
     slides with the part key, so neighbouring scans overlap.
     """
-    part = table(spark, folder, "part")
+    part = text_table(spark, folder, "part")
     first = F.expr("p_partkey div 30")
     last = first + F.col("p_size") % 6
     return as_captures(

@@ -24,3 +24,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/snapdrift/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table that comes in fewer splits than there are cores a task per core.
+
+    Extraction is CPU-bound, so one small file should not be one task. A table
+    of many splits is returned as it is: at scale this never shuffles.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
