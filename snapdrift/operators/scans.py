@@ -88,27 +88,28 @@ def with_previous(
     keys: Sequence[str] = KEYS,
     order: str = "scan_id",
     bits: int = 17,
-    levels: int = 1,
+    levels: int = 2,
 ) -> DataFrame:
     """Add ``previous``, a struct of ``order`` and ``columns`` of the row before.
 
     Equals ``lag`` over (keys, order) for distinct non-negative integer orders,
     but no window holds more than ``2**bits`` rows: ranges of the order are
     handled apart, and the first row of a range takes the last row of the range
-    before. One level covers orders below ``2**(2 * bits)``; sparse orders such
-    as microseconds take two.
+    before. ``levels`` of ranges cover orders below ``2**(bits * (levels + 1))``,
+    by default every count of microseconds since 1970.
     """
     value = F.struct(order, *columns)
     if levels == 0:
         return rows.withColumn("previous", F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
-    block = F.shiftright(order, bits).alias("_block")
-    within = Window.partitionBy(*keys, "_block").orderBy(order)
+    name = f"_block{levels}"
+    block = F.shiftright(order, bits).alias(name)
+    within = Window.partitionBy(*keys, name).orderBy(order)
     local = rows.select("*", block).withColumn("_near", F.lag(value).over(within))
     ends = rows.groupBy(*keys, block).agg(F.max_by(value, order).alias("_last"))
-    ends = with_previous(ends, ["_last"], keys, "_block", bits, levels - 1)
-    before = ends.select(*keys, "_block", F.col("previous._last").alias("_before"))
-    linked = local.join(before, [*keys, "_block"], "left")
-    return linked.withColumn("previous", F.coalesce("_near", "_before")).drop("_block", "_near", "_before")
+    ends = with_previous(ends, ["_last"], keys, name, bits, levels - 1)
+    before = ends.select(*keys, name, F.col("previous._last").alias("_before"))
+    linked = local.join(before, [*keys, name], "left")
+    return linked.withColumn("previous", F.coalesce("_near", "_before")).drop(name, "_near", "_before")
 
 
 def change_gate(scans: DataFrame, columns: Sequence[str] = ()) -> DataFrame:

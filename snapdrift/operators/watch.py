@@ -11,6 +11,7 @@ from snapdrift.functions import text as t
 from snapdrift.operators import page_extractors as page
 from snapdrift.operators.scans import usable_captures
 from snapdrift.schema import KEYS, SCAN
+from snapdrift.sources.staging import stage
 
 BUNDLE_CAP = 30
 BUNDLE_MIN_LENGTH = 100
@@ -44,6 +45,7 @@ def sitemap_urls(captures: DataFrame, targets: DataFrame) -> tuple[DataFrame, Da
         below = level.select(*SCAN, F.explode(page.child_sitemaps(F.col("body"))).alias("url")).distinct()
         for earlier in [roots.select(*SCAN, "url"), *named]:
             below = below.join(earlier, [*SCAN, "url"], "left_anti")
+        below = stage(below, "sitemap-level")
         if below.isEmpty():
             break
         named.append(below)

@@ -302,7 +302,8 @@ def version_scans(captures: DataFrame, targets: DataFrame, spec: VersionMonitor)
     else:
         rows = usable_captures(captures, spec.strict).select(*SCAN, spec.record().alias("record"))
     rows = rows.filter(F.col("record").isNotNull())
-    return rows.select(*SCAN, F.col("record.state").alias("fingerprint"), "record.version", "record.notes", "record.detail")
+    rows = rows.select(*SCAN, F.col("record.state").alias("fingerprint"), "record.version", "record.notes", "record.detail")
+    return stage(rows, spec.monitor)
 
 
 def version_transition(scans: DataFrame) -> DataFrame:

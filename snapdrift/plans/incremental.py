@@ -2,8 +2,9 @@
 
 State is an append-only log. A run adds one row per target to ``scans`` and,
 for targets whose content moved, their items to ``items``; a target whose
-content stands still keeps pointing at the items it has. Each run owns one
-``epoch`` folder and overwrites it, so a repeated run changes nothing.
+content stands still keeps pointing at the items it has, by scan and epoch, so
+a run reads the epochs its targets point to. Each run owns one ``epoch`` folder
+and overwrites it, so a repeated run changes nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from snapdrift.plans.detect import (
 )
 from snapdrift.schema import KEYS, SCAN
 
-STATE = "monitor string, target_id string, scan_id bigint, fingerprint string, version string, items_scan bigint"
+STATE = "monitor string, target_id string, scan_id bigint, fingerprint string, version string, items_scan bigint, items_epoch int"
 EPOCH = T.StructField("epoch", T.IntegerType())
 
 
@@ -86,7 +87,8 @@ def _version_epoch(captures, targets, spec, state, folder, sink, epoch) -> None:
     changed = version_transition(scans.unionByName(old, allowMissingColumns=True))
     _write(word_versions(changed, targets, spec), sink, "reports", epoch)
     latest = newest(scans.select(*SCAN, "fingerprint", "version"))
-    _write(latest.withColumn("items_scan", F.lit(None).cast("bigint")), folder, "scans", epoch)
+    pointers = {"items_scan": F.lit(None).cast("bigint"), "items_epoch": F.lit(None).cast("int")}
+    _write(latest.withColumns(pointers), folder, "scans", epoch)
 
 
 def _item_epoch(captures, targets, spec, state, folder, sink, epoch) -> None:
@@ -96,8 +98,10 @@ def _item_epoch(captures, targets, spec, state, folder, sink, epoch) -> None:
     log = _read(spark, f"{folder}/items", T.StructType([*rows.schema.fields, EPOCH]), epoch)
     touched = state.join(scans.select(*KEYS).distinct(), list(KEYS), "left_semi")
     if log is not None:
-        kept = touched.select(*KEYS, F.col("items_scan").alias("scan_id"), F.col("scan_id").alias("at"))
-        old = log.drop("epoch").join(kept, list(SCAN)).withColumn("scan_id", F.col("at")).drop("at")
+        kept = touched.select(
+            *KEYS, F.col("items_scan").alias("scan_id"), F.col("items_epoch").alias("epoch"), F.col("scan_id").alias("at")
+        )
+        old = log.join(kept, [*SCAN, "epoch"]).withColumn("scan_id", F.col("at"))
         compared = rows.unionByName(old.select(*rows.columns))
     else:
         compared = rows
@@ -105,14 +109,29 @@ def _item_epoch(captures, targets, spec, state, folder, sink, epoch) -> None:
     reports = word(compare(compared, chain, spec), targets, spec)
     _write(reports, sink, "reports", epoch)
     latest = newest(scans)
-    before = touched.select(*KEYS, F.col("fingerprint").alias("_old"), F.col("items_scan").alias("_items"))
+    before = touched.select(
+        *KEYS, F.col("fingerprint").alias("_old"), F.col("items_scan").alias("_items"), F.col("items_epoch").alias("_epoch")
+    )
     joined = latest.join(before, list(KEYS), "left")
     same = F.col("_old").isNotNull() & (F.col("_old") == F.col("fingerprint"))
     fresh = joined.select(
         *SCAN, "fingerprint", F.lit(None).cast("string").alias("version"),
         F.when(same, F.col("_items")).otherwise(F.col("scan_id")).alias("items_scan"),
+        F.when(same, F.col("_epoch")).otherwise(F.lit(epoch)).alias("items_epoch"),
     )
     # items first: a state row never points at items that are not there
-    moved = fresh.filter(F.col("items_scan") == F.col("scan_id")).select(*SCAN)
+    moved = fresh.filter(F.col("items_epoch") == epoch).select(*SCAN)
     _write(rows.join(moved, list(SCAN), "left_semi"), folder, "items", epoch)
     _write(fresh, folder, "scans", epoch)
+
+
+def compact_state(spark: SparkSession, folder: str, epoch: int, into: str) -> None:
+    """Copy what ``folder`` holds before ``epoch`` to a new folder, without superseded rows.
+
+    Runs go on with ``into`` at ``epoch``; the old folder is left as it is.
+    """
+    state, last = read_state(spark, folder, epoch), epoch - 1
+    items = spark.read.parquet(f"{folder}/items").filter(F.col("epoch") < epoch)
+    kept = state.select(*KEYS, F.col("items_scan").alias("scan_id"), F.col("items_epoch").alias("epoch"))
+    _write(items.join(kept, [*SCAN, "epoch"], "left_semi").drop("epoch"), into, "items", last)
+    _write(state.withColumn("items_epoch", F.lit(last)), into, "scans", last)

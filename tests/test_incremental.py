@@ -7,7 +7,7 @@ from conftest import make_captures, make_targets
 from pyspark.sql import functions as F
 
 from snapdrift.plans.detect import detect
-from snapdrift.plans.incremental import read_state, run_epoch
+from snapdrift.plans.incremental import compact_state, read_state, run_epoch
 from snapdrift.plans.monitors import MONITORS
 from snapdrift.schema import CAPTURES
 from snapdrift.streaming import jobs
@@ -67,7 +67,16 @@ def test_state_points_at_the_items_of_the_last_change(spark, captures, targets,
     run_epoch(captures.filter("scan_id < 1"), targets, SPEC, state, out, 0)
     run_epoch(captures.filter("scan_id = 1"), targets, SPEC, state, out, 1)
     row = read_state(spark, state, 2).filter("target_id = 'a'").first()
-    assert (row.scan_id, row.items_scan) == (1, 0)
+    assert (row.scan_id, row.items_scan, row.items_epoch) == (1, 0, 0)
+
+
+def test_compacted_state_goes_on(spark, captures, targets, tmp_path):
+    first, second, out = str(tmp_path / "s1"), str(tmp_path / "s2"), str(tmp_path / "out")
+    for epoch in range(3):
+        run_epoch(captures.filter(F.col("scan_id") == epoch), targets, SPEC, first, out, epoch)
+    compact_state(spark, first, 3, second)
+    run_epoch(captures.filter("scan_id >= 3"), targets, SPEC, second, out, 3)
+    assert rows_of(spark.read.parquet(f"{out}/reports")) == rows_of(detect(captures, targets, SPEC))
 
 
 def test_late_scans_are_ignored(spark, captures, targets, tmp_path):
