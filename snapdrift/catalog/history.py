@@ -39,21 +39,17 @@ def workspace(df: DataFrame) -> str:
     return f"{shared.rstrip('/')}/snapdrift/run-{uuid.uuid4().hex}"
 
 
-def distinct_items(items: DataFrame) -> DataFrame:
-    return items.select(*SCAN, "item").distinct()
-
-
 def gate(items: DataFrame) -> DataFrame:
     return scans.change_gate(scans.merged_fingerprint(items))
 
 
 def event_changes(spark: SparkSession, folder: str) -> DataFrame:
-    items = distinct_items(h.event_items(spark, folder))
+    items = diff.distinct_items(h.event_items(spark, folder))
     return diff.history_diff(items, gate(items))
 
 
 def shipment_changes(spark: SparkSession, folder: str) -> DataFrame:
-    items = distinct_items(h.shipment_items(spark, folder))
+    items = diff.distinct_items(h.shipment_items(spark, folder))
     return diff.history_diff(items, gate(items))
 
 
@@ -72,7 +68,7 @@ def _merged_sql(x: str) -> str:
 
 @query("set_fingerprint", f"SELECT target_id, scan_id, {_merged_sql('item')} FROM ({cte.SHIPMENTS}) GROUP BY ALL")
 def set_fingerprint(spark, folder):
-    marks = scans.merged_fingerprint(distinct_items(h.shipment_items(spark, folder)))
+    marks = scans.merged_fingerprint(diff.distinct_items(h.shipment_items(spark, folder)))
     return marks.select("target_id", "scan_id", "n_items", "fingerprint")
 
 
@@ -140,7 +136,7 @@ def version_fingerprint(spark, folder):
     "SELECT target_id, scan_id, previous_scan FROM c WHERE old IS NOT NULL AND old <> fp",
 )
 def change_gate(spark, folder):
-    changed = gate(distinct_items(h.event_items(spark, folder)))
+    changed = gate(diff.distinct_items(h.event_items(spark, folder)))
     return changed.select("target_id", "scan_id", F.col("previous.scan_id").alias("previous_scan"))
 
 
@@ -258,12 +254,13 @@ def head_cap(spark, folder):
 @query(
     "baseline_read",
     f"WITH o AS ({cte.ORDERS}), k AS (SELECT DISTINCT target_id FROM o), b AS (SELECT target_id, max(scan_id) AS baseline_scan, "
-    "arg_max(version, scan_id) AS scalar FROM o WHERE scan_id % 3 = 0 GROUP BY ALL) "
+    "arg_max(version, scan_id) AS scalar FROM o WHERE notes < '3' GROUP BY ALL) "
     "SELECT k.target_id, baseline_scan, scalar FROM k LEFT JOIN b ON b.target_id = k.target_id",
 )
 def baseline_read(spark, folder):
     rows = h.order_versions(spark, folder)
-    stored = scans.newest(rows.filter("scan_id % 3 = 0")).select(*SCAN, F.col("version").alias("scalar"))
+    # state of urgent orders only, so that some customers have none
+    stored = scans.newest(rows.filter("notes < '3'")).select(*SCAN, F.col("version").alias("scalar"))
     return scans.baseline_read(rows.select(*KEYS).distinct(), stored).drop("monitor")
 
 
@@ -273,8 +270,8 @@ def baseline_read(spark, folder):
 )
 def baseline_upsert(spark, folder):
     rows = h.order_versions(spark, folder)
-    state = scans.newest(rows.filter("scan_id % 2 = 0"))
-    return scans.baseline_upsert(state, rows.filter("scan_id % 2 = 1")).select("target_id", "scan_id", "version")
+    state = scans.newest(rows.filter("notes < '3'"))
+    return scans.baseline_upsert(state, rows.filter("notes >= '3'")).select("target_id", "scan_id", "version")
 
 
 def _pypi(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -288,8 +285,8 @@ def _pypi(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def detections_log(spark, folder):
     reports = detect(*_pypi(spark, folder), MONITORS["pypi"])
     path = workspace(reports)
-    sinks.append_detections(reports.filter("scan_id % 2 = 0"), path)
-    sinks.append_detections(reports.filter("scan_id % 2 = 1"), path)
+    sinks.append_detections(reports.filter("target_id < 'Brand#2'"), path)
+    sinks.append_detections(reports.filter("target_id >= 'Brand#2'"), path)
     return sinks.read_detections(spark, path).select("target_id", "scan_id", "detection_type", "title")
 
 

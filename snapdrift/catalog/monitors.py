@@ -82,7 +82,7 @@ JS_TAILS = ["Coming soon to", "Photo Studio", "open the saved file of", "x"]
 
 def _bundle_body() -> Column:
     """A script of the document's lines as literals, padded to a real size."""
-    clean = F.transform(F.split("body", "\n"), lambda s: F.translate(F.substring(s, 1, 60), "\"'`\\", ""))
+    clean = F.transform(F.split("body", "\n"), lambda s: F.translate(s, "\"'`\\", ""))
     literals = F.transform(F.filter(clean, lambda s: F.length(s) >= 3), lambda s: text('t("', s, '");'))
     tail = text("u('", pick(JS_TAILS, F.col("scan_id")), " ", F.col("target_id"), "');", F.lit("/*" + "-" * 100 + "*/"))
     return F.concat(F.array_join(literals, "\n"), F.lit("\n"), tail)
@@ -101,8 +101,7 @@ def js_captures(spark: SparkSession, folder: str) -> DataFrame:
 
 JS_ITEMS = (
     "raw AS (SELECT target_id, scan_id, body FROM docs WHERE status = 200), "
-    "found AS (SELECT target_id, scan_id, substring(translate(unnest(list_transform(string_split(body, chr(10)), "
-    "lambda s: substring(s, 1, 60))), '\"''`\\', ''), 1, 60) AS s FROM raw "
+    "found AS (SELECT target_id, scan_id, translate(unnest(string_split(body, chr(10))), '\"''`\\', '') AS s FROM raw "
     f"UNION ALL SELECT target_id, scan_id, concat({pick_sql(JS_TAILS, 'scan_id')}, ' ', target_id) FROM raw), "
     f"tidy AS (SELECT target_id, scan_id, {q.strip('s')} AS item FROM found WHERE length(s) >= 3), "
     f"items AS (SELECT target_id, scan_id, item FROM tidy WHERE {q.script_ok('item')} AND ({q.script_category('item')}) IS NOT NULL)"

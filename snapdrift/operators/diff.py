@@ -14,6 +14,16 @@ def explode_items(captures: DataFrame, entries: Column) -> DataFrame:
     return rows.select(*SCAN, "pos", "e.item", "e.detail")
 
 
+def distinct_items(items: DataFrame) -> DataFrame:
+    """Each (scan, item) once.
+
+    Rows without a key can match nothing. Dropping them here keeps the plan
+    the same for every reader, so fingerprint and diff share one shuffle.
+    """
+    keyed = F.col(SCAN[0]).isNotNull() & F.col(SCAN[1]).isNotNull() & F.col(SCAN[2]).isNotNull()
+    return items.select(*SCAN, "item").filter(keyed).distinct()
+
+
 def dedupe_preserve_first(items: DataFrame) -> DataFrame:
     """One row per (scan, item) at its first position; the last detail wins."""
     return items.groupBy(*SCAN, "item").agg(

@@ -9,6 +9,7 @@ from snapdrift.functions import filters as flt
 from snapdrift.functions import fixed_values as fv
 from snapdrift.functions import text as t
 from snapdrift.operators import page_extractors as page
+from snapdrift.operators.diff import distinct_items
 from snapdrift.operators.scans import usable_captures
 from snapdrift.schema import KEYS, SCAN
 from snapdrift.sources.staging import stage
@@ -95,4 +96,4 @@ def resource_items(resources: DataFrame) -> DataFrame:
     rows = string_resources(resources).withColumn("value", t.strip(F.col("value")))
     kept = rows.filter(flt.resource_noise_ok(F.col("name"), F.col("value")))
     items = kept.select(*SCAN, F.col("value").alias("item"), flt.resource_category(F.col("value")).alias("category"))
-    return items.filter("category is not null").select(*SCAN, "item").distinct()
+    return distinct_items(items.filter("category is not null"))

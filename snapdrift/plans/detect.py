@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapdrift.operators.diff import history_diff, ordered_new
+from snapdrift.operators.diff import distinct_items, history_diff, ordered_new
 from snapdrift.operators.report import Section, change_counts, section_text, top_per_bucket
 from snapdrift.operators.scans import (
     change_gate,
@@ -159,7 +159,7 @@ def _merged(captures: DataFrame, targets: DataFrame, spec: ItemMonitor) -> tuple
     """
     raw, took_place = spec.collect(captures, targets)
     aggregates = [a for c, a in (("pos", F.min("pos").alias("pos")), ("detail", F.max_by("detail", "pos").alias("detail"))) if c in _columns(spec)]
-    items = raw.groupBy(*SCAN, "item").agg(*aggregates) if aggregates else raw.select(*SCAN, "item").distinct()
+    items = raw.groupBy(*SCAN, "item").agg(*aggregates) if aggregates else distinct_items(raw)
     items = stage(items, spec.monitor)
     marks = merged_fingerprint(items).select(*SCAN, "fingerprint")
     if spec.guarded:
