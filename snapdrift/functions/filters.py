@@ -35,6 +35,12 @@ def script_category(s: Column) -> Column:
     )
 
 
+def script_kept(s: Column) -> Column:
+    """Literals with a category; the pattern search is left to short single words."""
+    upper = t.starts_upper(s) & (F.length(s) >= 5)
+    return (F.length(s) >= 8) | upper | (t.word_count(s) >= 2) | s.rlike(p.SCRIPT_INTEREST)
+
+
 def resource_noise_ok(name: Column, value: Column) -> Column:
     """U8: a resource whose stripped value may be product copy."""
     return (

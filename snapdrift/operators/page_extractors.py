@@ -48,13 +48,14 @@ def js_bundle_urls(html: Column, base: Column) -> Column:
     has_src = r"(?is)\ssrc\s*="
     sources = F.transform(_all(html, r"(?is)<script(\s[^>]*)>"), lambda a: F.when(a.rlike(has_src), attribute(a, "src")))
     links = F.transform(
-        F.filter(
-            _all(html, r"(?is)(<link\s[^>]*>)"),
-            lambda a: attribute(a, "rel").rlike("preload|prefetch")
-            & (F.contains(attribute(a, "href"), F.lit(".js")) | F.contains(F.lower(attribute(a, "href")), F.lit("chunk"))),
-        ),
-        lambda a: attribute(a, "href"),
+        _all(html, r"(?is)(<link\s[^>]*>)"),
+        lambda a: F.struct(attribute(a, "rel").alias("rel"), attribute(a, "href").alias("href")),
     )
+    scripts = F.filter(
+        links,
+        lambda a: a["rel"].rlike("preload|prefetch") & a["href"].rlike(r"\.js|(?i)chunk"),
+    )
+    links = F.transform(scripts, lambda a: a["href"])
     blocks = F.arrays_zip(_all(html, _element("script"), 1).alias("a"), _all(html, _element("script"), 2).alias("b"))
     inline = F.array_join(F.transform(F.filter(blocks, lambda s: ~s["a"].rlike(has_src)), lambda s: s["b"]), "\n")
     chunks = _all(
@@ -235,16 +236,19 @@ def page_assets(html: Column, base: Column, cdn_domains: Column) -> Column:
     html = _drop(html, ("script", "style"))
     sources = F.transform(
         _all(html, r"(?is)(<(?:img|video|source)\s[^>]*>)"),
-        lambda a: F.when(attribute(a, "src") != "", attribute(a, "src")).otherwise(attribute(a, "data-src")),
+        lambda a: F.coalesce(F.nullif(attribute(a, "src"), F.lit("")), attribute(a, "data-src")),
     )
     media = F.transform(F.filter(sources, lambda s: s != ""), lambda s: u.resolve_url(base, s))
     any_domain = cdn_domains.isNull() | (F.size(cdn_domains) == 0)
     media = F.filter(media, lambda s: any_domain | F.exists(cdn_domains, lambda d: F.contains(s, d)))
-    preloaded = F.filter(
+    links = F.transform(
         _all(html, r"(?is)(<link\s[^>]*>)"),
-        lambda a: attribute(a, "rel").rlike(r"(?i)(?:^|\s)(?:preload|prefetch)(?:\s|$)") & (attribute(a, "href") != ""),
+        lambda a: F.struct(attribute(a, "rel").alias("rel"), attribute(a, "href").alias("href")),
+    )
+    preloaded = F.filter(
+        links, lambda a: a["rel"].rlike(r"(?i)(?:^|\s)(?:preload|prefetch)(?:\s|$)") & (a["href"] != "")
     )
-    preloaded = F.transform(preloaded, lambda a: u.resolve_url(base, attribute(a, "href")))
+    preloaded = F.transform(preloaded, lambda a: u.resolve_url(base, a["href"]))
     return F.array_distinct(F.transform(F.concat(media, preloaded), u.strip_query))
 
 

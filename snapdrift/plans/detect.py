@@ -214,7 +214,8 @@ def word(changes: DataFrame, targets: DataFrame, spec: ItemMonitor, info: DataFr
     item, target = F.col("item"), F.col("target")
     detail = F.col("detail") if spec.detailed else F.lit(None)
     bucket = F.coalesce(*[F.when(F.col("op") == a.op, a.bucket(item, detail, target)) for a in spec.alerts])
-    rows = rows.select(*[c for c in changes.columns], bucket.cast("string").alias("bucket"))
+    # counts and rankings both read this: patterns are searched once per change
+    rows = stage(rows.select(*changes.columns, bucket.cast("string").alias("bucket")), f"{spec.monitor}-changes")
     line = F.coalesce(
         *[
             F.when((F.col("op") == a.op) & (F.col("bucket") == s.bucket), s.line(item, detail))

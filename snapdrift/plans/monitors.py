@@ -40,7 +40,7 @@ def _one(cap: int | None, line) -> tuple[Section, ...]:
 def script_strings(body: Column) -> Column:
     """Quoted literals that pass the noise filter and have a category."""
     found = F.array_distinct(F.transform(page.quoted_strings(body), t.strip))
-    return F.filter(found, lambda s: flt.script_noise_ok(s) & flt.script_category(s).isNotNull())
+    return F.filter(found, lambda s: flt.script_noise_ok(s) & flt.script_kept(s))
 
 
 def _script_items(captures: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,10 +50,9 @@ def _script_items(captures: DataFrame, targets: DataFrame) -> tuple[DataFrame, D
 
 def script_bucket(item: Column, detail: Column, target: Column) -> Column:
     """R2: a keyword beats the category; uncategorised text is only counted."""
-    category = flt.script_category(item)
-    return F.when(t.contains_any(item, target["keywords"], if_none=False), "keyword").when(
-        category.isin("high_interest", "feature_name", "ui_text"), category
-    )
+    reported = F.create_map(*[F.lit(c) for c in ("high_interest", "feature_name", "ui_text") for _ in range(2)])
+    keyword = t.contains_any(item, target["keywords"], if_none=False)
+    return F.when(keyword, "keyword").otherwise(F.try_element_at(reported, flt.script_category(item)))
 
 
 JS_DEEP = ItemMonitor(

@@ -103,6 +103,11 @@ def test_script_category(one, s, category):
     assert one(filters.script_category, [s]) == [category]
 
 
+def test_kept_scripts_have_a_category(one):
+    kept, category = one(filters.script_kept, SENTENCES), one(filters.script_category, SENTENCES)
+    assert kept == [c is not None for c in category]
+
+
 def test_doc_signal_equals_python(one):
     signal = re.compile("|".join(fv.DOC_SIGNAL_PATTERNS), re.I)
     noise = re.compile("|".join(fv.DOC_NOISE_PATTERNS), re.I)
