@@ -19,6 +19,7 @@ from snapdrift.operators.diff import explode_items
 from snapdrift.operators.scans import pick_by_configuration, pick_by_success, usable_captures
 from snapdrift.operators.watch import (
     bundle_urls,
+    dns_questions,
     resolved_subdomains,
     sitemap_urls,
     string_resources,
@@ -311,6 +312,19 @@ feed_items(
 )
 
 
+_kinds = ", ".join(f"('{k}', domain, '{k}')" for k in ("TXT", "CNAME", "MX", "NS"))
+_services = ", ".join(f"('TXT:' || '{s}.' || domain, '{s}.' || domain, 'TXT')" for s in m.fv.DNS_SERVICE_PREFIXES)
+
+
+@query(
+    "dns_questions",
+    f"SELECT target_id, q.name AS name, q.type AS type, q.role AS role FROM ({cte.FEED_TARGETS}) g, "
+    f"LATERAL (VALUES {_kinds}, {_services}) q(role, name, type)",
+)
+def questions(spark, folder):
+    return dns_questions(h.feed_targets(spark, folder, "dns_records")).drop("monitor")
+
+
 @query("dns_records", f"WITH feed AS ({cte.FEED}) {m.DNS_ITEMS}")
 def dns_records(spark, folder):
     rows = usable_captures(m.dns_captures(spark, folder), strict=True)

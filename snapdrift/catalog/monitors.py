@@ -998,9 +998,6 @@ def version_sql(ctes: str, columns: dict[str, str]) -> str:
     )
 
 
-FIRSTS = "SELECT * FROM feed WHERE pos = 0"
-
-
 def release_body(entries: Column) -> Column:
     release = lambda e: F.struct(
         F.expr("p_partkey div 60").alias("id") if e is None else F.floor(e / 2).cast("bigint").alias("id"),

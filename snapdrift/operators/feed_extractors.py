@@ -6,8 +6,6 @@ Set and list feeds give ``array<struct<item, detail>>``. Version feeds give
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -288,6 +286,3 @@ def registry_models(body: Column) -> Column:
     ids = F.transform(F.coalesce(reply["data"], none), lambda m: F.get_json_object(m, "$.id"))
     names = F.transform(F.coalesce(reply["models"], none), lambda m: F.get_json_object(m, "$.name"))
     return F.array_distinct(F.filter(F.concat(ids, names), lambda m: m.isNotNull()))
-
-
-Extractor = Callable[..., Column]

@@ -76,6 +76,16 @@ def resolved_subdomains(observations: DataFrame, targets: DataFrame) -> tuple[Da
     return hits.select(*SCAN, "item"), observations
 
 
+def dns_questions(targets: DataFrame) -> DataFrame:
+    """What to ask a resolver for each domain: ``name``, ``type`` and the ``role`` of the answer."""
+    plain = F.array(*[F.struct(F.col("domain").alias("name"), F.lit(k).alias("type"), F.lit(k).alias("role")) for k in ("TXT", "CNAME", "MX", "NS")])
+    services = F.transform(
+        F.array(*[F.concat_ws(".", F.lit(s), "domain") for s in fv.DNS_SERVICE_PREFIXES]),
+        lambda host: F.struct(host.alias("name"), F.lit("TXT").alias("type"), F.concat(F.lit("TXT:"), host).alias("role")),
+    )
+    return targets.select(*KEYS, F.explode(F.concat(plain, services)).alias("q")).select(*KEYS, "q.*")
+
+
 ENGLISH = ("en", "en-US", "en-GB", "")
 
 

@@ -15,9 +15,9 @@ from snapdrift.operators import page_extractors as page
 from snapdrift.operators.diff import explode_items
 from snapdrift.operators.report import Section
 from snapdrift.operators.scans import pick_by_configuration, pick_by_success, usable_captures
-from snapdrift.plans.detect import Alert, ItemMonitor, VersionMonitor, fields, phrase, with_target
-from snapdrift.schema import KEYS, SCAN
 from snapdrift.operators.watch import bundle_captures, resolved_subdomains, sitemap_urls
+from snapdrift.plans.detect import Alert, ItemMonitor, VersionMonitor, fields, phrase
+from snapdrift.schema import SCAN
 
 
 

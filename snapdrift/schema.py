@@ -35,13 +35,6 @@ TARGETS = _table(
     "keywords strings, patterns strings, attrs map"
 )
 
-ITEMS = _table(
-    "monitor string, target_id string, scan_id bigint, pos int, item string, detail map"
-)
-
-BASELINE = _table("monitor string, target_id string, scan_id bigint, fingerprint string, scalar string")
-BASELINE_ITEMS = _table("monitor string, target_id string, scan_id bigint, item string")
-
 DETECTIONS = _table(
     "monitor string, target_id string, scan_id bigint, detection_type string, title string, details string"
 )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 def shared_folder(df: DataFrame) -> str | None:
     """The checkpoint folder the cluster names, if it names one."""
-    return df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
+    return df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or None
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
