@@ -20,6 +20,7 @@ from snapdrift.operators.scans import pick_by_configuration, pick_by_success, us
 from snapdrift.operators.watch import (
     bundle_urls,
     dns_questions,
+    landed_resources,
     resolved_subdomains,
     sitemap_urls,
     string_resources,
@@ -249,7 +250,7 @@ version_query(
     "QUALIFY row_number() OVER (PARTITION BY target_id, scan_id, name ORDER BY e DESC) = 1",
 )
 def resources(spark, folder):
-    return string_resources(m.resource_rows(spark, folder)).select("target_id", "scan_id", "name", "value")
+    return string_resources(landed_resources(m.resource_captures(spark, folder))).select("target_id", "scan_id", "name", "value")
 
 
 feed_items(

@@ -9,12 +9,8 @@ from snapdrift.catalog import inputs as cte
 from snapdrift.catalog import sqltext as q
 from snapdrift.catalog.registry import query
 from snapdrift.functions import fixed_values as fv
-from snapdrift.operators.scans import merged_fingerprint
-from snapdrift.operators.watch import resource_items
-from snapdrift.plans.chain import due_scans
-from snapdrift.plans.detect import compare, detect, word
+from snapdrift.plans.detect import detect
 from snapdrift.plans.monitors import MONITORS
-from snapdrift.schema import SCAN
 from snapdrift.sources import histories as h
 
 NL = "chr(10)"
@@ -1170,21 +1166,17 @@ def _value(e: Column) -> Column:
     )
 
 
-def resource_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Package strings: one row per entry, in two sources."""
+def resource_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Package strings: one landed resource per entry."""
     part = h.table(spark, folder, "part").select(
-        F.lit("apk_strings").alias("monitor"), F.col("p_brand").alias("target_id"), F.col("p_partkey").alias("scan_id"),
-        F.posexplode(F.expr("sequence(p_partkey div 30, p_partkey div 30 + p_size % 6)")).alias("seq", "e"),
+        "p_brand", "p_partkey", F.posexplode(F.expr("sequence(p_partkey div 30, p_partkey div 30 + p_size % 6)")).alias("seq", "e")
+    )
+    e = F.col("e")
+    name = F.when(e % 9 == 0, text("abc_", e)).otherwise(text("title_", F.floor(e / 2)))
+    return h.as_captures(
+        part, "apk_strings", F.col("p_brand"), F.col("p_partkey"), _value(e), url=name, role=pick(LOCALES, e),
+        captured_at=F.timestamp_seconds(F.col("seq")),
     )
-    name = F.when(F.col("e") % 9 == 0, text("abc_", F.col("e"))).otherwise(text("title_", F.floor(F.col("e") / 2)))
-    return part.select(*SCAN, pick(LOCALES, F.col("e")).alias("locale"), name.alias("name"), _value(F.col("e")).alias("value"), "seq")
-
-
-def resource_changes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    play = h.feed_captures(spark, folder, "play_store", app_record_body)
-    due = due_scans(play, h.feed_targets(spark, folder, "play_store"), MONITORS["play_store"], "apk_strings")
-    resources = resource_rows(spark, folder).join(due.select(*SCAN), list(SCAN), "left_semi")
-    return resource_items(resources), due, h.feed_targets(spark, folder, "apk_strings")
 
 
 APK_CTES = (
@@ -1228,8 +1220,7 @@ APK_CTES = (
     ),
 )
 def detect_apk_strings(spark, folder):
-    items, due, targets = resource_changes(spark, folder)
-    spec = MONITORS["apk_strings"]
-    changes = compare(items, merged_fingerprint(items).select(*SCAN, "fingerprint"), spec)
-    info = due.select(*SCAN, F.create_map(F.lit("version"), F.col("version")).alias("info"))
-    return report_rows(word(changes, targets, spec, info))
+    play = h.feed_captures(spark, folder, "play_store", app_record_body)
+    targets = h.feed_targets(spark, folder, "play_store").unionByName(h.feed_targets(spark, folder, "apk_strings"))
+    captures = resource_captures(spark, folder).unionByName(play)
+    return report_rows(detect(captures, targets, MONITORS["apk_strings"]))

@@ -89,6 +89,14 @@ def dns_questions(targets: DataFrame) -> DataFrame:
 ENGLISH = ("en", "en-US", "en-GB", "")
 
 
+def landed_resources(captures: DataFrame) -> DataFrame:
+    """String resources landed as captures: locale in ``role``, name in ``url``, value in ``body``."""
+    return usable_captures(captures).select(
+        *SCAN, F.col("role").alias("locale"), F.col("url").alias("name"), F.col("body").alias("value"),
+        F.coalesce("captured_at", F.timestamp_seconds(F.lit(0))).alias("seq"),
+    )
+
+
 def string_resources(resources: DataFrame) -> DataFrame:
     """One value per (scan, name); a later source overwrites an earlier one.
 

@@ -21,6 +21,7 @@ from snapdrift.operators.scans import (
     merged_fingerprint,
     set_fingerprint,
     usable_captures,
+    with_previous,
 )
 from snapdrift.schema import KEYS, SCAN
 from snapdrift.sources.staging import stage
@@ -81,6 +82,8 @@ class ItemMonitor:
     (any change reports the whole scan). ``collect`` replaces ``entries`` when
     the items of one scan come from several captures; it returns the items and
     the scans that took place. ``choose`` picks one of several sources first.
+    With ``follows`` only scans in which that monitor saw a new version, or the
+    target for the first time, take part.
     """
 
     monitor: str
@@ -93,6 +96,7 @@ class ItemMonitor:
     strict: bool = False
     order: str = "item"
     detailed: bool = False
+    follows: VersionMonitor | None = None
 
 
 @dataclass(frozen=True)
@@ -265,8 +269,7 @@ def _alert_columns(a: Alert, with_info: bool) -> dict[str, Column]:
         "n_added": F.col("n_added"),
         "n_removed": F.col("n_removed"),
     }
-    if with_info:
-        row["version"] = F.col("info")["version"]
+    row["version"] = F.coalesce(F.col("info")["version"], F.lit("?")) if with_info else F.lit("?")
     say = _words(row)
     text = section_text(_own(a), a.sections, a.joiner)
     shown = F.concat(F.lit("```diff\n"), text, F.lit("\n```")) if a.fence else text
@@ -314,6 +317,19 @@ def version_transition(scans: DataFrame) -> DataFrame:
     return changed.withColumn("old_version", F.when(old.isNull() | (old == ""), "unknown").otherwise(old))
 
 
+def due_scans(captures: DataFrame, targets: DataFrame, lead: VersionMonitor, monitor: str) -> DataFrame:
+    """Scans ``monitor`` has to make: a first sight or a new version in ``lead``.
+
+    The followed target's package, if it names one, is the target to look at.
+    """
+    own = targets.filter(F.col("monitor") == lead.monitor)
+    seen = version_scans(captures.filter(F.col("monitor") == lead.monitor), own, lead)
+    linked = with_previous(seen, ["fingerprint"])
+    due = linked.filter(F.col("previous").isNull() | (F.col("previous.fingerprint") != F.col("fingerprint")))
+    package = F.coalesce(F.col("target.attrs")["package"], F.col("target_id")).alias("target_id")
+    return with_target(due, own).select(F.lit(monitor).alias("monitor"), package, "scan_id", "version")
+
+
 def word_versions(changed: DataFrame, targets: DataFrame, spec: VersionMonitor) -> DataFrame:
     rows = with_target(changed, targets)
     notes = F.when(F.col("notes") == "", F.lit(spec.no_notes)).otherwise(F.substring("notes", 1, spec.notes_clip))
@@ -346,10 +362,16 @@ def word_versions(changed: DataFrame, targets: DataFrame, spec: VersionMonitor)
 
 def detect(captures: DataFrame, targets: DataFrame, spec: ItemMonitor | VersionMonitor) -> DataFrame:
     """Reports for a history of captures."""
+    landed, watchlist = captures, targets
     captures = captures.filter(F.col("monitor") == spec.monitor)
     targets = targets.filter(F.col("monitor") == spec.monitor)
     if isinstance(spec, VersionMonitor):
         return word_versions(version_transition(version_scans(captures, targets, spec)), targets, spec)
+    info = None
+    if spec.follows:
+        due = due_scans(landed, watchlist, spec.follows, spec.monitor)
+        captures = captures.join(due.select(*SCAN), list(SCAN), "left_semi")
+        info = due.select(*SCAN, F.create_map(F.lit("version"), F.col("version")).alias("info"))
     items, scans = extract(captures, targets, spec)
-    return word(compare(items, scans, spec), targets, spec)
+    return word(compare(items, scans, spec), targets, spec, info)
 

@@ -15,7 +15,13 @@ from snapdrift.operators import page_extractors as page
 from snapdrift.operators.diff import explode_items
 from snapdrift.operators.report import Section
 from snapdrift.operators.scans import pick_by_configuration, pick_by_success, usable_captures
-from snapdrift.operators.watch import bundle_captures, resolved_subdomains, sitemap_urls
+from snapdrift.operators.watch import (
+    bundle_captures,
+    landed_resources,
+    resolved_subdomains,
+    resource_items,
+    sitemap_urls,
+)
 from snapdrift.plans.detect import Alert, ItemMonitor, VersionMonitor, fields, phrase
 from snapdrift.schema import SCAN
 
@@ -580,42 +586,6 @@ MODEL_REGISTRY = ItemMonitor(
     ),
 )
 
-# --- string resources of app packages -------------------------------------------
-
-
-APK_STRINGS = ItemMonitor(
-    monitor="apk_strings",
-    alerts=(
-        Alert(
-            op="added",
-            bucket=lambda item, detail, target: flt.resource_category(item),
-            sections=(
-                Section("high_interest", 15, _line("* {x}"), "**🔥 High Interest:**\n"),
-                Section("feature_name", 15, _line("* {x}"), "**⭐ Feature Names:**\n"),
-                Section("ui_text", 20, _line("* {x}"), "**📝 New UI Text:**\n"),
-            ),
-            title="🔍 APK Strings: {name} v{version}",
-            head="**{n_added} new UI strings** found in APK decompilation",
-            color=0xE91E63,
-            url="https://play.google.com/store/apps/details?id={target_id}",
-            detection_type="new_strings",
-            log_title="{n_added} strings",
-            log_target="{name}",
-            clip=1500,
-        ),
-        Alert(
-            op="removed",
-            bucket=_everything,
-            sections=_one(15, _line("* ~~{x}~~")),
-            title="🔍 APK Removed: {name} v{version}",
-            head="**{n_removed} strings removed** (feature launched or killed?)",
-            color=0xFF9800,
-            url="https://play.google.com/store/apps/details?id={target_id}",
-            below=100,
-        ),
-    ),
-)
-
 # --- versions ----------------------------------------------------------------
 
 GITHUB_RELEASE = VersionMonitor(
@@ -719,6 +689,44 @@ PYPI = VersionMonitor(
     clip=500,
 )
 
+# --- string resources of app packages -------------------------------------------
+
+
+APK_STRINGS = ItemMonitor(
+    monitor="apk_strings",
+    collect=lambda captures, targets: (resource_items(landed_resources(captures)), captures),
+    follows=PLAY_STORE,
+    alerts=(
+        Alert(
+            op="added",
+            bucket=lambda item, detail, target: flt.resource_category(item),
+            sections=(
+                Section("high_interest", 15, _line("* {x}"), "**🔥 High Interest:**\n"),
+                Section("feature_name", 15, _line("* {x}"), "**⭐ Feature Names:**\n"),
+                Section("ui_text", 20, _line("* {x}"), "**📝 New UI Text:**\n"),
+            ),
+            title="🔍 APK Strings: {name} v{version}",
+            head="**{n_added} new UI strings** found in APK decompilation",
+            color=0xE91E63,
+            url="https://play.google.com/store/apps/details?id={target_id}",
+            detection_type="new_strings",
+            log_title="{n_added} strings",
+            log_target="{name}",
+            clip=1500,
+        ),
+        Alert(
+            op="removed",
+            bucket=_everything,
+            sections=_one(15, _line("* ~~{x}~~")),
+            title="🔍 APK Removed: {name} v{version}",
+            head="**{n_removed} strings removed** (feature launched or killed?)",
+            color=0xFF9800,
+            url="https://play.google.com/store/apps/details?id={target_id}",
+            below=100,
+        ),
+    ),
+)
+
 MONITORS: dict[str, ItemMonitor | VersionMonitor] = {
     m.monitor: m
     for m in (

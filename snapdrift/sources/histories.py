@@ -32,13 +32,14 @@ def as_captures(
     status: Column | None = None,
     url: Column | None = None,
     role: Column | None = None,
+    captured_at: Column | None = None,
 ) -> DataFrame:
     """``df`` in the captures layout."""
     values = {
         "monitor": F.lit(monitor),
         "target_id": target_id,
         "scan_id": scan_id,
-        "captured_at": F.lit(None),
+        "captured_at": F.lit(None) if captured_at is None else captured_at,
         "status": F.lit(200) if status is None else status,
         "content_type": F.lit(None),
         "url": F.lit(None) if url is None else url,

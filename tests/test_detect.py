@@ -194,7 +194,7 @@ def test_alert_is_cut_to_size(spark):
 
 
 def test_apk_scans_follow_new_versions(spark):
-    from snapdrift.plans.chain import due_scans
+    from snapdrift.plans.detect import due_scans
 
     body = lambda v: json.dumps({"version": v, "recentChanges": "x"})
     rows = [{"monitor": "play_store", "target_id": "p", "scan_id": i, "body": body(v)} for i, v in enumerate(["1", "1", "2", "2", "3"])]
@@ -202,6 +202,26 @@ def test_apk_scans_follow_new_versions(spark):
     assert sorted((r.scan_id, r.version) for r in due.collect()) == [(0, "1"), (2, "2"), (4, "3")]
 
 
+def test_resources_follow_the_package_of_a_new_version(spark):
+    play = lambda i, v: {"monitor": "play_store", "target_id": "App", "scan_id": i, "body": json.dumps({"version": v})}
+    resource = lambda i, v: {"monitor": "apk_strings", "target_id": "com.app", "scan_id": i, "url": "title_x", "role": "en", "body": v}
+    rows = [play(1, "1"), play(2, "1"), play(3, "2")]
+    rows += [resource(1, "Smart Canvas"), resource(2, "Ignored Now"), resource(3, "Voice Lab")]
+    targets = make_targets(
+        spark,
+        [
+            {"monitor": "play_store", "target_id": "App", "attrs": {"package": "com.app"}},
+            {"monitor": "apk_strings", "target_id": "com.app", "name": "App"},
+        ],
+    )
+    got = detect(make_captures(spark, rows), targets, MONITORS["apk_strings"]).orderBy("color").collect()
+    assert [(r.scan_id, r.alert_title, r.log_target) for r in got] == [
+        (3, "🔍 APK Strings: App v2", "App"),
+        (3, "🔍 APK Removed: App v2", "com.app"),
+    ]
+    assert got[0].details == "**⭐ Feature Names:**\n* Voice Lab"
+
+
 def test_every_monitor_names_its_log_type():
     silent = {m for m, s in MONITORS.items() if not any(getattr(a, "detection_type", None) for a in getattr(s, "alerts", (s,)))}
     assert len(MONITORS) == 26 and silent == {"github_prs"}
