@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from snapdrift.llm import minhash
+from snapdrift.llm import minhash, substrings
 from snapdrift.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -13,3 +14,34 @@ __all__ = ["ORACLE", "QUERIES"]
 @query("op1_minhash_near_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+OP7 = r"""
+WITH texts AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+), words AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts
+), starts AS (
+  SELECT doc_id, i, w[i] AS word, CASE WHEN i + 34 <= len(w) THEN md5(array_to_string(list_slice(w, i, i + 34), ' ')) END AS h
+  FROM words
+), repeats AS (
+  SELECT h FROM starts WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1
+), covered AS (
+  SELECT s.doc_id, s.i, s.word, max(CASE WHEN r.h IS NULL THEN 0 ELSE 1 END)
+    OVER (PARTITION BY s.doc_id ORDER BY s.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM starts s LEFT JOIN repeats r ON s.h = r.h
+), kept AS (
+  SELECT doc_id, sum(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept_text
+  FROM covered GROUP BY doc_id
+)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(k.kept_text, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
+
+
+@query("op7_substring_dedup", OP7)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.repeated_passages(table(spark, folder, "documents"), window=35)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
