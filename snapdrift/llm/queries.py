@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapdrift.llm import caps, minhash, substrings
+from snapdrift.llm import caps, credentials, minhash, substrings
 from snapdrift.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -18,7 +18,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 OP7 = r"""
 WITH texts AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), words AS (
   SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts
 ), starts AS (
@@ -49,9 +49,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 OP3 = """
 WITH RECURSIVE good AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.v, b.v) >= 0.98
@@ -70,3 +70,59 @@ FROM smallest s LEFT JOIN counts c ON s.vec_id = c.vec_id
 @query("op3_embedding_near_dedup", OP3)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return caps.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
+def _op2_sql() -> str:
+    """Spans as in the operator: gaps and matches of each pattern as running sums, then interval conditions."""
+    parts = []
+    for kind, (pattern, group, least) in credentials.KINDS.items():
+        p = pattern.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, {credentials.RANK[kind]} AS kind, "
+            f"list_transform(string_split_regex(t, '{p}'), lambda x: length(x)) AS gaps, "
+            f"list_transform(regexp_extract_all(t, '{p}', 0), lambda x: length(x)) AS lens, "
+            f"list_transform(regexp_extract_all(t, '{p}', {group}), lambda x: length(x)) AS sizes, {least} AS least "
+            f"FROM texts WHERE regexp_matches(t, '{p}')"
+        )
+    near = lambda left, right, gap: (
+        f"{left}.doc_id = {right}.doc_id AND {left}.scope = {right}.scope AND "
+        f"greatest({left}.start, {right}.start) - least({left}.stop, {right}.stop) {gap}"
+    )
+    beside = lambda left, kinds: (
+        f"EXISTS (SELECT 1 FROM strong r WHERE {near(left, 'r', f'<= {credentials.WITHIN}')} AND r.kind IN ({kinds}))"
+    )
+    name = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for k, i in credentials.RANK.items()) + " END"
+    item = f"concat({name}, ':', start, ':', stop)"
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({' UNION ALL '.join(parts)}),
+each AS (
+  SELECT doc_id, kind, least, gaps[i] AS gap, lens[i] AS len, sizes[i] AS size, i
+  FROM (SELECT *, unnest(range(1, len(lens) + 1)) AS i FROM found)
+), spans AS (
+  SELECT doc_id, kind, stop - len AS start, stop FROM (
+    SELECT *, sum(gap + len) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM each
+  ) WHERE size >= least
+), parts AS (
+  SELECT *, count(*) FILTER (kind = {credentials.RANK['break']}) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS scope
+  FROM spans
+), strong AS (
+  SELECT * FROM parts p WHERE kind IN (0, 1, 2, 3, 5) OR kind = 4 AND NOT EXISTS (
+    SELECT 1 FROM parts r WHERE {near('p', 'r', '< 0')} AND r.kind < 3)
+), kept AS (
+  SELECT * FROM strong s WHERE kind < 3 OR kind = 3 AND {beside('s', '0, 2, 4')} OR kind = 4 AND {beside('s', '1, 3')}
+    OR kind = 5 AND {beside('s', '0, 2, 4')} AND {beside('s', '1, 3')}
+), listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg({item}, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg({item}, ',' ORDER BY start, kind) AS spans
+  FROM kept GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id
+"""
+
+
+@query("op2_secret_scan", _op2_sql())
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.digest(credentials.find_secrets(table(spark, folder, "documents")))
