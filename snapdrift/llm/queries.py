@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapdrift.llm import caps, credentials, minhash, substrings
+from snapdrift.llm import caps, credentials, minhash, substrings, warczip
 from snapdrift.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -126,3 +126,24 @@ FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id
 @query("op2_secret_scan", _op2_sql())
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.digest(credentials.find_secrets(table(spark, folder, "documents")))
+
+
+OP4 = """
+WITH rows AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h,
+    min(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS first
+  FROM pages
+)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((concat('0x', substr(h, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM rows
+"""
+
+
+@query("op4_warc_zip", OP4)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    read = warczip.round_trip(table(spark, folder, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
