@@ -147,12 +147,17 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges ``(a, b)`` between representatives, enough to connect all that share a key and are similar.
 
-    All rows of a key lie in the group of its smallest id. A group above
+    A pair of hashes is a key only if either hash occurs in another text, so
+    most texts have no key at all. All rows of a key lie in the group of its smallest id. A group above
     ``BLOCK_SHINGLES`` or ``BLOCK_DOCS`` is dealt into blocks and each pair of
     blocks compared by itself, so tasks stay bounded and no pair is skipped.
     """
-    table_keys = F.expr("explode(flatten(transform(u, x -> transform(v, y -> xxhash64(x, y)))))")
-    keys = reps.select("doc_id", table_keys.alias("key"))
+    sides = F.expr("explode(concat(transform(u, x -> struct(0 as side, x as hash)), transform(v, x -> struct(1 as side, x as hash))))")
+    hashes = reps.select("doc_id", sides.alias("s")).select("doc_id", "s.*")
+    shared = hashes.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+    of_side = lambda n: F.collect_list(F.when(F.col("side") == n, F.col("hash")))
+    live = hashes.join(shared.select("hash"), "hash", "left_semi").groupBy("doc_id").agg(of_side(0).alias("u"), of_side(1).alias("v"))
+    keys = live.select("doc_id", F.expr("explode(flatten(transform(u, x -> transform(v, y -> xxhash64(x, y)))))").alias("key"))
     first = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last")
     pairs = keys.join(first.select("key", "pivot"), "key").select("pivot", "doc_id").distinct()
     pairs = staged(pairs.join(reps.select("doc_id", "n_shingles"), "doc_id"), "candidates")
@@ -163,7 +168,7 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
         F.expr("explode(sequence(0, blocks - 1))").alias("other"),
     )
     dealt = dealt.select("pivot", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "doc_id")
-    wanted = pairs.select("doc_id").distinct()
+    wanted = pairs.select("doc_id").distinct().hint("merge")  # one plan at every size
     sets = shingle_sets(texts_of(docs).select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"), k)
     return _verified(dealt.join(sets, "doc_id"), percent)
 
