@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapdrift.llm import caps, credentials, minhash, substrings, warczip
+from snapdrift.llm import caps, credentials, minhash, substrings, toxicity, warczip
 from snapdrift.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -147,3 +147,12 @@ FROM rows
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     read = warczip.round_trip(table(spark, folder, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out)))
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
