@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapdrift.llm import caps, credentials, minhash, substrings, toxicity, warczip
+from snapdrift.llm import caps, credentials, decontaminate, minhash, substrings, toxicity, warczip
 from snapdrift.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -156,3 +156,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out)))
     predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int")
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query("op6_benchmark_decontamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    ids = F.transform("items", lambda x: x["item_id"])
+    return found.select("doc_id", "n_candidates", ids.alias("item_ids"), (F.size("items") > 0).alias("contaminated"))
