@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapdrift.llm import caps, credentials, decontaminate, minhash, substrings, toxicity, warczip
+from snapdrift.llm import caps, credentials, decontaminate, licences, minhash, substrings, token_edits, toxicity, unigram, warczip
 from snapdrift.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -163,3 +163,64 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     ids = F.transform("items", lambda x: x["item_id"])
     return found.select("doc_id", "n_candidates", ids.alias("item_ids"), (F.size("items") > 0).alias("contaminated"))
+
+
+@query("op8_sentencepiece")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    both = unigram.round_trip(table(spark, folder, "documents"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "exact")
+
+
+@query("op9_token_edits")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Each text with three edits made of itself: its source inserted, some words deleted, some replaced by its start."""
+    n = F.char_length("text").cast("long")
+    edit = lambda start, stop, text: F.struct(start.alias("start"), stop.alias("stop"), text.alias("text"))
+    quarter = F.floor(n / 4)
+    edits = F.array(
+        edit(quarter, quarter, F.concat(F.lit(" "), "source")),
+        edit(quarter * 2, quarter * 2 + 12, F.lit("")),
+        edit(quarter * 3, quarter * 3 + 5, F.substring("text", 1, 24)),
+    )
+    found = token_edits.count_edited(table(spark, folder, "documents").select("doc_id", "text", edits.alias("edits")))
+    return found.select("doc_id", "n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded")
+
+
+def _op10_sql() -> str:
+    grams = [
+        f"('{name}', ['{chr(39).join(licences.template_bigrams(text)).replace(chr(39), chr(39) + ', ' + chr(39))}'])"
+        for name, text in sorted(licences.TEMPLATES.items())
+    ]
+    return rf"""
+WITH templates(licence, grams) AS (VALUES {', '.join(grams)}),
+texts AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\pL\pN\n]+', ' ', 'g') AS t FROM documents),
+units AS (
+  SELECT doc_id, i, 0 AS kind, u FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS u, unnest(range(len(string_split(t, chr(10))))) AS i FROM texts)
+  UNION ALL
+  SELECT doc_id, i, 1, u FROM (
+    SELECT doc_id, unnest(string_split_regex(t, '\n *\n')) AS u, unnest(range(len(string_split_regex(t, '\n *\n')))) AS i FROM texts)
+  WHERE contains(trim(u, concat(' ', chr(10))), chr(10))
+), words AS (
+  SELECT doc_id, i, kind, list_filter(string_split_regex(u, '[ \n]'), lambda x: x <> '') AS w FROM units
+), grams AS (
+  SELECT doc_id, i, kind, list_distinct(list_transform(range(1, len(w)), lambda k: concat(w[k], ' ', w[k + 1]))) AS g FROM words WHERE len(w) > 1
+), scored AS (
+  SELECT g.doc_id, g.i, g.kind, t.licence, 2.0 * len(list_intersect(g.g, t.grams)) / (len(g.g) + len(t.grams)) AS dice
+  FROM grams g JOIN templates t ON 2 * least(len(g.g), len(t.grams)) >= {licences.LEAST} * (len(g.g) + len(t.grams))
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, i, kind ORDER BY dice DESC, licence) AS n FROM scored WHERE dice >= {licences.LEAST}
+), listed AS (
+  SELECT doc_id, count(*) AS n_notices, max(dice) AS best_dice, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences
+  FROM best WHERE n = 1 GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_notices, 0)::BIGINT AS n_notices, coalesce(licences, '') AS licences, best_dice::DOUBLE AS best_dice
+FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id
+"""
+
+
+@query("op10_licence_scan", _op10_sql())
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.licence_notices(table(spark, folder, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["licence"])))
+    best = F.array_max(F.transform("notices", lambda x: x["dice"]))
+    return found.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_join(names, ",").alias("licences"), best.alias("best_dice"))
