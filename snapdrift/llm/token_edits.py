@@ -44,8 +44,9 @@ class Counter:
         cache = self.cache
         if len(cache) > CACHED:
             cache.clear()
-        new = [t for t in set(pre_tokens) if t not in cache]
-        cache.update(zip(new, map(len, self.encoding.encode_ordinary_batch(new, num_threads=1))))
+        encode = self.encoding.encode_ordinary
+        for new in [t for t in set(pre_tokens) if t not in cache]:
+            cache[new] = len(encode(new))
         return [cache[t] for t in pre_tokens]
 
 

@@ -214,7 +214,7 @@ class Encoder:
         if len(self.cache) > CACHED:
             self.cache.clear()
         split = [self.words(MARK + text.replace(" ", MARK)) if text else [] for text in texts]
-        self.learn(set().union(*split) - self.cache.keys())
+        self.learn({w for w in set().union(*split) if w not in self.cache})
         cache = self.cache
         return [np.frombuffer(b"".join([cache[w] for w in words]), np.int32) for words in split]
 
