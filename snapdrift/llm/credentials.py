@@ -102,6 +102,49 @@ def _joined(column: str) -> Column:
     return F.coalesce(F.array_join(F.transform(column, one), ","), F.lit(""))
 
 
+def _listed(rows: DataFrame, within: int) -> DataFrame:
+    """``doc_id, h, spans`` of the texts with spans, once for equal rows."""
+    some = reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in (*BASE, *WEAK)])
+    every = _spans(rows.where(some).dropDuplicates(KEY))
+    order = W.partitionBy(*KEY).orderBy("start", "stop").rowsBetween(W.unboundedPreceding, W.currentRow)
+    scope = F.count(F.when(F.col("kind") == RANK["break"], 1)).over(order)
+    parts = staged(every.withColumn("scope", scope).where(F.col("kind") != RANK["break"]), "parts")
+    base = _of(parts, tuple(BASE))
+    lone = _beside(_of(parts, ("weak_secret",)), base, 0, "left_anti")
+    secrets = _of(parts, ("assign", "hex")).union(lone)
+    ids = _of(parts, ID)
+    weak_ids = _beside(_of(parts, ("weak_id",)), secrets, within, "left_semi")
+    weak_secrets = _beside(lone, ids, within, "left_semi")
+    ends = _beside(_beside(_of(parts, ("endpoint",)), secrets, within, "left_semi"), ids, within, "left_semi")
+    kept = reduce(DataFrame.union, [base, weak_ids, weak_secrets, ends])
+    return kept.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop"))).alias("spans"))
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    rows = texts_of(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return staged(rows.select(*KEY, *[_found(k).alias(k) for k in KINDS]), "secrets")
+
+
+def redacted(docs: DataFrame, within: int = WITHIN, by: str = "[REDACTED]") -> DataFrame:
+    """``docs`` with every span of a secret in ``text`` replaced by ``by`` and ``n_chars``, if there, counted anew.
+
+    Spans that overlap are replaced as one; other texts and columns are as they
+    were.
+    """
+    listed = _listed(_scanned(docs), within).select(F.col("doc_id").alias("of"), "h", F.col("spans").alias("found"))
+    both = docs.join(listed, docs["doc_id"].eqNullSafe(F.col("of")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("h")), "left")
+    piece = lambda acc, s: F.concat(F.substr("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(by))
+    step = lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["stop"]).alias("at"),
+        F.when(s["start"] >= acc["at"], F.array_append(acc["out"], piece(acc, s))).otherwise(acc["out"]).alias("out"),
+    )
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    done = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("text", acc["at"] + 1)))
+    text = F.when(F.col("found").isNotNull(), done).otherwise(docs["text"])
+    out = both.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def find_secrets(docs: DataFrame, within: int = WITHIN) -> DataFrame:
     """Spans of secrets in each row of ``docs (doc_id, text)``, null texts being empty.
 
@@ -116,22 +159,8 @@ def find_secrets(docs: DataFrame, within: int = WITHIN) -> DataFrame:
     reported weak parts. Each row gets its own result, repeated rows and null
     ids included; no rows give no rows.
     """
-    rows = texts_of(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
-    rows = staged(rows.select(*KEY, *[_found(k).alias(k) for k in KINDS]), "secrets")
-    some = reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in (*BASE, *WEAK)])
-    every = _spans(rows.where(some).dropDuplicates(KEY))
-    order = W.partitionBy(*KEY).orderBy("start", "stop").rowsBetween(W.unboundedPreceding, W.currentRow)
-    scope = F.count(F.when(F.col("kind") == RANK["break"], 1)).over(order)
-    parts = staged(every.withColumn("scope", scope).where(F.col("kind") != RANK["break"]), "parts")
-    base = _of(parts, tuple(BASE))
-    lone = _beside(_of(parts, ("weak_secret",)), base, 0, "left_anti")
-    secrets = _of(parts, ("assign", "hex")).union(lone)
-    ids = _of(parts, ID)
-    weak_ids = _beside(_of(parts, ("weak_id",)), secrets, within, "left_semi")
-    weak_secrets = _beside(lone, ids, within, "left_semi")
-    ends = _beside(_beside(_of(parts, ("endpoint",)), secrets, within, "left_semi"), ids, within, "left_semi")
-    kept = reduce(DataFrame.union, [base, weak_ids, weak_secrets, ends])
-    listed = kept.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop"))).alias("spans"))
+    rows = _scanned(docs)
+    listed = _listed(rows, within)
     own = rows.select(*KEY)
     out = own.join(listed, own["doc_id"].eqNullSafe(listed["doc_id"]) & (own["h"] == listed["h"]), "left")
     weak = F.coalesce(F.size(F.filter("spans", lambda x: x["kind"] >= len(BASE))), F.lit(0))

@@ -197,3 +197,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, hashes: int
     out = rows.select("doc_id", "n_shingles", "digest").join(moved, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, the one with the smallest id; null ids stay.
+
+    Columns are as they were; rows that repeat an id with its text stay once.
+    """
+    found = near_duplicates(docs, k, percent)
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    again = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("gone"))
+    left = docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    once = left.join(again, left["doc_id"] == F.col("gone"), "left_anti")
+    twice = left.join(again, left["doc_id"] == F.col("gone"), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(twice)

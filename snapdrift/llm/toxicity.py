@@ -13,8 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from snapdrift.llm.common import small_batches, staged, texts_of
 
@@ -150,15 +151,35 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
     return Model(features, weights[:-1], float(weights[-1]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` (0 to 1) of each row of ``docs (doc_id, text)``; a null text is empty and gets the score of no n-gram."""
+def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """``docs`` with the column ``name`` (0 to 1) from their ``text``; a null text is empty and gets the score of no n-gram."""
     small_batches(docs.sparkSession)
     table, weights, offset = _table(model.features), model.weights, model.offset
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.array([offset + weights[present(text, table)].sum() for text in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], ["doc_id", "score"])
+            z = np.array([offset + weights[present(text or "", table)].sum() for text in batch.column(at).to_pylist()])
+            scores = pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, score`` of each row of ``docs (doc_id, text)``, repeated rows and null ids included."""
+    return with_score(texts_of(docs), model, "score").select("doc_id", "score")
+
+
+def held_out(doc_id: Column) -> Column:
+    """A quarter of the ids, from which no label is learnt."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts_of(docs).mapInArrow(run, f"doc_id {kind}, score double")
+def clean(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below ``least`` after a fit on their labelled rows, columns as they were."""
+    model = fit(docs, labels.where(~held_out(labels["doc_id"])))
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return with_score(docs, model, name).where(F.col(name) < least).select(*[f"`{c}`" for c in docs.columns])
