@@ -1,6 +1,6 @@
 """Repeated passages by fixed-block anchors.
 
-A repeat of ``window`` words holds a whole block of ``window // 2 + 1`` words
+A repeat of ``window`` words holds a whole block of ``(window + 1) // 2`` words
 that starts at a multiple of that length, in either of its places. So the
 blocks of every text that do not overlap are indexed, every rolling window of
 block length is probed, and hits are extended: each window around a hit is
@@ -101,7 +101,7 @@ def repeated_passages(docs: DataFrame, window: int = 35) -> DataFrame:
     has no words; texts below ``window`` words are kept whole; repeated rows
     repeat each other's windows; null ids are allowed. No rows give no rows.
     """
-    spark, block = docs.sparkSession, window // 2 + 1
+    spark, block = docs.sparkSession, (window + 1) // 2
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks, buckets = parts * CHUNKS_PER_PARTITION, parts * BUCKETS_PER_PARTITION
