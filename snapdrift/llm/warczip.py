@@ -41,7 +41,7 @@ def _tail(file: pa.NativeFile, size: int) -> tuple[int, int, int]:
     file.seek(start)
     data = file.read(size - start)
     at = data.rfind(b"PK\x05\x06")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", data, at + 20)[0] != len(data):
+    while at >= 0 and (at + 22 > len(data) or at + 22 + struct.unpack_from("<H", data, at + 20)[0] != len(data)):
         at = data.rfind(b"PK\x05\x06", 0, at)
     if at < 0:
         raise ValueError("no end of central directory")
@@ -108,7 +108,8 @@ def warc_record(page: int | None, url: str | None, payload: bytes, digest: str,
     """A response, or a revisit with the HTTP header of the full payload only."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:x-page:{page}>"]
-    head += [f"WARC-Target-URI: {_clean(url)}"] * (url is not None) + [f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head += [] if url is None else [f"WARC-Target-URI: {_clean(url)}"]
+    head += [f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
         head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
     else:
