@@ -131,16 +131,17 @@ def redacted(docs: DataFrame, within: int = WITHIN, by: str = "[REDACTED]") -> D
     Spans that overlap are replaced as one; other texts and columns are as they
     were.
     """
-    listed = _listed(_scanned(docs), within).select(F.col("doc_id").alias("of"), "h", F.col("spans").alias("found"))
-    both = docs.join(listed, docs["doc_id"].eqNullSafe(F.col("of")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("h")), "left")
-    piece = lambda acc, s: F.concat(F.substr("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(by))
+    listed = _listed(_scanned(docs), within)
+    same = docs["doc_id"].eqNullSafe(listed["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == listed["h"])
+    both = docs.join(listed, same, "left")
+    piece = lambda acc, s: F.concat(F.substr(docs["text"], acc["at"] + 1, s["start"] - acc["at"]), F.lit(by))
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["stop"]).alias("at"),
         F.when(s["start"] >= acc["at"], F.array_append(acc["out"], piece(acc, s))).otherwise(acc["out"]).alias("out"),
     )
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("text", acc["at"] + 1)))
-    text = F.when(F.col("found").isNotNull(), done).otherwise(docs["text"])
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(docs["text"], acc["at"] + 1))
+    text = F.when(listed["spans"].isNotNull(), F.aggregate(listed["spans"], start, step, rest)).otherwise(docs["text"])
     out = both.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

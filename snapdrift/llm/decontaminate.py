@@ -196,5 +196,5 @@ def _searcher(index: Index, overlap: float):
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item's question and answer, columns as they were; null ids stay."""
-    found = contamination(docs, items).where(F.size("items") > 0).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("gone"), "left_anti")
+    found = contamination(docs, items).where(F.size("items") > 0).select("doc_id").distinct()
+    return docs.join(found, docs["doc_id"] == found["doc_id"], "left_anti")

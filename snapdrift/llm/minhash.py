@@ -205,9 +205,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Columns are as they were; rows that repeat an id with its text stay once.
     """
     found = near_duplicates(docs, k, percent)
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    again = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("gone"))
-    left = docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
-    once = left.join(again, left["doc_id"] == F.col("gone"), "left_anti")
-    twice = left.join(again, left["doc_id"] == F.col("gone"), "left_semi").dropDuplicates(["doc_id"])
+    gone = found.where("not kept").select("doc_id").distinct()
+    again = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    left = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    once = left.join(again, left["doc_id"] == again["doc_id"], "left_anti")
+    twice = left.join(again, left["doc_id"] == again["doc_id"], "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(twice)
