@@ -98,13 +98,14 @@ def js_bundle_urls(spark, folder):
 @query(
     "head_cap_bundles",
     f"WITH docs AS ({cte.DOCS}) SELECT target_id, scan_id, "
-    "unnest(list_slice(list_sort(list_transform(range(40), lambda i: concat('https://', target_id, '.example.com/b', lpad(i::VARCHAR, 2, '0'), '.js'))), 1, 30)) AS url "
+    "unnest(list_transform(range(300), lambda i: concat('https://', target_id, '.example.com/b', lpad(i::VARCHAR, 3, '0'), '.js'))) AS url "
     "FROM docs WHERE status = 200",
 )
 def head_cap_bundles(spark, folder):
-    """Of forty scripts on a page thirty take part."""
-    tags = m.joined(F.sequence(F.lit(0), F.lit(39)), lambda i: text('<script src="/b', F.lpad(i.cast("string"), 2, "0"), '.js"></script>'))
-    pages = h.document_captures(spark, folder, "js_deep").withColumns({"role": F.lit("page"), "body": tags})
+    """All of three hundred scripts on a page take part; the page holds its document's text as well."""
+    tags = m.joined(F.sequence(F.lit(0), F.lit(299)), lambda i: text('<script src="/b', F.lpad(i.cast("string"), 3, "0"), '.js"></script>'))
+    escaped = F.replace(F.replace(F.col("body"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    pages = h.document_captures(spark, folder, "js_deep").withColumns({"role": F.lit("page"), "body": F.concat(escaped, tags)})
     return bundle_urls(pages, h.document_targets(spark, folder, "js_deep")).select("target_id", "scan_id", "url")
 
 
@@ -247,7 +248,7 @@ version_query(
     f"{pick_sql(m.LOCALES, 'eid')} AS locale, CASE eid % 4 WHEN 0 THEN {pick_sql(m.LABELS, 'eid')} "
     "WHEN 1 THEN concat('Try the new mode ', eid) WHEN 2 THEN concat(' Open the saved file ', eid, ' ') "
     f"ELSE concat('https://x.example.com/', eid) END AS value FROM ({m.PROBED})) WHERE locale <> 'fr' "
-    "QUALIFY row_number() OVER (PARTITION BY target_id, scan_id, name ORDER BY e DESC) = 1",
+    "QUALIFY row_number() OVER (PARTITION BY target_id, scan_id, name ORDER BY list_position(['en', 'en-US', 'en-GB', ''], locale), e DESC, value DESC) = 1",
 )
 def resources(spark, folder):
     return string_resources(landed_resources(m.resource_captures(spark, folder))).select("target_id", "scan_id", "name", "value")
@@ -375,7 +376,7 @@ def usable(spark, folder):
 @query(
     "pick_primary_capture",
     "SELECT p_brand AS target_id, p_partkey AS scan_id, CASE WHEN p_partkey % 3 = 0 THEN 'fallback' ELSE 'primary' END AS role "
-    "FROM part WHERE p_partkey % 7 <> 0",
+    "FROM part",
 )
 def pick_primary(spark, folder):
     chosen = pick_by_success(m.trademark_captures(spark, folder), ("primary", "fallback"))
@@ -385,7 +386,8 @@ def pick_primary(spark, folder):
 @query(
     "pick_configured_capture",
     "SELECT p_brand AS target_id, p_partkey AS scan_id, CASE split_part(p_brand, '#', 2)::INT % 3 WHEN 0 THEN 'board_a' "
-    "WHEN 1 THEN 'board_b' ELSE 'careers_page' END AS role FROM part",
+    "WHEN 1 THEN 'board_b' ELSE 'careers_page' END AS role FROM "
+    "(SELECT p_brand, p_partkey FROM part UNION ALL SELECT p_brand, p_partkey + 1000000000 FROM part WHERE p_partkey % 7 = 0)",
 )
 def pick_configured(spark, folder):
     chosen = pick_by_configuration(m.job_captures(spark, folder), m.job_targets(spark, folder), JOB_SOURCES)

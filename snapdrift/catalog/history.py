@@ -239,10 +239,10 @@ def latest_successful(spark, folder):
 
 @query(
     "head_cap",
-    f"WITH feed AS ({cte.FEED}) SELECT target_id, scan_id, eid::VARCHAR AS item FROM feed WHERE pos < 5",
+    f"WITH feed AS ({cte.FEED}) SELECT target_id, scan_id, eid::VARCHAR AS item FROM feed",
 )
 def head_cap(spark, folder):
-    """The first five entries of a filings feed."""
+    """The entries of a filings feed, none cut off."""
     rows = scans.usable_captures(h.feed_captures(spark, folder, "sec_8k", m.filings_feed))
     items = diff.explode_items(rows, feed.atom_filings(F.col("body")))
     return items.select("target_id", "scan_id", F.regexp_extract(F.col("detail")["link"], "e=([0-9]+)", 1).alias("item"))
@@ -285,8 +285,9 @@ def _pypi(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def detections_log(spark, folder):
     reports = detect(*_pypi(spark, folder), MONITORS["pypi"])
     path = workspace(reports)
-    sinks.append_detections(reports.filter("target_id < 'Brand#2'"), path)
-    sinks.append_detections(reports.filter("target_id >= 'Brand#2'"), path)
+    for _ in range(2):  # a run that is repeated replaces its rows
+        sinks.write_detections(reports.filter("target_id < 'Brand#2'"), path, "1", "pypi")
+    sinks.write_detections(reports.filter("target_id >= 'Brand#2'"), path, "2", "pypi")
     return sinks.read_detections(spark, path).select("target_id", "scan_id", "detection_type", "title")
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 DOCS = (
-    "SELECT source AS target_id, doc_id AS scan_id, CASE WHEN doc_id % 7 = 0 THEN 500 ELSE 200 END AS status, "
-    "CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END AS body FROM documents"
+    "SELECT source AS target_id, doc_id * 2 AS scan_id, 200 AS status, text AS body FROM documents UNION ALL "
+    "SELECT source, doc_id * 2 + 1, CASE WHEN doc_id % 7 = 0 THEN 500 ELSE 200 END, "
+    "CASE WHEN doc_id % 7 = 0 THEN 'gone' ELSE '' END FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0"
 )
 DOC_TARGETS = (
     "SELECT DISTINCT source AS target_id, source AS name, concat('https://', source, '.example.com/') AS url, "
@@ -34,7 +35,7 @@ ORDERS = (
 # one row per entry of each usable feed scan: pos, eid (window), p_* columns
 FEED = (
     "SELECT p_brand AS target_id, p_partkey AS scan_id, i AS pos, p_partkey // 30 + i AS eid, p_size, p_type, p_name "
-    "FROM (SELECT *, unnest(range(p_size % 6 + 1)) AS i FROM part) WHERE p_partkey % 7 <> 0"
+    "FROM (SELECT *, unnest(range(p_size % 6 + 1)) AS i FROM part)"
 )
 FEED_TARGETS = (
     "SELECT target_id, n, concat('Name ', target_id) AS name, concat('T', n) AS ticker, "

@@ -17,9 +17,9 @@ NL = "chr(10)"
 
 
 def report_rows(reports: DataFrame) -> DataFrame:
-    """Reports without the monitor name, fields as text."""
+    """Reports without the monitor name and the mark of size, fields as text."""
     text = F.array_join(F.transform("fields", lambda f: F.concat_ws("=", f["name"], f["value"])), "; ")
-    return reports.drop("monitor").withColumn("fields", text)
+    return reports.drop("monitor", "oversize").withColumn("fields", text)
 
 
 def text(*parts: str | Column) -> Column:
@@ -121,7 +121,6 @@ JS_ADDED = dict(
     url="g.url",
     type="new_strings",
     log_title="concat(n, ' interesting strings')",
-    clip=2000,
 )
 JS_REMOVED = dict(
     op="removed",
@@ -131,7 +130,6 @@ JS_REMOVED = dict(
     head="concat('**', n, ' notable strings removed** (feature launched, killed, or renamed?)')",
     color=0xFFA500,
     url="g.url",
-    below=200,
 )
 
 
@@ -167,7 +165,6 @@ DOC_ITEMS = (
                 url="g.url",
                 type="doc_change",
                 log_title="concat('Changes in ', g.name)",
-                clip=1000,
             )
         ],
     ),
@@ -215,7 +212,6 @@ def _page_lines(x: str) -> str:
                 url="g.url",
                 type="page_update",
                 log_title="concat('Updated: ', g.name)",
-                clip=1000,
             )
         ],
         scans_from="SELECT target_id, scan_id FROM pgs",
@@ -328,7 +324,7 @@ query(
                 op="added", bucket="'all'", sections=_all(15, "concat('+ `', item, '`')"), fence=True,
                 title="concat('robots.txt Changed: ', g.name)", head="concat('**', r.n, ' new path(s)** added')",
                 color=0x795548, url="concat('https://', g.domain, '/robots.txt')",
-                type="new_paths", log_title="concat(r.n, ' paths')", clip=1000,
+                type="new_paths", log_title="concat(r.n, ' paths')",
             ),
             dict(
                 op="removed", bucket="'all'", sections=_all(15, "concat('- `', item, '`')"), fence=True,
@@ -380,7 +376,7 @@ query(
                 sections=_all(12, "concat('* `', substring(item, 1, 120), '`')"),
                 title="concat('New CDN Assets: ', g.name, ' (', g.ticker, ')')",
                 head="concat('**', r.n, ' new assets** detected')", color=0x009688, url="'https://feed.example.com/x/page'",
-                below=50, type="new_assets", log_title="concat(r.n, ' assets')", clip=1000,
+                type="new_assets", log_title="concat(r.n, ' assets')",
             )
         ],
     ),
@@ -414,7 +410,7 @@ query(
                 op="added", bucket="'all'", sections=_all(8, "concat('* ', substring(item, 1, 150))"),
                 title="concat('FCC Filing: ', g.name)", head="concat('**', r.n, ' new device filing(s)** detected')",
                 color=0xFF5722, url="g.url", fields="concat('Grantee Code=', r.target_id, '; Company=', g.name)",
-                type="new_filing", log_title="concat('FCC: ', g.name)", clip=1000,
+                type="new_filing", log_title="concat('FCC: ', g.name)",
             )
         ],
         order="pos", repeats=True,
@@ -451,7 +447,7 @@ MARK_ITEMS = (
                 op="added", bucket="'all'", sections=_all(10, "concat('* **', mark, '** (SN: ', serial, ')')"),
                 title="concat('New Trademark: ', r.target_id, ' (', g.ticker, ')')",
                 head="concat('**', r.n, ' new trademark filing(s)**')", color=0x9C27B0,
-                url="'https://tmsearch.uspto.gov/'", type="new_trademark", log_title="concat(r.n, ' marks')", clip=1000,
+                url="'https://tmsearch.uspto.gov/'", type="new_trademark", log_title="concat(r.n, ' marks')",
             )
         ],
         order="pos", repeats=True, extra=", serial, mark",
@@ -493,7 +489,7 @@ query(
                 sections=_all(15, "concat('* `', item, '`')"), title="concat('New SSL Certs: ', g.name)",
                 head="concat('**', r.n, ' new certificate(s)** found in CT logs')", color=0x00BCD4,
                 url="concat('https://crt.sh/?q=%25.', g.domain)", type="new_cert",
-                log_title="concat(r.n, ' certs')", clip=1000,
+                log_title="concat(r.n, ' certs')",
             )
         ],
     ),
@@ -575,7 +571,7 @@ def dns_captures(spark: SparkSession, folder: str) -> DataFrame:
 
 DNS_ITEMS = (
     f"SELECT target_id, scan_id, concat({pick_sql(DNS_KINDS, 'eid')}, ':', "
-    "substring(concat('v=', repeat(concat('r', eid), 80)), 1, 200)) AS item FROM feed"
+    "concat('v=', repeat(concat('r', eid), 80))) AS item FROM feed"
 )
 
 
@@ -589,7 +585,7 @@ DNS_ITEMS = (
                 title="concat('DNS Record Change: ', g.name, ' (', g.ticker, ')')",
                 head="concat('**', r.n, ' new DNS record(s)**')", color=0x795548,
                 url="concat('https://dns.google/query?name=', g.domain)", type="new_record",
-                log_title="concat(r.n, ' records')", clip=1000,
+                log_title="concat(r.n, ' records')",
             )
         ],
     ),
@@ -614,7 +610,7 @@ def filings_feed(entries: Column) -> Column:
 FILING_FEED_ITEMS = (
     f"SELECT target_id, scan_id, pos, concat('8-K & ', {title_sql()}) AS title, "
     "concat('2024-01-', lpad((eid % 28 + 1)::VARCHAR, 2, '0'), 'T10:00:00') AS updated, "
-    "concat('https://f.example.com/?a=1&e=', eid) AS link, eid::VARCHAR AS item FROM feed WHERE pos < 5"
+    "concat('https://f.example.com/?a=1&e=', eid) AS link, eid::VARCHAR AS item FROM feed"
 )
 CURRENT_CHANGES = (
     "marks AS (SELECT target_id, scan_id, string_agg(item, ',' ORDER BY pos) AS fp FROM items GROUP BY ALL), "
@@ -636,7 +632,7 @@ query(
                     "' | [Link](', link, ')')",
                 ),
                 title="concat('SEC 8-K Filing: ', r.target_id)", head="'**New material event filing**'",
-                color=0xF44336, url="g.url", type="8k_filing", log_title="concat('8-K: ', r.target_id)", clip=1000,
+                color=0xF44336, url="g.url", type="8k_filing", log_title="concat('8-K: ', r.target_id)",
             )
         ],
         order="pos", changes=CURRENT_CHANGES,
@@ -656,7 +652,7 @@ def papers_feed(entries: Column) -> Column:
 
 PAPER_ITEMS = (
     f"SELECT target_id, scan_id, pos, concat('On ', {title_sql()}) AS item, concat('http://p.example.org/', eid) AS link, "
-    "substring(array_to_string(list_transform(range(5), lambda i: concat('A', i, ' B', eid)), ', '), 1, 200) AS authors, "
+    "array_to_string(list_transform(range(7), lambda i: concat('A', i, ' B', eid)), ', ') AS authors, "
     "concat('2024-02-0', eid % 9 + 1) AS published FROM feed"
 )
 
@@ -673,7 +669,7 @@ query(
                 ),
                 title="concat('New Papers: ', g.name, ' (', g.ticker, ')')",
                 head="concat('**', r.n, ' new paper(s)** on arXiv')", color=0xB71C1C, first_url="link",
-                type="new_paper", log_title="concat(r.n, ' papers')", clip=1000,
+                type="new_paper", log_title="concat(r.n, ' papers')",
             )
         ],
         order="pos", repeats=True, extra=", link, authors, published",
@@ -816,7 +812,7 @@ JOB_ITEMS = (
                 sections=_all(15, "concat('* ', substring(item, 1, 120))"),
                 title="concat('New Job Postings: ', g.name, ' (', g.ticker, ')')",
                 head="concat('**', r.n, ' interesting new roles**')", color=0x00BCD4, url="g.url",
-                type="new_postings", log_title="concat(r.n, ' new roles')", clip=1000,
+                type="new_postings", log_title="concat(r.n, ' new roles')",
             )
         ],
         order="pos",
@@ -867,7 +863,7 @@ query(
                 ],
                 title="concat('GraphQL Schema Change: ', g.name, ' (', g.ticker, ')')",
                 head="concat('**', n_added, ' new schema items**')", color=0xE535AB, url="g.url",
-                type="schema_change", log_title="concat(n_added, ' items')", clip=1000,
+                type="schema_change", log_title="concat(n_added, ' items')",
             )
         ],
     ),
@@ -906,7 +902,7 @@ query(
                 ),
                 title="concat('New GitHub Repos: ', g.name)", head="concat('**', r.n, ' new public repo(s)** created')",
                 color=0x6E5494, url="concat('https://github.com/', g.org, '?tab=repositories&sort=created')",
-                type="new_repo", log_title="concat(r.n, ' repos')", clip=1000,
+                type="new_repo", log_title="concat(r.n, ' repos')",
             )
         ],
         extra=", descr",
@@ -940,7 +936,7 @@ query(
                 ),
                 title="concat('New HF Models: ', g.name)", head="concat('**', r.n, ' new model(s)** published')",
                 color=0xFFD21E, url="concat('https://huggingface.co/', g.org)", type="new_model",
-                log_title="concat(r.n, ' models')", clip=1000,
+                log_title="concat(r.n, ' models')",
             )
         ],
         extra=", tagged",
@@ -967,7 +963,7 @@ query(
                 op="added", bucket="'all'", sections=_all(20, "concat('* `', item, '`')"),
                 title="concat('🆕 New Models: ', g.name, ' (', g.ticker, ')')",
                 head="concat('**', r.n, ' new model(s)** appeared in API')", color=0x9C27B0, url="g.url",
-                type="new_model", log_title="concat(r.n, ' models')", clip=1000,
+                type="new_model", log_title="concat(r.n, ' models')",
             ),
             dict(
                 op="removed", bucket="'all'", sections=_all(10, "concat('* ~~`', item, '`~~')"),
@@ -1015,7 +1011,7 @@ query(
         "FROM (SELECT *, eid // 2 AS k FROM feed WHERE pos = 0))",
         {
             "detection_type": "'release'", "log_target": "c.target_id", "log_title": "version",
-            "details": "substring(notes, 1, 1000)", "alert_title": "concat('New Release: ', g.name)",
+            "details": "notes", "alert_title": "concat('New Release: ', g.name)",
             "description": f"concat('**', version, '** — ', nm, {NL}, {NL}, substring(notes, 1, 500))",
             "color": str(0x2ECC71), "url": "concat('https://r.example.com/', k)", "fields": "''",
         },
@@ -1052,7 +1048,7 @@ def app_targets(spark: SparkSession, folder: str) -> DataFrame:
         "QUALIFY row_number() OVER (PARTITION BY target_id, scan_id, eid % 3 ORDER BY pos DESC) = 1))",
         {
             "detection_type": "'version_update'", "log_target": "c.target_id", "log_title": "concat('v', version)",
-            "details": "substring(notes, 1, 1000)", "alert_title": "concat('iOS Update: ', g.name, ' v', version)",
+            "details": "notes", "alert_title": "concat('iOS Update: ', g.name, ' v', version)",
             "description": f"concat('**`com.b.', k - 1000, '`** updated to **v', version, '**', {NL}, {NL}, '**What''s New:**', "
             f"{NL}, CASE WHEN notes = '' THEN 'No release notes provided' ELSE substring(notes, 1, 1500) END)",
             "color": str(0x1ABC9C), "url": "concat('https://s.example.com/', k)",
@@ -1120,7 +1116,7 @@ query(
         f"{title_sql('(e // 3)')} AS notes, CASE WHEN e % 6 = 0 THEN 'None' ELSE deps END AS deps FROM deps))",
         {
             "detection_type": "'version_update'", "log_target": "c.target_id", "log_title": "concat(c.target_id, ' ', version)",
-            "details": "substring(notes, 1, 500)", "alert_title": "concat('npm Update: ', c.target_id, ' (', g.name, ')')",
+            "details": "notes", "alert_title": "concat('npm Update: ', c.target_id, ' (', g.name, ')')",
             "description": f"concat('**', old_version, ' -> ', version, '**', {NL}, {NL}, substring(notes, 1, 500))",
             "color": str(0xCB3837), "url": "concat('https://www.npmjs.com/package/', c.target_id)",
             "fields": "concat('Package=[', c.target_id, '](https://www.npmjs.com/package/', c.target_id, '); New Deps=', deps)",
@@ -1143,7 +1139,7 @@ query(
         f"CASE WHEN eid % 3 = 0 THEN '' ELSE {title_sql()} END AS notes FROM feed WHERE pos = 0))",
         {
             "detection_type": "'version_update'", "log_target": "c.target_id", "log_title": "concat(c.target_id, ' ', version)",
-            "details": "substring(notes, 1, 500)", "alert_title": "concat('PyPI Update: ', c.target_id, ' (', g.name, ')')",
+            "details": "notes", "alert_title": "concat('PyPI Update: ', c.target_id, ' (', g.name, ')')",
             "description": f"concat('**', old_version, ' -> ', version, '**', {NL}, {NL}, substring(notes, 1, 500))",
             "color": str(0x3775A9), "url": "concat('https://pypi.org/project/', c.target_id, '/')", "fields": "''",
         },
@@ -1208,13 +1204,13 @@ APK_CTES = (
                 title="concat('🔍 APK Strings: ', g.name, ' v', (SELECT version FROM due d WHERE d.target_id = r.target_id AND d.scan_id = r.scan_id))",
                 head="concat('**', n_added, ' new UI strings** found in APK decompilation')", color=0xE91E63,
                 url="concat('https://play.google.com/store/apps/details?id=', r.target_id)", type="new_strings",
-                log_title="concat(n_added, ' strings')", log_target="g.name", clip=1500,
+                log_title="concat(n_added, ' strings')", log_target="g.name",
             ),
             dict(
                 op="removed", bucket="'all'", sections=_all(15, "concat('* ~~', item, '~~')"),
                 title="concat('🔍 APK Removed: ', g.name, ' v', (SELECT version FROM due d WHERE d.target_id = r.target_id AND d.scan_id = r.scan_id))",
                 head="concat('**', n_removed, ' strings removed** (feature launched or killed?)')", color=0xFF9800,
-                url="concat('https://play.google.com/store/apps/details?id=', r.target_id)", below=100,
+                url="concat('https://play.google.com/store/apps/details?id=', r.target_id)",
             ),
         ],
     ),

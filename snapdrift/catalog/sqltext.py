@@ -183,7 +183,7 @@ def reports(
     scans come from if not from the items. Each alert is a dict with ``op``,
     ``bucket`` (SQL), ``sections`` [(bucket, cap, line, heading, separator)],
     ``joiner``, ``title``, ``head``, ``color``, ``url`` and, optionally,
-    ``fence``, ``below``, ``type``, ``log_title``, ``log_target``, ``clip``,
+    ``fence``, ``type``, ``log_title``, ``log_target``,
     ``fields``, ``first_url``.
     """
     scans = scans_from or "SELECT DISTINCT target_id, scan_id FROM items"
@@ -200,19 +200,17 @@ def reports(
         first = f", first({a['first_url']} ORDER BY rn) FILTER (WHERE bucket IS NOT NULL) AS first_url" if "first_url" in a else ""
         shown = "concat('```diff' || chr(10), text, chr(10) || '```')" if a.get("fence") else "text"
         logged = "type" in a
-        clip = f"substring(text, 1, {a['clip']})" if a.get("clip") else "text"
-        below = f" AND n_{a['op']} < {a['below']}" if a.get("below") else ""
         parts.append(
             f"SELECT r.target_id, r.scan_id, {lit(a['type']) if logged else 'NULL::VARCHAR'} AS detection_type, "
             f"{a.get('log_target', 'r.target_id')} AS log_target, "
             f"{a['log_title'] if logged else 'NULL::VARCHAR'} AS log_title, "
-            f"{clip if logged else 'NULL::VARCHAR'} AS details, {a['title']} AS alert_title, "
+            f"{'text' if logged else 'NULL::VARCHAR'} AS details, {a['title']} AS alert_title, "
             f"concat({a['head']}, chr(10) || chr(10), {shown}) AS description, {a['color']}::INTEGER AS color, "
             f"{'first_url' if first else a['url']} AS url, {a.get('fields', lit(''))} AS fields "
             f"FROM (SELECT target_id, scan_id, count(*) FILTER (WHERE bucket IS NOT NULL) AS n, {text} AS text{first} "
             f"FROM ranked WHERE op = '{a['op']}' GROUP BY ALL HAVING count(*) FILTER (WHERE bucket IS NOT NULL) > 0) r "
             f"JOIN totals t ON t.target_id = r.target_id AND t.scan_id = r.scan_id "
-            f"JOIN targets g ON g.target_id = r.target_id WHERE true{below}"
+            f"JOIN targets g ON g.target_id = r.target_id "
         )
     return (
         f"WITH {ctes}, {body}, "

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from snapdrift.functions import patterns as p
 
 
-_ENTITIES = json.dumps({name: chr(point) for name, point in name2codepoint.items()})
+_ENTITIES = json.dumps({name.removesuffix(";"): text for name, text in html5.items()})
+#: references that count without a semicolon, as HTML has them
+_BARE = tuple(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_WINDOWS = [ord(bytes([c]).decode("cp1252", "ignore") or chr(c)) for c in range(128, 160)]  # what 128 to 159 stand for
 
 
 def strip(text: Column) -> Column:
@@ -57,28 +60,42 @@ def lines(text: Column) -> Column:
 
 
 def _code_point(number: Column) -> Column:
-    utf32 = F.unhex(F.lpad(F.hex(number), 8, "0"))
+    """The character of a reference: U+FFFD for zero, surrogates and what is beyond Unicode."""
+    known = F.when(number.between(128, 159), F.element_at(F.array(*[F.lit(w) for w in _WINDOWS]), (number - 127).cast("int")))
+    wrong = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    point = F.when(wrong, F.lit(0xFFFD)).otherwise(F.coalesce(known, number))
+    utf32 = F.unhex(F.lpad(F.hex(point.cast("bigint")), 8, "0"))
     return F.decode(utf32, "UTF-32")
 
 
 def decode_entities(text: Column) -> Column:
-    """Named and numeric character references, decoded in one pass."""
+    """Named and numeric character references, decoded in one pass.
+
+    A numeric reference, and the old names that HTML lets stand so, count
+    without a semicolon as well; unknown names stay as they are.
+    """
     # one literal, folded to a constant map before execution
     named = F.from_json(F.lit(_ENTITIES), "map<string,string>")
 
+    def number(token: Column, pattern: str, base: int, digits: int) -> Column:
+        found = F.ltrim(F.regexp_extract(token, pattern, 1), F.lit("0"))
+        wide = F.length(found) > digits  # beyond Unicode however it goes on
+        return F.when(wide, F.lit(0x110000)).otherwise(F.conv(F.when(found == "", "0").otherwise(found), base, 10).cast("bigint"))
+
     def piece(token: Column) -> Column:
-        decimal = F.regexp_extract(token, r"^&#([0-9]{1,7});$", 1)
-        hexadecimal = F.regexp_extract(token, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
-        name = F.regexp_extract(token, r"^&([A-Za-z][A-Za-z0-9]*);$", 1)
+        name = F.regexp_extract(token, r"^&([A-Za-z][A-Za-z0-9]*);", 1)
+        bare = F.regexp_extract(token, rf"^&({'|'.join(_BARE)})", 1)
+        rest = lambda pattern: F.regexp_replace(token, pattern, "")
+        whole = F.when(name != "", F.try_element_at(named, name))
         return (
-            F.when(decimal != "", _code_point(F.expr("cast(0 as bigint)") + decimal.cast("bigint")))
-            .when(hexadecimal != "", _code_point(F.conv(hexadecimal, 16, 10).cast("bigint")))
-            .when(name == "apos", F.lit("'"))
-            .when(name != "", F.coalesce(F.try_element_at(named, name), token))
+            F.when(token.rlike("^&#[0-9]"), F.concat(_code_point(number(token, "^&#([0-9]+)", 10, 7)), rest("^&#[0-9]+;?")))
+            .when(token.rlike("^&#[xX][0-9a-fA-F]"), F.concat(_code_point(number(token, "^&#[xX]([0-9a-fA-F]+)", 16, 6)), rest("^&#[xX][0-9a-fA-F]+;?")))
+            .when(whole.isNotNull(), F.concat(whole, rest(r"^&[A-Za-z0-9]+;")))
+            .when(bare != "", F.concat(F.try_element_at(named, bare), F.substr(token, F.length(bare) + 2)))
             .otherwise(token)
         )
 
-    tokens = F.split(text, r"(?=&[#A-Za-z])|(?<=;)")
+    tokens = F.split(text, r"(?=&[#A-Za-z])")
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(tokens, piece), "")).otherwise(text)
 
 

@@ -47,16 +47,16 @@ def latest_release(body: Column) -> Column:
 
 
 def pull_requests(body: Column) -> Column:
-    """The newest twenty, in feed order."""
-    prs = F.slice(F.from_json(body, sc.PULL_REQUESTS), 1, 20)
+    """All with an id, in feed order."""
+    prs = F.filter(F.from_json(body, sc.PULL_REQUESTS), lambda r: r["id"].isNotNull())
     return F.transform(prs, lambda r: entry(r["id"].cast("string"), title=r["title"], number=r["number"]))
 
 
 def ios_app_records(body: Column) -> Column:
     """``struct(app_id, version, size, ...)`` of every app in a batch reply."""
-    size = lambda r: F.coalesce(r["fileSizeBytes"].cast("double"), F.lit(0.0)) / 1e6
+    size = lambda r: F.coalesce(r["fileSizeBytes"].try_cast("double"), F.lit(0.0)) / 1e6
     return F.transform(
-        F.from_json(body, sc.APP_LOOKUP)["results"],
+        F.filter(F.from_json(body, sc.APP_LOOKUP)["results"], lambda r: r["trackId"].isNotNull()),
         lambda r: F.struct(
             r["trackId"].cast("string").alias("app_id"),
             _version(
@@ -101,11 +101,11 @@ def flag_names(body: Column) -> Column:
 
 
 def certificate_names(body: Column, domain: Column) -> Column:
-    """Names below a domain in the first 200 certificates.
+    """Names below a domain in all certificates.
 
     A plain suffix test: ``notfoo.com`` counts for ``foo.com``.
     """
-    certs = F.slice(F.from_json(body, sc.CERTIFICATES), 1, 200)
+    certs = F.from_json(body, sc.CERTIFICATES)
     names = F.flatten(
         F.transform(
             certs, lambda c: F.concat(F.array(_or_empty(c["common_name"])), F.split(_or_empty(c["name_value"]), "\n"))
@@ -130,15 +130,15 @@ def _entries(xml: Column) -> Column:
 
 
 def atom_filings(body: Column) -> Column:
-    """The first five entries of a filings feed that have a title."""
+    """The entries of a filings feed that have a title."""
     link = lambda e: t.decode_entities(F.regexp_extract(e, r'(?s)<link\s[^>]*?href="([^"]*)"', 1))
     filings = F.transform(
-        F.slice(_entries(body), 1, 5),
+        _entries(body),
         lambda e: F.struct(
             _xml_text(e, "title").alias("title"),
             _or_empty(_xml_text(e, "updated")).alias("date"),
             link(e).alias("link"),
-            t.clip(_or_empty(_xml_text(e, "summary")), 300).alias("summary"),
+            _or_empty(_xml_text(e, "summary")).alias("summary"),
         ),
     )
     return F.transform(
@@ -201,27 +201,26 @@ def job_titles_board_b(body: Column) -> Column:
 
 
 def dns_records(body: Column, record: Column) -> Column:
-    """``record:data`` with data cut to 200; ``record`` is ``MX`` or ``TXT:host``."""
+    """``record:data``; ``record`` is ``MX`` or ``TXT:host``."""
     return F.transform(
-        F.from_json(body, sc.DNS_ANSWER)["Answer"],
-        lambda a: F.concat(record, F.lit(":"), t.clip(_or_empty(a["data"]), 200)),
+        F.from_json(body, sc.DNS_ANSWER)["Answer"], lambda a: F.concat(record, F.lit(":"), _or_empty(a["data"]))
     )
 
 
 def arxiv_papers(body: Column) -> Column:
     """Papers of an Atom reply in feed order; the title is the item."""
     authors = lambda e: F.transform(
-        F.slice(F.regexp_extract_all(e, F.lit(r"(?s)<author(?:\s[^>]*)?>(.*?)</author>"), 1), 1, 5),
+        F.regexp_extract_all(e, F.lit(r"(?s)<author(?:\s[^>]*)?>(.*?)</author>"), 1),
         lambda a: _xml_text(a, "name"),
     )
     papers = F.transform(
         _entries(body),
         lambda e: F.struct(
-            t.clip(_xml_text(e, "title"), 200).alias("title"),
-            t.clip(F.array_join(authors(e), ", "), 200).alias("authors"),
+            _xml_text(e, "title").alias("title"),
+            F.array_join(authors(e), ", ").alias("authors"),
             _or_empty(_xml_text(e, "id")).alias("link"),
             t.clip(_or_empty(_xml_text(e, "published")), 10).alias("date"),
-            t.clip(_or_empty(_xml_text(e, "summary")), 300).alias("summary"),
+            _or_empty(_xml_text(e, "summary")).alias("summary"),
         ),
     )
     return F.transform(
@@ -250,13 +249,13 @@ def graphql_schema_items(body: Column) -> Column:
 
 
 def org_repos(body: Column) -> Column:
-    """The newest thirty repositories with their description."""
-    repos = F.filter(F.slice(F.from_json(body, sc.ORG_REPOS), 1, 30), lambda r: _or_empty(r["full_name"]) != "")
+    """All repositories with their description."""
+    repos = F.filter(F.from_json(body, sc.ORG_REPOS), lambda r: _or_empty(r["full_name"]) != "")
     return F.transform(
         repos,
         lambda r: entry(
             r["full_name"],
-            desc=t.clip(_or_empty(r["description"]), 150),
+            desc=_or_empty(r["description"]),
             url=_or_empty(r["html_url"]),
             stars=F.coalesce(r["stargazers_count"], F.lit(0)),
             created=t.clip(_or_empty(r["created_at"]), 10),
@@ -265,8 +264,8 @@ def org_repos(body: Column) -> Column:
 
 
 def hub_models(body: Column) -> Column:
-    """The twenty models changed last with their pipeline tag."""
-    models = F.filter(F.slice(F.from_json(body, sc.HUB_MODELS), 1, 20), lambda m: _or_empty(m["modelId"]) != "")
+    """All models with their pipeline tag."""
+    models = F.filter(F.from_json(body, sc.HUB_MODELS), lambda m: _or_empty(m["modelId"]) != "")
     return F.transform(
         models,
         lambda m: entry(

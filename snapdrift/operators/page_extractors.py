@@ -178,21 +178,21 @@ def flat_text(html: Column) -> Column:
 
 
 def filing_rows(html: Column, code: Column) -> Column:
-    """Table rows about ``code``, the first twenty."""
+    """Table rows about ``code``, with all their cells."""
     rows = _all(_drop(html, ()), r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr\s*>")
     cells = F.transform(rows, lambda r: _all(r, r"(?is)<td(?:\s[^>]*)?>(.*?)</td\s*>"))
     texts = F.transform(
         F.filter(cells, lambda c: F.size(c) >= 4),
         lambda c: F.struct(
-            F.array_join(F.transform(F.slice(c, 1, 6), flat_text), " | ").alias("text"), F.size(c).alias("n")
+            F.array_join(F.transform(c, flat_text), " | ").alias("text"), F.size(c).alias("n")
         ),
     )
     kept = F.filter(texts, lambda r: (r["n"] >= 5) | F.contains(F.upper(r["text"]), F.upper(code)))
-    return F.slice(F.transform(kept, lambda r: t.clip(r["text"], 300)), 1, 20)
+    return F.transform(kept, lambda r: r["text"])
 
 
 def trademark_marks(html: Column) -> Column:
-    """``struct(item, detail)`` per mark, the first thirty.
+    """``struct(item, detail)`` per mark.
 
     A page without serial numbers falls back to its mark labels, numbered by
     their place in the list.
@@ -207,7 +207,7 @@ def trademark_marks(html: Column) -> Column:
         _all(text, alternate), lambda m, i: F.struct(i.cast("string").alias("serial"), t.strip(m).alias("mark"))
     )
     labels = F.filter(labels, lambda m: F.length(m["mark"]) > 2)
-    marks = F.slice(F.when(F.size(serials) > 0, serials).otherwise(labels), 1, 30)
+    marks = F.when(F.size(serials) > 0, serials).otherwise(labels)
     return F.transform(
         marks,
         lambda m: F.struct(
@@ -254,8 +254,9 @@ def page_assets(html: Column, base: Column, cdn_domains: Column) -> Column:
 
 def _locations(xml: Column, element: str) -> Column:
     xml = F.regexp_replace(xml, r"(?s)<!--.*?-->", "")
-    blocks = _all(xml, rf"(?s)<{element}(?:\s[^>]*)?>(.*?)</{element}>")
-    locs = F.transform(blocks, lambda b: F.regexp_extract(b, r"(?s)<loc(?:\s[^>]*)?>(.*?)</loc>", 1))
+    prefix = r"(?:[A-Za-z_][\w.-]*:)?"
+    blocks = _all(xml, rf"(?s)<{prefix}{element}(?:\s[^>]*)?>(.*?)</{prefix}{element}\s*>")
+    locs = F.transform(blocks, lambda b: F.regexp_extract(b, rf"(?s)<{prefix}loc(?:\s[^>]*)?>(.*?)</{prefix}loc\s*>", 1))
     clean = F.transform(locs, lambda s: t.strip(t.decode_entities(F.regexp_replace(s, r"<!\[CDATA\[|\]\]>", ""))))
     return F.array_distinct(F.filter(clean, lambda s: s != ""))
 

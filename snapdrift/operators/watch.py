@@ -14,20 +14,16 @@ from snapdrift.operators.scans import usable_captures
 from snapdrift.schema import KEYS, SCAN
 from snapdrift.sources.staging import stage
 
-BUNDLE_CAP = 30
-BUNDLE_MIN_LENGTH = 100
-
 
 def bundle_urls(captures: DataFrame, targets: DataFrame) -> DataFrame:
-    """The first thirty script addresses of each page, ascending."""
+    """The script addresses of each page."""
     pages = usable_captures(captures).filter("role = 'page'").join(targets.select(*KEYS, F.col("url").alias("base")), list(KEYS))
-    urls = F.slice(page.js_bundle_urls(F.col("body"), F.col("base")), 1, BUNDLE_CAP)
-    return pages.select(*SCAN, F.explode(urls).alias("url"))
+    return pages.select(*SCAN, F.explode(page.js_bundle_urls(F.col("body"), F.col("base"))).alias("url"))
 
 
 def bundle_captures(captures: DataFrame, targets: DataFrame) -> DataFrame:
     """Delivered scripts that their page names."""
-    bundles = usable_captures(captures, min_length=BUNDLE_MIN_LENGTH).filter("role = 'bundle'")
+    bundles = usable_captures(captures).filter("role = 'bundle'")
     return bundles.join(bundle_urls(captures, targets), [*SCAN, "url"], "left_semi")
 
 
@@ -98,15 +94,18 @@ def landed_resources(captures: DataFrame) -> DataFrame:
 
 
 def string_resources(resources: DataFrame) -> DataFrame:
-    """One value per (scan, name); a later source overwrites an earlier one.
+    """One value per (scan, name), of the best locale; there a later source overwrites an earlier one.
 
     ``resources`` is ``SCAN, locale, name, value, seq``; English and default
-    locales count, values under three characters do not.
+    locales count, in the order of ``ENGLISH``, values under three characters
+    do not. Of equal places in the order the larger value is taken.
     """
     kept = resources.filter(
         F.coalesce("locale", F.lit("")).isin(*ENGLISH) & (F.coalesce("name", F.lit("")) != "") & (F.length("value") >= 3)
     )
-    return kept.groupBy(*SCAN, "name").agg(F.max_by("value", "seq").alias("value"))
+    rank = F.array_position(F.array(*[F.lit(x) for x in ENGLISH]), F.coalesce("locale", F.lit("")))
+    best = F.max(F.struct((-rank).alias("rank"), "seq", "value"))
+    return kept.groupBy(*SCAN, "name").agg(best.alias("best")).select(*SCAN, "name", F.col("best.value").alias("value"))
 
 
 def resource_items(resources: DataFrame) -> DataFrame:

@@ -65,11 +65,10 @@ class Alert:
     url: str = "{url}"
     fence: bool = False
     joiner: str = "\n"
-    below: int | None = None
+    below: int | None = None  # changes from which a report is marked oversize
     detection_type: str | None = None
     log_title: str = ""
     log_target: str = "{target_id}"
-    clip: int | None = None
     fields: Callable[[], Column] | None = None
     first_link: str | None = None
 
@@ -110,7 +109,6 @@ class VersionMonitor:
     url: str
     detection_type: str
     log_title: str
-    clip: int
     record: Callable[[], Column] | None = None
     collect: Callable[[DataFrame, DataFrame], DataFrame] | None = None
     strict: bool = True
@@ -259,8 +257,7 @@ def _own(a: Alert) -> Column:
 
 
 def _has(a: Alert) -> Column:
-    said = F.size(_own(a)) > 0
-    return said if a.below is None else said & (F.col(f"n_{a.op}") < a.below)
+    return F.size(_own(a)) > 0
 
 
 def _alert_columns(a: Alert, with_info: bool) -> dict[str, Column]:
@@ -279,18 +276,18 @@ def _alert_columns(a: Alert, with_info: bool) -> dict[str, Column]:
         url = F.col("target.url")
     else:
         url = say(a.url)
-    details = text if a.clip is None else F.substring(text, 1, a.clip)
     logged = a.detection_type is not None
     return {
         "detection_type": F.lit(a.detection_type).cast("string"),
         "log_target": say(a.log_target),
         "log_title": say(a.log_title) if logged else F.lit(None).cast("string"),
-        "details": details if logged else F.lit(None).cast("string"),
+        "details": text if logged else F.lit(None).cast("string"),
         "alert_title": say(a.title),
         "description": F.concat(say(a.head), F.lit("\n\n"), shown),
         "color": F.lit(a.color),
         "url": url,
         "fields": a.fields() if a.fields else F.array().cast(FIELDS),
+        "oversize": F.lit(False) if a.below is None else F.col(f"n_{a.op}") >= a.below,
     }
 
 
@@ -351,12 +348,13 @@ def word_versions(changed: DataFrame, targets: DataFrame, spec: VersionMonitor)
         F.lit(spec.detection_type).alias("detection_type"),
         F.col("target_id").alias("log_target"),
         say(spec.log_title).alias("log_title"),
-        F.substring("notes", 1, spec.clip).alias("details"),
+        F.col("notes").alias("details"),
         say(spec.title).alias("alert_title"),
         say(spec.text).alias("description"),
         F.lit(spec.color).alias("color"),
         say(spec.url).alias("url"),
         (spec.fields() if spec.fields else F.array().cast(FIELDS)).alias("fields"),
+        F.lit(False).alias("oversize"),
     )
 
 

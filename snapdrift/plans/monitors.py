@@ -80,7 +80,6 @@ JS_DEEP = ItemMonitor(
             color=0x00FF88,
             detection_type="new_strings",
             log_title="{n} interesting strings",
-            clip=2000,
         ),
         Alert(
             op="removed",
@@ -124,7 +123,6 @@ DOCS = ItemMonitor(
             color=0x3498DB,
             detection_type="doc_change",
             log_title="Changes in {name}",
-            clip=1000,
         ),
     ),
 )
@@ -144,7 +142,6 @@ PAGE_CHANGE = ItemMonitor(
             color=0x607D8B,
             detection_type="page_update",
             log_title="Updated: {name}",
-            clip=1000,
         ),
     ),
 )
@@ -182,7 +179,6 @@ ROBOTS_TXT = ItemMonitor(
             url="https://{domain}/robots.txt",
             detection_type="new_paths",
             log_title="{n} paths",
-            clip=1000,
         ),
         Alert(
             op="removed",
@@ -215,7 +211,6 @@ CDN_ASSETS = ItemMonitor(
             below=50,
             detection_type="new_assets",
             log_title="{n} assets",
-            clip=1000,
         ),
     ),
 )
@@ -238,7 +233,6 @@ FCC = ItemMonitor(
             fields=lambda: fields(("Grantee Code", F.col("target_id"), True), ("Company", F.col("target.name"), True)),
             detection_type="new_filing",
             log_title="FCC: {name}",
-            clip=1000,
         ),
     ),
 )
@@ -261,7 +255,6 @@ TRADEMARK = ItemMonitor(
             url="https://tmsearch.uspto.gov/",
             detection_type="new_trademark",
             log_title="{n} marks",
-            clip=1000,
         ),
     ),
 )
@@ -281,7 +274,6 @@ CT_LOGS = ItemMonitor(
             url="https://crt.sh/?q=%25.{domain}",
             detection_type="new_cert",
             log_title="{n} certs",
-            clip=1000,
         ),
     ),
 )
@@ -324,7 +316,6 @@ DNS_RECORDS = ItemMonitor(
             url="https://dns.google/query?name={domain}",
             detection_type="new_record",
             log_title="{n} records",
-            clip=1000,
         ),
     ),
 )
@@ -354,7 +345,6 @@ SEC_8K = ItemMonitor(
             color=0xF44336,
             detection_type="8k_filing",
             log_title="8-K: {target_id}",
-            clip=1000,
         ),
     ),
 )
@@ -437,7 +427,6 @@ JOBS = ItemMonitor(
             color=0x00BCD4,
             detection_type="new_postings",
             log_title="{n} new roles",
-            clip=1000,
         ),
     ),
 )
@@ -468,7 +457,6 @@ ARXIV = ItemMonitor(
             first_link="link",
             detection_type="new_paper",
             log_title="{n} papers",
-            clip=1000,
         ),
     ),
 )
@@ -496,7 +484,6 @@ GRAPHQL = ItemMonitor(
             color=0xE535AB,
             detection_type="schema_change",
             log_title="{n_added} items",
-            clip=1000,
         ),
     ),
 )
@@ -526,7 +513,6 @@ GITHUB_ORG = ItemMonitor(
             url="https://github.com/{org}?tab=repositories&sort=created",
             detection_type="new_repo",
             log_title="{n} repos",
-            clip=1000,
         ),
     ),
 )
@@ -554,7 +540,6 @@ HUGGINGFACE = ItemMonitor(
             url="https://huggingface.co/{org}",
             detection_type="new_model",
             log_title="{n} models",
-            clip=1000,
         ),
     ),
 )
@@ -573,7 +558,6 @@ MODEL_REGISTRY = ItemMonitor(
             color=0x9C27B0,
             detection_type="new_model",
             log_title="{n} models",
-            clip=1000,
         ),
         Alert(
             op="removed",
@@ -597,7 +581,6 @@ GITHUB_RELEASE = VersionMonitor(
     url="{page}",
     detection_type="release",
     log_title="{version}",
-    clip=1000,
 )
 
 
@@ -631,7 +614,6 @@ APP_STORE = VersionMonitor(
     ),
     detection_type="version_update",
     log_title="v{version}",
-    clip=1000,
 )
 
 PLAY_STORE = VersionMonitor(
@@ -658,7 +640,6 @@ PLAY_STORE = VersionMonitor(
     ),
     detection_type="play_update",
     log_title="v{version}",
-    clip=1000,
 )
 
 NPM = VersionMonitor(
@@ -674,7 +655,6 @@ NPM = VersionMonitor(
     ),
     detection_type="version_update",
     log_title="{target_id} {version}",
-    clip=500,
 )
 
 PYPI = VersionMonitor(
@@ -686,7 +666,6 @@ PYPI = VersionMonitor(
     url="https://pypi.org/project/{target_id}/",
     detection_type="version_update",
     log_title="{target_id} {version}",
-    clip=500,
 )
 
 # --- string resources of app packages -------------------------------------------
@@ -712,7 +691,6 @@ APK_STRINGS = ItemMonitor(
             detection_type="new_strings",
             log_title="{n_added} strings",
             log_target="{name}",
-            clip=1500,
         ),
         Alert(
             op="removed",

@@ -59,16 +59,17 @@ def as_targets(df: DataFrame, monitor: str, target_id: Column, **columns: Column
     )
 
 
-def failing_status(scan_id: Column) -> Column:
-    """Every seventh scan fails."""
-    return F.when(scan_id % 7 == 0, 500).otherwise(200)
+LATER = 1_000_000_000  # scan ids of failed feed captures, beyond the real ones
 
 
 def document_captures(spark: SparkSession, folder: str, monitor: str = "docs") -> DataFrame:
-    """Documents as the page history of their source, with failed and empty scans."""
+    """Documents as the page history of their source, with failed and empty scans between them."""
     d = text_table(spark, folder, "documents")
-    body = F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("text"))
-    return as_captures(d, monitor, F.col("source"), F.col("doc_id"), body, failing_status(F.col("doc_id")))
+    real = as_captures(d, monitor, F.col("source"), F.col("doc_id") * 2, F.col("text"))
+    fails = F.col("doc_id") % 7 == 0
+    odd = table(spark, folder, "documents").filter(fails | (F.col("doc_id") % 11 == 0))
+    status, body = F.when(fails, 500).otherwise(200), F.when(fails, "gone").otherwise("")
+    return real.unionByName(as_captures(odd, monitor, F.col("source"), F.col("doc_id") * 2 + 1, body, status))
 
 
 def document_targets(spark: SparkSession, folder: str, monitor: str = "docs") -> DataFrame:
@@ -145,10 +146,13 @@ def feed_captures(spark: SparkSession, folder: str, monitor: str, body, role: Co
     part = text_table(spark, folder, "part")
     first = F.expr("p_partkey div 30")
     last = first + F.col("p_size") % 6
-    return as_captures(
-        part, monitor, F.col("p_brand"), F.col("p_partkey"), body(F.sequence(first, last)),
-        failing_status(F.col("p_partkey")), role=role, url=url,
+    entries = F.sequence(first, last)
+    real = as_captures(part, monitor, F.col("p_brand"), F.col("p_partkey"), body(entries), role=role, url=url)
+    odd = table(spark, folder, "part").filter(F.col("p_partkey") % 7 == 0)
+    failed = as_captures(
+        odd, monitor, F.col("p_brand"), F.col("p_partkey") + LATER, body(entries), F.lit(500), role=role, url=url
     )
+    return real.unionByName(failed)
 
 
 def brand_number() -> Column:

@@ -61,14 +61,14 @@ def test_list_monitor_sees_order_but_reports_new_entries(spark):
     ]
 
 
-@pytest.mark.parametrize("n, alerts", [(49, 1), (50, 0)])
-def test_large_asset_changes_are_redesigns(spark, n, alerts):
+@pytest.mark.parametrize("n, oversize", [(49, False), (50, True)])
+def test_large_asset_changes_are_marked(spark, n, oversize):
     html = "".join(f'<img src="/i/{i}.png">' for i in range(n))
-    assert reports(spark, "cdn_assets", ['<img src="/x.png">', '<img src="/x.png">' + html]).count() == alerts
+    assert reports(spark, "cdn_assets", ['<img src="/x.png">', '<img src="/x.png">' + html]).collect()[0].oversize == oversize
 
 
-@pytest.mark.parametrize("n, alerts", [(199, 1), (200, 0)])
-def test_large_script_removals_are_rebuilds(spark, n, alerts):
+@pytest.mark.parametrize("n, oversize", [(199, False), (200, True)])
+def test_large_script_removals_are_marked(spark, n, oversize):
     def rows(scan, literals):
         common = {"monitor": "js_deep", "target_id": "t", "scan_id": scan}
         script = "".join(f'f("{x}");' for x in literals) + "/*" + "-" * 100
@@ -82,7 +82,7 @@ def test_large_script_removals_are_rebuilds(spark, n, alerts):
     captures = make_captures(spark, rows(1, keep + [f"Label Number {i}" for i in range(n)]) + rows(2, keep))
     targets = make_targets(spark, [{"monitor": "js_deep", "target_id": "t"}])
     got = detect(captures, targets, MONITORS["js_deep"]).collect()
-    assert [r.alert_title for r in got] == ["Removed Strings: t"] * alerts
+    assert [(r.alert_title, r.oversize) for r in got] == [("Removed Strings: t", oversize)]
 
 
 def test_script_report_orders_its_sections(spark):

@@ -8,6 +8,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from snapdrift.functions import text
 from snapdrift.operators import feed_extractors as feed
 from snapdrift.operators import page_extractors as page
 
@@ -79,10 +80,10 @@ def test_filing_rows(one):
         "<table><tr><th>a</th></tr><tr><td>abc1</td><td>2</td><td>3</td></tr><tr><td> ABC1 </td><td><b>b</b> c</td><td>3</td><td>4</td></tr>"
         "<tr><td>x</td><td>2</td><td>3</td><td>4</td></tr><tr class=z><td>1</td><td>2</td><td>3</td><td>4</td><td>5</td><td>6</td><td>7</td></tr></table>"
     )
-    assert one(lambda b: page.filing_rows(b, F.lit("abc")), [html])[0] == ["ABC1 | bc | 3 | 4", "1 | 2 | 3 | 4 | 5 | 6"]
+    assert one(lambda b: page.filing_rows(b, F.lit("abc")), [html])[0] == ["ABC1 | bc | 3 | 4", "1 | 2 | 3 | 4 | 5 | 6 | 7"]
     many = "".join(f"<tr>{'<td>' + 'y' * 90 + '</td>'}{f'<td>{i}</td>' * 5}</tr>" for i in range(30))
     got = one(lambda b: page.filing_rows(b, F.lit("abc")), [many])[0]
-    assert len(got) == 20 and got[0].endswith("| 0")
+    assert len(got) == 30 and got[0].endswith("| 0")
 
 
 def test_trademarks(one):
@@ -125,8 +126,9 @@ def test_releases_and_pulls(one):
     body = json.dumps([{"id": 7, "tag_name": "v7", "name": None, "body": None, "html_url": "u"}, {"id": 6}])
     got = one(feed.latest_release, [body, "[]", "not json", "{}"])
     assert (got[0]["state"], got[0]["version"], got[0]["notes"]) == ("7", "v7", "") and got[1:] == [None, None, None]
-    prs = json.dumps([{"id": i, "title": f"t{i}", "number": i} for i in range(25)])
-    assert items(one(feed.pull_requests, [prs])[0]) == [str(i) for i in range(20)]
+    prs = json.dumps([{"id": i, "title": f"t{i}", "number": i} for i in range(300)])
+    assert items(one(feed.pull_requests, [prs])[0]) == [str(i) for i in range(300)]
+    assert one(feed.pull_requests, ['{"message": "rate limit"}', "[1, null]"]) == [[], None]
 
 
 def test_apps(one):
@@ -154,14 +156,14 @@ def test_certificates(one):
     certs = [{"common_name": "A.Foo.com", "name_value": "b.foo.com\n*.foo.com\n\n notfoo.com \nx.org"}, {"common_name": None, "name_value": None}]
     assert one(lambda b: feed.certificate_names(b, F.lit("FOO.com")), [json.dumps(certs)])[0] == ["a.foo.com", "b.foo.com", "notfoo.com"]
     many = json.dumps([{"common_name": f"n{i}.foo.com", "name_value": ""} for i in range(250)])
-    assert len(one(lambda b: feed.certificate_names(b, F.lit("foo.com")), [many])[0]) == 200
+    assert len(one(lambda b: feed.certificate_names(b, F.lit("foo.com")), [many])[0]) == 250
 
 
 def test_atom_filings(one):
     e = '<entry><title type="x"> 8-K &amp; A </title><updated>2024-01-02T0</updated><link rel="a" href="u?a=1&amp;b=2"/><summary>s</summary></entry>'
     bare, untitled = "<entry><title>only</title></entry>", "<entry><updated>x</updated></entry>"
     got = one(feed.atom_filings, [f"<feed>{e}{untitled}{bare}{e * 5}</feed>"])[0]
-    assert [g["detail"]["title"] for g in got] == ["8-K & A", "only", "8-K & A", "8-K & A"]
+    assert [g["detail"]["title"] for g in got] == ["8-K & A", "only"] + ["8-K & A"] * 5
     assert got[0]["detail"]["link"] == "u?a=1&b=2" and got[1]["detail"]["summary"] == ""
 
 
@@ -180,14 +182,14 @@ def test_job_boards(one):
 
 def test_dns(one):
     body = json.dumps({"Answer": [{"data": "v" * 300}, {"data": "x"}]})
-    assert one(lambda b: feed.dns_records(b, F.lit("MX")), [body, '{"Status": 3}']) == [["MX:" + "v" * 200, "MX:x"], None]
+    assert one(lambda b: feed.dns_records(b, F.lit("MX")), [body, '{"Status": 3}']) == [["MX:" + "v" * 300, "MX:x"], None]
 
 
 def test_papers(one):
     authors = "".join(f"<author><name>N{i}</name></author>" for i in range(7))
     xml = f"<feed><title>no</title><entry><id>i</id><title>A\n B</title>{authors}<published>2024-01-02T00</published><summary> s </summary></entry></feed>"
     got = one(feed.arxiv_papers, [xml])[0]
-    assert got[0]["item"] == "A\n B" and got[0]["detail"]["authors"] == "N0, N1, N2, N3, N4" and got[0]["detail"]["date"] == "2024-01-02"
+    assert got[0]["item"] == "A\n B" and got[0]["detail"]["authors"] == "N0, N1, N2, N3, N4, N5, N6" and got[0]["detail"]["date"] == "2024-01-02"
 
 
 def test_graphql(one):
@@ -199,6 +201,25 @@ def test_graphql(one):
 def test_model_lists(one):
     assert one(feed.registry_models, ['{"data":[{"id":"a","x":{"id":"no"}},"loose",{"id":"b"}]}', '{"models":[{"name":"m"}]}', "[]"]) == [["a", "b"], ["m"], []]
     repos = json.dumps([{"full_name": f"o/{i}", "description": None, "stargazers_count": 1} for i in range(40)] + [{"full_name": ""}])
-    assert len(one(feed.org_repos, [repos])[0]) == 30
+    assert len(one(feed.org_repos, [repos])[0]) == 40
     models = one(feed.hub_models, [json.dumps([{"modelId": "a", "pipeline_tag": None}, {"modelId": ""}])])[0]
     assert items(models) == ["a"] and models[0]["detail"]["pipeline"] == ""
+
+
+def test_references_of_any_kind(one):
+    """Hostile and old references never end a job."""
+    texts = ["&#9999999;", "&#0;", "&#xD800;", "&#99999999999999999999;x", "&#128; &#x93;", "&check; &caf", "caf&eacute x", "&nosuch; &amp", "a&&#38;&#38b", "&#;&#x;&;"]
+    assert one(text.decode_entities, texts) == [
+        "\ufffd", "\ufffd", "\ufffd", "\ufffdx", "\u20ac \u201c", "\u2713 &caf", "caf\u00e9 x", "&nosuch; &", "a&&&b", "&#;&#x;&;"
+    ]
+
+
+def test_bad_size_and_missing_key(one):
+    body = json.dumps({"results": [{"trackId": 1, "version": "1", "fileSizeBytes": "n/a"}, {"version": "2"}]})
+    got = one(feed.ios_app_records, [body])[0]
+    assert [(r["app_id"], r["record"]["detail"]["size"]) for r in got] == [("1", "0.0")]
+
+
+def test_prefixed_sitemap(one):
+    xml = '<s:urlset xmlns:s="x"><s:url><s:loc>https://a/1</s:loc></s:url></s:urlset>'
+    assert one(page.page_locations, [xml])[0] == ["https://a/1"]
