@@ -345,7 +345,7 @@ feed_items(
 feed_items(
     "org_repos", m.repos_body, lambda: feed.org_repos(F.col("body")),
     "SELECT target_id, scan_id, concat('o/r', eid) AS item, CASE WHEN eid % 3 <> 0 THEN "
-    f"substring(repeat(concat({title_sql()}, ' '), 20), 1, 150) ELSE '' END AS \"desc\", eid::VARCHAR AS stars, '2024-05-06' AS created FROM feed",
+    f"repeat(concat({title_sql()}, ' '), 20) ELSE '' END AS \"desc\", eid::VARCHAR AS stars, '2024-05-06' AS created FROM feed",
     ("desc", "stars", "created"),
 )
 feed_items(

@@ -890,7 +890,7 @@ query(
     q.reports(
         _feed_ctes(
             "SELECT target_id, scan_id, concat('o/r', eid) AS item, CASE WHEN eid % 3 <> 0 THEN "
-            f"substring(repeat(concat({title_sql()}, ' '), 20), 1, 150) ELSE '' END AS descr FROM feed"
+            f"repeat(concat({title_sql()}, ' '), 20) ELSE '' END AS descr FROM feed"
         ),
         [
             dict(
@@ -1184,7 +1184,7 @@ APK_CTES = (
     "WHEN 2 THEN concat(' Open the saved file ', eid, ' ') ELSE concat('https://x.example.com/', eid) END AS value "
     "FROM feed p JOIN due d ON d.target_id = p.target_id AND d.scan_id = p.scan_id), "
     f"last AS (SELECT target_id, scan_id, name, {q.strip('value')} AS v FROM res WHERE locale <> 'fr' "
-    "QUALIFY row_number() OVER (PARTITION BY target_id, scan_id, name ORDER BY pos DESC) = 1), "
+    "QUALIFY row_number() OVER (PARTITION BY target_id, scan_id, name ORDER BY list_position(['en', 'en-US', 'en-GB', ''], locale), pos DESC) = 1), "
     f"items AS (SELECT target_id, scan_id, v AS item FROM last WHERE {q.resource_ok('name', 'v')} AND ({q.resource_category('v')}) IS NOT NULL)"
 )
 
