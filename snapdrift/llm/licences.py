@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,10 +58,11 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
-def anchors(bigrams: list[str], least: float) -> list[str]:
-    """Words, long ones first, that together meet more bigrams than a match may lack."""
+def anchors(bigrams: list[str], least: float, every: list[list[str]]) -> list[str]:
+    """Words, long ones and then those of few templates first, that together meet more bigrams than a match may lack."""
+    known = Counter(w for other in every for w in {w for b in other for w in b.split()})
     lack = len(bigrams) - math.ceil(least * len(bigrams) / (2 - least) - 1e-9)
-    words = sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w))
+    words = sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), known[w], w))
     chosen: list[str] = []
     for word in words:
         if sum(any(w in chosen for w in b.split()) for b in bigrams) > lack:
@@ -71,9 +74,17 @@ def anchors(bigrams: list[str], least: float) -> list[str]:
 def _best(unit: Column, templates: Column, least: float) -> Column:
     """``(dice, -rank)`` of the best template of a unit, or null."""
     words = F.filter(F.split(unit, "[ \n]"), lambda w: w != "")
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i))))
-    found = F.transform(F.array(F.array_distinct(pairs)), lambda g: _scored(g, templates, least))
-    return F.get(found, 0)
+    return _once(words, lambda w: _once(_bigrams(w), lambda g: _scored(g, templates, least)))
+
+
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with ``value`` evaluated once, however often it is named."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
+def _bigrams(words: Column) -> Column:
+    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    return F.when(F.size(words) > 1, F.array_distinct(pairs))
 
 
 def _scored(grams: Column, templates: Column, least: float) -> Column:
@@ -100,7 +111,7 @@ def licence_notices(docs: DataFrame, least: float = LEAST, templates: dict[str,
     known = F.array(*[
         F.struct(F.lit(i).alias("rank"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, g)).alias("grams")) for i, g in enumerate(grams)
     ])
-    words = sorted({w for g in grams for w in anchors(g, least)})
+    words = sorted({w for g in grams for w in anchors(g, least, grams)})
     anchored = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}])"
     rows = texts_of(docs).select("doc_id", F.lower("text").alias("text"))
     plain = F.when(F.col("text").rlike(anchored), F.regexp_replace("text", BETWEEN, " "))
