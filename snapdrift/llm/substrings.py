@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from snapdrift.llm.common import small_batches, texts_of
 from snapdrift.llm.words import U, window_hashes, word_hashes
 
-CHUNKS_PER_PARTITION = 4
+CHUNKS_PER_PARTITION = 2
 BUCKETS_PER_PARTITION = 1
 _PACKED = "bucket int, chunk int, once binary, often binary, probes binary"
 _REPLY = "chunk int, bucket int, found binary"
