@@ -72,24 +72,23 @@ def _spans(rows: DataFrame) -> DataFrame:
 def _beside(left: DataFrame, right: DataFrame, within: int, how: str) -> DataFrame:
     """Rows of ``left`` with (or, ``left_anti``, without) one of ``right`` at most ``within`` apart in the same scope.
 
-    An interval join: the right side is dealt to every cell it can reach, so
-    that equal cells meet; parts of a cell are bounded by its width.
+    An interval join: the right side is dealt to every cell it can reach and
+    the left side to every cell it touches, its end included (a gap of exactly
+    ``within`` counts), so that near parts of any length meet.
     """
     width = max(within, 64)
     cells = right.select(
         *KEY, "scope", F.col("start").alias("r_start"), F.col("stop").alias("r_stop"),
         F.explode(F.sequence(F.floor((F.col("start") - within) / width), F.floor((F.col("stop") + within) / width))).alias("cell"),
     )
-    spot = left.withColumn("cell", F.floor(F.col("start") / width))
-    if how == "left_anti":  # a long span of the left side reaches several cells
-        spot = left.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
+    spot = left.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("stop") / width))))
     same = [spot[k].eqNullSafe(cells[k]) for k in (*KEY, "scope", "cell")]
     apart = F.greatest(spot["start"], cells["r_start"]) - F.least(spot["stop"], cells["r_stop"])
     close = reduce(lambda a, b: a & b, same) & ((apart <= within) if within else (apart < 0))
+    hit = spot.join(cells, close, "left_semi").select(left.columns).distinct()
     if how == "left_anti":
-        hit = spot.join(cells, close, "left_semi").select(left.columns).distinct()
         return left.join(hit, reduce(lambda a, b: a & b, [left[c].eqNullSafe(hit[c]) for c in left.columns]), "left_anti")
-    return spot.join(cells, close, "left_semi").select(left.columns)
+    return hit
 
 
 def _of(parts: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

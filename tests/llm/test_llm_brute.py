@@ -174,6 +174,20 @@ def test_secrets(spark):
     assert {i: w for i, w in weak.items() if w} == {11: ["weak_id"], 15: ["endpoint"], 17: ["weak_secret"]}
 
 
+@pytest.mark.parametrize("length", [40, 100, 300])
+def test_long_parts_meet_complements_at_any_offset(spark, length):
+    part, key = "W" * length, "AKIA" + "Z" * 16
+    apart = {200: [4], 150: [4], 201: []}
+    rows, want = [], {}
+    for offset in range(200):
+        for gap, kinds in apart.items():
+            for text in (" " * offset + part + " " * gap + key, " " * offset + key + " " * gap + part):
+                want[len(rows)] = kinds
+                rows.append((len(rows), text))
+    got = credentials.find_secrets(frame(spark, rows)).collect()
+    assert {r["doc_id"]: [s["kind"] for s in r["spans"] if s["kind"] > 2] for r in got} == want
+
+
 def test_redaction(spark):
     rows = [(0, "é token=abcdef12 x " + "f" * 30), (1, "clean"), (2, None), (None, "AKIA" + "A" * 16)]
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in credentials.redacted(frame(spark, rows)).collect()}
