@@ -23,7 +23,7 @@ from snapdrift.operators.scans import (
     usable_captures,
     with_previous,
 )
-from snapdrift.schema import KEYS, SCAN
+from snapdrift.schema import KEPT_CHANGES, KEYS, SCAN
 from snapdrift.sources.staging import stage
 
 ENTRY = "array<struct<item:string,detail:map<string,string>>>"
@@ -210,14 +210,35 @@ def _target_words() -> dict[str, Column]:
     }
 
 
-def word(changes: DataFrame, targets: DataFrame, spec: ItemMonitor, info: DataFrame | None = None) -> DataFrame:
-    """Reports: one row per scan and alert that has something to say."""
+def bucketed(changes: DataFrame, targets: DataFrame, spec: ItemMonitor) -> DataFrame:
+    """``changes`` of listed targets with their ``bucket``; null if an alert does not report them."""
     rows = with_target(changes, targets)
-    item, target = F.col("item"), F.col("target")
     detail = F.col("detail") if spec.detailed else F.lit(None)
-    bucket = F.coalesce(*[F.when(F.col("op") == a.op, a.bucket(item, detail, target)) for a in spec.alerts])
-    # counts and rankings both read this: patterns are searched once per change
-    rows = stage(rows.select(*changes.columns, bucket.cast("string").alias("bucket")), f"{spec.monitor}-changes")
+    bucket = F.coalesce(*[F.when(F.col("op") == a.op, a.bucket(F.col("item"), detail, F.col("target"))) for a in spec.alerts])
+    # counts, rankings and the table of changes read this: patterns are searched once per change
+    return stage(rows.select(*changes.columns, bucket.cast("string").alias("bucket")), f"{spec.monitor}-changes")
+
+
+def kept_changes(rows: DataFrame) -> DataFrame:
+    """Every change that has a bucket, whole: what :func:`word` shows the first lines of."""
+    detail = F.col("detail") if "detail" in rows.columns else F.lit(None).cast(KEPT_CHANGES["detail"].dataType)
+    return rows.filter(F.col("bucket").isNotNull()).select(*SCAN, "op", "bucket", "item", detail.alias("detail"))
+
+
+def version_changes(changed: DataFrame, targets: DataFrame) -> DataFrame:
+    """Version transitions of listed targets in the layout of :func:`kept_changes`, notes whole."""
+    kind = KEPT_CHANGES["detail"].dataType
+    own = F.map_filter(F.coalesce(F.col("detail"), F.create_map().cast(kind)), lambda k, v: ~k.isin("old_version", "notes"))
+    more = F.create_map(F.lit("old_version"), F.col("old_version"), F.lit("notes"), F.col("notes"))
+    op = F.lit("version")
+    rows = with_target(changed, targets)
+    return rows.select(*SCAN, op.alias("op"), op.alias("bucket"), F.col("version").alias("item"), F.map_concat(own, more).alias("detail"))
+
+
+def word(rows: DataFrame, targets: DataFrame, spec: ItemMonitor, info: DataFrame | None = None) -> DataFrame:
+    """Reports of :func:`bucketed` changes: one row per scan and alert that has something to say."""
+    item = F.col("item")
+    detail = F.col("detail") if spec.detailed else F.lit(None)
     line = F.coalesce(
         *[
             F.when((F.col("op") == a.op) & (F.col("bucket") == s.bucket), s.line(item, detail))
@@ -360,16 +381,23 @@ def word_versions(changed: DataFrame, targets: DataFrame, spec: VersionMonitor)
 
 def detect(captures: DataFrame, targets: DataFrame, spec: ItemMonitor | VersionMonitor) -> DataFrame:
     """Reports for a history of captures."""
+    return detect_changes(captures, targets, spec)[0]
+
+
+def detect_changes(captures: DataFrame, targets: DataFrame, spec: ItemMonitor | VersionMonitor) -> tuple[DataFrame, DataFrame]:
+    """Reports for a history of captures, and every kept change behind them."""
     landed, watchlist = captures, targets
     captures = captures.filter(F.col("monitor") == spec.monitor)
     targets = targets.filter(F.col("monitor") == spec.monitor)
     if isinstance(spec, VersionMonitor):
-        return word_versions(version_transition(version_scans(captures, targets, spec)), targets, spec)
+        changed = version_transition(version_scans(captures, targets, spec))
+        return word_versions(changed, targets, spec), version_changes(changed, targets)
     info = None
     if spec.follows:
         due = due_scans(landed, watchlist, spec.follows, spec.monitor)
         captures = captures.join(due.select(*SCAN), list(SCAN), "left_semi")
         info = due.select(*SCAN, F.create_map(F.lit("version"), F.col("version")).alias("info"))
     items, scans = extract(captures, targets, spec)
-    return word(compare(items, scans, spec), targets, spec, info)
+    rows = bucketed(compare(items, scans, spec), targets, spec)
+    return word(rows, targets, spec, info), kept_changes(rows)
 

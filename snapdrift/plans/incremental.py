@@ -18,9 +18,12 @@ from snapdrift.operators.scans import newest
 from snapdrift.plans.detect import (
     ItemMonitor,
     VersionMonitor,
+    bucketed,
     compare,
     extract,
     item_rows,
+    kept_changes,
+    version_changes,
     version_scans,
     version_transition,
     word,
@@ -68,7 +71,7 @@ def run_epoch(
     sink: str,
     epoch: int,
 ) -> None:
-    """Detect in new captures, write the reports, then the state."""
+    """Detect in new captures, write the reports and every kept change, then the state."""
     spark = captures.sparkSession
     captures = captures.filter(F.col("monitor") == spec.monitor)
     targets = targets.filter(F.col("monitor") == spec.monitor)
@@ -85,6 +88,7 @@ def _version_epoch(captures, targets, spec, state, folder, sink, epoch) -> None:
     scans = newer_than(version_scans(captures, targets, spec), state)
     old = state.select(*SCAN, "fingerprint", "version")
     changed = version_transition(scans.unionByName(old, allowMissingColumns=True))
+    _write(version_changes(changed, targets), sink, "changes", epoch)
     _write(word_versions(changed, targets, spec), sink, "reports", epoch)
     latest = newest(scans.select(*SCAN, "fingerprint", "version"))
     pointers = {"items_scan": F.lit(None).cast("bigint"), "items_epoch": F.lit(None).cast("int")}
@@ -106,8 +110,9 @@ def _item_epoch(captures, targets, spec, state, folder, sink, epoch) -> None:
     else:
         compared = rows
     chain = scans.unionByName(touched.select(*scans.columns))
-    reports = word(compare(compared, chain, spec), targets, spec)
-    _write(reports, sink, "reports", epoch)
+    changes = bucketed(compare(compared, chain, spec), targets, spec)
+    _write(kept_changes(changes), sink, "changes", epoch)
+    _write(word(changes, targets, spec), sink, "reports", epoch)
     latest = newest(scans)
     before = touched.select(
         *KEYS, F.col("fingerprint").alias("_old"), F.col("items_scan").alias("_items"), F.col("items_epoch").alias("_epoch")

@@ -39,6 +39,13 @@ DETECTIONS = _table(
     "monitor string, target_id string, scan_id bigint, detection_type string, title string, details string"
 )
 
+# Every kept change of a run. Of a version monitor ``op`` and ``bucket`` are
+# "version", ``item`` is the new version, and ``detail`` also holds
+# ``old_version`` and the whole ``notes``.
+KEPT_CHANGES = _table(
+    "monitor string, target_id string, scan_id bigint, op string, bucket string, item string, detail map"
+)
+
 # Feed layouts, read with ``from_json``; a field that is absent becomes null.
 RELEASES = "array<struct<id:bigint,tag_name:string,name:string,body:string,html_url:string>>"
 PULL_REQUESTS = "array<struct<id:bigint,title:string,number:int>>"

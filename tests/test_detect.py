@@ -145,6 +145,28 @@ def test_a_failing_monitor_stops_no_other(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "d")).count() == 1 and spark.read.parquet(str(tmp_path / "a")).count() == 2
 
 
+def test_every_kept_change_is_written(spark, tmp_path):
+    from snapdrift.plans.incremental import run_epoch
+    from snapdrift.sources.sinks import read_changes
+
+    long = "q" * 300
+    bodies = [robots("a", "gone"), robots("a", long, *[f"new{i}" for i in range(400)])]
+    rows = [{"monitor": "robots_txt", "target_id": "t", "scan_id": i, "body": b} for i, b in enumerate(bodies)]
+    rows += [{"monitor": "pypi", "target_id": "p", "scan_id": i, "body": f'{{"info": {{"version": "{i}", "summary": "{"s" * 900}"}}}}'} for i in range(2)]
+    captures = make_captures(spark, rows)
+    targets = make_targets(spark, [{"monitor": "robots_txt", "target_id": "t"}, {"monitor": "pypi", "target_id": "p"}])
+    run_all(captures, targets, str(tmp_path / "d"), only=["robots_txt", "pypi"]).collect()
+    got = read_changes(spark, str(tmp_path / "d_changes")).collect()
+    want = {f"/{x}" for x in [long, *[f"new{i}" for i in range(400)]]}
+    assert {r.item for r in got if r.monitor == "robots_txt" and r.op == "added"} == want
+    assert all(r.bucket for r in got) and (len(want), len([r for r in got if r.op == "added"])) == (401, 401)
+    assert [(r.item, r.detail["old_version"], len(r.detail["notes"])) for r in got if r.monitor == "pypi"] == [("1", "0", 900)]
+    for epoch in range(2):
+        run_epoch(captures.filter(f"scan_id = {epoch}"), targets, MONITORS["robots_txt"], str(tmp_path / "s"), str(tmp_path / "o"), epoch)
+    stored = spark.read.parquet(str(tmp_path / "o" / "changes")).filter("op = 'added'").collect()
+    assert {r.item for r in stored} == want and len(stored) == 401
+
+
 def test_built_in_watchlist(spark, tmp_path):
     default = wl.load_targets(spark)
     assert default.groupBy("monitor", "target_id").count().filter("count > 1").count() == 0
