@@ -55,6 +55,9 @@ class Index:
     least: np.ndarray
     questions: list[np.ndarray]
     answers: list[np.ndarray]
+    words: list[np.ndarray]
+    question_words: list[np.ndarray]
+    answer_words: list[np.ndarray]
     half: int
 
 
@@ -73,9 +76,10 @@ def build(items: list[tuple[int, str, str | None, str | None]], frequency: dict[
     least = np.full(blocks * ITEM_BLOCK, np.inf, np.float32)
     least[: len(items)] = share * impacts.sum(axis=0)[: len(items)]
     parts = [(q, a) if q is not None and a is not None else question_and_answer(text) for _, text, q, a in items]
-    sets = [[shingles(normal_words(x), SHINGLE) for x in side] for side in zip(*parts)]
+    sides = [[normal_words(x) for x in side] for side in zip(*parts)]
+    sets = [[shingles(x, SHINGLE) for x in side] for side in sides]
     bounds = impacts.reshape(len(terms), blocks, ITEM_BLOCK).max(axis=2)
-    return Index([i[0] for i in items], terms, impacts, bounds, least, *sets, half)
+    return Index([i[0] for i in items], terms, impacts, bounds, least, *sets, words, *sides, half)
 
 
 def search(words: np.ndarray, index: Index) -> list[tuple[int, int, int, float]]:
@@ -106,10 +110,49 @@ def search(words: np.ndarray, index: Index) -> list[tuple[int, int, int, float]]
     return found
 
 
+def edits_to(part: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """By end position, the fewest word edits (put in, left out or replaced) that turn some run of ``words`` into ``part``."""
+    steps = np.arange(len(words) + 1)
+    row = np.zeros(len(words) + 1, np.int64)
+    for i, word in enumerate(part.tolist(), 1):
+        near = np.empty_like(row)
+        near[0] = i
+        near[1:] = np.minimum(row[:-1] + (words != word), row[1:] + 1)
+        row = np.minimum.accumulate(near - steps) + steps
+    return row
+
+
+def _edited_copy(near: np.ndarray, item: int, index: Index, overlap: float) -> tuple[float, float, float, float]:
+    """Shares of question and answer that the text holds in order: anywhere, and in an edited copy of the whole item.
+
+    A copy has at most ``1 - overlap`` of the item's words edited, and in it
+    either part no more than that share of its own or, from two words on, one
+    word. Without such a copy the last two shares are zero.
+    """
+    whole, parts = index.words[item], (index.question_words[item], index.answer_words[item])
+    slack = int((1 - overlap) * len(whole) + 1e-9)
+    rows = [edits_to(part, near) for part in parts]
+    apart = [1 - int(row.min()) / len(part) if len(part) else 1.0 for row, part in zip(rows, parts)]
+    allowed = [max(int((1 - overlap) * len(part) + 1e-9), int(len(part) > 1)) for part in parts]
+    for end in np.flatnonzero(edits_to(whole, near) <= slack).tolist():
+        around = slice(max(0, end - len(whole) - slack), end + slack + 1)
+        fewest = [int(row[around].min()) for row in rows]
+        if fewest[0] <= allowed[0] and fewest[1] <= allowed[1]:
+            return *apart, *(1 - f / len(part) if len(part) else 1.0 for f, part in zip(fewest, parts))
+    return *apart, 0.0, 0.0
+
+
 def verified(words: np.ndarray, found: list[tuple[int, int, int, float]], index: Index, overlap: float) -> dict[int, tuple[float, float, float]]:
-    """``item: (score, question overlap, answer overlap)`` of the items whose both parts the text around a hit holds."""
+    """``item: (score, question overlap, answer overlap)`` of the items whose both parts the text around a hit holds.
+
+    A part is held by its shingles or by its words in order; a copy of the whole
+    item with few words edited is held too, though an edit takes up to
+    ``SHINGLE`` shingles of a short part.
+    """
     out: dict[int, tuple[float, float, float]] = {}
     for item, start, stop, score in found:
+        if score <= out.get(item, (-1.0,))[0]:
+            continue
         near = words[max(0, start - 2 * index.half) : stop + 2 * index.half]
         shares = []
         for part in (index.questions[item], index.answers[item]):
@@ -120,7 +163,14 @@ def verified(words: np.ndarray, found: list[tuple[int, int, int, float]], index:
                 if k == SHINGLE and len(part) > 1:
                     break
             shares.append(1 - len(held) / len(part) if len(part) else 1.0)
-        if min(shares) >= overlap and score > out.get(item, (-1.0,))[0]:
+        good = min(shares) >= overlap
+        if not good:
+            *apart, question, answer = _edited_copy(near, item, index, overlap)
+            shares = [max(pair) for pair in zip(shares, apart)]
+            good = min(shares) >= overlap
+            if not good and min(question, answer) > 0:
+                shares, good = [max(pair) for pair in zip(shares, (question, answer))], True
+        if good:
             out[item] = score, *shares
     return out
 
@@ -160,8 +210,9 @@ def contamination(docs: DataFrame, items: DataFrame, share: float = SHARE, overl
     ``n_candidates`` counts items that some passage scores at or above ``share``
     of their score against themselves; ``items`` lists ``(item_id, score,
     question, answer)`` of those of which the text around the passage also holds
-    ``overlap`` of the question's and of the answer's five-word shingles,
-    by id. All passages of whole texts are queries. Null and empty texts have
+    ``overlap`` of the question and of the answer, by five-word shingles or words
+    in order, or a copy of the whole with at most ``1 - overlap`` of its words
+    edited (see ``verified``), by id. All passages of whole texts are queries. Null and empty texts have
     none, repeated rows their own result, null ids are kept. No items leave
     every list empty; an index above ``SHARD_POSTINGS`` takes a pass over the
     texts for each of its parts.

@@ -290,6 +290,29 @@ def test_contamination(spark, postings, monkeypatch):
     assert decontaminate.contamination(frame(spark, rows), table.limit(0)).where("size(items) > 0").count() == 0
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_contamination_by_edited_copies(spark, edits):
+    rng = random.Random(9)
+    sizes = [(a, b) for a in (9, 14, 24) for b in (5, 8, 20)]
+    items = [(i, ". ".join(prose(rng, n, 4000) for n in pair) + ".") for i, pair in enumerate(sizes)]
+    rows, want = [], {}
+    for i, text in items:
+        words = text.split(" ")
+        for at in range(len(words) - edits + 1):
+            copy = [f"odd{k}" if at <= k < at + edits else w for k, w in enumerate(words)]
+            n, (q, a) = len(words), sizes[i]
+            hit = [sum(at <= k < at + edits for k in side) for side in (range(q), range(q, n))]
+            near = 5 * edits <= n and all(h <= max(x // 5, 1) for h, x in zip(hit, (q, a)))
+            end = ". " if copy[-1].startswith("odd") else " "
+            rows.append((len(rows), prose(rng, 80, 4000) + " . " + " ".join(copy) + end + prose(rng, 60, 4000)))
+            want[rows[-1][0]] = [i] if near else []
+    question = [(len(rows) + i, prose(rng, 30, 4000) + " " + t.split(". ")[0] + ". " + prose(rng, 60, 4000)) for i, t in items]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: [x["item_id"] for x in r["items"]] for r in decontaminate.contamination(frame(spark, [*rows, *question]), table).collect()}
+    assert {i: got[i] for i in want} == want
+    assert not any(got[i] for i, _ in question) and sum(map(bool, want.values())) > 0.7 * len(want)
+
+
 def best_score(text, pieces, unknown):
     """Best sum by plain dynamic programming over characters."""
     data = "▁" + text.replace(" ", "▁")
