@@ -1,6 +1,6 @@
 """Licence notices by Dice coefficient over word bigrams, with DataFrame functions only.
 
-A unit (a line or a paragraph) is compared with templates whose size allows the
+A unit (a line or a paragraph, or a sentence of one that matches nothing) is compared with templates whose size allows the
 coefficient: ``2 * min(n, m) >= least * (n + m)``. Before that, a template
 names anchor words that meet more of its bigrams than a match may lack; a text
 without any anchor holds no match and is passed over.
@@ -49,8 +49,46 @@ TEMPLATES = {
     "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
+# Siblings: of licences that differ in a word or two each has its own notice, so that the right one is nearest.
+TEMPLATES |= {
+    f"{name}{suffix}": text.format(licence)
+    for name, licence in {
+        "gpl-2.0": "GNU General Public License, version 2", "gpl-3.0": "GNU General Public License, version 3",
+        "lgpl-2.1": "GNU Lesser General Public License, version 2.1", "lgpl-3.0": "GNU Lesser General Public License, version 3",
+        "agpl-3.0": "GNU Affero General Public License, version 3",
+    }.items()
+    for suffix, text in {"": "This work is licensed under the {}.", "-short": "Licensed under the {}."}.items()
+}
+TEMPLATES |= {
+    f"{name}{suffix}": f"{verb} under the {licence}."
+    for name, licence in {
+        "bsd-2-clause": "BSD 2-Clause License", "bsd-3-clause": "BSD 3-Clause License", "isc": "ISC License", "mit": "MIT License",
+        "mpl-2.0": "Mozilla Public License, Version 2.0",
+    }.items()
+    for suffix, verb in {"-released": "Released", "-licensed": "Licensed"}.items()
+    if (name, verb) != ("mit", "Released")
+}
+_GRANTS = {
+    "by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial",
+    "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
+for _grant, _long in _GRANTS.items():
+    for _version, _port in {"2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}.items():
+        _texts = f"This work is licensed under a Creative Commons {_long} {_version} {_port} License.", f"Licensed under CC {_grant.upper()} {_version}."
+        for _suffix, _text in zip(("-long", "-short"), _texts):
+            _name = f"cc-{_grant}-{_version}"
+            if TEMPLATES.get(_name) != _text:
+                TEMPLATES[f"{_name}{_suffix}"] = _text
+for _name, _old, _new in (("lgpl-3.0-header", "Lesser", "version 3"), ("agpl-3.0-header", "Affero", "version 3")):
+    TEMPLATES[_name] = TEMPLATES["gpl-3.0-header"].replace("GNU General", f"GNU {_old} General").replace("version 3", _new)
+TEMPLATES["bsd-3-clause-text"] = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission."
+)
 BETWEEN = r"[^\p{L}\p{N}\n]+"
-PARAGRAPH = r"\n *\n"
+END = "\x01"  # stands for the end of a sentence
+PARAGRAPHS = rf"\n[ {END}]*\n"  # the same with ends marked
+SENTENCE_END = r"[.!?;](?=\s)"
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -77,6 +115,19 @@ def _best(unit: Column, templates: Column, least: float) -> Column:
     return _once(words, lambda w: _once(_bigrams(w), lambda g: _scored(g, templates, least)))
 
 
+def _matches(unit: Column, templates: Column, least: float, anchored: str) -> Column:
+    """The match of a unit with ends of sentences marked; if there is none, those of its sentences.
+
+    Of a paragraph only sentences that cross lines are taken: others belong to a line.
+    """
+    whole = _best(F.translate(unit, END, " "), templates, least)
+    paragraph = F.contains(F.btrim(unit, F.lit(f" \n{END}")), F.lit("\n"))
+    crossing = lambda s: F.contains(F.btrim(s, F.lit(" \n")), F.lit("\n"))
+    sentences = F.filter(F.split(unit, END), lambda s: s.rlike(anchored) & (~paragraph | crossing(s)))
+    parts = F.filter(F.transform(sentences, lambda s: _best(s, templates, least)), lambda s: s.isNotNull())
+    return _once(whole, lambda w: F.when(w.isNotNull(), F.array(w)).when(F.contains(unit, F.lit(END)), parts).otherwise(F.array().cast("array<struct<dice:double,order:int>>")))
+
+
 def _once(value: Column, of: Callable[[Column], Column]) -> Column:
     """``of(value)`` with ``value`` evaluated once, however often it is named."""
     return F.get(F.transform(F.array(value), of), 0)
@@ -102,7 +153,8 @@ def licence_notices(docs: DataFrame, least: float = LEAST, templates: dict[str,
     become spaces. Units are lines, and paragraphs of more than one line.
     ``notices`` lists ``(dice, licence)`` of the best template (ties: the first
     by name) of every unit with a coefficient of at least ``least`` over sets of
-    word bigrams, in the order of lines and then of paragraphs. Texts that are
+    word bigrams, in the order of lines and then of paragraphs; a unit without
+    one gives those of its sentences. Texts that are
     null, empty or without bigrams have none; repeated rows and null ids come
     out as they came in; no rows give no rows.
     """
@@ -114,11 +166,12 @@ def licence_notices(docs: DataFrame, least: float = LEAST, templates: dict[str,
     words = sorted({w for g in grams for w in anchors(g, least, grams)})
     anchored = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}])"
     rows = texts_of(docs).select("doc_id", F.lower("text").alias("text"))
-    plain = F.when(F.col("text").rlike(anchored), F.regexp_replace("text", BETWEEN, " "))
-    several = F.filter(F.split("plain", PARAGRAPH), lambda p: F.contains(F.trim(F.btrim(p, F.lit(" \n"))), F.lit("\n")))
+    marked = F.regexp_replace(F.translate("text", END, " "), SENTENCE_END, END)
+    plain = F.when(F.col("text").rlike(anchored), F.regexp_replace(marked, BETWEEN.replace(r"\n", rf"\n{END}"), " "))
+    several = F.filter(F.split("plain", PARAGRAPHS), lambda p: F.contains(F.btrim(p, F.lit(f" \n{END}")), F.lit("\n")))
     units = F.filter(F.concat(F.split("plain", "\n"), several), lambda u: u.rlike(anchored))
     rows = rows.select("doc_id", plain.alias("plain")).select("doc_id", F.coalesce(units, F.array().cast("array<string>")).alias("units"))
-    found = F.filter(F.transform("units", lambda u: _best(u, known, least)), lambda s: s.isNotNull())
+    found = F.flatten(F.transform("units", lambda u: _matches(u, known, least, anchored)))
     names = F.array(*[F.lit(name) for name, _ in named])
     told = F.transform(found, lambda s: F.struct(s["dice"].alias("dice"), F.element_at(names, 1 - s["order"]).alias("licence")))
     return rows.select("doc_id", told.alias("notices"))

@@ -392,6 +392,27 @@ def test_notices(spark):
     assert [g[1] for g in got if g[0] == 4] in ([[]], [["gpl-3.0-header"]])
 
 
+SIBLINGS = {
+    "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
+    "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 2.1.": "lgpl-2.1",
+    "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0", "Licensed under the GNU General Public License, version 2.": "gpl-2.0",
+    "Licensed under the MIT License.": "mit", "Released under the BSD 2-Clause License.": "bsd-2-clause", "Licensed under the BSD 3-Clause License": "bsd-3-clause",
+    "Licensed under the ISC License.": "isc", "Licensed under CC BY 4.0.": "cc-by-4.0", "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0", "Licensed under CC BY-ND 4.0.": "cc-by-nd-4.0",
+    "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0", "Licensed under CC BY-NC-ND 3.0.": "cc-by-nc-nd-3.0",
+    **{f"This work is licensed under a Creative Commons Attribution{long} 4.0 International License.": f"cc-by{short}-4.0" for long, short in {
+        "": "", "-ShareAlike": "-sa", "-NoDerivatives": "-nd", "-NonCommercial": "-nc", "-NonCommercial-ShareAlike": "-nc-sa", "-NonCommercial-NoDerivatives": "-nc-nd"}.items()},
+    "Copyright (c) 2021 Foo Bar Inc. Licensed under the Apache License, Version 2.0.": "apache-2.0",
+    "See the file for terms and more of them. Copyright 2020 by nobody at all. Licensed under\nCC BY-NC-SA 4.0. All else is reserved by the people who wrote it.": "cc-by-nc-sa-4.0",
+    licences.TEMPLATES["gpl-3.0-header"].replace("GNU General", "GNU Affero General"): "agpl-3.0",
+}
+
+
+def test_sibling_licences_and_sentences(spark):
+    rows = list(enumerate(SIBLINGS))
+    got = {r["doc_id"]: [re.sub("-(short|long|header|released|licensed)$", "", x["licence"]) for x in r["notices"]] for r in licences.licence_notices(frame(spark, rows)).collect()}
+    assert {text: set(got[i]) for i, text in rows} == {text: {name} for text, name in SIBLINGS.items()}
+
+
 @pytest.mark.parametrize("name", ["minhash", "one_of_each", "substrings", "secrets", "redacted", "toxicity", "contamination", "pieces", "edits", "notices", "vectors", "archives"])
 def test_empty_tables(spark, name):
     docs = frame(spark, []).limit(0)
