@@ -341,9 +341,16 @@ def due_scans(captures: DataFrame, targets: DataFrame, lead: VersionMonitor, mon
     The followed target's package, if it names one, is the target to look at.
     """
     own = targets.filter(F.col("monitor") == lead.monitor)
-    seen = version_scans(captures.filter(F.col("monitor") == lead.monitor), own, lead)
-    linked = with_previous(seen, ["fingerprint"])
+    return due_of(version_scans(captures.filter(F.col("monitor") == lead.monitor), own, lead), own, monitor)
+
+
+def due_of(seen: DataFrame, own: DataFrame, monitor: str, stored: DataFrame | None = None) -> DataFrame:
+    """:func:`due_scans` of the lead's version scans ``seen``, with those that are ``stored`` only before them."""
+    seen = seen.select(*SCAN, "fingerprint", "version")
+    chain = seen if stored is None else seen.unionByName(stored.select(*seen.columns))
+    linked = with_previous(chain, ["fingerprint"])
     due = linked.filter(F.col("previous").isNull() | (F.col("previous.fingerprint") != F.col("fingerprint")))
+    due = due if stored is None else due.join(stored.select(*SCAN), list(SCAN), "left_anti")
     package = F.coalesce(F.col("target.attrs")["package"], F.col("target_id")).alias("target_id")
     return with_target(due, own).select(F.lit(monitor).alias("monitor"), package, "scan_id", "version")
 

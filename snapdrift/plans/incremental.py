@@ -5,6 +5,10 @@ for targets whose content moved, their items to ``items``; a target whose
 content stands still keeps pointing at the items it has, by scan and epoch, so
 a run reads the epochs its targets point to. Each run owns one ``epoch`` folder
 and overwrites it, so a repeated run changes nothing.
+
+A scan of several captures may land in parts. The newest scan of a target of
+such a monitor is held open: its captures are kept in ``held`` until a newer
+scan of the target closes it, or a run with ``close``.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from snapdrift.plans.detect import (
     VersionMonitor,
     bucketed,
     compare,
+    due_of,
     extract,
     item_rows,
     kept_changes,
@@ -29,7 +34,7 @@ from snapdrift.plans.detect import (
     word,
     word_versions,
 )
-from snapdrift.schema import KEYS, SCAN
+from snapdrift.schema import CAPTURES, KEYS, SCAN
 
 STATE = "monitor string, target_id string, scan_id bigint, fingerprint string, version string, items_scan bigint, items_epoch int"
 EPOCH = T.StructField("epoch", T.IntegerType())
@@ -63,6 +68,39 @@ def newer_than(captures: DataFrame, state: DataFrame) -> DataFrame:
     return captures.join(stored, list(KEYS), "left").filter(~late).drop("stored")
 
 
+def _held(spark: SparkSession, folder: str, epoch: int) -> DataFrame | None:
+    """The captures of open scans that the last run before ``epoch`` kept."""
+    log = _read(spark, f"{folder}/held", T.StructType([*CAPTURES.fields, EPOCH]), epoch)
+    if log is None:
+        return None
+    last = log.agg(F.max("epoch")).first()[0]  # every run leaves a row, if only the one without a monitor
+    return log.filter((F.col("epoch") == last) & F.col("monitor").isNotNull()).drop("epoch")
+
+
+def _closed(captures: DataFrame, folder: str, epoch: int, close: bool) -> DataFrame:
+    """Captures of closed scans, held ones included; those of open scans are kept for the next run."""
+    names = [f.name for f in CAPTURES.fields]
+    landed, held = captures.select(*names), _held(captures.sparkSession, folder, epoch)
+    landed = landed if held is None else landed.unionByName(held)
+    newest_scan = landed.groupBy(*KEYS).agg(F.max("scan_id").alias("open"))
+    marked = landed.join(newest_scan, list(KEYS))
+    is_open = F.lit(not close) & (F.col("scan_id") == F.col("open"))
+    sign = captures.sparkSession.createDataFrame([(None,) * len(names)], CAPTURES)
+    _write(marked.filter(is_open).select(*names).unionByName(sign), folder, "held", epoch)
+    return marked.filter(~is_open).select(*names)
+
+
+def _due_epoch(landed, watchlist, spec, state, folder, epoch) -> tuple[DataFrame, DataFrame]:
+    """All scans known to be due for a monitor that follows another, and the lead's newest state rows."""
+    lead = spec.follows
+    own, stored = watchlist.filter(F.col("monitor") == lead.monitor), state.filter(F.col("monitor") == lead.monitor)
+    seen = newer_than(version_scans(landed.filter(F.col("monitor") == lead.monitor), own, lead), state)
+    _write(due_of(seen, own, spec.monitor, stored), folder, "due", epoch)
+    schema = "monitor string, target_id string, scan_id bigint, version string, epoch int"
+    due = _read(landed.sparkSession, f"{folder}/due", schema, epoch + 1)
+    return due.drop("epoch"), newest(seen.select(*SCAN, "fingerprint", "version"))
+
+
 def run_epoch(
     captures: DataFrame,
     targets: DataFrame,
@@ -70,18 +108,28 @@ def run_epoch(
     folder: str,
     sink: str,
     epoch: int,
+    close: bool = False,
 ) -> None:
-    """Detect in new captures, write the reports and every kept change, then the state."""
+    """Detect in new captures, write the reports and every kept change, then the state.
+
+    Scans of several captures are reported when a newer scan of the target lands;
+    ``close`` ends those that are open. A monitor that follows another needs the
+    captures and targets of both.
+    """
     spark = captures.sparkSession
+    landed, watchlist = captures, targets
     captures = captures.filter(F.col("monitor") == spec.monitor)
     targets = targets.filter(F.col("monitor") == spec.monitor)
     state = read_state(spark, folder, epoch)
+    if isinstance(spec, ItemMonitor) and spec.collect:
+        captures = _closed(captures, folder, epoch, close)
     if not isinstance(spec, VersionMonitor) or spec.collect is None:
         captures = newer_than(captures, state)
     if isinstance(spec, VersionMonitor):
         _version_epoch(captures, targets, spec, state, folder, sink, epoch)
     else:
-        _item_epoch(captures, targets, spec, state, folder, sink, epoch)
+        due = _due_epoch(landed, watchlist, spec, state, folder, epoch) if spec.follows else None
+        _item_epoch(captures, targets, spec, state, folder, sink, epoch, due)
 
 
 def _version_epoch(captures, targets, spec, state, folder, sink, epoch) -> None:
@@ -95,8 +143,11 @@ def _version_epoch(captures, targets, spec, state, folder, sink, epoch) -> None:
     _write(latest.withColumns(pointers), folder, "scans", epoch)
 
 
-def _item_epoch(captures, targets, spec, state, folder, sink, epoch) -> None:
-    spark = captures.sparkSession
+def _item_epoch(captures, targets, spec, state, folder, sink, epoch, due=None) -> None:
+    spark, info = captures.sparkSession, None
+    if due is not None:
+        captures = captures.join(due[0].select(*SCAN).distinct(), list(SCAN), "left_semi")
+        info = due[0].dropDuplicates(list(SCAN)).select(*SCAN, F.create_map(F.lit("version"), F.col("version")).alias("info"))
     items, scans = extract(captures, targets, spec)
     rows = item_rows(items, spec)
     log = _read(spark, f"{folder}/items", T.StructType([*rows.schema.fields, EPOCH]), epoch)
@@ -112,7 +163,7 @@ def _item_epoch(captures, targets, spec, state, folder, sink, epoch) -> None:
     chain = scans.unionByName(touched.select(*scans.columns))
     changes = bucketed(compare(compared, chain, spec), targets, spec)
     _write(kept_changes(changes), sink, "changes", epoch)
-    _write(word(changes, targets, spec), sink, "reports", epoch)
+    _write(word(changes, targets, spec, info), sink, "reports", epoch)
     latest = newest(scans)
     before = touched.select(
         *KEYS, F.col("fingerprint").alias("_old"), F.col("items_scan").alias("_items"), F.col("items_epoch").alias("_epoch")
@@ -127,7 +178,7 @@ def _item_epoch(captures, targets, spec, state, folder, sink, epoch) -> None:
     # items first: a state row never points at items that are not there
     moved = fresh.filter(F.col("items_epoch") == epoch).select(*SCAN)
     _write(rows.join(moved, list(SCAN), "left_semi"), folder, "items", epoch)
-    _write(fresh, folder, "scans", epoch)
+    _write(fresh if due is None else fresh.unionByName(due[1], allowMissingColumns=True), folder, "scans", epoch)
 
 
 def compact_state(spark: SparkSession, folder: str, epoch: int, into: str) -> None:
@@ -139,4 +190,11 @@ def compact_state(spark: SparkSession, folder: str, epoch: int, into: str) -> No
     items = spark.read.parquet(f"{folder}/items").filter(F.col("epoch") < epoch)
     kept = state.select(*KEYS, F.col("items_scan").alias("scan_id"), F.col("items_epoch").alias("epoch"))
     _write(items.join(kept, [*SCAN, "epoch"], "left_semi").drop("epoch"), into, "items", last)
+    held = _held(spark, folder, epoch)
+    if held is not None:
+        sign = spark.createDataFrame([(None,) * len(CAPTURES.fields)], CAPTURES)
+        _write(held.unionByName(sign), into, "held", last)
+    due = _read(spark, f"{folder}/due", "monitor string, target_id string, scan_id bigint, version string, epoch int", epoch)
+    if due is not None:
+        _write(due.drop("epoch"), into, "due", last)
     _write(state.withColumn("items_epoch", F.lit(last)), into, "scans", last)

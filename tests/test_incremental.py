@@ -86,6 +86,36 @@ def test_late_scans_are_ignored(spark, captures, targets, tmp_path):
     assert rows_of(spark.read.parquet(f"{out}/reports")) == rows_of(detect(captures.filter("scan_id >= 3"), targets, SPEC))
 
 
+def test_scans_cut_by_a_batch_equal_one_history(spark, tmp_path):
+    spec, answer = MONITORS["dns_records"], lambda x: f'{{"Answer": [{{"data": "{x}"}}]}}'
+    rows = [
+        {"monitor": "dns_records", "target_id": "d", "scan_id": scan, "role": role, "body": answer(f"{role}.example.com{more}")}
+        for scan, more in enumerate(["", "", "x"]) for role in ("TXT", "MX")
+    ]
+    targets = make_targets(spark, [{"monitor": "dns_records", "target_id": "d"}])
+    state, out = str(tmp_path / "state"), str(tmp_path / "out")
+    for epoch, (start, end) in enumerate([(0, 3), (3, 5), (5, 6)]):
+        run_epoch(make_captures(spark, rows[start:end]), targets, spec, state, out, epoch, close=end == 6)
+    want = rows_of(detect(make_captures(spark, rows), targets, spec))
+    got = spark.read.parquet(f"{out}/reports")
+    assert len(want) == 1 and rows_of(got) == want and got.count() == 1
+
+
+def test_following_monitor_takes_new_versions_only(spark, tmp_path):
+    spec = MONITORS["apk_strings"]
+    lead = spec.follows.monitor
+    rows = []
+    for scan, (version, text) in enumerate([("1", "Start a new trial"), ("1", "Enable beta feature"), ("2", "Upgrade to premium plan")]):
+        rows.append({"monitor": lead, "target_id": "p", "scan_id": scan, "body": f'{{"version": "{version}", "recentChanges": "n"}}'})
+        rows.append({"monitor": "apk_strings", "target_id": "p", "scan_id": scan, "role": "en", "url": "label", "body": text})
+    targets = make_targets(spark, [{"monitor": m, "target_id": "p"} for m in (lead, "apk_strings")])
+    state, out = str(tmp_path / "state"), str(tmp_path / "out")
+    for epoch in range(3):
+        run_epoch(make_captures(spark, rows[2 * epoch : 2 * epoch + 2]), targets, spec, state, out, epoch, close=epoch == 2)
+    want = rows_of(detect(make_captures(spark, rows), targets, spec))
+    assert {r[1] for r in want} == {2} and rows_of(spark.read.parquet(f"{out}/reports")) == want
+
+
 def drain(spark, schema, tmp_path, portions, start):
     for portion in portions:
         portion.write.mode("append").parquet(str(tmp_path / "landed"))
