@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapdrift.llm import caps, credentials, decontaminate, licences, minhash, substrings, token_edits, toxicity, unigram, warczip
+from snapdrift.llm import caps, credentials, decontaminate, licences, minhash, substrings, token_edits, token_files, toxicity, unigram, warczip
 from snapdrift.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -248,3 +248,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     names = F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["licence"])))
     best = F.array_max(F.transform("notices", lambda x: x["dice"]))
     return found.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.array_join(names, ",").alias("licences"), best.alias("best_dice"))
+
+
+@query("op12_token_files")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
