@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapdrift.llm import caps, credentials, decontaminate, licences, minhash, substrings, token_edits, token_files, toxicity, unigram, warczip
+from snapdrift.llm import caps, conversations, credentials, decontaminate, licences, minhash, substrings, token_edits, token_files, toxicity, unigram, warczip
 from snapdrift.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -255,3 +255,75 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return token_files.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _op11_sql() -> str:
+    """A fold over the rows of a conversation: per state the cost in twelve digits and then the audit, so that the least is the one sought."""
+    add = lambda v, cost, edit: f"concat(lpad((substr({v}, 1, 12)::BIGINT + {cost})::VARCHAR, 12, '0'), substr({v}, 13), '{edit}')"
+    offers = lambda i, more: f"list_min([{', '.join([add(f'v[{i}]', 2, 'D'), *more])}])"
+    pen = "(CASE WHEN c = upper(c) THEN 5 ELSE 0 END)"
+    keep = lambda j, kind: f"CASE WHEN lower(c) = '{kind}' THEN {add(f'v[{j}]', pen, 'K')} END"
+    role = lambda j: f"CASE WHEN c <> 'x' THEN {add(f'v[{j}]', f'{pen} + 1', 'R')} END"
+    to_user = [f(j) for j in (1, 2, 4) for f in (lambda j: keep(j, "u"), role)]
+    rows = f"[{add('v[1]', 2, 'D')}, {offers(2, [keep(1, 's')])}, {offers(3, to_user)}, {offers(4, [keep(3, 'a'), role(3)])}]"
+    user = "list_min([n[3], " + ", ".join(add(f"n[{j}]", 5, "I") for j in (1, 2, 4)) + "])"
+    closed = f"list_transform([{rows}], lambda n: [n[1], n[2], {user}, n[4]])"
+    step = f"list_transform({closed}, lambda n: [n[1], n[2], n[3], least(n[4], {add('n[3]', 5, 'I')})])[1]"
+    begin = "['000000000000', '900000000000', '000000000005I', '000000000010II']"
+    return rf"""
+WITH marked AS (
+  SELECT conv_id, turn::BIGINT AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS k FROM conversations
+), kinds AS (
+  SELECT *, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i::INT, 1))::BIGINT),
+    lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295) % 20 AS kind
+  FROM marked
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kinds WHERE kind <> 0
+), ordered AS (
+  SELECT *, row_number() OVER here AS i, lag(substr(role, 1, 1)) OVER here AS before
+  FROM damaged WINDOW here AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), faults AS (
+  SELECT *,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 't' ELSE '' END AS fault,
+    CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'o' END AS initial
+  FROM ordered
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (i > 1 AND concat(before, substr(role, 1, 1)) NOT IN ('su', 'ua', 'au')) AS illegal,
+    list(role ORDER BY i) AS roles, list(text ORDER BY i) AS texts, list(initial ORDER BY i) AS initials,
+    list(CASE WHEN fault IN ('b', 'd') THEN 'x' WHEN fault = 't' THEN upper(initial) ELSE initial END ORDER BY i) AS symbols
+  FROM faults GROUP BY conv_id
+), folded AS (
+  SELECT *, list_reduce(symbols, lambda v, c: {step}, {begin}) AS v FROM counted
+), chosen AS (
+  SELECT *, substr(least(v[1], v[4]), 1, 12)::BIGINT AS cost, substr(least(v[1], v[4]), 13) AS audit FROM folded
+), edits AS (
+  SELECT conv_id, roles, texts, initials, unnest(string_split(audit, '')) AS e, unnest(range(1, length(audit) + 1)) AS i FROM chosen WHERE audit <> ''
+), placed AS (
+  SELECT *, count(*) FILTER (e <> 'I') OVER here AS row, count(*) FILTER (e <> 'D') OVER here AS n FROM edits
+  WINDOW here AS (PARTITION BY conv_id ORDER BY i)
+), made AS (
+  SELECT *, max(CASE WHEN n = 1 AND e = 'K' AND initials[row] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS system FROM placed WHERE e <> 'D'
+), lines AS (
+  SELECT conv_id, string_agg(concat(CASE WHEN e = 'K' THEN roles[row] WHEN (n - system) % 2 = 1 THEN 'user' ELSE 'assistant' END, ':',
+    CASE WHEN e <> 'I' THEN texts[row] END), chr(10) ORDER BY i) AS t FROM made GROUP BY conv_id
+), ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM ids d LEFT JOIN chosen c ON d.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN lines l ON d.conv_id IS NOT DISTINCT FROM l.conv_id
+"""
+
+
+@query("op11_conversation_repair", _op11_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.audit_damaged(table(spark, folder, "conversations"))
