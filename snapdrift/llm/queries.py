@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapdrift.llm import caps, conversations, credentials, decontaminate, licences, minhash, substrings, token_edits, token_files, toxicity, unigram, warczip
+from snapdrift.llm import (
+    caps,
+    collocations,
+    conversations,
+    credentials,
+    decontaminate,
+    licences,
+    minhash,
+    substrings,
+    token_edits,
+    token_files,
+    toxicity,
+    unigram,
+    warczip,
+)
 from snapdrift.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -327,3 +341,43 @@ FROM ids d LEFT JOIN chosen c ON d.conv_id IS NOT DISTINCT FROM c.conv_id LEFT J
 @query("op11_conversation_repair", _op11_sql())
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.audit_damaged(table(spark, folder, "conversations"))
+
+
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?
+-]')) AS p FROM documents
+), split AS (
+  SELECT lang, list_filter(string_split_regex(p, '[ 	]+'), lambda x: x <> '') AS w FROM pieces
+), sizes AS (
+  SELECT lang, unnest([1, 2, 3, 4, 5]) AS k, w FROM split
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1))) AS g FROM sizes WHERE len(w) >= k
+), counts AS (
+  SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang
+), longer AS (
+  SELECT lang, g, max(f) AS f FROM (
+    SELECT lang, f, unnest([list_slice(g, 1, k - 1), list_slice(g, 2, k)]) AS g FROM counts WHERE k > 2) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM counts c LEFT JOIN longer x ON c.lang = x.lang AND c.g = x.g WHERE c.k > 1 AND (x.f IS NULL OR 100 * x.f < 100 * c.f)
+), cuts AS (
+  SELECT lang, k, g, f AS a, unnest(range(1, k)) AS cut FROM kept
+), scored AS (
+  SELECT c.lang, c.g, c.a, c.cut, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.a * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, c.cut) JOIN counts y ON y.lang = c.lang AND y.g = list_slice(c.g, c.cut + 1, c.k)
+    JOIN totals t ON t.lang = c.lang
+), worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1
+), ranked AS (
+  SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM worst
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
