@@ -39,6 +39,7 @@ MAGIC = b"IDSVB\x01\r\n"
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 24
 CACHED = 800_000
+WIDE = 1 << 24  # ids from here on are not counted in a table
 FILES = "part int, seq int, path string, n_docs long, n_ids long"
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -68,6 +69,19 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return whole[ends - lengths] & _MASKS[lengths]
 
 
+def by_frequency(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, most frequent first (ties: smallest), and the rank of each of ``ids`` among them."""
+    if len(ids) and ids.max() >= WIDE:
+        kinds, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    else:
+        counts, inverse = np.bincount(ids), ids
+        kinds = np.arange(len(counts), dtype=np.uint32)
+    order = np.lexsort((kinds, -counts))[: np.count_nonzero(counts)]
+    rank = np.empty(len(counts), np.uint32)
+    rank[order] = np.arange(len(order))
+    return kinds[order], rank[inverse.reshape(-1)]
+
+
 class Writer:
     """One file: ids are kept until it is closed, at most ``FILE_IDS`` and one document more."""
 
@@ -81,11 +95,7 @@ class Writer:
 
     def write(self, path: str) -> None:
         ids = np.concatenate(self.parts) if self.parts else np.empty(0, np.uint32)
-        kinds, ranks, counts = np.unique(ids, return_inverse=True, return_counts=True)
-        order = np.lexsort((kinds, -counts))
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order))
-        ranks = place[ranks.reshape(-1)]
+        kinds, ranks = by_frequency(ids)
         sizes = []
         system, name = pafs.FileSystem.from_uri(path)
         system.create_dir(name.rpartition("/")[0], recursive=True)
@@ -96,7 +106,7 @@ class Writer:
                 file.write(control + data)
                 sizes.append(len(control) + len(data))
             counts = {"ids": len(ids), "kinds": len(kinds), "block_ids": BLOCK_IDS, "blocks": len(sizes), "docs": len(self.docs)}
-            footer = json.dumps(counts).encode() + b"\n" + kinds[order].astype("<u4").tobytes() + np.array(sizes, "<u4").tobytes()
+            footer = json.dumps(counts).encode() + b"\n" + kinds.astype("<u4").tobytes() + np.array(sizes, "<u4").tobytes()
             footer += np.array([d or 0 for d, _ in self.docs], "<i8").tobytes() + bytes(d is None for d, _ in self.docs)
             footer += np.array([n for _, n in self.docs], "<i8").tobytes()
             file.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
