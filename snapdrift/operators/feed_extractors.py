@@ -13,6 +13,9 @@ from snapdrift import schema as sc
 from snapdrift.functions import text as t
 
 
+SHOWN_DEPS = 10  # dependency names in the field of an alert; the record and the table of changes hold all
+
+
 def _or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -117,28 +120,31 @@ def certificate_names(body: Column, domain: Column) -> Column:
     )
 
 
-def _xml_text(block: Column, tag: str) -> Column:
-    """Stripped text of the first ``tag``; null when there is none."""
-    pattern = rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"
-    found = F.get(F.regexp_extract_all(block, F.lit(pattern), 1), 0)
-    pieces = F.split(F.regexp_replace(found, r"<!\[CDATA\[|\]\]>|(?s)<[a-zA-Z/!][^>]*>", "\u0000"), "\u0000")
-    return F.array_join(F.transform(pieces, lambda s: t.strip(t.decode_entities(s))), "")
+def _feed_entries(xml: Column) -> Column:
+    """The entries of an Atom feed; comments are none, prefixes do not matter, a broken document has none.
 
+    Only a document without entries is read again with its bare ampersands
+    escaped, which many feeds have.
+    """
+    read = lambda x: F.from_xml(x, F.lit(sc.ATOM_FEED), {"ignoreNamespace": "true"})["entry"]
+    stray = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)"
+    return F.coalesce(read(xml), read(F.regexp_replace(xml, stray, "&amp;")))
 
-def _entries(xml: Column) -> Column:
-    return F.regexp_extract_all(xml, F.lit(r"(?s)<entry(?:\s[^>]*)?>(.*?)</entry>"), 1)
+
+def _first(values: Column) -> Column:
+    """The first value of an element, stripped; null when there is none."""
+    return t.strip(F.get(values, 0))
 
 
 def atom_filings(body: Column) -> Column:
     """The entries of a filings feed that have a title."""
-    link = lambda e: t.decode_entities(F.regexp_extract(e, r'(?s)<link\s[^>]*?href="([^"]*)"', 1))
     filings = F.transform(
-        _entries(body),
+        _feed_entries(body),
         lambda e: F.struct(
-            _xml_text(e, "title").alias("title"),
-            _or_empty(_xml_text(e, "updated")).alias("date"),
-            link(e).alias("link"),
-            _or_empty(_xml_text(e, "summary")).alias("summary"),
+            _first(e["title"]).alias("title"),
+            _or_empty(_first(e["updated"])).alias("date"),
+            _or_empty(F.get(e["link"], 0)["_href"]).alias("link"),
+            _or_empty(_first(e["summary"])).alias("summary"),
         ),
     )
     return F.transform(
@@ -158,14 +164,15 @@ def npm_version(body: Column) -> Column:
     r = F.from_json(body, sc.NPM_PACKAGE)
     names = F.coalesce(F.map_keys(r["dependencies"]), F.array().cast("array<string>"))
     state = F.concat_ws(":", _or_empty(r["version"]), _or_empty(r["description"]), F.array_join(names, ","))
-    first = F.array_join(F.slice(names, 1, 10), ", ")
+    listed = F.array_join(names, ", ")
     return F.when(
         r.isNotNull(),
         _version(
             F.sha2(state, 256),
             _or_empty(r["version"]),
             _or_empty(r["description"]),
-            deps=F.when(first == "", "None").otherwise(first),
+            deps=F.when(listed == "", "None").otherwise(listed),
+            shown_deps=F.when(listed == "", "None").otherwise(F.array_join(F.slice(names, 1, SHOWN_DEPS), ", ")),
         ),
     )
 
@@ -209,18 +216,15 @@ def dns_records(body: Column, record: Column) -> Column:
 
 def arxiv_papers(body: Column) -> Column:
     """Papers of an Atom reply in feed order; the title is the item."""
-    authors = lambda e: F.transform(
-        F.regexp_extract_all(e, F.lit(r"(?s)<author(?:\s[^>]*)?>(.*?)</author>"), 1),
-        lambda a: _xml_text(a, "name"),
-    )
+    authors = lambda e: F.filter(F.transform(e["author"], lambda a: _first(a["name"])), lambda n: n.isNotNull())
     papers = F.transform(
-        _entries(body),
+        _feed_entries(body),
         lambda e: F.struct(
-            _xml_text(e, "title").alias("title"),
-            F.array_join(authors(e), ", ").alias("authors"),
-            _or_empty(_xml_text(e, "id")).alias("link"),
-            t.clip(_or_empty(_xml_text(e, "published")), 10).alias("date"),
-            _or_empty(_xml_text(e, "summary")).alias("summary"),
+            _first(e["title"]).alias("title"),
+            F.array_join(F.coalesce(authors(e), F.array().cast("array<string>")), ", ").alias("authors"),
+            _or_empty(_first(e["id"])).alias("link"),
+            t.clip(_or_empty(_first(e["published"])), 10).alias("date"),
+            _or_empty(_first(e["summary"])).alias("summary"),
         ),
     )
     return F.transform(

@@ -1,13 +1,14 @@
 """Items out of web pages, scripts, sitemaps and robots files.
 
 Each extractor maps the body of one capture to an array column, so extraction
-is a narrow projection: no shuffle, and nothing spans two captures.
+is a narrow projection: no shuffle, and nothing spans two captures. What depends
+on a page's elements is read from its tokens (:mod:`snapdrift.functions.html`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapdrift.functions import fixed_values as fv
+from snapdrift.functions import html as dom
 from snapdrift.functions import patterns as p
 from snapdrift.functions import text as t
 from snapdrift.functions import urls as u
@@ -24,47 +26,51 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
-def _element(tag: str) -> str:
-    """Attributes in group 1, content in group 2."""
-    return rf"(?is)<{tag}(\s[^>]*)?>(.*?)</{tag}\s*>"
+_STRINGS = T.ArrayType(T.StringType())
 
 
-def _drop(html: Column, tags: tuple[str, ...]) -> Column:
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", "\n")
-    for tag in tags:
-        html = F.regexp_replace(html, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", "\n")
-    return html
+def _record(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute inside a tag's text, empty when it is absent."""
-    raw = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1)
-    return t.decode_entities(F.regexp_replace(raw, r"""^["']|["']$""", ""))
+def _of_page(kind: T.DataType, read: Callable[[dom.Page], object]) -> Callable[[Column], Column]:
+    """A column function of a page's elements and texts; each page is read once, in Arrow batches."""
+    record = isinstance(kind, T.StructType)
+    none = dict.fromkeys(kind.names) if record else None
+
+    def run(bodies: pd.Series) -> pd.Series:
+        found = [none if b is None else read(dom.Page(b)) for b in bodies]
+        return pd.DataFrame(found, columns=kind.names) if record else pd.Series(found, dtype=object)
+
+    run.__annotations__ = {"bodies": pd.Series, "return": pd.DataFrame if record else pd.Series}
+    return F.pandas_udf(run, kind)
+
+
+def _script_refs(found: dom.Page) -> dict:
+    """Addresses of scripts, of preloaded files, and the text of scripts without an address."""
+    scripts, links = found.named("script"), found.named("link")
+    pairs = [(e.attrs.get("rel", ""), e.attrs.get("href", "")) for e in links]
+    return {
+        "sources": [e.attrs["src"] for e in scripts if "src" in e.attrs],
+        "links": [href for rel, href in pairs if ("preload" in rel or "prefetch" in rel) and (".js" in href or "chunk" in href.lower())],
+        "inline": "\n".join("".join(found.pieces(e)) for e in scripts if "src" not in e.attrs),
+    }
+
+
+_refs = _of_page(_record(sources=_STRINGS, links=_STRINGS, inline=T.StringType()), _script_refs)
 
 
 def js_bundle_urls(html: Column, base: Column) -> Column:
     """Script addresses named by a page, in order of their text."""
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", "\n")
-    has_src = r"(?is)\ssrc\s*="
-    sources = F.transform(_all(html, r"(?is)<script(\s[^>]*)>"), lambda a: F.when(a.rlike(has_src), attribute(a, "src")))
-    links = F.transform(
-        _all(html, r"(?is)(<link\s[^>]*>)"),
-        lambda a: F.struct(attribute(a, "rel").alias("rel"), attribute(a, "href").alias("href")),
-    )
-    scripts = F.filter(
-        links,
-        lambda a: a["rel"].rlike("preload|prefetch") & a["href"].rlike(r"\.js|(?i)chunk"),
-    )
-    links = F.transform(scripts, lambda a: a["href"])
-    blocks = F.arrays_zip(_all(html, _element("script"), 1).alias("a"), _all(html, _element("script"), 2).alias("b"))
-    inline = F.array_join(F.transform(F.filter(blocks, lambda s: ~s["a"].rlike(has_src)), lambda s: s["b"]), "\n")
+    found = _refs(html)
+    inline = found["inline"]
     chunks = _all(
         inline,
         r"""(?i)["']([^"']*?(?:chunk|bundle|vendor|main|app|index)[^"']*?\.js[^"']*?)["']""",
     )
     built = F.transform(_all(inline, r"""["'](_next/static/[^"']+\.js)["']"""), lambda s: F.concat(F.lit("/"), s))
     rooted = _all(inline, r"""["'](/[^"']*?\.(?:js|mjs))["']""")
-    refs = F.array_distinct(F.filter(F.concat(sources, links, chunks, built, rooted), lambda r: r.isNotNull()))
+    refs = F.array_distinct(F.concat(found["sources"], found["links"], chunks, built, rooted))
     resolved = F.transform(refs, lambda r: u.resolve_url(base, r))
     return F.sort_array(F.array_distinct(F.filter(resolved, lambda r: ~F.lower(r).rlike(p.TRACKER_WORDS))))
 
@@ -84,121 +90,79 @@ def quoted_strings(script: Column) -> Column:
     return F.array_distinct(F.concat(double, single, F.filter(template, lambda s: F.length(s) >= 3)))
 
 
+_HIDDEN = frozenset(("script", "style", "nav", "footer", "header"))
+_visible = _of_page(_STRINGS, lambda found: dom.lines(found.outside(_HIDDEN)))
+
+
 def visible_text_lines(html: Column) -> Column:
-    """Visible text; every tag boundary ends a line."""
-    text = _drop(html, ("script", "style", "nav", "footer", "header"))
-    return t.lines(t.decode_entities(F.regexp_replace(text, r"(?s)<[a-zA-Z/!][^>]*>", "\n")))
+    """Visible text; every tag boundary ends a line. A text without tags is not parsed."""
+    tagged = F.contains(html, F.lit("<"))
+    return F.when(tagged, _visible(F.when(tagged, html))).otherwise(t.lines(t.decode_entities(html)))
 
 
 def visible_text(html: Column) -> Column:
     return F.array_join(visible_text_lines(html), "\n")
 
 
-_VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-
-
-class _Elements(HTMLParser):
-    """Text of every element that ``wanted(tag, attributes)`` accepts."""
-
-    def __init__(self, wanted) -> None:
-        super().__init__(convert_charrefs=True)
-        self.wanted, self.stack, self.found = wanted, [], []
-
-    def handle_starttag(self, tag, attrs):
-        parts = [] if self.wanted(tag, dict(attrs)) else None
-        if parts is not None:
-            self.found.append(parts)
-        if tag not in _VOID:
-            self.stack.append((tag, parts))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        if any(name == tag for name, _ in self.stack):
-            while self.stack.pop()[0] != tag:
-                pass
-
-    def handle_data(self, data):
-        text = data.strip()
-        raw = any(name in ("script", "style") for name, _ in self.stack)
-        if text and not raw:
-            for _, parts in self.stack:
-                if parts is not None:
-                    parts.append(text)
-
-
-def _texts(html: str | None, wanted) -> list[str]:
-    parser = _Elements(wanted)
-    parser.feed(html or "")
-    parser.close()
-    return ["".join(parts) for parts in parser.found]
-
-
-def _selected(selector: str):
-    if selector.startswith("."):
-        return lambda tag, attrs: selector[1:] in (attrs.get("class") or "").split()
-    if selector.startswith("#"):
-        return lambda tag, attrs: attrs.get("id") == selector[1:]
-    return lambda tag, attrs: tag == selector.lower()
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(_STRINGS)
 def selected_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Text of the elements a ``tag``, ``.class`` or ``#id`` selector finds."""
+    """Text of the elements a selector finds; one that is none finds nothing."""
     for html, selector in batches:
-        yield pd.Series([_texts(h, _selected(s)) for h, s in zip(html, selector)])
+        pages = (dom.Page(h) for h in html)
+        yield pd.Series([[p.text_of(e) for e in dom.select(p, s)] for p, s in zip(pages, selector)], dtype=object)
+
+
+_TITLE_TAGS = ("a", "h2", "h3", "h4", "span", "div")
+TITLE_LENGTHS = range(21, 120)
 
 
-_TITLE_TAGS = {"a", "h2", "h3", "h4", "span", "div"}
+def _titles(found: dom.Page) -> list[str]:
+    """Texts of links, headings and boxes that are as long as a title; others are not put together."""
+    lengths = [0 if apart else len(text.strip()) for text, apart in zip(found.texts, found.apart)]
+    until = [0, *accumulate(lengths)]
+    return [found.text_of(e) for e in found.named(*_TITLE_TAGS) if until[e.last] - until[e.first] in TITLE_LENGTHS]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def element_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Text of each link, heading and box of a page."""
-    for html in batches:
-        yield pd.Series([_texts(h, lambda tag, _: tag in _TITLE_TAGS) for h in html])
+element_texts = _of_page(_STRINGS, _titles)
 
 
 def job_titles_page(html: Column) -> Column:
     """Element texts that look like a job title, first occurrences."""
-    titles = F.filter(
-        element_texts(html),
-        lambda s: (F.length(s) > 20) & (F.length(s) < 120) & F.lower(s).rlike(p.ROLE_WORDS),
-    )
-    return F.array_distinct(titles)
+    return F.array_distinct(F.filter(element_texts(html), lambda s: F.lower(s).rlike(p.ROLE_WORDS)))
+
+
+def _table_rows(found: dom.Page) -> list[list[str]]:
+    """Cells of every row with four and more, those of tables inside it included."""
+    rows: dict[dom.Element, list[dom.Element]] = {e: [] for e in found.named("tr")}
+    for cell in found.named("td"):
+        above = cell.parent
+        while above is not None:
+            if above.name == "tr":
+                rows[above].append(cell)
+            above = above.parent
+    return [[found.text_of(c) for c in cells] for cells in rows.values() if len(cells) >= 4]
 
 
-def flat_text(html: Column) -> Column:
-    """Stripped text pieces of a fragment, joined without separator."""
-    pieces = F.split(F.regexp_replace(html, r"(?s)<[a-zA-Z/!][^>]*>", "\u0000"), "\u0000")
-    return F.array_join(F.transform(pieces, lambda s: t.strip(t.decode_entities(s))), "")
+_rows = _of_page(T.ArrayType(_STRINGS), _table_rows)
 
 
 def filing_rows(html: Column, code: Column) -> Column:
     """Table rows about ``code``, with all their cells."""
-    rows = _all(_drop(html, ()), r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr\s*>")
-    cells = F.transform(rows, lambda r: _all(r, r"(?is)<td(?:\s[^>]*)?>(.*?)</td\s*>"))
-    texts = F.transform(
-        F.filter(cells, lambda c: F.size(c) >= 4),
-        lambda c: F.struct(
-            F.array_join(F.transform(c, flat_text), " | ").alias("text"), F.size(c).alias("n")
-        ),
-    )
+    texts = F.transform(_rows(html), lambda c: F.struct(F.array_join(c, " | ").alias("text"), F.size(c).alias("n")))
     kept = F.filter(texts, lambda r: (r["n"] >= 5) | F.contains(F.upper(r["text"]), F.upper(code)))
     return F.transform(kept, lambda r: r["text"])
 
 
+_text = _of_page(T.StringType(), lambda found: "".join(found.pieces()))
+
+
 def trademark_marks(html: Column) -> Column:
     """``struct(item, detail)`` per mark.
 
     A page without serial numbers falls back to its mark labels, numbered by
     their place in the list.
     """
-    body = F.regexp_replace(_drop(html, ("script", "style")), r"(?s)<[a-zA-Z/!][^>]*>", "")
-    text = t.decode_entities(body)
+    text = _text(html)
     main, alternate = p.portable(fv.TRADEMARK_SERIAL_MARK), p.portable(fv.TRADEMARK_WORD_MARK)
     serials = F.arrays_zip(_all(text, main, 1).alias("serial"), _all(text, main, 2).alias("mark"))
     serials = F.transform(serials, lambda m: F.struct(m["serial"].alias("serial"), t.strip(m["mark"]).alias("mark")))
@@ -231,24 +195,26 @@ def robots_directives(body: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
+def _asset_refs(found: dom.Page) -> dict:
+    media = (e.attrs.get("src") or e.attrs.get("data-src") or "" for e in found.named("img", "video", "source"))
+    links = (e.attrs for e in found.named("link"))
+    wanted = {"preload", "prefetch"}
+    return {
+        "media": [m for m in media if m],
+        "preloaded": [a["href"] for a in links if a.get("href") and wanted & set(a.get("rel", "").lower().split())],
+    }
+
+
+_assets = _of_page(_record(media=_STRINGS, preloaded=_STRINGS), _asset_refs)
+
+
 def page_assets(html: Column, base: Column, cdn_domains: Column) -> Column:
     """Media on the page and preloaded files, without query strings."""
-    html = _drop(html, ("script", "style"))
-    sources = F.transform(
-        _all(html, r"(?is)(<(?:img|video|source)\s[^>]*>)"),
-        lambda a: F.coalesce(F.nullif(attribute(a, "src"), F.lit("")), attribute(a, "data-src")),
-    )
-    media = F.transform(F.filter(sources, lambda s: s != ""), lambda s: u.resolve_url(base, s))
+    found = _assets(html)
+    media = F.transform(found["media"], lambda s: u.resolve_url(base, s))
     any_domain = cdn_domains.isNull() | (F.size(cdn_domains) == 0)
     media = F.filter(media, lambda s: any_domain | F.exists(cdn_domains, lambda d: F.contains(s, d)))
-    links = F.transform(
-        _all(html, r"(?is)(<link\s[^>]*>)"),
-        lambda a: F.struct(attribute(a, "rel").alias("rel"), attribute(a, "href").alias("href")),
-    )
-    preloaded = F.filter(
-        links, lambda a: a["rel"].rlike(r"(?i)(?:^|\s)(?:preload|prefetch)(?:\s|$)") & (a["href"] != "")
-    )
-    preloaded = F.transform(preloaded, lambda a: u.resolve_url(base, a["href"]))
+    preloaded = F.transform(found["preloaded"], lambda s: u.resolve_url(base, s))
     return F.array_distinct(F.transform(F.concat(media, preloaded), u.strip_query))
 
 

@@ -223,3 +223,118 @@ def test_bad_size_and_missing_key(one):
 def test_prefixed_sitemap(one):
     xml = '<s:urlset xmlns:s="x"><s:url><s:loc>https://a/1</s:loc></s:url></s:urlset>'
     assert one(page.page_locations, [xml])[0] == ["https://a/1"]
+
+
+HOSTILE = [
+    '<p title="a > b">text</p>', "<script>var a=1;", "x<nav>a<nav>b</nav>c</nav>d", "<div><nav>a</div>b", "<br/>x<p/>y<nav/>z",
+    "a < b <3 c", "<a href='x>y' b=1>t</a>", "<!-- a > b -->z<!doctype html>q", "<style>p{}</STYLE >w", "1 &lt; 2 &#169; &nbsp;",
+    "<ul><li>a<li>b</ul>c</nav>d", "<header><p>no</header>yes</p>", "<NAV>no</NAV>yes", "<script>'</p>'</script>k<p", "</p>x</ p>y",
+    "<p a=1 b='2' c>v</p><footer class=\"x>y\">no</footer>w", "<div><header>n<footer>m</header>o</footer>p</div>", "",
+]
+
+
+class Plain:
+    """Visible lines by the standard library's parser: a text counts if no open element hides it."""
+
+    def __init__(self):
+        from html.parser import HTMLParser
+
+        outer = self
+
+        class Walk(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                if tag not in ("br", "img", "link", "hr", "input", "meta"):
+                    outer.open.append(tag)
+
+            def handle_startendtag(self, tag, attrs):
+                outer.texts.append("\n")
+
+            def handle_endtag(self, tag):
+                if tag in outer.open:
+                    while outer.open.pop() != tag:
+                        pass
+
+            def handle_data(self, data):
+                if not set(outer.open) & {"script", "style", "nav", "footer", "header"}:
+                    outer.texts.append(data)
+
+            def unknown(self, *_):
+                outer.texts.append("\n")
+
+        self.open, self.texts, self.walk = [], [], Walk(convert_charrefs=True)
+
+    def lines(self, html):
+        from html.parser import HTMLParser
+
+        outer, walk = self, self.walk
+        for name in ("handle_starttag", "handle_endtag"):
+            inner = getattr(type(walk), name)
+
+            def run(*args, inner=inner):
+                outer.texts.append("\n")
+                return inner(walk, *args)
+
+            setattr(walk, name, run)
+        walk.handle_comment = walk.handle_decl = lambda *_: outer.texts.append("\n")
+        assert isinstance(walk, HTMLParser)
+        walk.feed(html)
+        walk.close()
+        return [s for line in "".join(self.texts).split("\n") if (s := line.strip())]
+
+
+def test_visible_lines_of_hostile_pages(one):
+    got = one(page.visible_text_lines, HOSTILE)
+    assert got == [Plain().lines(h) if not h.endswith("k<p") else ["k"] for h in HOSTILE]
+    assert got[0] == ["text"] and got[1] == [] and got[2] == ["x", "d"] and got[5] == ["a < b <3 c"]
+
+
+def test_pages_of_random_markup(one):
+    import random
+
+    rng, parts = random.Random(4), [
+        "<div>", "</div>", "<nav>", "</nav>", "<p class='a>b'>", "</p>", "<header id=x>", "</header>", "<br>", "one", " two ", "&amp;", "\n",
+        "<!-- c -->", "<footer>", "</footer>", "<b>", "</b>", "<script>if (a < b) '<nav>'</script>", "<style>x</style>", "<img src='>'>", " < ",
+    ]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    assert one(page.visible_text_lines, pages) == [Plain().lines(h) for h in pages]
+
+
+def test_selectors(one):
+    html = (
+        '<div class="x ad" id=k><p>one <i>two</i></p><p data-x="q 1">three</p></div><ul><li>a</li><li>b</li><li>c</li></ul>'
+        "<div><p>four</p></div><script>no</script>"
+    )
+    want = {
+        "div p": ["onetwo", "three", "four"], "div > p": ["onetwo", "three", "four"], ".ad.x > p": ["onetwo", "three"], "p + p": ["three"],
+        "p ~ p": ["three"], "#k i": ["two"], "div#k.ad p[data-x]": ["three"], "[data-x^=q]": ["three"], "[data-x~='1']": ["three"],
+        "[data-x$='2']": [], "li:nth-child(odd)": ["a", "c"], "li:first-child, li:last-child": ["a", "c"], "p:not([data-x])": ["onetwo", "four"],
+        "ul>li:nth-child(2)": ["b"], "DIV P": ["onetwo", "three", "four"], "div[": [], "> p": [], "p >": [], "": [], "script": ["no"], "ul li + li": ["b", "c"],
+    }
+    assert one(page.selected_text, [(html, s) for s in want]) == list(want.values())
+
+
+def test_hostile_pages_elsewhere(one):
+    html = '<img alt="a > b" src="/i.png"><script data-x="1 > 0" src="/one.js"></script><!-- <img src="/no.png"> --><link title=">" rel=preload href="/p.js">'
+    assert one(lambda b: page.page_assets(b, F.lit(BASE), F.array().cast("array<string>")), [html]) == [["h.example.com/i.png", "h.example.com/p.js"]]
+    assert one(lambda b: page.js_bundle_urls(b, F.lit(BASE)), [html]) == [["https://h.example.com/one.js", "https://h.example.com/p.js"]]
+    rows = '<table><tr title="x > y"><td a=">">ABC1<td>2</td><td>3</td><td>4<table><tr><td>5</td></tr></table></td></tr></table>'
+    assert one(lambda b: page.filing_rows(b, F.lit("abc")), [rows])[0][0].startswith("ABC1")
+    assert one(page.trademark_marks, ['<p title=">">12345678 - ALPHA ONE;</p><script>87654321 - NO;'])[0][0]["item"] == "12345678\tALPHA ONE"
+
+
+def test_feeds_are_read_as_xml(one):
+    prefixed = '<a:feed xmlns:a="x"><a:entry><a:title>p</a:title><a:link href="l"/><a:author><a:name>N</a:name></a:author></a:entry></a:feed>'
+    comment = "<feed><!-- <entry><title>no</title></entry> --><entry><title><![CDATA[c & d]]></title><summary/></entry></feed>"
+    broken = ["<feed><entry><title>broken</entry></feed>", "not xml", "", "<feed/>"]
+    stray = "<feed><entry><title>x & y &nbsp;</title></entry></feed>"
+    got = one(feed.atom_filings, [prefixed, comment, stray, *broken])
+    assert [[e["detail"]["title"] for e in g or []] for g in got] == [["p"], ["c & d"], ["x & y &nbsp;"], [], [], [], []]
+    assert got[0][0]["detail"]["link"] == "l"
+    papers = one(feed.arxiv_papers, [prefixed, comment])
+    assert papers[0][0]["detail"]["authors"] == "N" and papers[1][0]["item"] == "c & d" and papers[1][0]["detail"]["authors"] == ""
+
+
+def test_all_dependencies_are_kept(one):
+    names = {f"d{i}": "1" for i in range(25)}
+    got = one(feed.npm_version, [json.dumps({"version": "1", "dependencies": names})])[0]["detail"]
+    assert got["deps"] == ", ".join(names) and got["shown_deps"] == ", ".join(list(names)[:10])
