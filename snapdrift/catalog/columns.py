@@ -142,13 +142,15 @@ def keyed_lines(spark: SparkSession, folder: str) -> DataFrame:
     rows = h.document_captures(spark, folder)
     strings = F.concat(t.lines(F.col("body")), F.array(pick(SEEDS, F.col("scan_id"))))
     lines = rows.select("target_id", F.explode(strings).alias("item")).distinct()
-    return lines.join(h.document_targets(spark, folder).select("target_id", "keywords"), "target_id")
+    targets = h.document_targets(spark, folder).select("target_id", t.keyword_regex(F.col("keywords")).alias("regex"))
+    return lines.sortWithinPartitions("target_id").join(targets, "target_id")
 
 
 @query("doc_signal_filter", f"WITH {KEYED_LINES} SELECT target_id, item FROM keyed WHERE {q.doc_signal('item', 'keywords')}")
 def doc_signal_filter(spark, folder):
     rows = keyed_lines(spark, folder)
-    return rows.filter(flt.doc_signal(F.col("item"), F.col("keywords"))).select("target_id", "item")
+    keyword = t.keyword_hit(F.col("item"), F.col("regex"), if_none=False)
+    return rows.filter(flt.doc_signal(F.col("item"), keyword)).select("target_id", "item")
 
 
 @query(
@@ -157,10 +159,9 @@ def doc_signal_filter(spark, folder):
     f"{q.keyword_hit('item', 'keywords', False)} AS or_none FROM keyed",
 )
 def keyword_match(spark, folder):
-    item, keywords = F.col("item"), F.col("keywords")
+    item, regex = F.col("item"), F.col("regex")
     return keyed_lines(spark, folder).select(
-        "target_id", "item", t.contains_any(item, keywords, True).alias("or_all"),
-        t.contains_any(item, keywords, False).alias("or_none"),
+        "target_id", "item", t.keyword_hit(item, regex, True).alias("or_all"), t.keyword_hit(item, regex, False).alias("or_none")
     )
 
 

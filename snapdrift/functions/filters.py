@@ -10,10 +10,14 @@ from snapdrift.functions import patterns as p
 from snapdrift.functions import text as t
 
 
-def script_noise_ok(s: Column) -> Column:
-    """A stripped literal that may be interface text."""
+#: Longest literal and longest resource that may be product text; what is longer is code or a document.
+MAX_LITERAL = MAX_RESOURCE = 500
+
+
+def script_noise_ok(s: Column, longest: int = MAX_LITERAL) -> Column:
+    """A stripped literal of four to ``longest`` characters that may be interface text."""
     return (
-        F.length(s).between(4, 500)
+        F.length(s).between(4, longest)
         & ~s.isin(fv.SCRIPT_NOISE_TOKENS)
         & ~F.lower(s).isin(fv.SCRIPT_NOISE_TOKENS)
         & (t.count_chars(s, fv.CODE_CHARS) <= 3)
@@ -24,13 +28,12 @@ def script_noise_ok(s: Column) -> Column:
 
 def script_category(s: Column) -> Column:
     """Category of a kept literal, null when it is dropped."""
-    n, upper = t.word_count(s), t.starts_upper(s)
+    upper, one = t.starts_upper(s), t.has_words(s, 1)
     return (
-        F.when(s.rlike(p.SCRIPT_INTEREST), "high_interest")
-        .when(n >= 3, "ui_text")
-        .when((n >= 2) & upper, "feature_name")
-        .when((n == 1) & upper & (F.length(s) >= 5), "proper_noun")
-        .when((n == 1) & (F.length(s) < 8), None)
+        F.when(s.rlike(p.JVM_SCRIPT_INTEREST), "high_interest")
+        .when(t.has_words(s, 2), F.when(t.has_words(s, 3), "ui_text").when(upper, "feature_name").otherwise("string"))
+        .when(one & upper & (F.length(s) >= 5), "proper_noun")
+        .when(one & (F.length(s) < 8), None)
         .otherwise("string")
     )
 
@@ -38,13 +41,13 @@ def script_category(s: Column) -> Column:
 def script_kept(s: Column) -> Column:
     """Literals with a category; the pattern search is left to short single words."""
     upper = t.starts_upper(s) & (F.length(s) >= 5)
-    return (F.length(s) >= 8) | upper | (t.word_count(s) >= 2) | s.rlike(p.SCRIPT_INTEREST)
+    return (F.length(s) >= 8) | upper | t.has_words(s, 2) | s.rlike(p.JVM_SCRIPT_INTEREST)
 
 
-def resource_noise_ok(name: Column, value: Column) -> Column:
-    """U8: a resource whose stripped value may be product copy."""
+def resource_noise_ok(name: Column, value: Column, longest: int = MAX_RESOURCE) -> Column:
+    """U8: a resource whose stripped value, of four to ``longest`` characters, may be product copy."""
     return (
-        F.length(value).between(4, 500)
+        F.length(value).between(4, longest)
         & (t.count_chars(value, "%") <= 2)
         & (t.count_chars(value, "{") <= 3)
         & (t.letter_count(value) * 5 >= F.length(value) * 2)
@@ -57,25 +60,21 @@ def resource_category(value: Column) -> Column:
     """Category of a kept resource value, null when it is dropped."""
     title = value.rlike(fv.TITLE_CASE_PATTERN)
     return (
-        F.when(value.rlike(p.RESOURCE_INTEREST), "high_interest")
+        F.when(value.rlike(p.JVM_RESOURCE_INTEREST), "high_interest")
         .when(title & ~value.isin(fv.STOCK_LABELS), "feature_name")
         .when(title, None)
-        .when((t.word_count(value) >= 4) & t.starts_upper(value), "ui_text")
+        .when(t.starts_upper(value) & t.has_words(value, 4), "ui_text")
     )
 
 
-def doc_signal(line: Column, keywords: Column) -> Column:
-    """A documentation line with a product signal or a keyword."""
-    return (
-        (F.length(line) >= 10)
-        & ~line.rlike(p.DOC_NOISE)
-        & (line.rlike(p.DOC_SIGNAL) | t.contains_any(line, keywords, if_none=False))
-    )
+def doc_signal(line: Column, keyword: Column) -> Column:
+    """A documentation line with a product signal, or with a ``keyword`` of its target."""
+    return (F.length(line) >= 10) & ~line.rlike(p.DOC_NOISE) & (line.rlike(p.JVM_DOC_SIGNAL) | keyword)
 
 
 def notable_removed(s: Column) -> Column:
     """A vanished literal that reads like a name."""
-    return t.starts_upper(s) & (t.word_count(s) >= 2)
+    return t.starts_upper(s) & t.has_words(s, 2)
 
 
 def cert_subdomain(name: Column, domain: Column) -> Column:

@@ -47,7 +47,27 @@ def portable(pattern: str) -> str:
     return "".join(out)
 
 
-def any_of(patterns: Sequence[str], ignore_case: bool = False) -> str:
+def _by_first(patterns: Sequence[str], ahead: bool) -> str:
+    """An alternation that looks at the first letter once: patterns that begin with the same one share it.
+
+    ``ahead`` also looks for any first letter before it tries the patterns, as
+    far as they begin with one; matchers without look-ahead can't read that.
+    """
+    groups: dict[str, list[str]] = {}
+    for pattern in patterns:
+        literal = re.match(r"[A-Za-z0-9% ](?![?*+{|])", pattern) and "|" not in re.sub(r"\([^()]*\)", "", pattern)
+        groups.setdefault(pattern[0].lower() if literal else "", []).append(pattern)
+    parts = []
+    for first, own in groups.items():
+        if first and len(own) > 1:
+            parts.append(f"{first}(?:{'|'.join(x[1:] for x in own)})")
+        else:
+            parts += own
+    body = "|".join(parts)
+    return f"(?=[{''.join(groups)}])(?:{body})" if ahead and "" not in groups else body
+
+
+def any_of(patterns: Sequence[str], ignore_case: bool = False, ahead: bool = False) -> str:
     """One alternation, compiled once per task.
 
     Patterns with a common start share it: a matcher then looks at the head of
@@ -57,7 +77,8 @@ def any_of(patterns: Sequence[str], ignore_case: bool = False) -> str:
     for pattern in map(portable, patterns):
         start = next((s for s in ("^", BOUNDARY_BEFORE) if pattern.startswith(s)), "")
         starts.setdefault(start, []).append(pattern[len(start) :])
-    body = "|".join(f"{start}(?:{'|'.join(rest)})" for start, rest in starts.items())
+    alike = (lambda rest: _by_first(rest, True)) if ahead and ignore_case else "|".join
+    body = "|".join(f"{start}(?:{alike(rest)})" for start, rest in starts.items())
     return f"(?i){body}" if ignore_case else body
 
 
@@ -72,6 +93,10 @@ DOC_SIGNAL = any_of(fv.DOC_SIGNAL_PATTERNS, ignore_case=True)
 DOC_NOISE = any_of(fv.DOC_NOISE_PATTERNS, ignore_case=True)
 RESOURCE_NAME_NOISE = f"(?i)^(?:{any_word(fv.RESOURCE_NAME_PREFIXES)})"
 RESOURCE_NOISE = any_of(fv.RESOURCE_NOISE_PATTERNS, ignore_case=True)
+# the same for the JVM's matcher
+JVM_SCRIPT_INTEREST = any_of(fv.SCRIPT_INTEREST_PATTERNS, ignore_case=True, ahead=True)
+JVM_DOC_SIGNAL = any_of(fv.DOC_SIGNAL_PATTERNS, ignore_case=True, ahead=True)
+JVM_RESOURCE_INTEREST = any_of(fv.RESOURCE_INTEREST_PATTERNS, ignore_case=True, ahead=True)
 RESOURCE_INTEREST = any_of(fv.RESOURCE_INTEREST_PATTERNS, ignore_case=True)
 CERT_NOISE_WORDS = any_word(fv.CERT_NOISE_WORDS)
 CERT_NOISE = any_of(fv.CERT_NOISE_PATTERNS)

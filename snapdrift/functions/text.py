@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snapdrift.functions import patterns as p
 
@@ -31,6 +34,12 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[^{p.BLANK}]+"))
 
 
+def has_words(text: Column, n: int) -> Column:
+    """Whether there are ``n`` words; a matcher stops at the last of them."""
+    word, gap = f"[^{p.BLANK}]", f"[{p.BLANK}]+"
+    return text.rlike(word + f"{gap}{word}+" * (n - 2) + (f"{gap}{word}" if n > 1 else ""))
+
+
 def starts_upper(text: Column) -> Column:
     return text.rlike(p.UPPER_FIRST)
 
@@ -107,8 +116,64 @@ def contains_any(text: Column, needles: Column, if_none: bool) -> Column:
     return F.when(empty, F.lit(if_none)).otherwise(hit)
 
 
+def _literal(c: str) -> str:
+    return c if c.isalnum() and c.isascii() else f"\\x{{{ord(c):x}}}"
+
+
+def any_of_words(words: Iterable[str]) -> str:
+    """A regex that finds any of ``words``, shared beginnings tried once: how many words there are hardly matters to a search."""
+    trie: dict = {}
+    for word in words:
+        node = trie
+        for c in word:
+            if "" in node:  # a shorter word is found first
+                break
+            node = node.setdefault(c, {})
+        else:
+            node.clear()
+            node[""] = None
+
+    def regex(node: dict) -> str:
+        run = ""
+        while len(node) == 1 and "" not in node:  # no choice: no group
+            c, node = next(iter(node.items()))
+            run += _literal(c)
+        if "" in node:
+            return run
+        branches = "|".join(_literal(c) + regex(below) for c, below in sorted(node.items()))
+        return f"{run}(?=[{''.join(_literal(c) for c in sorted(node))}])(?:{branches})"
+
+    return regex(trie) if trie else ""
+
+
+@F.pandas_udf(T.StringType())
+def _word_regex(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for lists in batches:
+        yield pd.Series([None if ws is None or not len(ws) else any_of_words(w for w in ws if w is not None) for ws in lists], dtype=object)
+
+
+def keyword_regex(needles: Column) -> Column:
+    """One regex for a target's keywords, made once with its watchlist row; null without keywords."""
+    return _word_regex(F.transform(needles, lambda k: F.lower(k)))
+
+
+def keyword_hit(text: Column, regex: Column, if_none: bool) -> Column:
+    """U4 by :func:`keyword_regex`: a text is searched once, not once per keyword.
+
+    ``regexp_instr`` keeps the last pattern it compiled, so rows of a target
+    should come together.
+    """
+    return F.when(regex.isNull(), F.lit(if_none)).otherwise(F.regexp_instr(F.lower(text), regex) > 0)
+
+
 def matches_any(text: Column, regexes: Column) -> Column:
-    """Some per-target pattern is found; no pattern keeps everything."""
-    hit = F.exists(regexes, lambda r: F.regexp_like(text, F.concat(F.lit("(?i)"), r)))
+    """Some per-target pattern is found; no pattern keeps everything.
+
+    Patterns are searched as one, which is compiled once for rows of a target
+    that come together; those that refer to their own groups one by one.
+    """
+    own = F.exists(regexes, lambda r: r.rlike(r"\\[1-9k]"))
+    single = F.exists(regexes, lambda r: F.regexp_like(text, F.concat(F.lit("(?i)"), r)))
+    joined = F.concat(F.lit("(?i)(?:"), F.array_join(regexes, ")|(?:"), F.lit(")"))
     empty = regexes.isNull() | (F.size(regexes) == 0)
-    return F.when(empty, F.lit(True)).otherwise(hit)
+    return F.when(empty, F.lit(True)).when(own, single).otherwise(F.regexp_instr(text, joined) > 0)
