@@ -2,55 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapdrift.functions import filters as flt
 from snapdrift.functions import fixed_values as fv
+from snapdrift.functions import patterns as p
 from snapdrift.functions import text as t
 from snapdrift.operators import page_extractors as page
 from snapdrift.operators.diff import distinct_items
 from snapdrift.operators.scans import usable_captures
 from snapdrift.schema import KEYS, SCAN
-from snapdrift.sources.staging import stage
+from snapdrift.sources.staging import stage, written
+
+FOLDED = 4
 
 
 def bundle_urls(captures: DataFrame, targets: DataFrame) -> DataFrame:
-    """The script addresses of each page."""
+    """The script addresses of each page; pages are read before their target is looked up only where it names the base."""
     pages = usable_captures(captures).filter("role = 'page'").join(targets.select(*KEYS, F.col("url").alias("base")), list(KEYS))
     return pages.select(*SCAN, F.explode(page.js_bundle_urls(F.col("body"), F.col("base"))).alias("url"))
 
 
-def bundle_captures(captures: DataFrame, targets: DataFrame) -> DataFrame:
-    """Delivered scripts that their page names."""
-    bundles = usable_captures(captures).filter("role = 'bundle'")
-    return bundles.join(bundle_urls(captures, targets), [*SCAN, "url"], "left_semi")
+def bundle_items(captures: DataFrame, targets: DataFrame, entries: Column) -> tuple[DataFrame, DataFrame]:
+    """``SCAN, url, entries`` of delivered scripts that their page names, and the scans that have one.
+
+    Scripts are read where they lie, without those of trackers, which no page
+    counts as naming; what meets the pages' addresses is the entries, no body.
+    """
+    bundles = usable_captures(captures).filter(F.col("role") == "bundle").filter(~F.lower("url").rlike(p.TRACKER_WORDS))
+    read = stage(bundles.select(*SCAN, "url", entries.alias("entries")), "bundles")
+    named = read.join(bundle_urls(captures, targets), [*SCAN, "url"], "left_semi")
+    return named, named.select(*SCAN)
 
 
 def sitemap_urls(captures: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Page addresses of a sitemap and of every sitemap below it.
+    """Page addresses of a sitemap and of every sitemap below it. Returns the items and the root captures.
+
+    Each body is read once, into rows of addresses; what is reached from the
+    roots is then found among the narrow edges from sitemap to sitemap.
+    """
+    usable = usable_captures(captures)
+    listed = usable.select(
+        *SCAN, "url", page.page_locations(F.col("body")).alias("pages"), page.child_sitemaps(F.col("body")).alias("children")
+    )
+    listed = written(listed, "sitemaps")
+    roots = listed.select(*SCAN, "url").join(targets.select(*KEYS, "url"), [*KEYS, "url"], "left_semi")
+    edges = listed.select(*SCAN, "url", F.explode("children").alias("child"))
+    found = reached(roots.distinct(), edges)
+    items = listed.filter(F.size("pages") > 0).join(found, [*SCAN, "url"], "left_semi")
+    return items.select(*SCAN, F.explode("pages").alias("item")), roots.select(*SCAN)
+
+
+def reached(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``SCAN, url`` of the roots and of all that ``edges (SCAN, url, child)`` lead to; cycles end.
 
-    Each round joins the documents named by the last one, until an index names
-    nothing new. Returns the items and the root captures.
+    Every round follows the edges of what the last one found, until it finds
+    nothing new; rows are addresses, and each round's are written.
     """
-    usable = usable_captures(captures).select(*SCAN, "url", "body")
-    roots = usable.join(targets.select(*KEYS, "url"), [*KEYS, "url"], "left_semi")
-    documents, level = usable, roots
-    found, named = [], []
+    key = [*SCAN, "url"]
+    levels = [written(roots, "sitemap-level")]
+    edges = written(edges.distinct(), "sitemap-edges")
     while True:
-        found.append(level.select(*SCAN, F.explode(page.page_locations(F.col("body"))).alias("item")))
-        below = level.select(*SCAN, F.explode(page.child_sitemaps(F.col("body"))).alias("url")).distinct()
-        for earlier in [roots.select(*SCAN, "url"), *named]:
-            below = below.join(earlier, [*SCAN, "url"], "left_anti")
-        below = stage(below, "sitemap-level")
+        below = edges.join(levels[-1], key).select(*SCAN, F.col("child").alias("url")).distinct()
+        for level in levels:
+            below = below.join(level, key, "left_anti")
+        below = written(below, "sitemap-level")
         if below.isEmpty():
-            break
-        named.append(below)
-        level = documents.join(below, [*SCAN, "url"], "left_semi")
-    items = found[0]
-    for more in found[1:]:
-        items = items.unionByName(more)
-    return items, roots.select(*SCAN)
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(below)
+        if len(levels) > FOLDED:  # so that a round compares with few tables however deep the index is
+            levels[:-1] = [written(reduce(DataFrame.unionByName, levels[:-1]), "sitemap-levels")]
 
 
 def subdomain_candidates(targets: DataFrame) -> DataFrame:
