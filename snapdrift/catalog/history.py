@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,24 +18,22 @@ from snapdrift.operators import feed_extractors as feed
 from snapdrift.operators import page_extractors as page
 from snapdrift.operators.report import Section
 from snapdrift.plans.detect import ItemMonitor, detect, version_transition
+from snapdrift.plans.incremental import read_sink
 from snapdrift.plans.monitors import MONITORS, script_bucket
 from snapdrift.plans.runner import run_all
 from snapdrift.schema import CAPTURES, KEYS, SCAN
 from snapdrift.sources import histories as h
 from snapdrift.sources import sinks, targets as wl
 from snapdrift.sources import watchlist_defaults as wd
-from snapdrift.sources.staging import shared_folder
+from snapdrift.sources.staging import shared_folder, written
 from snapdrift.streaming import jobs
 
 OPS = ("target_id", "scan_id", "op", "item")
 
 
 def workspace(df: DataFrame) -> str:
-    """A fresh folder below the cluster's shared one; a local one where none is named."""
-    shared = shared_folder(df)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="snapdrift-")
-    return f"{shared.rstrip('/')}/snapdrift/run-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one."""
+    return f"{shared_folder(df.sparkSession)}/snapdrift/run-{uuid.uuid4().hex}"
 
 
 def gate(items: DataFrame) -> DataFrame:
@@ -170,10 +167,10 @@ LINE_CTES = f"docs AS ({cte.DOCS}), {m.DOC_ITEMS}, scans AS (SELECT DISTINCT tar
 
 def line_changes(spark: SparkSession, folder: str) -> DataFrame:
     rows = scans.usable_captures(h.document_captures(spark, folder))
-    body = page.visible_text(F.col("body"))
-    marks = rows.select(*SCAN, scans.text_fingerprint(body).alias("fingerprint"))
-    items = diff.explode_items(rows, feed.plain(F.array_distinct(F.split(body, "\n"))))
-    return diff.history_diff(items.select(*SCAN, "item"), scans.change_gate(marks))
+    rows = rows.select(*SCAN, page.visible_text(F.col("body")).alias("text"))
+    rows = written(rows.withColumn("fingerprint", scans.text_fingerprint(F.col("text"))), "lines")
+    items = rows.select(*SCAN, F.explode(F.array_distinct(F.split("text", "\n"))).alias("item"))
+    return diff.history_diff(items, scans.change_gate(rows.select(*SCAN, "fingerprint")))
 
 
 @query("line_diff", f"WITH {LINE_CTES} SELECT op, target_id, scan_id, item FROM ch")
@@ -395,8 +392,9 @@ def change_counts(spark, folder):
 )
 def priority_bucket(spark, folder):
     added = line_changes(spark, folder).filter("op = 'added'")
-    keywords = h.document_targets(spark, folder).select("target_id", "keywords")
-    rows = added.join(keywords, "target_id").withColumn("target", F.struct("keywords"))
+    regex = t.keyword_regex(F.col("keywords")).alias("keyword_regex")
+    keywords = h.document_targets(spark, folder).select("target_id", F.struct(regex).alias("target"))
+    rows = added.sortWithinPartitions("target_id").join(keywords, "target_id")
     bucket = script_bucket(F.col("item"), F.lit(None), F.col("target"))
     return rows.select("target_id", "scan_id", "item", bucket.alias("bucket"))
 
@@ -521,7 +519,7 @@ def _stream(monitor: str, body):
             return jobs.stream_detect(stream, watchlist, MONITORS[monitor], f"{base}/state", f"{base}/out", f"{base}/cp")
 
         base = in_two_runs(captures, CAPTURES, start)
-        return report_rows(spark.read.parquet(f"{base}/out/reports").drop("epoch"))
+        return report_rows(read_sink(spark, f"{base}/out", "reports", monitor).drop("epoch"))
 
     return run
 
@@ -544,7 +542,7 @@ def stream_detect_stateful(spark, folder):
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
     def start(stream: DataFrame, base: str):
-        changes = jobs.stream_set_changes(stream, F.col("items"), shares=2)
+        changes = jobs.stream_set_changes(stream, F.col("items"), shares=4)
         writer = changes.writeStream.option("checkpointLocation", f"{base}/cp").trigger(availableNow=True)
         return writer.format("parquet").option("path", f"{base}/out").start()
 
@@ -555,11 +553,13 @@ def stream_detect_stateful(spark, folder):
     return spark.read.schema(jobs.CHANGES).parquet(f"{base}/out").select(*OPS)
 
 
-@query("stream_first_seen", f"SELECT DISTINCT target_id, item FROM ({cte.EVENTS})")
+@query(
+    "stream_first_seen",
+    f"SELECT target_id, item, min(scan_id) AS first_seen, max(scan_id) AS last_seen FROM ({cte.EVENTS}) GROUP BY ALL",
+)
 def stream_first_seen(spark, folder):
     def start(stream: DataFrame, base: str):
-        writer = jobs.stream_first_seen(stream).writeStream.option("checkpointLocation", f"{base}/cp")
-        return writer.trigger(availableNow=True).format("parquet").option("path", f"{base}/out").start()
+        return jobs.stream_first_seen(stream, f"{base}/registry", f"{base}/new", f"{base}/cp")
 
     base = in_two_runs(h.event_items(spark, folder), "monitor string, target_id string, scan_id bigint, item string", start)
-    return spark.read.parquet(f"{base}/out").select("target_id", "item")
+    return jobs.read_registry(spark, f"{base}/registry").drop("monitor")

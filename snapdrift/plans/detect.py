@@ -1,7 +1,8 @@
 """The shared plan of all monitors: extract, gate, diff, rank, word.
 
 A monitor is data (:mod:`snapdrift.plans.monitors`); this module turns it into
-one lazy DataFrame of reports.
+a DataFrame of reports. Planning may run jobs: what several parts of the plan
+read is written to the shared folder first (:mod:`snapdrift.sources.staging`).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snapdrift.functions.text import keyword_regex
 from snapdrift.operators.diff import distinct_items, history_diff, ordered_new
 from snapdrift.operators.report import Section, change_counts, section_text, top_per_bucket
 from snapdrift.operators.scans import (
@@ -24,7 +26,7 @@ from snapdrift.operators.scans import (
     with_previous,
 )
 from snapdrift.schema import KEPT_CHANGES, KEYS, SCAN
-from snapdrift.sources.staging import stage
+from snapdrift.sources.staging import stage, written
 
 ENTRY = "array<struct<item:string,detail:map<string,string>>>"
 FIELDS = "array<struct<name:string,value:string,inline:boolean>>"
@@ -82,7 +84,8 @@ class ItemMonitor:
     the items of one scan come from several captures; it returns the items and
     the scans that took place. ``choose`` picks one of several sources first.
     With ``follows`` only scans in which that monitor saw a new version, or the
-    target for the first time, take part.
+    target for the first time, take part. A monitor that ``searches`` looks for
+    a target's keywords or patterns in its changes.
     """
 
     monitor: str
@@ -96,6 +99,7 @@ class ItemMonitor:
     order: str = "item"
     detailed: bool = False
     follows: VersionMonitor | None = None
+    searches: bool = False
 
 
 @dataclass(frozen=True)
@@ -117,14 +121,19 @@ class VersionMonitor:
     fields: Callable[[], Column] | None = None
 
 
-def with_target(df: DataFrame, targets: DataFrame) -> DataFrame:
+def with_target(df: DataFrame, targets: DataFrame, searched: bool = False) -> DataFrame:
     """Attach the watchlist row as ``target``; unlisted targets drop out.
 
     The join side is left to the optimizer: it broadcasts a watchlist below
-    the size limit and splits skewed keys of a larger one.
+    the size limit and splits skewed keys of a larger one. Rows that are to be
+    ``searched`` get the target's keywords as one regex and are put in the order
+    of their targets, so that it is compiled once for each.
     """
-    row = F.struct("name", "ticker", "url", "domain", "keywords", "patterns", "attrs").alias("target")
-    return df.join(targets.select(*KEYS, row), list(KEYS))
+    columns = ["name", "ticker", "url", "domain", "keywords", "patterns", "attrs"]
+    if searched:
+        columns.append(keyword_regex(F.col("keywords")).alias("keyword_regex"))
+        df = df.sortWithinPartitions(*KEYS)
+    return df.join(targets.select(*KEYS, F.struct(*columns).alias("target")), list(KEYS))
 
 
 def _columns(spec: ItemMonitor) -> list[str]:
@@ -212,11 +221,12 @@ def _target_words() -> dict[str, Column]:
 
 def bucketed(changes: DataFrame, targets: DataFrame, spec: ItemMonitor) -> DataFrame:
     """``changes`` of listed targets with their ``bucket``; null if an alert does not report them."""
-    rows = with_target(changes, targets)
+    rows = with_target(changes, targets, spec.searches)
     detail = F.col("detail") if spec.detailed else F.lit(None)
     bucket = F.coalesce(*[F.when(F.col("op") == a.op, a.bucket(F.col("item"), detail, F.col("target"))) for a in spec.alerts])
     # counts, rankings and the table of changes read this: patterns are searched once per change
-    return stage(rows.select(*changes.columns, bucket.cast("string").alias("bucket")), f"{spec.monitor}-changes")
+    keep = written if spec.searches else stage
+    return keep(rows.select(*changes.columns, bucket.cast("string").alias("bucket")), f"{spec.monitor}-changes")
 
 
 def kept_changes(rows: DataFrame) -> DataFrame:

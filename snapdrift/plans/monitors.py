@@ -16,7 +16,7 @@ from snapdrift.operators.diff import explode_items
 from snapdrift.operators.report import Section
 from snapdrift.operators.scans import pick_by_configuration, pick_by_success, usable_captures
 from snapdrift.operators.watch import (
-    bundle_captures,
+    bundle_items,
     landed_resources,
     resolved_subdomains,
     resource_items,
@@ -50,19 +50,20 @@ def script_strings(body: Column) -> Column:
 
 
 def _script_items(captures: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    bundles = bundle_captures(captures, targets)
-    return explode_items(bundles, feed.plain(script_strings(F.col("body")))), bundles
+    bundles, scans = bundle_items(captures, targets, script_strings(F.col("body")))
+    return bundles.select(*SCAN, F.explode("entries").alias("item")), scans
 
 
 def script_bucket(item: Column, detail: Column, target: Column) -> Column:
     """R2: a keyword beats the category; uncategorised text is only counted."""
     reported = F.create_map(*[F.lit(c) for c in ("high_interest", "feature_name", "ui_text") for _ in range(2)])
-    keyword = t.contains_any(item, target["keywords"], if_none=False)
+    keyword = t.keyword_hit(item, target["keyword_regex"], if_none=False)
     return F.when(keyword, "keyword").otherwise(F.try_element_at(reported, flt.script_category(item)))
 
 
 JS_DEEP = ItemMonitor(
     monitor="js_deep",
+    searches=True,
     collect=_script_items,
     alerts=(
         Alert(
@@ -110,12 +111,15 @@ def _distinct_lines(text: Column) -> Column:
 
 DOCS = ItemMonitor(
     monitor="docs",
+    searches=True,
     entries=lambda: _distinct_lines(page.visible_text(F.col("body"))),
     guarded=False,
     alerts=(
         Alert(
             op="added",
-            bucket=lambda item, detail, target: F.when(flt.doc_signal(item, target["keywords"]), "all"),
+            bucket=lambda item, detail, target: F.when(
+                flt.doc_signal(item, t.keyword_hit(item, target["keyword_regex"], if_none=False)), "all"
+            ),
             sections=_one(10, _line("+ {x}", 150)),
             title="Doc Change: {name}",
             head="**{n_added} lines added, {n_removed} removed**",
@@ -148,6 +152,7 @@ PAGE_CHANGE = ItemMonitor(
 
 SITEMAP = ItemMonitor(
     monitor="sitemap",
+    searches=True,
     collect=sitemap_urls,
     guarded=False,
     alerts=(
@@ -353,6 +358,7 @@ SEC_8K = ItemMonitor(
 
 GITHUB_PRS = ItemMonitor(
     monitor="github_prs",
+    searches=True,
     entries=lambda: feed.pull_requests(F.col("body")),
     mode="list",
     order="pos",
@@ -362,7 +368,7 @@ GITHUB_PRS = ItemMonitor(
         Alert(
             op="added",
             bucket=lambda item, detail, target: F.when(
-                t.contains_any(detail["title"], target["keywords"], if_none=True), "all"
+                t.keyword_hit(detail["title"], target["keyword_regex"], if_none=True), "all"
             ),
             sections=_one(
                 10, lambda i, d: phrase("• **{title}** (#{number})", title=t.clip(d["title"], 80), number=d["number"])
@@ -412,6 +418,7 @@ def _job_titles() -> Column:
 
 JOBS = ItemMonitor(
     monitor="jobs",
+    searches=True,
     entries=_job_titles,
     choose=lambda captures, targets: pick_by_configuration(captures, targets, JOB_SOURCES),
     order="pos",
@@ -419,7 +426,7 @@ JOBS = ItemMonitor(
         Alert(
             op="added",
             bucket=lambda item, detail, target: F.when(
-                t.contains_any(item, target["keywords"], if_none=True), "all"
+                t.keyword_hit(item, target["keyword_regex"], if_none=True), "all"
             ),
             sections=_one(15, _line("* {x}", 120)),
             title="New Job Postings: {name} ({ticker})",
@@ -651,7 +658,7 @@ NPM = VersionMonitor(
     url="https://www.npmjs.com/package/{target_id}",
     fields=lambda: fields(
         ("Package", phrase("[{p}](https://www.npmjs.com/package/{p})", p=F.col("target_id")), True),
-        ("New Deps", F.col("detail")["deps"], False),
+        ("New Deps", F.col("detail")["shown_deps"], False),
     ),
     detection_type="version_update",
     log_title="{target_id} {version}",

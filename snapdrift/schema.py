@@ -11,10 +11,21 @@ _TYPES = {
     "timestamp": T.TimestampType(),
     "strings": T.ArrayType(T.StringType()),
     "map": T.MapType(T.StringType(), T.StringType()),
+    # open scans with the epochs their captures came in, and scans that are due with the version that made them so
+    "opens": T.ArrayType(
+        T.StructType(
+            [
+                T.StructField("scan_id", T.LongType()),
+                T.StructField("epochs", T.ArrayType(T.IntegerType())),
+                T.StructField("last_at", T.TimestampType()),
+            ]
+        )
+    ),
+    "dues": T.ArrayType(T.StructType([T.StructField("scan_id", T.LongType()), T.StructField("version", T.StringType())])),
 }
 
 
-def _table(columns: str) -> T.StructType:
+def table_of(columns: str) -> T.StructType:
     """A layout from ``name type`` pairs; needs no running session."""
     pairs = (c.split() for c in columns.split(","))
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
@@ -25,28 +36,32 @@ SCAN = (*KEYS, "scan_id")
 
 # One landed reply. ``role`` tells apart the documents of one scan, such as a
 # page and its bundles; most monitors leave it null.
-CAPTURES = _table(
+CAPTURES = table_of(
     "monitor string, target_id string, scan_id bigint, captured_at timestamp, status int, "
     "content_type string, url string, role string, body string"
 )
 
-TARGETS = _table(
+TARGETS = table_of(
     "monitor string, target_id string, name string, ticker string, url string, domain string, "
     "keywords strings, patterns strings, attrs map"
 )
 
-DETECTIONS = _table(
+DETECTIONS = table_of(
     "monitor string, target_id string, scan_id bigint, detection_type string, title string, details string"
 )
 
 # Every kept change of a run. Of a version monitor ``op`` and ``bucket`` are
 # "version", ``item`` is the new version, and ``detail`` also holds
 # ``old_version`` and the whole ``notes``.
-KEPT_CHANGES = _table(
+KEPT_CHANGES = table_of(
     "monitor string, target_id string, scan_id bigint, op string, bucket string, item string, detail map"
 )
 
-# Feed layouts, read with ``from_json``; a field that is absent becomes null.
+# Feed layouts, read with ``from_xml`` and ``from_json``; a field that is absent becomes null.
+ATOM_FEED = (
+    "struct<entry:array<struct<title:array<string>,updated:array<string>,summary:array<string>,id:array<string>,"
+    "published:array<string>,link:array<struct<_href:string>>,author:array<struct<name:array<string>>>>>>"
+)
 RELEASES = "array<struct<id:bigint,tag_name:string,name:string,body:string,html_url:string>>"
 PULL_REQUESTS = "array<struct<id:bigint,title:string,number:int>>"
 APP_LOOKUP = (

@@ -2,30 +2,51 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(df: DataFrame) -> str | None:
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="snapdrift-")
+
+
+def named_folder(spark: SparkSession) -> str | None:
     """The checkpoint folder the cluster names, if it names one."""
-    return df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or None
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else None
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder every executor can reach: the one the cluster names, or one of this machine if all tasks run here."""
+    named = named_folder(spark)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or _own_folder()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: made once, and a lost executor costs a re-read.
 
-    Extraction is then done once, its readers prune columns, and a lost
-    executor costs a re-read. Without a shared folder the plan stays lazy.
+    The job runs when this is called; the folder is the cluster's to clean up.
     """
-    folder = shared_folder(df)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/snapdrift/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/snapdrift/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """:func:`written` where a shared folder is named, so that readers prune columns and lineage is cut.
+
+    Without one all tasks run in this process and exchanges are reused within a
+    plan, which is faster than writing there; the plan then stays lazy.
+    """
+    return df if named_folder(df.sparkSession) is None else written(df, name)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a table that comes in fewer splits than there are cores a task per core.
 

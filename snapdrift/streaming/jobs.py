@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from snapdrift.plans.detect import ItemMonitor, VersionMonitor
-from snapdrift.plans.incremental import run_epoch
-from snapdrift.schema import KEYS
+from snapdrift.plans.incremental import run_epoch, run_epoch_all
+from snapdrift.plans.monitors import MONITORS
+from snapdrift.plans.state import BUCKETS, State, Table, plain_segments, read_manifest
+from snapdrift.schema import KEYS, table_of
+
+DRAIN = {"availableNow": True}
 
 
 def stream_detect(
@@ -23,92 +27,210 @@ def stream_detect(
     sink: str,
     checkpoint: str,
     trigger: dict | None = None,
+    delay: timedelta | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Each micro-batch runs the batch plan against the stored state.
 
     Reports and state are written per epoch, so a batch that is replayed after
     a failure overwrites its own folders. Several scans of a target in one
-    batch are compared with each other like a history.
+    batch are compared with each other like a history. With ``delay`` a scan of
+    several captures also closes by event time.
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        run_epoch(df, targets, spec, state, sink, epoch)
+        run_epoch(df, targets, spec, state, sink, epoch, delay=delay, buckets=buckets)
 
     writer = captures.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    return writer.trigger(**(trigger or DRAIN)).start()
 
 
-CHANGES = T.StructType(
-    [
-        T.StructField("monitor", T.StringType()),
-        T.StructField("target_id", T.StringType()),
-        T.StructField("scan_id", T.LongType()),
-        T.StructField("op", T.StringType()),
-        T.StructField("item", T.StringType()),
-    ]
-)
+def stream_detect_all(
+    captures: DataFrame,
+    targets: DataFrame,
+    state: str,
+    sink: str,
+    checkpoint: str,
+    specs: Iterable[ItemMonitor | VersionMonitor] = tuple(MONITORS.values()),
+    trigger: dict | None = None,
+    delay: timedelta | None = None,
+    buckets: int = BUCKETS,
+) -> StreamingQuery:
+    """T1 for every monitor: one stream, one state folder, one sink.
+
+    A batch in which a monitor failed fails after the others are done, and is
+    repeated by Spark; those that had gone well write the same again.
+    """
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        landed = df.persist()
+        try:
+            errors = run_epoch_all(landed, targets, specs, state, sink, epoch, delay=delay, buckets=buckets)
+        finally:
+            landed.unpersist()
+        failed = {m: e for m, e in errors.items() if e}
+        if failed:
+            raise RuntimeError(f"epoch {epoch}: {failed}")
+
+    writer = captures.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or DRAIN)).start()
+
+
+CHANGES = table_of("monitor string, target_id string, scan_id bigint, op string, item string")
+CHUNK = 4096
+GONE = 1 << 16
 
 
 class SetState(StatefulProcessor):
-    """Items of the last scan, per target and share of its items."""
+    """Which items a share of a target's set holds, one entry an item.
+
+    ``items`` maps an item to the scans of the last batch that named it, with
+    the scan before that batch in front if it was there then. An item is present
+    if it was named by the last scan. Nothing but one item is ever held: rows
+    are applied as they come, and the entries are then walked once.
+    """
+
+    def __init__(self, ttl: timedelta | None = None) -> None:
+        self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("scan_id", T.LongType())]))
-        self.items = handle.getMapState(
-            "items",
-            T.StructType([T.StructField("item", T.StringType())]),
-            T.StructType([T.StructField("scan_id", T.LongType())]),
-        )
+        ttl = None if self.ttl is None else int(self.ttl.total_seconds() * 1000)
+        self.last = handle.getValueState("last", "scan_id long")
+        self.items = handle.getMapState("items", "item string", "scans array<long>", ttlDurationMs=ttl)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        last = int(initialState["scan_id"].max())
+        self.last.update((last,))
+        for item, scan_id in zip(initialState["item"], initialState["scan_id"]):
+            if item is not None and scan_id == last:
+                self.items.updateValue((item,), ([last],))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        scans = pd.concat(list(rows), ignore_index=True).sort_values("scan_id")
-        known = {k[0] for k in self.items.keys()} if self.last.exists() else set()
         last = self.last.get()[0] if self.last.exists() else None
-        stored, out = set(known), []
-        for scan_id, group in scans.groupby("scan_id", sort=True):
-            if last is not None and scan_id <= last:
-                continue
-            current = {x for items in group["items"] for x in items}
-            if last is not None:
-                out += [(scan_id, "added", x) for x in current - known]
-                out += [(scan_id, "removed", x) for x in known - current]
-            known, last = current, int(scan_id)
-        if last is None:
+        scans: set[int] = set()
+        for frame in rows:
+            for scan_id, item in zip(frame["scan_id"].tolist(), frame["item"].tolist()):
+                if last is not None and scan_id <= last:
+                    continue
+                scans.add(scan_id)
+                if item is not None:
+                    self._name(item, scan_id, last)
+        if not scans:
             return
-        for gone in stored - known:
-            self.items.removeKey((gone,))
-        for new in known - stored:
-            self.items.updateValue((new,), (last,))
-        self.last.update((last,))
+        order = sorted(scans)
+        yield from self._walk(key, order, last)
+        self.last.update((order[-1],))
+
+    def _name(self, item: str, scan_id: int, last: int | None) -> None:
+        known = self.items.getValue((item,))
+        seen = [] if known is None else [int(s) for s in known[0]]
+        if seen and last is not None and seen[-1] <= last:  # of an earlier batch
+            seen = [last] if seen[-1] == last else []
+        if scan_id not in seen:
+            self.items.updateValue((item,), (sorted([*seen, scan_id]),))
+
+    def _walk(self, key, order: list[int], last: int | None) -> Iterator[pd.DataFrame]:
+        out, gone = [], []
+        for (item,), (seen,) in self.items.iterator():
+            named = {int(s) for s in seen}
+            if max(named) < order[-1] and len(gone) < GONE:
+                gone.append(item)  # beyond GONE it goes after a later batch; until then it counts as absent
+            there = (order[0] if last is None else last) in named
+            for scan_id in order[1:] if last is None else order:
+                now = scan_id in named
+                if now != there:
+                    out.append((*key[:2], scan_id, "added" if now else "removed", item))
+                there = now
+            if len(out) >= CHUNK:
+                yield pd.DataFrame(out, columns=CHANGES.names)
+                out = []
+        for item in gone:
+            self.items.removeKey((item,))
         if out:
-            frame = pd.DataFrame(out, columns=["scan_id", "op", "item"])
-            frame.insert(0, "target_id", key[1])
-            frame.insert(0, "monitor", key[0])
-            yield frame
+            yield pd.DataFrame(out, columns=CHANGES.names)
 
     def close(self) -> None:
         pass
 
 
-def stream_set_changes(scans: DataFrame, items: Column, shares: int = 1) -> DataFrame:
+def stream_set_changes(
+    scans: DataFrame, items: Column, shares: int = 16, initial: DataFrame | None = None, ttl: timedelta | None = None
+) -> DataFrame:
     """Changes of item sets with the state kept by Spark.
 
-    ``scans`` is a stream of (monitor, target_id, scan_id) rows and ``items``
-    the array of a scan's items. A target's items are split by hash into
-    ``shares`` states, each of which sees every scan, so that one large target
-    is worked on by many tasks. A scan not after the stored one is ignored.
+    ``scans`` is a stream of (monitor, target_id, scan_id) rows, each a whole
+    scan, and ``items`` the array of a scan's items. Items are opened before the
+    shuffle and dealt by hash to ``shares`` states of their target; a row
+    without an item tells every share of the scan. ``initial`` is a batch
+    baseline ``KEYS, scan_id, item`` to start from (a null item: a scan without
+    any). Items of targets that end are dropped after ``ttl``. A scan not after
+    the stored one is ignored.
     """
-    share_of = lambda x: F.pmod(F.xxhash64(x), F.lit(shares))
-    numbered = scans.select(
-        *KEYS, "scan_id", items.alias("items"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
-    )
-    own = F.filter("items", lambda x: share_of(x) == F.col("share"))
-    shared = numbered.select(*KEYS, "share", "scan_id", own.alias("items"))
-    return shared.groupBy(*KEYS, "share").transformWithStateInPandas(
-        statefulProcessor=SetState(), outputStructType=CHANGES, outputMode="Append", timeMode="None"
+    share = lambda x: F.pmod(F.xxhash64(x), F.lit(shares)).cast("int")
+    named = F.transform(items, lambda x: F.struct(share(x).alias("share"), x.alias("item")))
+    marks = F.transform(F.sequence(F.lit(0), F.lit(shares - 1)), lambda i: F.struct(i.alias("share"), F.lit(None).cast("string").alias("item")))
+    rows = scans.select(*KEYS, "scan_id", F.explode(F.concat(marks, F.coalesce(F.filter(named, lambda x: x["item"].isNotNull()), F.array().cast("array<struct<share:int,item:string>>")))).alias("e"))
+    rows = rows.select(*KEYS, "e.share", "scan_id", "e.item")
+    start = None
+    if initial is not None:
+        marked = F.concat(F.array(F.struct(share(F.col("item")).alias("share"), "item")), marks)
+        opened = initial.select(*KEYS, "scan_id", F.explode(marked).alias("e")).filter("e.share IS NOT NULL")
+        start = opened.select(*KEYS, "e.share", "scan_id", "e.item").distinct().groupBy(*KEYS, "share")
+    return rows.groupBy(*KEYS, "share").transformWithStateInPandas(
+        statefulProcessor=SetState(ttl), outputStructType=CHANGES, outputMode="Append",
+        timeMode="None" if ttl is None else "ProcessingTime", initialState=start,
     )
 
 
-def stream_first_seen(items: DataFrame) -> DataFrame:
-    """Each (monitor, target, item) once, when it first shows up."""
-    return items.dropDuplicates([*KEYS, "item"])
+# --- registry -----------------------------------------------------------------------
+
+REGISTRY = Table(
+    "registry",
+    table_of("monitor string, target_id string, item string, first_seen bigint, last_seen bigint, epoch int"),
+    (*KEYS, "item"),
+    newest_only=False,
+)
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """First and last scan of each item; over bucketed rows nothing is shuffled."""
+    found = rows.groupBy(*REGISTRY.keys).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("epoch").alias("epoch"))
+    return found.select(*[f.name for f in REGISTRY.schema.fields])
+
+
+def registry_epoch(items: DataFrame, folder: str, sink: str, epoch: int, buckets: int = BUCKETS) -> None:
+    """Take items ``SCAN, item`` into the registry; those never seen before are written to ``sink``.
+
+    Items that land late only widen their span. A repeated epoch changes nothing.
+    """
+    spark = items.sparkSession
+    keyed = items.filter(F.col("monitor").isNotNull() & F.col("target_id").isNotNull() & F.col("item").isNotNull())
+    seen = keyed.groupBy(*REGISTRY.keys).agg(F.min("scan_id").alias("first_seen"), F.max("scan_id").alias("last_seen"))
+    with State(spark, folder, epoch, (REGISTRY,), buckets) as state:
+        known = state.rows("registry").select(*REGISTRY.keys, F.lit(True).alias("_known"))
+        new = seen.join(known.distinct(), list(REGISTRY.keys), "left").filter("_known IS NULL").drop("_known", "last_seen")
+        new.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/epoch={epoch}")
+        state.add("registry", seen.withColumn("epoch", F.lit(epoch)))
+        state.merge("registry", _spans)
+        state.commit()
+
+
+def read_registry(spark: SparkSession, folder: str, before: int = 1 << 31) -> DataFrame:
+    """``monitor, target_id, item, first_seen, last_seen`` of every item seen before an epoch."""
+    return _spans(plain_segments(spark, folder.rstrip("/"), REGISTRY, read_manifest(spark, folder.rstrip("/"), before))).drop("epoch")
+
+
+def stream_first_seen(
+    items: DataFrame, folder: str, sink: str, checkpoint: str, trigger: dict | None = None, buckets: int = BUCKETS
+) -> StreamingQuery:
+    """The registry of first and last sights, kept in bucketed state; ``sink`` gets each item once.
+
+    Neither executors nor the state store hold the registry: a batch is joined
+    with its buckets where they lie.
+    """
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        registry_epoch(df, folder, sink, epoch, buckets)
+
+    writer = items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or DRAIN)).start()
