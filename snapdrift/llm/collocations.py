@@ -10,9 +10,10 @@ of no prefix holds the words themselves. Merged stripes give the extensions of a
 phrase, its total, and the most frequent phrase it is part of.
 
 A word is its 64-bit hash, checked by a second one wherever words meet; a phrase
-is the row of its words' hashes. The stripe of no prefix is split into shares by
-next word, and so are those of prefixes that hold at least one in ``HEAVY`` of
-all words: at most ``HEAVY`` of them, whatever the input.
+is the row of its words' hashes. Long stripes are split into shares by next word:
+the stripe of no prefix, and those of prefixes that occur more than ``SHARE``
+times and more than once in ``HEAVY`` words, in shares of that size. There are at
+most ``HEAVY`` such prefixes in a language, whatever the input.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ SLICE = 1 << 20
 BUFFER = 1 << 21
 FILTER_BITS = 27  # 16 MB, sent to every task
 HEAVY = 1 << 16
-SHARES = 256
+SHARE = 1 << 22
+WORD_SHARES = 2048
 BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]")
 _KIND = np.zeros(256, np.uint8)
 _KIND[[32, 9]] = 1
@@ -158,17 +160,16 @@ class _Stripes:
         rows, counts = _folded(np.concatenate(self.rows), np.concatenate(self.counts))
         self.rows, self.counts, self.size = [rows], [counts], len(rows)
 
-    def packed(self, heavy: set[bytes]) -> pa.RecordBatch:
-        """One row for each prefix, or for each share of it."""
+    def packed(self, heavy: dict[bytes, int]) -> pa.RecordBatch:
+        """One row for each prefix, or for each share of it; ``heavy`` says of how many."""
         self.fold()
         rows, counts, k = self.rows[0], self.counts[0], self.k
         share = np.zeros(len(rows), np.int64)
         if heavy:
             first = np.flatnonzero(np.concatenate(([True], (rows[1:, : k - 1] != rows[:-1, : k - 1]).any(1))))
             prefixes = np.ascontiguousarray(rows[first, : k - 1])
-            is_heavy = np.array([p.tobytes() in heavy for p in prefixes])
-            many = np.repeat(is_heavy, np.diff(np.append(first, len(rows))))
-            share[many] = (rows[many, k - 1] % U(SHARES)).astype(np.int64)
+            shares = np.array([heavy.get(p.tobytes(), 1) for p in prefixes], U)
+            share = (rows[:, k - 1] % np.repeat(shares, np.diff(np.append(first, len(rows))))).astype(np.int64)
             order = np.lexsort((share, *rows[:, : k - 1].T[::-1]))
             rows, counts, share = rows[order], counts[order], share[order]
         new = np.concatenate(([True], (rows[1:, : k - 1] != rows[:-1, : k - 1]).any(1) | (share[1:] != share[:-1])))
@@ -200,7 +201,7 @@ def _word_stripes(docs: DataFrame, seed: int) -> DataFrame:
                     continue
                 shares: dict[int, list] = {}
                 for h, entry in words.items():
-                    shares.setdefault(h % SHARES, []).append((h, *entry))
+                    shares.setdefault(h % WORD_SHARES, []).append((h, *entry))
                 rows = []
                 for share, entries in shares.items():
                     nexts, counts, checks, texts = zip(*entries)
@@ -225,7 +226,7 @@ def _word_stripes(docs: DataFrame, seed: int) -> DataFrame:
                             raise RuntimeError("two words share a hash: choose another seed")
                         else:
                             entry[0] += c
-            if sum(map(len, found.values())) > BUFFER // 8:
+            if sum(map(len, found.values())) > BUFFER // 4:
                 yield from packed()
                 found.clear()
         yield from packed()
@@ -253,9 +254,9 @@ def _stripes(docs: DataFrame, k: int, bits, heavy, seed: int) -> DataFrame:
                 for s in held.values():
                     s.fold()
                 if sum(s.size for s in held.values()) > BUFFER // 2:
-                    yield from (s.packed(heavy.value.get(s.lang, set())) for s in held.values() if s.size)
+                    yield from (s.packed(heavy.value.get(s.lang, {})) for s in held.values() if s.size)
                     held.clear()
-        yield from (s.packed(heavy.value.get(s.lang, set())) for s in held.values() if s.size)
+        yield from (s.packed(heavy.value.get(s.lang, {})) for s in held.values() if s.size)
 
     return _texts(docs).mapInArrow(run, STRIPES)
 
@@ -331,9 +332,11 @@ def counted(docs: DataFrame, least: int, longest: int, seed: int) -> list[DataFr
         before = levels[-1].where("gram IS NOT NULL")
         if before.isEmpty():
             break
-        heavy: dict[str, set[bytes]] = {}
-        for r in before.join(sums, "lang").where(F.col("f") * HEAVY >= F.col("n")).select("lang", "gram").collect():
-            heavy.setdefault(r["lang"], set()).add(bytes(r["gram"]))  # HEAVY a language at most: their counts add up to n
+        heavy: dict[str, dict[bytes, int]] = {}
+        size = F.greatest(F.lit(SHARE), F.ceil(F.col("n") / HEAVY))
+        often = before.join(sums, "lang").withColumn("shares", F.ceil(F.col("f") / size)).where("shares > 1")
+        for r in often.select("lang", "gram", "shares").collect():  # HEAVY a language at most: their counts add up to n
+            heavy.setdefault(r["lang"], {})[bytes(r["gram"])] = r["shares"]
         shared = spark.sparkContext.broadcast(gram_filter(before, k - 1)), spark.sparkContext.broadcast(heavy)
         levels.append(staged(_merged(_stripes(docs, k, *shared, seed), least), f"stripes-{k - 1}"))
     return levels

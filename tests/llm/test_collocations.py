@@ -62,8 +62,8 @@ def test_equals_plain_counting(spark, rows, monkeypatch, small):
     if small:  # many slices, flushes and shares
         monkeypatch.setattr(C, "SLICE", 300)
         monkeypatch.setattr(C, "BUFFER", 500)
-        monkeypatch.setattr(C, "HEAVY", 20)
-        monkeypatch.setattr(C, "SHARES", 3)
+        monkeypatch.setattr(C, "SHARE", 50)
+        monkeypatch.setattr(C, "WORD_SHARES", 3)
     got = C.collocations(frame(spark, rows).repartition(5), least=4).collect()
     assert sorted(tuple(r) for r in got) == plain(rows, 4)
 
