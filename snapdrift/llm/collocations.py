@@ -13,7 +13,8 @@ A word is its 64-bit hash, checked by a second one wherever words meet; a phrase
 is the row of its words' hashes. Long stripes are split into shares by next word:
 the stripe of no prefix, and those of prefixes that occur more than ``SHARE``
 times and more than once in ``HEAVY`` words, in shares of that size. There are at
-most ``HEAVY`` such prefixes in a language, whatever the input.
+most ``HEAVY`` such prefixes in a language, whatever the input. Stripes travel in
+buckets of prefixes, of which there is one for each ``BUCKET_WORDS`` words.
 """
 
 from __future__ import annotations
@@ -38,11 +39,14 @@ FILTER_BITS = 27  # 16 MB, sent to every task
 HEAVY = 1 << 16
 SHARE = 1 << 22
 WORD_SHARES = 2048
+BUCKETS = 256
+BUCKET_WORDS = 1 << 22
 BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]")
 _KIND = np.zeros(256, np.uint8)
 _KIND[[32, 9]] = 1
 _KIND[[ord(c) for c in ".,;:!?\n\v\f\r"]] = 2
-STRIPES = "lang string, prefix binary, share int, nexts binary, counts binary, checks binary, words array<string>"
+STRIPES = "lang string, bucket int, prefixes binary, sizes binary, nexts binary, counts binary"
+WORDS = "lang string, prefix binary, share int, nexts binary, counts binary, checks binary, words array<string>"
 GRAMS = "lang string, gram binary, f long, word string"
 
 
@@ -149,9 +153,9 @@ class _Stripes:
     def __init__(self, lang: str, k: int) -> None:
         self.lang, self.k, self.rows, self.counts, self.size = lang, k, [], [], 0
 
-    def add(self, rows: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, counts: np.ndarray | None = None) -> None:
         self.rows.append(rows)
-        self.counts.append(np.ones(len(rows), np.int64))
+        self.counts.append(np.ones(len(rows), np.int64) if counts is None else counts)
         self.size += len(rows)
 
     def fold(self) -> None:
@@ -160,28 +164,34 @@ class _Stripes:
         rows, counts = _folded(np.concatenate(self.rows), np.concatenate(self.counts))
         self.rows, self.counts, self.size = [rows], [counts], len(rows)
 
-    def packed(self, heavy: dict[bytes, int]) -> pa.RecordBatch:
-        """One row for each prefix, or for each share of it; ``heavy`` says of how many."""
+    def packed(self, heavy: dict[bytes, int], buckets: int) -> pa.RecordBatch:
+        """Stripes in one row a bucket of prefixes; ``heavy`` says over how many shares a prefix is spread."""
         self.fold()
         rows, counts, k = self.rows[0], self.counts[0], self.k
-        share = np.zeros(len(rows), np.int64)
+        prefix = window_hashes(np.ascontiguousarray(rows[:, : k - 1]).ravel(), k - 1)[:: k - 1]
+        new = np.concatenate(([True], (rows[1:, : k - 1] != rows[:-1, : k - 1]).any(1)))
         if heavy:
-            first = np.flatnonzero(np.concatenate(([True], (rows[1:, : k - 1] != rows[:-1, : k - 1]).any(1))))
-            prefixes = np.ascontiguousarray(rows[first, : k - 1])
-            shares = np.array([heavy.get(p.tobytes(), 1) for p in prefixes], U)
-            share = (rows[:, k - 1] % np.repeat(shares, np.diff(np.append(first, len(rows))))).astype(np.int64)
-            order = np.lexsort((share, *rows[:, : k - 1].T[::-1]))
-            rows, counts, share = rows[order], counts[order], share[order]
-        new = np.concatenate(([True], (rows[1:, : k - 1] != rows[:-1, : k - 1]).any(1) | (share[1:] != share[:-1])))
-        cuts = np.flatnonzero(new)
-        prefix = np.ascontiguousarray(rows[cuts, : k - 1])
-        n = len(cuts)
-        none = pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.string()))
-        columns = [pa.array([self.lang] * n), _binary(prefix, np.arange(n)), pa.array(share[cuts], pa.int32()), _binary(rows[:, k - 1], cuts), _binary(counts, cuts), *none]
-        return pa.RecordBatch.from_arrays(columns, _NAMES)
-
-
-_NAMES = [c.split()[0] for c in STRIPES.split(", ")]
+            first = np.flatnonzero(new)
+            shares = np.array([heavy.get(p.tobytes(), 1) for p in np.ascontiguousarray(rows[first, : k - 1])], U)
+            prefix = mix(prefix + rows[:, k - 1] % np.repeat(shares, np.diff(np.append(first, len(rows)))))
+        bucket = (prefix % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rows, counts, bucket = rows[order], counts[order], bucket[order]
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        new = np.concatenate(([True], (rows[1:, : k - 1] != rows[:-1, : k - 1]).any(1)))
+        new[cuts] = True
+        stripes = np.flatnonzero(new)
+        own = np.searchsorted(stripes, cuts)
+        sizes = np.diff(np.append(stripes, len(rows)))
+        columns = [
+            pa.array([self.lang] * len(cuts)), pa.array(bucket[cuts], pa.int32()), _binary(np.ascontiguousarray(rows[stripes, : k - 1]), own),
+            _binary(sizes, own), _binary(rows[:, k - 1], cuts), _binary(counts, cuts),
+        ]
+        return pa.RecordBatch.from_arrays(columns, _STRIPE_NAMES)
+
+
+_STRIPE_NAMES = [c.split()[0] for c in STRIPES.split(", ")]
+_NAMES = [c.split()[0] for c in WORDS.split(", ")]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -231,10 +241,10 @@ def _word_stripes(docs: DataFrame, seed: int) -> DataFrame:
                 found.clear()
         yield from packed()
 
-    return _texts(docs).mapInArrow(run, STRIPES)
+    return _texts(docs).mapInArrow(run, WORDS)
 
 
-def _stripes(docs: DataFrame, k: int, bits, heavy, seed: int) -> DataFrame:
+def _stripes(docs: DataFrame, k: int, bits, heavy, buckets: int, seed: int) -> DataFrame:
     """Stripes of prefixes of ``k - 1`` words, of windows whose shorter phrases pass the filter."""
     byte = tables(seed)[:1]
 
@@ -254,15 +264,15 @@ def _stripes(docs: DataFrame, k: int, bits, heavy, seed: int) -> DataFrame:
                 for s in held.values():
                     s.fold()
                 if sum(s.size for s in held.values()) > BUFFER // 2:
-                    yield from (s.packed(heavy.value.get(s.lang, {})) for s in held.values() if s.size)
+                    yield from (s.packed(heavy.value.get(s.lang, {}), buckets) for s in held.values() if s.size)
                     held.clear()
-        yield from (s.packed(heavy.value.get(s.lang, {})) for s in held.values() if s.size)
+        yield from (s.packed(heavy.value.get(s.lang, {}), buckets) for s in held.values() if s.size)
 
     return _texts(docs).mapInArrow(run, STRIPES)
 
 
 class _Merger:
-    """Rows of sorted stripes, added up elementwise; the last prefix stays open for the next rows."""
+    """Rows of the stripe of no prefix, added up elementwise; the last share stays open for the next rows."""
 
     def __init__(self, least: int) -> None:
         self.least, self.open = least, None
@@ -305,8 +315,8 @@ class _Merger:
         return out
 
 
-def _merged(stripes: DataFrame, least: int) -> DataFrame:
-    """Stripes merged: ``lang, gram, f, word`` of entries of ``least`` and more, and numbers of all words without a gram."""
+def _merged_words(stripes: DataFrame, least: int) -> DataFrame:
+    """``lang, gram, f, word`` of words of ``least`` and more, and numbers of all words without a gram."""
     keys = ["lang", "prefix", "share"]
     dealt = stripes.repartition(*keys).sortWithinPartitions(*keys)
     kinds = pa.string(), pa.binary(), pa.int64(), pa.string()
@@ -322,12 +332,46 @@ def _merged(stripes: DataFrame, least: int) -> DataFrame:
     return dealt.mapInArrow(run, GRAMS)
 
 
+def _merged(stripes: DataFrame, k: int, least: int) -> DataFrame:
+    """Stripes of ``k - 1`` words merged: ``lang, gram, f, word`` of entries of ``least`` and more."""
+    keys = ["lang", "bucket"]
+    dealt = stripes.repartition(*keys).sortWithinPartitions(*keys)
+    kinds = pa.string(), pa.binary(), pa.int64(), pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+
+        def often() -> pa.RecordBatch:
+            held.fold()
+            at = np.flatnonzero(held.counts[0] >= least)
+            grams = [g.tobytes() for g in np.ascontiguousarray(held.rows[0][at])]
+            rows = [[held.lang] * len(at), grams, held.counts[0][at], [None] * len(at)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["lang", "gram", "f", "word"])
+
+        for batch in batches:
+            for lang, bucket, prefixes, sizes, nexts, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if (lang, bucket) != key:
+                    if held is not None:
+                        yield often()
+                    key, held = (lang, bucket), _Stripes(lang, k)
+                prefix = np.repeat(np.frombuffer(prefixes, U).reshape(-1, k - 1), np.frombuffer(sizes, np.int64), axis=0)
+                held.add(np.column_stack((prefix, np.frombuffer(nexts, U))), np.frombuffer(counts, np.int64))
+                if held.size > BUFFER and len(held.rows) > 1 and held.size > 2 * len(held.rows[0]):
+                    held.fold()
+        if held is not None:
+            yield often()
+
+    return dealt.mapInArrow(run, GRAMS)
+
+
 def counted(docs: DataFrame, least: int, longest: int, seed: int) -> list[DataFrame]:
     """Merged stripes of no word, one word, ... , ``longest - 1`` words, as :func:`_merged` has them."""
     spark = docs.sparkSession
     small_batches(spark)
-    levels = [staged(_merged(_word_stripes(docs, seed), least), "stripes-0")]
+    levels = [staged(_merged_words(_word_stripes(docs, seed), least), "stripes-0")]
     sums = levels[0].where("gram IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    buckets = max(BUCKETS, 1 << (total // BUCKET_WORDS).bit_length())
     for k in range(2, longest + 1):
         before = levels[-1].where("gram IS NOT NULL")
         if before.isEmpty():
@@ -338,7 +382,7 @@ def counted(docs: DataFrame, least: int, longest: int, seed: int) -> list[DataFr
         for r in often.select("lang", "gram", "shares").collect():  # HEAVY a language at most: their counts add up to n
             heavy.setdefault(r["lang"], {})[bytes(r["gram"])] = r["shares"]
         shared = spark.sparkContext.broadcast(gram_filter(before, k - 1)), spark.sparkContext.broadcast(heavy)
-        levels.append(staged(_merged(_stripes(docs, k, *shared, seed), least), f"stripes-{k - 1}"))
+        levels.append(staged(_merged(_stripes(docs, k, *shared, buckets, seed), k, least), f"stripes-{k - 1}"))
     return levels
 
 

@@ -64,6 +64,8 @@ def test_equals_plain_counting(spark, rows, monkeypatch, small):
         monkeypatch.setattr(C, "BUFFER", 500)
         monkeypatch.setattr(C, "SHARE", 50)
         monkeypatch.setattr(C, "WORD_SHARES", 3)
+        monkeypatch.setattr(C, "BUCKETS", 5)
+        monkeypatch.setattr(C, "BUCKET_WORDS", 1 << 12)
     got = C.collocations(frame(spark, rows).repartition(5), least=4).collect()
     assert sorted(tuple(r) for r in got) == plain(rows, 4)
 
