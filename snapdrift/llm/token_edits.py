@@ -69,6 +69,23 @@ class TokenTree:
             w //= 2
         self.chars, self.tokens = sums.tolist()
 
+    @classmethod
+    def kept(cls, text: str, lengths: list[int], counts: list[int], counter: Counter) -> TokenTree:
+        """The tree of a text whose pre-tokens' characters and tokens are known: nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.text, tree.counter, tree.reencoded = text, counter, 0
+        tree._build(lengths, counts)
+        return tree
+
+    def columns(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of each pre-token, in order."""
+        return [x for leaf in self.leaves for x in leaf[0]], [x for leaf in self.leaves for x in leaf[1]]
+
+    def apply(self, edits: list[dict | None] | None) -> None:
+        for e in edits or []:
+            if e is not None and e["start"] is not None and e["stop"] is not None:
+                self.edit(e["start"], e["stop"], e["text"] or "")
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -179,9 +196,7 @@ def count_edited(docs: DataFrame, path: str = RANKS) -> DataFrame:
             for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 tree = TokenTree(text, counter)
                 before = tree.size, tree.total
-                for e in edits or []:
-                    if e is not None and e["start"] is not None and e["stop"] is not None:
-                        tree.edit(e["start"], e["stop"], e["text"] or "")
+                tree.apply(edits)
                 rows.append((*before, tree.total, tree.reencoded, [sum(leaf[1]) for leaf in tree.leaves]))
             columns = [[r[i] for r in rows] for i in range(5)]
             arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.list_(pa.int64()))]
@@ -192,3 +207,73 @@ def count_edited(docs: DataFrame, path: str = RANKS) -> DataFrame:
     own = docs.select(docs["doc_id"], text, docs["edits"].cast(EDITS).alias("edits"))
     schema = f"doc_id {kind}, n_pretokens long, n_tokens long, n_tokens_edited long, n_reencoded long, leaves array<long>"
     return own.mapInArrow(run, schema)
+
+
+# --- kept trees ---------------------------------------------------------------------------------------------------
+
+STATE = "text string, lengths binary, counts binary, n_tokens long, n_reencoded long"
+_STATE = [c.split()[0] for c in STATE.split(", ")]
+
+
+def _state_rows(keys: pa.Array, trees: list[TokenTree]) -> pa.RecordBatch:
+    packed = [[np.array(c, np.int32).tobytes() for c in t.columns()] for t in trees]
+    columns = [
+        pa.array([t.text for t in trees], pa.string()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary()),
+        pa.array([t.total for t in trees], pa.int64()), pa.array([t.reencoded for t in trees], pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays([keys, *columns], ["doc_id", *_STATE])
+
+
+def _ranks(spark, path: str):
+    with open(path, "rb") as file:
+        return spark.sparkContext.broadcast(file.read())
+
+
+def token_state(docs: DataFrame, path: str = RANKS) -> DataFrame:
+    """The trees of ``docs (doc_id, text)`` as a table to be kept: each text with its pre-tokens' characters and tokens.
+
+    A null text is empty. Ids are to be unique; rows without one can't be edited later.
+    """
+    small_batches(docs.sparkSession)
+    ranks = _ranks(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(ranks.value)
+        for batch in batches:
+            trees = [TokenTree(t, counter) for t in batch.column(1).to_pylist()]
+            for tree in trees:
+                tree.reencoded = tree.size
+            yield _state_rows(batch.column(0), trees)
+
+    own = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"))
+    return own.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {STATE}")
+
+
+def apply_edits(state: DataFrame, edits: DataFrame, path: str = RANKS) -> DataFrame:
+    """The rows of :func:`token_state` that ``edits (doc_id, seq, start, stop, text)`` change, as they are afterwards.
+
+    Only what an edit can reach is split and counted anew, which ``n_reencoded``
+    counts in pre-tokens; the rest of a text comes from its row. Edits of ids
+    that the state does not hold do nothing. :func:`updated` puts the rows back.
+    """
+    small_batches(state.sparkSession)
+    ranks = _ranks(state.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(ranks.value)
+        for batch in batches:
+            trees = []
+            for text, lengths, counts, listed in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                tree = TokenTree.kept(text, *(np.frombuffer(b, np.int32).tolist() for b in (lengths, counts)), counter)
+                tree.apply(listed)
+                trees.append(tree)
+            yield _state_rows(batch.column(0), trees)
+
+    listed = with_edits(state, edits).where("edits IS NOT NULL").select("doc_id", "edits")
+    rows = state.select("doc_id", "text", "lengths", "counts").join(listed, "doc_id").select("doc_id", "text", "lengths", "counts", F.col("edits").cast(EDITS))
+    return rows.mapInArrow(run, f"doc_id {state.schema['doc_id'].dataType.simpleString()}, {STATE}")
+
+
+def updated(state: DataFrame, changed: DataFrame) -> DataFrame:
+    """``state`` with the rows of ``changed`` in place of its own; write it to a new folder."""
+    return state.join(changed.select("doc_id"), "doc_id", "left_anti").unionByName(changed)
