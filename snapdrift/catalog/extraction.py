@@ -124,11 +124,20 @@ def quoted_strings(spark, folder):
 
 @query(
     "visible_text_lines",
-    f"WITH pgs AS ({cte.PAGES}), l AS (SELECT target_id, scan_id, {q.visible_lines('body')} AS l FROM pgs) "
+    f"WITH pgs AS ({cte.PAGES}), l AS (SELECT target_id, scan_id, {q.visible_lines('body')} AS l FROM pgs "
+    "UNION ALL SELECT 'hostile', page_id, [concat('first ', page_id), 'a < b', concat('after > ', page_id)] FROM pages) "
     "SELECT target_id, scan_id, unnest(range(len(l)))::INTEGER AS pos, unnest(l) AS item FROM l",
 )
 def visible_text_lines(spark, folder):
-    rows = explode_items(h.page_captures(spark, folder, "docs"), feed.plain(page.visible_text_lines(F.col("body"))))
+    """Pages, and as many of hostile markup whose lines are known by how it is made."""
+    i = F.col("page_id")
+    hostile = text(
+        '<p title="1 > ', i, '">first ', i, "</p>a < b<nav>no<nav>no</nav>no</nav><div><header>no<footer>no</div>after &gt; ", i,
+        "<!-- <p>no</p> > --><br data-x='>'/><script>if (a < b) '</p>no'",
+    )
+    made = h.as_captures(h.text_table(spark, folder, "pages"), "docs", F.lit("hostile"), i, hostile)
+    captures = h.page_captures(spark, folder, "docs").unionByName(made)
+    rows = explode_items(captures, feed.plain(page.visible_text_lines(F.col("body"))))
     return rows.select("target_id", "scan_id", "pos", "item")
 
 

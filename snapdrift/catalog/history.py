@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -271,35 +272,43 @@ def baseline_upsert(spark, folder):
     return scans.baseline_upsert(state, rows.filter("notes >= '3'")).select("target_id", "scan_id", "version")
 
 
+#: When the runs of the queries take place.
+RUNS = datetime(2024, 5, 1, 10), datetime(2024, 5, 2, 11, 30)
+
+
 def _pypi(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return h.feed_captures(spark, folder, "pypi", m.pypi_body), h.feed_targets(spark, folder, "pypi")
 
 
 @query(
     "detections_log",
-    f"SELECT log_target AS target_id, scan_id, detection_type, log_title AS title FROM ({ORACLE['detect_pypi']})",
+    "SELECT log_target AS target_id, scan_id, detection_type, log_title AS title, "
+    "CASE WHEN target_id < 'Brand#2' THEN '2024-05-01 10:00:00' ELSE '2024-05-02 11:30:00' END AS detected_at "
+    f"FROM ({ORACLE['detect_pypi']})",
 )
 def detections_log(spark, folder):
     reports = detect(*_pypi(spark, folder), MONITORS["pypi"])
     path = workspace(reports)
     for _ in range(2):  # a run that is repeated replaces its rows
-        sinks.write_detections(reports.filter("target_id < 'Brand#2'"), path, "1", "pypi")
-    sinks.write_detections(reports.filter("target_id >= 'Brand#2'"), path, "2", "pypi")
-    return sinks.read_detections(spark, path).select("target_id", "scan_id", "detection_type", "title")
+        sinks.write_detections(reports.filter("target_id < 'Brand#2'"), path, "1", "pypi", at=RUNS[0])
+    sinks.write_detections(reports.filter("target_id >= 'Brand#2'"), path, "2", "pypi", at=RUNS[1])
+    at = F.date_format("detected_at", "yyyy-MM-dd HH:mm:ss").alias("detected_at")
+    return sinks.read_detections(spark, path).select("target_id", "scan_id", "detection_type", "title", at)
 
 
 @query(
     "alert_payload",
     "SELECT target_id, scan_id, concat('🔍 ', alert_title) AS title, substring(description, 1, 4000) AS description, "
-    f"color::VARCHAR AS color, url, CASE WHEN fields <> '' THEN 'Size' END AS first_field FROM ({ORACLE['detect_app_store']})",
+    "color::VARCHAR AS color, url, CASE WHEN fields <> '' THEN 'Size' END AS first_field, "
+    f"'2024-05-01T10:00:00.000000+00:00' AS timestamp, 'snapdrift' AS footer FROM ({ORACLE['detect_app_store']})",
 )
 def alert_payload(spark, folder):
     captures = h.feed_captures(spark, folder, "app_store", m.lookup_body)
-    payload = report.alert_payload(detect(captures, m.app_targets(spark, folder), MONITORS["app_store"]))
+    payload = report.alert_payload(detect(captures, m.app_targets(spark, folder), MONITORS["app_store"]), at=F.lit(RUNS[0]))
     part = lambda path: F.get_json_object("payload", path)
     return payload.select(
-        "target_id", "scan_id", *[part(f"$.{c}").alias(c) for c in ("title", "description", "color", "url")],
-        part("$.fields[0].name").alias("first_field"),
+        "target_id", "scan_id", *[part(f"$.{c}").alias(c) for c in ("title", "description", "color", "url", "timestamp")],
+        part("$.fields[0].name").alias("first_field"), part("$.footer.text").alias("footer"),
     )
 
 
@@ -331,6 +340,21 @@ def config_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _built_in_rows() -> list[tuple[str, str, str, str, str]]:
+    """What the sections that a configuration leaves out come to, from the fixed lists."""
+    rows = [("fcc", c, v, wd.GRANTEE_URL.format(code=c), "") for c, v in wd.GRANTEES]
+    rows += [("trademark", c, c, "", "") for c, _ in wd.TRADEMARK_OWNERS]
+    rows += [("sec_8k", c, c, wd.FILER_URL.format(cik=v), "") for c, v in wd.FILERS]
+    rows += [("pypi", c, v, "", "") for c, v in wd.PYPI_PACKAGES]
+    rows += [("jobs", n, n, ref if kind == "careers" else "", k) for n, _, kind, ref, k in wd.JOB_BOARDS]
+    rows += [("arxiv", n, n, "", "") for n, _, _ in wd.PAPER_QUERIES] + [("chrome_flags", "main", "main", "", "")]
+    rows += [("github_org", n, n, "", "") for n, _ in wd.REPO_ORGS] + [("huggingface", n, n, "", "") for n, _ in wd.MODEL_ORGS]
+    return rows + [("model_registry", n, n, u, "") for n, _, u in wd.REGISTRIES]
+
+
+BUILT_IN_ROWS = _built_in_rows()
+
+
 @query(
     "load_targets",
     "WITH s AS (SELECT *, concat('https://s', s_suppkey, '.example.com/') AS site FROM supplier), "
@@ -338,10 +362,15 @@ def config_documents(spark: SparkSession, folder: str) -> DataFrame:
     "g AS (SELECT *, unnest(CASE s_suppkey % 3 WHEN 0 THEN ['github_prs'] WHEN 1 THEN ['github_release', 'github_prs'] ELSE ['github_release'] END) AS mon FROM s) "
     "SELECT 'docs' AS monitor, concat(s_name, ':', substring(md5(u), 1, 8)) AS target_id, s_name AS name, u AS url, "
     "CASE WHEN s_suppkey % 2 = 0 THEN concat('beta,', s_name) ELSE '' END AS keywords FROM d UNION ALL "
-    "SELECT mon, concat('org/r', s_suppkey), s_name, '', '' FROM g UNION ALL SELECT 'npm', concat('pkg-', s_suppkey), s_name, '', '' FROM s",
+    "SELECT mon, concat('org/r', s_suppkey), s_name, '', '' FROM g UNION ALL SELECT 'npm', concat('pkg-', s_suppkey), s_name, '', '' FROM s"
+    + " UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(q.lit, row))})" for row in BUILT_IN_ROWS) + ")",
 )
 def load_targets(spark, folder):
-    rows = wl.as_watchlist(wl.section_entries(config_documents(spark, folder)))
+    """A1: the rows of one configuration file a supplier, and of the built-in sections that none names."""
+    configs = config_documents(spark, folder)
+    path = workspace(configs)
+    configs.write.option("maxRecordsPerFile", 1).text(path)
+    rows = wl.load_targets(spark, path)
     return rows.select("monitor", "target_id", "name", "url", F.array_join("keywords", ",").alias("keywords"))
 
 
@@ -450,7 +479,7 @@ LOGGED = ("pypi", "robots_txt", "github_prs")
 @query(
     "detection_rows",
     " UNION ALL ".join(
-        f"SELECT '{name}' AS monitor, log_target AS target_id, scan_id, detection_type, log_title AS title, details "
+        f"SELECT '{name}' AS monitor, log_target AS target_id, scan_id, detection_type, log_title AS title, details, '2024-05-01 10:00:00' AS detected_at "
         f"FROM ({ORACLE['detect_' + name]}) WHERE detection_type IS NOT NULL"
         for name in LOGGED
     ),
@@ -461,26 +490,25 @@ def detection_rows(spark, folder):
     rows = None
     for name in LOGGED:
         captures = h.feed_captures(spark, folder, name, bodies[name])
-        more = report.detection_rows(detect(captures, h.feed_targets(spark, folder, name), MONITORS[name]))
+        more = report.detection_rows(detect(captures, h.feed_targets(spark, folder, name), MONITORS[name]), at=F.lit(RUNS[0]))
         rows = more if rows is None else rows.unionByName(more)
-    return rows
+    return rows.withColumn("detected_at", F.date_format("detected_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(
     "run_all",
-    f"SELECT 'pypi' AS monitor, 'done' AS status, count(*) AS n FROM ({ORACLE['detect_pypi']}) UNION ALL "
-    f"SELECT 'npm', 'done', count(*) FROM ({ORACLE['detect_npm']}) UNION ALL SELECT 'broken', 'failed', 0",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS monitor, 'done' AS status, count(*) FILTER (detection_type IS NOT NULL) AS n FROM ({ORACLE['detect_' + name]})"
+        for name in MONITORS
+    )
+    + " UNION ALL SELECT 'broken', 'failed', 0",
 )
 def run_everything(spark, folder):
-    """Three monitors, one of which fails."""
-    captures = h.feed_captures(spark, folder, "pypi", m.pypi_body).unionByName(
-        h.feed_captures(spark, folder, "npm", m.npm_body)
-    )
-    targets = h.feed_targets(spark, folder, "pypi").unionByName(h.feed_targets(spark, folder, "npm"))
+    """Every monitor over one table of captures, and one that fails."""
+    captures, targets = m.all_inputs(spark, folder)
     broken = ItemMonitor("broken", alerts=MONITORS["robots_txt"].alerts, entries=lambda: F.col("no_such_column"))
-    specs = {"pypi": MONITORS["pypi"], "broken": broken, "npm": MONITORS["npm"]}
     path = workspace(captures)
-    metrics = run_all(captures, targets, path, monitors=specs)
+    metrics = run_all(captures, targets, path, monitors={**MONITORS, "broken": broken}, at_once=6)
     counts = sinks.read_detections(spark, path).groupBy("monitor").agg(F.count("*").alias("n"))
     joined = metrics.join(counts, "monitor", "left")
     return joined.select("monitor", "status", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
@@ -500,12 +528,13 @@ def dedupe_preserve_first(spark, folder):
 # --- streams -----------------------------------------------------------------------
 
 
-def in_two_runs(rows: DataFrame, schema, start) -> str:
-    """Land ``rows`` in two portions and drain the stream after each; returns its folder."""
+def in_runs(rows: DataFrame, schema, start, runs: int = 2) -> str:
+    """Land ``rows`` in portions of their scans and drain the stream after each; returns its folder."""
     spark, base = rows.sparkSession, workspace(rows)
-    middle = rows.agg(F.avg("scan_id")).first()[0]
-    for portion in (F.col("scan_id") < middle, F.col("scan_id") >= middle):
-        rows.filter(portion).write.mode("append").parquet(f"{base}/landed")
+    cuts = rows.agg(F.percentile_approx("scan_id", [i / runs for i in range(1, runs)])).first()[0]
+    portion = sum((F.col("scan_id") > c).cast("int") for c in cuts)
+    for i in range(runs):
+        rows.filter(portion == i).write.mode("append").parquet(f"{base}/landed")
         start(spark.readStream.schema(schema).parquet(f"{base}/landed"), base).awaitTermination()
     return base
 
@@ -518,7 +547,7 @@ def _stream(monitor: str, body):
         def start(stream: DataFrame, base: str):
             return jobs.stream_detect(stream, watchlist, MONITORS[monitor], f"{base}/state", f"{base}/out", f"{base}/cp")
 
-        base = in_two_runs(captures, CAPTURES, start)
+        base = in_runs(captures, CAPTURES, start)
         return report_rows(read_sink(spark, f"{base}/out", "reports", monitor).drop("epoch"))
 
     return run
@@ -547,7 +576,7 @@ def stream_detect_stateful(spark, folder):
         return writer.format("parquet").option("path", f"{base}/out").start()
 
     try:
-        base = in_two_runs(event_sets(spark, folder), SCAN_SETS, start)
+        base = in_runs(event_sets(spark, folder), SCAN_SETS, start)
     finally:
         spark.conf.set(provider, before)
     return spark.read.schema(jobs.CHANGES).parquet(f"{base}/out").select(*OPS)
@@ -561,5 +590,5 @@ def stream_first_seen(spark, folder):
     def start(stream: DataFrame, base: str):
         return jobs.stream_first_seen(stream, f"{base}/registry", f"{base}/new", f"{base}/cp")
 
-    base = in_two_runs(h.event_items(spark, folder), "monitor string, target_id string, scan_id bigint, item string", start)
+    base = in_runs(h.event_items(spark, folder), "monitor string, target_id string, scan_id bigint, item string", start, 3)
     return jobs.read_registry(spark, f"{base}/registry").drop("monitor")

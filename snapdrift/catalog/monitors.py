@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,17 +52,27 @@ def title_sql(e: str = "eid") -> str:
     return f"concat({pick_sql(HEADS, e)}, ' item ', {e})"
 
 
+#: Captures and targets of each monitor, as functions of a session and a folder.
+INPUTS: dict[str, tuple[Callable, Callable]] = {}
+
+
 def _feed_query(monitor: str, body, targets=h.feed_targets):
-    watchlist = targets
+    captures = lambda spark, folder: h.feed_captures(spark, folder, monitor, body)
+    INPUTS[monitor] = captures, lambda spark, folder: targets(spark, folder, monitor)
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        captures = h.feed_captures(spark, folder, monitor, body)
-        targets = watchlist(spark, folder, monitor)
-        return report_rows(detect(captures, targets, MONITORS[monitor]))
+        return report_rows(detect(captures(spark, folder), targets(spark, folder, monitor), MONITORS[monitor]))
 
     return run
 
 
+def all_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Captures and targets of every monitor in one table each."""
+    made = [(c(spark, folder), t(spark, folder)) for c, t in INPUTS.values()]
+    captures, targets = (reduce(DataFrame.unionByName, part) for part in zip(*made))
+    return captures, targets
+
+
 def _feed_ctes(items: str, targets: str = cte.FEED_TARGETS) -> str:
     return f"feed AS ({cte.FEED}), targets AS ({targets}), items AS ({items})"
 
@@ -218,9 +231,13 @@ def _page_lines(x: str) -> str:
     ),
 )
 def detect_page_change(spark, folder):
+    captures = h.page_captures(spark, folder, "page_change")
+    return report_rows(detect(captures, selecting_targets(spark, folder), MONITORS["page_change"]))
+
+
+def selecting_targets(spark: SparkSession, folder: str) -> DataFrame:
     attrs = F.when(selector() != "", F.create_map(F.lit("selector"), selector())).otherwise(F.create_map())
-    targets = h.page_targets(spark, folder, "page_change", attrs=attrs.cast("map<string,string>"))
-    return report_rows(detect(h.page_captures(spark, folder, "page_change"), targets, MONITORS["page_change"]))
+    return h.page_targets(spark, folder, "page_change", attrs=attrs.cast("map<string,string>"))
 
 
 # --- sitemap -------------------------------------------------------------------
@@ -341,10 +358,11 @@ ASSET_NAMES = ["hero", "1x1", "pixel-10", "0123456789abcdef", "logo"]
 
 
 def assets_body(entries: Column) -> Column:
+    """Media and links with brackets in quotes, beside a comment that looks like an image."""
     return joined(
         entries,
-        lambda e: F.when(e % 4 == 0, text('<img alt="x" src="../img/', pick(ASSET_NAMES, e), "-", e, '.png?v=1">'))
-        .when(e % 4 == 1, text("<video data-src='//cdn.example.net/", pick(ASSET_NAMES, e), "/", e, ".mp4#t'></video>"))
+        lambda e: F.when(e % 4 == 0, text('<!-- <img src="/no.png"> --><img alt="1 > 0" src="../img/', pick(ASSET_NAMES, e), "-", e, '.png?v=1">'))
+        .when(e % 4 == 1, text("<video title='a>b' data-src='//cdn.example.net/", pick(ASSET_NAMES, e), "/", e, ".mp4#t'></video>"))
         .when(e % 4 == 2, text('<link rel="preload" as="image" href="/pre/', e, '.webp">'))
         .otherwise(text('<link rel="stylesheet" href="/css/', e, '.css"><source src=c/', pick(ASSET_NAMES, e), "/", e, ".svg>")),
     )
@@ -598,13 +616,21 @@ def detect_dns_records(spark, folder):
 # --- sec_8k, arxiv ---------------------------------------------------------------
 
 
+def hostile_feed(feed: Column, entries: Column) -> Column:
+    """Every second feed with prefixed elements, and with a comment that looks like an entry."""
+    prefixed = F.regexp_replace(feed, "<(/?)([a-z]+)", "<$1a:$2")
+    prefixed = F.regexp_replace(prefixed, "^<a:feed", '<a:feed xmlns:a="http://feed.example.com/a"')
+    comment = "$1<!-- <a:entry><a:title>no</a:title></a:entry> -->"
+    return F.when(entries[0] % 2 == 0, feed).otherwise(F.regexp_replace(prefixed, "^(<a:feed[^>]*>)", comment))
+
+
 def filings_feed(entries: Column) -> Column:
     entry = lambda e: text(
         "<entry>\n<title> 8-K &amp; ", title(e), " </title><updated>2024-01-", F.lpad((e % 28 + 1).cast("string"), 2, "0"),
         'T10:00:00</updated><link rel="alternate" href="https://f.example.com/?a=1&amp;e=', e,
         '"/><summary type="html"><![CDATA[ Sum ', e, " ]]></summary></entry>",
     )
-    return text('<feed xmlns="http://www.w3.org/2005/Atom">', joined(entries, entry), "</feed>")
+    return hostile_feed(text('<feed xmlns="http://www.w3.org/2005/Atom">', joined(entries, entry), "</feed>"), entries)
 
 
 FILING_FEED_ITEMS = (
@@ -647,7 +673,7 @@ def papers_feed(entries: Column) -> Column:
         "T00:00:00Z</published><summary>S</summary>",
         F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: author(e, i)), ""), "</entry>",
     )
-    return text("<feed>", joined(entries, entry), "</feed>")
+    return hostile_feed(text("<feed>", joined(entries, entry), "</feed>"), entries)
 
 
 PAPER_ITEMS = (
@@ -1220,3 +1246,22 @@ def detect_apk_strings(spark, folder):
     targets = h.feed_targets(spark, folder, "play_store").unionByName(h.feed_targets(spark, folder, "apk_strings"))
     captures = resource_captures(spark, folder).unionByName(play)
     return report_rows(detect(captures, targets, MONITORS["apk_strings"]))
+
+
+def _watch(monitor: str) -> Callable:
+    return lambda spark, folder: h.feed_targets(spark, folder, monitor)
+
+
+INPUTS |= {
+    "js_deep": (js_captures, lambda spark, folder: h.document_targets(spark, folder, "js_deep")),
+    "docs": (h.document_captures, h.document_targets),
+    "page_change": (lambda spark, folder: h.page_captures(spark, folder, "page_change"), selecting_targets),
+    "sitemap": (sitemap_captures, sitemap_targets),
+    "trademark": (trademark_captures, _watch("trademark")),
+    "subdomains": (probe_captures, probe_targets),
+    "dns_records": (dns_captures, _watch("dns_records")),
+    "chrome_flags": (flag_captures, _watch("chrome_flags")),
+    "jobs": (job_captures, job_targets),
+    "app_store": (lambda spark, folder: h.feed_captures(spark, folder, "app_store", lookup_body), app_targets),
+    "apk_strings": (resource_captures, _watch("apk_strings")),
+}

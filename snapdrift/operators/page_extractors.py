@@ -60,8 +60,8 @@ def _script_refs(found: dom.Page) -> dict:
 _refs = _of_page(_record(sources=_STRINGS, links=_STRINGS, inline=T.StringType()), _script_refs)
 
 
-def js_bundle_urls(html: Column, base: Column) -> Column:
-    """Script addresses named by a page, in order of their text."""
+def script_refs(html: Column) -> Column:
+    """Script addresses as a page writes them."""
     found = _refs(html)
     inline = found["inline"]
     chunks = _all(
@@ -70,11 +70,20 @@ def js_bundle_urls(html: Column, base: Column) -> Column:
     )
     built = F.transform(_all(inline, r"""["'](_next/static/[^"']+\.js)["']"""), lambda s: F.concat(F.lit("/"), s))
     rooted = _all(inline, r"""["'](/[^"']*?\.(?:js|mjs))["']""")
-    refs = F.array_distinct(F.concat(found["sources"], found["links"], chunks, built, rooted))
+    return F.array_distinct(F.concat(found["sources"], found["links"], chunks, built, rooted))
+
+
+def script_addresses(refs: Column, base: Column) -> Column:
+    """References resolved against the page's address, without trackers."""
     resolved = F.transform(refs, lambda r: u.resolve_url(base, r))
     return F.sort_array(F.array_distinct(F.filter(resolved, lambda r: ~F.lower(r).rlike(p.TRACKER_WORDS))))
 
 
+def js_bundle_urls(html: Column, base: Column) -> Column:
+    """Script addresses named by a page, in order of their text."""
+    return script_addresses(script_refs(html), base)
+
+
 def quoted_strings(script: Column) -> Column:
     """Quoted literals of three units or more.
 

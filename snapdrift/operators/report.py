@@ -67,23 +67,30 @@ def section_text(lines: Column, sections: Sequence[Section], joiner: str) -> Col
     return F.concat_ws(joiner, *parts)
 
 
-def alert_payload(reports: DataFrame) -> DataFrame:
-    """The message of an alert, cut to what a receiver accepts."""
+FOOTER = "snapdrift"
+
+
+def alert_payload(reports: DataFrame, at: Column | None = None, footer: str = FOOTER) -> DataFrame:
+    """The message of an alert made ``at`` a time (now), cut to what a receiver accepts."""
+    made = F.to_utc_timestamp(F.current_timestamp() if at is None else at, F.current_timezone())
+    stamp = F.concat(F.date_format(made, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
     fields = F.slice("fields", 1, 25)
     payload = F.struct(
         F.concat(F.lit("🔍 "), "alert_title").alias("title"),
         F.substring("description", 1, 4000).alias("description"),
         F.col("color"),
+        stamp.alias("timestamp"),
+        F.struct(F.lit(footer).alias("text")).alias("footer"),
         F.when(F.col("url") != "", F.col("url")).alias("url"),
         F.when(F.size("fields") > 0, fields).alias("fields"),
     )
     return reports.select(*SCAN, F.to_json(payload, {"ignoreNullFields": "true"}).alias("payload"))
 
 
-def detection_rows(reports: DataFrame) -> DataFrame:
-    """Rows of the detections log; alerts without a type are not logged."""
+def detection_rows(reports: DataFrame, at: Column | None = None) -> DataFrame:
+    """Rows of the detections log, detected ``at`` a time (now); alerts without a type are not logged."""
     logged = reports.filter(F.col("detection_type").isNotNull())
     return logged.select(
         "monitor", F.col("log_target").alias("target_id"), "scan_id", "detection_type",
-        F.col("log_title").alias("title"), "details",
+        F.col("log_title").alias("title"), "details", (F.current_timestamp() if at is None else at).alias("detected_at"),
     )

@@ -21,12 +21,12 @@ def usable_captures(captures: DataFrame, strict: bool = False, min_length: int =
 
 
 def pick_by_success(captures: DataFrame, roles: Sequence[str], strict: bool = False) -> DataFrame:
-    """Per scan the first role that delivered.
+    """Per scan the first role that delivered."""
+    return first_role(usable_captures(captures, strict), roles)
 
-    Only replies of a later role meet the join, so bodies of the first role
-    are never shuffled.
-    """
-    usable = usable_captures(captures, strict)
+
+def first_role(usable: DataFrame, roles: Sequence[str]) -> DataFrame:
+    """Of delivered rows those of the first role a scan has; rows of the first role meet no join."""
     taken = usable.filter(F.col("role") == roles[0])
     for role in roles[1:]:
         spare = usable.filter(F.col("role") == role)

@@ -21,9 +21,11 @@ FOLDED = 4
 
 
 def bundle_urls(captures: DataFrame, targets: DataFrame) -> DataFrame:
-    """The script addresses of each page; pages are read before their target is looked up only where it names the base."""
-    pages = usable_captures(captures).filter("role = 'page'").join(targets.select(*KEYS, F.col("url").alias("base")), list(KEYS))
-    return pages.select(*SCAN, F.explode(page.js_bundle_urls(F.col("body"), F.col("base"))).alias("url"))
+    """The script addresses of each page; its target's address meets what was read, not the page."""
+    pages = usable_captures(captures).filter("role = 'page'")
+    refs = stage(pages.select(*SCAN, page.script_refs(F.col("body")).alias("refs")), "script-refs")
+    based = refs.join(targets.select(*KEYS, F.col("url").alias("base")), list(KEYS))
+    return based.select(*SCAN, F.explode(page.script_addresses(F.col("refs"), F.col("base"))).alias("url"))
 
 
 def bundle_items(captures: DataFrame, targets: DataFrame, entries: Column) -> tuple[DataFrame, DataFrame]:

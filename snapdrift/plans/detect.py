@@ -82,7 +82,9 @@ class ItemMonitor:
     ``mode`` is ``set``, ``list`` (order and repeats count) or ``current``
     (any change reports the whole scan). ``collect`` replaces ``entries`` when
     the items of one scan come from several captures; it returns the items and
-    the scans that took place. ``choose`` picks one of several sources first.
+    the scans that took place. ``choose`` picks one of several sources among
+    delivered rows with ``role`` and ``entries``. ``entries`` that read the
+    ``target`` are ``targeted``.
     With ``follows`` only scans in which that monitor saw a new version, or the
     target for the first time, take part. A monitor that ``searches`` looks for
     a target's keywords or patterns in its changes.
@@ -100,6 +102,7 @@ class ItemMonitor:
     detailed: bool = False
     follows: VersionMonitor | None = None
     searches: bool = False
+    targeted: bool = False
 
 
 @dataclass(frozen=True)
@@ -142,16 +145,27 @@ def _columns(spec: ItemMonitor) -> list[str]:
 
 
 def _single(captures: DataFrame, targets: DataFrame, spec: ItemMonitor) -> tuple[DataFrame, DataFrame]:
-    """Items and scans when each scan is one capture: no shuffle at all."""
-    rows = with_target(usable_captures(captures, spec.strict), targets)
+    """Items and scans when each scan is one capture.
+
+    Bodies are read where they lie; the watchlist, and a choice among several
+    sources, meet the entries. Only a monitor whose extraction is ``targeted``
+    brings a target's columns to the bodies.
+    """
+    rows = usable_captures(captures, spec.strict)
+    if spec.targeted:
+        rows = with_target(rows, targets)
     entries = F.coalesce(spec.entries().cast(ENTRY), F.array().cast(ENTRY))
-    rows = rows.select(*SCAN, entries.alias("entries"))
-    if spec.guarded:
-        rows = rows.filter(F.size("entries") > 0)
+    rows = rows.select(*SCAN, "role", entries.alias("entries"))
     items = F.transform("entries", lambda e: e["item"])
     mark = set_fingerprint(items) if spec.mode == "set" else list_fingerprint(items)
     rows = stage(rows.withColumn("fingerprint", mark), spec.monitor)
-    return rows.drop("fingerprint"), rows.select(*SCAN, "fingerprint")
+    if not spec.targeted:
+        rows = rows.join(targets.select(*KEYS), list(KEYS), "left_semi")
+    if spec.choose:
+        rows = spec.choose(rows, targets)
+    if spec.guarded:
+        rows = rows.filter(F.size("entries") > 0)
+    return rows.select(*SCAN, "entries"), rows.select(*SCAN, "fingerprint")
 
 
 def _open(rows: DataFrame, spec: ItemMonitor) -> DataFrame:
@@ -181,8 +195,6 @@ def _merged(captures: DataFrame, targets: DataFrame, spec: ItemMonitor) -> tuple
 
 def extract(captures: DataFrame, targets: DataFrame, spec: ItemMonitor) -> tuple[DataFrame, DataFrame]:
     """``(items, scans)`` of a monitor; scans carry ``fingerprint``."""
-    if spec.choose:
-        captures = spec.choose(captures, targets)
     return _merged(captures, targets, spec) if spec.collect else _single(captures, targets, spec)
 
 

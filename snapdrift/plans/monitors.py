@@ -14,7 +14,7 @@ from snapdrift.operators import feed_extractors as feed
 from snapdrift.operators import page_extractors as page
 from snapdrift.operators.diff import explode_items
 from snapdrift.operators.report import Section
-from snapdrift.operators.scans import pick_by_configuration, pick_by_success, usable_captures
+from snapdrift.operators.scans import first_role, pick_by_configuration, usable_captures
 from snapdrift.operators.watch import (
     bundle_items,
     landed_resources,
@@ -133,6 +133,7 @@ DOCS = ItemMonitor(
 
 PAGE_CHANGE = ItemMonitor(
     monitor="page_change",
+    targeted=True,
     entries=_text_lines,
     guarded=False,
     alerts=(
@@ -200,6 +201,7 @@ ROBOTS_TXT = ItemMonitor(
 
 CDN_ASSETS = ItemMonitor(
     monitor="cdn_assets",
+    targeted=True,
     entries=lambda: feed.plain(
         page.page_assets(
             F.col("body"), F.col("target.url"), F.split(F.col("target.attrs")["cdn_domains"], ",")
@@ -245,7 +247,7 @@ FCC = ItemMonitor(
 TRADEMARK = ItemMonitor(
     monitor="trademark",
     entries=lambda: page.trademark_marks(F.col("body")),
-    choose=lambda captures, targets: pick_by_success(captures, ("primary", "fallback")),
+    choose=lambda rows, targets: first_role(rows, ("primary", "fallback")),
     mode="list",
     order="pos",
     detailed=True,
@@ -266,6 +268,7 @@ TRADEMARK = ItemMonitor(
 
 CT_LOGS = ItemMonitor(
     monitor="ct_logs",
+    targeted=True,
     entries=lambda: feed.plain(feed.certificate_names(F.col("body"), F.col("target.domain"))),
     strict=True,
     alerts=(
@@ -384,7 +387,7 @@ GITHUB_PRS = ItemMonitor(
 CHROME_FLAGS = ItemMonitor(
     monitor="chrome_flags",
     entries=lambda: feed.plain(feed.flag_names(F.col("body"))),
-    choose=lambda captures, targets: pick_by_success(captures, ("primary", "fallback")),
+    choose=lambda rows, targets: first_role(rows, ("primary", "fallback")),
     guarded=False,
     alerts=(
         Alert(
@@ -420,7 +423,7 @@ JOBS = ItemMonitor(
     monitor="jobs",
     searches=True,
     entries=_job_titles,
-    choose=lambda captures, targets: pick_by_configuration(captures, targets, JOB_SOURCES),
+    choose=lambda rows, targets: pick_by_configuration(rows, targets, JOB_SOURCES),
     order="pos",
     alerts=(
         Alert(

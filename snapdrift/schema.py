@@ -47,7 +47,8 @@ TARGETS = table_of(
 )
 
 DETECTIONS = table_of(
-    "monitor string, target_id string, scan_id bigint, detection_type string, title string, details string"
+    "monitor string, target_id string, scan_id bigint, detection_type string, title string, details string, "
+    "detected_at timestamp"
 )
 
 # Every kept change of a run. Of a version monitor ``op`` and ``bucket`` are

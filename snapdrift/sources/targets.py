@@ -47,9 +47,6 @@ BUILT_IN = (
     "chrome_flags", "github_orgs", "hf_orgs", "model_registries",
 )
 
-REGISTRIES = ("OpenAI", "Anthropic", "Google AI (Gemini)", "Groq", "Together AI")
-
-
 def _json_list(text: str) -> str:
     return "[" + ",".join(f'"{x}"' for x in text.split(",") if x) + "]"
 
@@ -84,7 +81,7 @@ def _default_rows() -> list[tuple[str, dict[str, str]]]:
     rows += [("arxiv", {"name": n, "ticker": t, "query": s}) for n, t, s in wd.PAPER_QUERIES]
     rows += [("github_orgs", {"name": n, "org": o}) for n, o in wd.REPO_ORGS]
     rows += [("hf_orgs", {"name": n, "org": o}) for n, o in wd.MODEL_ORGS]
-    rows += [("model_registries", {"name": n, "ticker": n}) for n in REGISTRIES]
+    rows += [("model_registries", {"name": n, "ticker": t, "url": u}) for n, t, u in wd.REGISTRIES]
     rows.append(("chrome_flags", {"name": "main"}))
     return rows
 
@@ -112,8 +109,13 @@ def as_watchlist(entries: DataFrame) -> DataFrame:
     )
     t = F.col("t")
     rows = entries.select("section", "t", F.explode(F.try_element_at(monitors, F.col("section"))).alias("monitor"))
+    # pages that show what a code stands for
+    fill = lambda address, hole, value: F.replace(F.lit(address), F.lit(hole), value)
+    lookup = F.when(F.col("section") == "fcc_grantees", fill(wd.GRANTEE_URL, "{code}", t["code"])).when(
+        F.col("section") == "sec_ciks", fill(wd.FILER_URL, "{cik}", t["label"])
+    )
     urls = F.when(F.col("section") == "docs", _strings(t["urls"])).otherwise(
-        F.array(F.coalesce(t["url"], t["sitemap_url"], t["careers_url"], F.lit("")))
+        F.array(F.coalesce(t["url"], t["sitemap_url"], t["careers_url"], lookup, F.lit("")))
     )
     rows = rows.select("section", "t", "monitor", F.explode(urls).alias("url"))
     watch = F.when(t["watch"].isNull(), F.array(F.lit("releases"))).otherwise(_strings(t["watch"]))

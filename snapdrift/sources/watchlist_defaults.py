@@ -435,3 +435,17 @@ Google AI Blog|https://blog.google/technology/ai/
 Chrome Status Features|https://chromestatus.com/features
 """
 )
+
+# Model registries with ticker and address, and the pages that show a grantee's or a filer's filings.
+REGISTRIES = (
+    ("OpenAI", "OpenAI", "https://api.openai.com/v1/models"),
+    ("Anthropic", "Anthropic", "https://api.anthropic.com/v1/models"),
+    ("Google AI (Gemini)", "GOOGL", "https://generativelanguage.googleapis.com/v1beta/models"),
+    ("Groq", "Groq", "https://api.groq.com/openai/v1/models"),
+    ("Together AI", "Together", "https://api.together.xyz/v1/models"),
+)
+GRANTEE_URL = (
+    "https://apps.fcc.gov/oetcf/eas/reports/GenericSearch.cfm?RequestTimeout=500&calession=&id_grantee={code}&id_product_code=&applicant_name="
+    "&grant_date_from=&grant_date_to=&comments=&application_purpose=&grant_code=&id_fcc=&facility_id=&fcc_search_type=&show_records=10"
+)
+FILER_URL = "https://www.sec.gov/cgi-bin/browse-edgar?action=getcompany&CIK={cik}&type=8-K&dateb=&owner=include&count=10"
