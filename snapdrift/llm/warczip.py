@@ -408,7 +408,8 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
             file.close()
 
     n = 1 + (index.agg(F.sum("length")).first()[0] or 0) // READ_BLOCK
-    near = index.repartitionByRange(n, "path", "start").sortWithinPartitions("path", "start").select("path", "start", "length", "error")
+    near = index.withColumn("block", F.floor(F.col("start") / READ_BLOCK)).repartition(n, "path", "block")
+    near = near.sortWithinPartitions("path", "start").select("path", "start", "length", "error")
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     return near.mapInArrow(run, ", ".join(f"{k} {kinds[t]}" for k, t in fields.items()))
 
