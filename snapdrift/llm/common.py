@@ -19,8 +19,10 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of this machine only where none is named, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; where none is named, one of this machine if all tasks run here, else an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or _own_folder()).rstrip("/")
 
 

@@ -117,3 +117,18 @@ def test_round_trip(spark, encoder, rows, tmp_path, monkeypatch, block, file_ids
 
 def test_no_rows(spark, tmp_path):
     assert token_files.round_trip(frame(spark, []), FILE, f"file://{tmp_path}/none", ids=True).count() == 0
+
+
+def test_a_cluster_must_name_its_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from snapdrift.llm import common
+
+    def session(master, named):
+        conf = SimpleNamespace(get=lambda key, default=None: named)
+        return SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master=master), conf=conf)
+
+    assert common.shared_folder(session("spark://m:7077", "hdfs://x/")) == "hdfs://x"
+    assert common.shared_folder(session("local[2]", None)).startswith("file://")
+    with pytest.raises(ValueError):
+        common.shared_folder(session("spark://m:7077", None))
