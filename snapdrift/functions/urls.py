@@ -41,8 +41,12 @@ def resolve_url(base: Column, ref: Column) -> Column:
     relative = F.regexp_replace(F.concat(folder, ref_path), r"(?<=.)/{2,}", "/")
     path = F.when(ref_path.startswith("/"), ref_path).otherwise(relative)
     tail = F.concat(query, fragment)
+    # most references are a plain path from the root; of those nothing has to be taken apart
+    marks = [ref.contains(x) for x in ("/.", "?", "#")]
+    plain = ref.startswith("/") & ~ref.startswith("//") & ~(marks[0] | marks[1] | marks[2])
     return (
-        F.when(ref == "", base)
+        F.when(plain, F.concat(origin, ref))
+        .when(ref == "", base)
         .when(ref.rlike(_SCHEME) & (_part(ref, 1) != _part(base, 1)), ref)
         .when(ref.rlike(_SCHEME), F.regexp_replace(ref, r"[?#]$", ""))
         .when(ref.startswith("//"), F.concat(_part(base, 1), F.lit(":"), F.regexp_replace(ref, r"[?#]$", "")))

@@ -15,16 +15,22 @@ from snapdrift.operators import page_extractors as page
 from snapdrift.operators.diff import distinct_items
 from snapdrift.operators.scans import usable_captures
 from snapdrift.schema import KEYS, SCAN
-from snapdrift.sources.staging import stage, written
+from snapdrift.sources.staging import dealt, stage, written
 
 FOLDED = 4
 
 
 def bundle_urls(captures: DataFrame, targets: DataFrame) -> DataFrame:
-    """The script addresses of each page; its target's address meets what was read, not the page."""
+    """The script addresses of each page; its target's address meets what was read, not the page.
+
+    References unfold into far more rows than their size in a file tells, and
+    a small table of them may have been broadcast into the few tasks of the
+    watchlist: scans are dealt anew before they unfold.
+    """
     pages = usable_captures(captures).filter("role = 'page'")
     refs = stage(pages.select(*SCAN, page.script_refs(F.col("body")).alias("refs")), "script-refs")
     based = refs.join(targets.select(*KEYS, F.col("url").alias("base")), list(KEYS))
+    based = dealt(based, *SCAN)
     return based.select(*SCAN, F.explode(page.script_addresses(F.col("refs"), F.col("base"))).alias("url"))
 
 

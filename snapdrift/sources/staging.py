@@ -55,3 +55,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` in all the partitions a shuffle of the session has; none are put together for being small before they unfold."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

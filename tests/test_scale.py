@@ -9,6 +9,7 @@ from conftest import make_captures, make_targets
 from pyspark.sql import functions as F
 
 from snapdrift.operators import diff, scans
+from snapdrift.operators.watch import bundle_urls
 from snapdrift.plans.detect import detect
 from snapdrift.plans.monitors import MONITORS
 from snapdrift.schema import SCAN
@@ -76,3 +77,12 @@ def test_one_huge_scan_has_a_mergeable_mark(spark):
     marks = [scans.merged_fingerprint(d).first() for d in (big, big.orderBy(F.desc("item")), big.filter("item <> '7'"))]
     assert marks[0] == marks[1] != marks[2] and marks[0].n_items == 200_000
     assert "collect" not in final_plan(scans.merged_fingerprint(big))
+
+
+def test_addresses_of_scripts_unfold_in_many_tasks(spark):
+    html = "".join(f'<script src="/b{i}.js"></script>' for i in range(3))
+    rows = [{"target_id": "t", "scan_id": i, "role": "page", "body": html} for i in range(64)]
+    captures = make_captures(spark, rows).coalesce(1)
+    got = bundle_urls(captures, make_targets(spark, [{"target_id": "t"}])).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 192 and {r.url for r in got} == {f"https://t.example.com/b{i}.js" for i in range(3)}
+    assert len({r.task for r in got}) > 1
