@@ -172,17 +172,18 @@ def as_watchlist(entries: DataFrame) -> DataFrame:
     return rows.filter(wanted).select(*[values[f.name].cast(f.dataType).alias(f.name) for f in TARGETS.fields])
 
 
-def load_targets(spark: SparkSession, path: str | None = None) -> DataFrame:
+def load_targets(spark: SparkSession, path: str | None = None, lines: bool = False) -> DataFrame:
     """A1: the watchlist of a JSON configuration, or the built-in one.
 
     A section absent from the file switches its monitors off, except those
-    with built-in lists.
+    with built-in lists. Each file below ``path`` is a document, or, with
+    ``lines``, each line of one: very many documents then need no file each.
     """
     defaults = spark.createDataFrame(_default_rows(), "section string, t map<string,string>")
     if path is None:
         return as_watchlist(defaults)
     try:
-        configs = spark.read.text(path, wholetext=True)
+        configs = spark.read.text(path, wholetext=not lines)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

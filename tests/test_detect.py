@@ -7,6 +7,7 @@ import json
 import pytest
 from conftest import make_captures, make_targets
 
+from snapdrift.catalog import history
 from snapdrift.operators.report import alert_payload, detection_rows
 from snapdrift.plans.detect import detect
 from snapdrift.plans.monitors import MONITORS
@@ -196,6 +197,24 @@ def test_configured_watchlist(spark, tmp_path):
     assert got.filter("monitor = 'page_change'").first().attrs == {}
 
 
+def test_watchlist_of_a_document_a_line(spark, tmp_path):
+    configs = [{"docs": [{"name": f"D{i}", "urls": [f"https://d/{i}"], "keywords": ["k\nl"]}], "npm_packages": {f"p{i}": "P"}} for i in range(50)]
+    for name, cut in (("a", configs[:30]), ("b", configs[30:])):
+        (tmp_path / name).write_text("\n".join(json.dumps(c) for c in cut) + "\n")
+    got = wl.load_targets(spark, str(tmp_path), lines=True)
+    rows = [r for r in got.collect() if r.monitor in ("docs", "npm")]
+    assert len(rows) == 100 and {r.url for r in rows if r.monitor == "docs"} == {f"https://d/{i}" for i in range(50)}
+    assert all(r.keywords == ["k\nl"] for r in rows if r.monitor == "docs") and got.filter("monitor = 'pypi'").count() == 19
+
+
+def test_the_query_writes_no_file_a_document(spark, tmp_path, monkeypatch):
+    spark.range(400).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(history, "workspace", lambda df: str(tmp_path / "configs"))
+    got = history.load_targets(spark, str(tmp_path))
+    assert got.filter("monitor = 'npm'").count() == 400 and got.filter("monitor = 'docs'").count() == 800
+    assert len(list((tmp_path / "configs").glob("part-*"))) < 10
+
+
 def test_shared_filer_numbers_are_flagged(spark):
     assert [r.codes for r in wl.shared_labels(wl.dimension(spark, "sec_8k")).collect()] == [["DUOL", "PINS"]]
 
