@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -77,7 +77,9 @@ def stream_detect_all(
 
 
 CHANGES = table_of("monitor string, target_id string, scan_id bigint, op string, item string")
+CHANGE = Row(*CHANGES.names)
 CHUNK = 4096
+HELD = 1 << 16
 GONE = 1 << 16
 
 
@@ -86,8 +88,10 @@ class SetState(StatefulProcessor):
 
     ``items`` maps an item to the scans of the last batch that named it, with
     the scan before that batch in front if it was there then. An item is present
-    if it was named by the last scan. Nothing but one item is ever held: rows
-    are applied as they come, and the entries are then walked once.
+    if it was named by the last scan. Up to ``HELD`` items of a batch are
+    gathered before the state is walked once, and only those that are there in
+    the end, or were, are written or removed. Of a larger batch nothing but one
+    item is held: rows are applied to the state as they come.
     """
 
     def __init__(self, ttl: timedelta | None = None) -> None:
@@ -99,60 +103,112 @@ class SetState(StatefulProcessor):
         self.items = handle.getMapState("items", "item string", "scans array<long>", ttlDurationMs=ttl)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        last = int(initialState["scan_id"].max())
-        self.last.update((last,))
-        for item, scan_id in zip(initialState["item"], initialState["scan_id"]):
+        self._begin(zip(initialState["scan_id"].tolist(), initialState["item"].tolist()))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        named = (pair for frame in rows for pair in zip(frame["scan_id"].tolist(), frame["item"].tolist()))
+        out = []
+        for change in self._changes(key, named):
+            out.append(change)
+            if len(out) >= CHUNK:
+                yield pd.DataFrame(out, columns=CHANGES.names)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=CHANGES.names)
+
+    def _begin(self, rows: Iterable[tuple[int, str | None]]) -> None:
+        """Take rows of a baseline, in one portion or several; what an earlier scan than the last named counts as absent."""
+        known = self.last.get()
+        before = None if known is None else known[0]
+        last = before
+        for scan_id, item in rows:
+            last = scan_id if last is None else max(last, scan_id)
             if item is not None and scan_id == last:
                 self.items.updateValue((item,), ([last],))
+        if last != before:
+            self.last.update((last,))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
+    def _changes(self, key, rows: Iterable[tuple[int, str | None]]) -> Iterator[tuple]:
+        found = self.last.get()
+        last = None if found is None else found[0]
         scans: set[int] = set()
-        for frame in rows:
-            for scan_id, item in zip(frame["scan_id"].tolist(), frame["item"].tolist()):
-                if last is not None and scan_id <= last:
-                    continue
-                scans.add(scan_id)
-                if item is not None:
-                    self._name(item, scan_id, last)
+        held: dict[str, set[int]] | None = {}
+        for scan_id, item in rows:
+            if last is not None and scan_id <= last:
+                continue
+            scans.add(scan_id)
+            if item is None:
+                continue
+            if held is None:
+                self._name(item, [scan_id], last)
+                continue
+            held.setdefault(item, set()).add(scan_id)
+            if len(held) > HELD:
+                for one, at in held.items():
+                    self._name(one, at, last)
+                held = None
         if not scans:
             return
         order = sorted(scans)
-        yield from self._walk(key, order, last)
+        yield from self._walk(key, order, last, held)
         self.last.update((order[-1],))
 
-    def _name(self, item: str, scan_id: int, last: int | None) -> None:
+    def _name(self, item: str, at: Iterable[int], last: int | None) -> None:
         known = self.items.getValue((item,))
         seen = [] if known is None else [int(s) for s in known[0]]
         if seen and last is not None and seen[-1] <= last:  # of an earlier batch
             seen = [last] if seen[-1] == last else []
-        if scan_id not in seen:
-            self.items.updateValue((item,), (sorted([*seen, scan_id]),))
-
-    def _walk(self, key, order: list[int], last: int | None) -> Iterator[pd.DataFrame]:
-        out, gone = [], []
-        for (item,), (seen,) in self.items.iterator():
-            named = {int(s) for s in seen}
-            if max(named) < order[-1] and len(gone) < GONE:
-                gone.append(item)  # beyond GONE it goes after a later batch; until then it counts as absent
-            there = (order[0] if last is None else last) in named
-            for scan_id in order[1:] if last is None else order:
+        if not set(at) <= set(seen):
+            self.items.updateValue((item,), (sorted({*seen, *at}),))
+
+    def _walk(self, key, order: list[int], last: int | None, held: dict[str, set[int]] | None) -> Iterator[tuple]:
+        """Changes of the items in the state, with their scans of this batch, and then of those ``held`` that it does not know."""
+        start, rest, final = (order[0], order[1:], order[-1]) if last is None else (last, order, order[-1])
+        gone, stays = [], []
+
+        def moves(item: str, named: set[int]) -> Iterator[tuple]:
+            there = start in named
+            for scan_id in rest:
                 now = scan_id in named
                 if now != there:
-                    out.append((*key[:2], scan_id, "added" if now else "removed", item))
+                    yield (*key[:2], scan_id, "added" if now else "removed", item)
                 there = now
-            if len(out) >= CHUNK:
-                yield pd.DataFrame(out, columns=CHANGES.names)
-                out = []
+
+        if held is None or last is not None:  # a target that is new to the state has nothing in it
+            for (item,), (seen,) in self.items.iterator():
+                named = {int(s) for s in seen}
+                if held is not None:
+                    named = (named & {last}) | held.pop(item, set())
+                    if final in named:
+                        stays.append(item)
+                if final not in named and len(gone) < GONE:
+                    gone.append(item)  # beyond GONE it goes after a later batch; until then it counts as absent
+                yield from moves(item, named)
+        for item, named in (held or {}).items():
+            if final in named:
+                stays.append(item)
+            yield from moves(item, named)
         for item in gone:
             self.items.removeKey((item,))
-        if out:
-            yield pd.DataFrame(out, columns=CHANGES.names)
+        for item in stays:
+            self.items.updateValue((item,), ([final],))
 
     def close(self) -> None:
         pass
 
 
+class RowSetState(SetState):
+    """:class:`SetState` over rows; a share of few rows then costs no frame of its own."""
+
+    def handleInitialState(self, key, initialState: Iterable[Row], timerValues) -> None:
+        rows = [initialState] if isinstance(initialState, Row) else initialState
+        self._begin((r["scan_id"], r["item"]) for r in rows)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for change in self._changes(key, ((r["scan_id"], r["item"]) for r in rows)):
+            yield CHANGE(*change)
+
+
 def stream_set_changes(
     scans: DataFrame, items: Column, shares: int = 16, initial: DataFrame | None = None, ttl: timedelta | None = None
 ) -> DataFrame:
@@ -176,8 +232,8 @@ def stream_set_changes(
         marked = F.concat(F.array(F.struct(share(F.col("item")).alias("share"), "item")), marks)
         opened = initial.select(*KEYS, "scan_id", F.explode(marked).alias("e")).filter("e.share IS NOT NULL")
         start = opened.select(*KEYS, "e.share", "scan_id", "e.item").distinct().groupBy(*KEYS, "share")
-    return rows.groupBy(*KEYS, "share").transformWithStateInPandas(
-        statefulProcessor=SetState(ttl), outputStructType=CHANGES, outputMode="Append",
+    return rows.groupBy(*KEYS, "share").transformWithState(
+        statefulProcessor=RowSetState(ttl), outputStructType=CHANGES, outputMode="Append",
         timeMode="None" if ttl is None else "ProcessingTime", initialState=start,
     )
 

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from conftest import make_captures, make_targets
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from snapdrift.plans.detect import detect
@@ -368,3 +369,36 @@ def test_stream_of_every_monitor(spark, tmp_path):
     for spec, until in zip(specs, (3, 2, 3)):  # the last scan of several captures is still open
         want = rows_of(detect(make_captures(spark, [r for r in rows if r["scan_id"] < until]), targets, spec))
         assert rows_of(read_sink(spark, out, "reports", spec.monitor)) == want and (want or spec.monitor == "pypi")
+
+
+def test_a_share_touches_the_state_for_what_stays_only(monkeypatch):
+    class Map(dict):
+        calls = 0
+
+        def __getattr__(self, name):
+            def call(k=None, v=None):
+                self.calls += 1
+                return {"getValue": self.get, "removeKey": self.pop}[name](k) if name != "updateValue" else self.__setitem__(k, v)
+
+            return call
+
+        def iterator(self):
+            self.calls += 1
+            return iter(list(self.items()))
+
+    class Value:
+        value = None
+        get = lambda self: self.value
+        update = lambda self, v: setattr(self, "value", v)
+
+    scans = [{f"x{i}", f"x{i + 1}"} for i in range(40)]
+    want = {(i, op, x) for i in range(1, 40) for op, xs in (("added", scans[i] - scans[i - 1]), ("removed", scans[i - 1] - scans[i])) for x in xs}
+    for held in (1 << 16, 5):  # gathered, and applied as they come
+        monkeypatch.setattr(jobs, "HELD", held)
+        state, got = jobs.RowSetState(), []
+        state.last, state.items = Value(), Map()
+        for batch in (range(20), range(20, 40)):
+            rows = [Row(scan_id=i, item=x) for i in batch for x in [None, *sorted(scans[i])]]
+            got += list(state.handleInputRows(("m", "t", 0), iter(rows), None))
+        assert {(r.scan_id, r.op, r.item) for r in got} == want and len(got) == len(want)
+        assert set(state.items) == {("x39",), ("x40",)} and (held == 5 or state.items.calls < 12)
