@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -57,6 +58,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+#: Bytes of input and of shuffled rows that a task gets at most, where many rows lie in few bytes.
+FINE = {"spark.sql.files.maxPartitionBytes": 16 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20}
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def fine_tasks(spark: SparkSession) -> None:
+    """Keep splits and joined partitions small, so that a task's sorts and hash maps stay so however large the input is.
+
+    Item rows are a few compressed bytes each and a hundred and more in memory.
+    A session that has smaller sizes keeps them.
+    """
+    for key, most in FINE.items():
+        number, unit = re.fullmatch(r"(\d+)\s*([bkmgt]?)[ib]*", spark.conf.get(key).strip().lower()).groups()
+        if int(number) * _UNITS[unit] > most:
+            spark.conf.set(key, str(most))
+
+
 def dealt(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` in all the partitions a shuffle of the session has; none are put together for being small before they unfold."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -8,12 +8,13 @@ import re
 from conftest import make_captures, make_targets
 from pyspark.sql import functions as F
 
+from snapdrift.catalog import history
 from snapdrift.operators import diff, scans
 from snapdrift.operators.watch import bundle_urls
 from snapdrift.plans.detect import detect
 from snapdrift.plans.monitors import MONITORS
 from snapdrift.schema import SCAN
-from snapdrift.sources.staging import spread
+from snapdrift.sources.staging import FINE, fine_tasks, spread
 
 
 def final_plan(df) -> str:
@@ -86,3 +87,18 @@ def test_addresses_of_scripts_unfold_in_many_tasks(spark):
     got = bundle_urls(captures, make_targets(spark, [{"target_id": "t"}])).withColumn("task", F.spark_partition_id()).collect()
     assert len(got) == 192 and {r.url for r in got} == {f"https://t.example.com/b{i}.js" for i in range(3)}
     assert len({r.task for r in got}) > 1
+
+
+def test_tasks_over_items_are_kept_small(spark):
+    own = spark.newSession()
+    split, joined = FINE
+    for given, kept in (("128MB", str(FINE[split])), ("1g", str(FINE[split])), ("4m", "4m"), (str(64 << 20), str(FINE[split]))):
+        own.conf.set(split, given)
+        fine_tasks(own)
+        assert own.conf.get(split) == kept and own.conf.get(joined) == str(FINE[joined])
+
+
+def test_history_of_shipments_runs_in_small_tasks(spark):
+    own = spark.newSession()
+    history.shipment_changes(own, "/root/testdata/sf0.001")
+    assert all(own.conf.get(key) == str(most) for key, most in FINE.items())
