@@ -238,7 +238,10 @@ def bucketed(changes: DataFrame, targets: DataFrame, spec: ItemMonitor) -> DataF
     bucket = F.coalesce(*[F.when(F.col("op") == a.op, a.bucket(F.col("item"), detail, F.col("target"))) for a in spec.alerts])
     # counts, rankings and the table of changes read this: patterns are searched once per change
     keep = written if spec.searches else stage
-    return keep(rows.select(*changes.columns, bucket.cast("string").alias("bucket")), f"{spec.monitor}-changes")
+    rows = rows.select(*changes.columns, bucket.cast("string").alias("bucket"))
+    # a change that no alert reports is counted and not shown: its row is kept, its words are not
+    unseen = {c: F.when(F.col("bucket").isNotNull(), F.col(c)) for c in ("item", "detail") if c in changes.columns}
+    return keep(rows.withColumns(unseen), f"{spec.monitor}-changes")
 
 
 def kept_changes(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from snapdrift.catalog import history
 from snapdrift.operators import diff, scans
 from snapdrift.operators.watch import bundle_urls
-from snapdrift.plans.detect import detect
+from snapdrift.plans.detect import bucketed, detect
 from snapdrift.plans.monitors import MONITORS
 from snapdrift.schema import SCAN
 from snapdrift.sources.staging import FINE, fine_tasks, spread
@@ -102,3 +102,11 @@ def test_history_of_shipments_runs_in_small_tasks(spark):
     own = spark.newSession()
     history.shipment_changes(own, "/root/testdata/sf0.001")
     assert all(own.conf.get(key) == str(most) for key, most in FINE.items())
+
+
+def test_changes_that_no_alert_reports_are_counted_without_their_words(spark):
+    rows = [("docs", "t", 2, op, x) for op in ("added", "removed") for x in ("New API endpoint in beta", "zzz")]
+    changes = spark.createDataFrame(rows, "monitor string, target_id string, scan_id bigint, op string, item string")
+    got = bucketed(changes, make_targets(spark, [{"monitor": "docs", "target_id": "t"}]), MONITORS["docs"]).collect()
+    assert len(got) == 4 and sum(r.op == "removed" for r in got) == 2
+    assert all((r.item is None) == (r.bucket is None) for r in got) and {r.item for r in got} == {"New API endpoint in beta", None}
