@@ -24,7 +24,9 @@ import re
 import uuid
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -167,7 +169,8 @@ class Encoder:
     No piece of such a tokenizer spans white space. Printable ASCII and Latin-1
     letters, which its normalisation only lower-cases, are split into the words,
     digits and signs that it splits them into; of other runs of characters each
-    is one word here. A word is encoded once and then looked up.
+    is one word here. A word is encoded once; what is looked up then is a whole
+    run between blanks, so that a text is only cut at its blanks.
     """
 
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ\x20\x09-\x0D]*")
@@ -195,17 +198,31 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.flat, self.starts = {}, array("I"), array("q", [0])
+        self.known = defaultdict()  # a run that is looked up first takes the next number
+        self.known.default_factory = self.known.__len__
+        self.flat, self.starts, self.ends = array("I"), array("q"), array("q")
 
     def _plain(self, text: str) -> bool:
         return self.PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
-    def split(self, text: str) -> list[str]:
-        """The words of ``text``; what is not plain has a zero byte before it."""
+    def _runs(self, text: str) -> list[str]:
+        """The runs of ``text`` between blanks, in lower case; what is not plain has a zero byte before it."""
         if self._plain(text):
-            return self.WORDS.findall(text.lower())
-        runs = self.RUNS.findall(text)
-        return [w for r in runs for w in (self.WORDS.findall(r.lower()) if self._plain(r) else ("\0" + r,))]
+            return text.lower().split()
+        return [r.lower() if self._plain(r) else "\0" + r for r in self.RUNS.findall(text)]
+
+    def _words(self, run: str) -> list[str]:
+        return [run] if run[0] == "\0" else self.WORDS.findall(run)
+
+    def _numbers(self, runs: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+
+    def _at(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered runs one after the other, and where each of them ends there, from 0 on."""
+        starts, sizes = np.frombuffer(self.starts, np.int64)[numbers], np.frombuffer(self.ends, np.int64)[numbers]
+        sizes -= starts
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        return np.frombuffer(self.flat, np.uint32)[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
     def _ids(self, words: list[str]) -> list[np.ndarray]:
         """Encode plain words many at a time: each ends with the only id that is marked as a word's end."""
@@ -216,33 +233,50 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return [np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found])]
 
-    def _learn(self, new: list[str]) -> None:
-        other = [w for w in new if w[0] == "\0"]
-        plain = [w for w in new if w[0] != "\0"]
-        parts = [(plain[i : i + 1000], *self._ids(plain[i : i + 1000])) for i in range(0, len(plain), 1000)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w[1:] for w in other], add_special_tokens=False)] if other else []
-        parts.append((other, np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found], np.int64)))
-        for words, ids, sizes in parts:
-            self.known.update(zip(words, range(len(self.starts) - 1, len(self.starts) - 1 + len(words))))
-            self.starts.frombytes((np.cumsum(sizes, dtype=np.int64) + len(self.flat)).tobytes())
+    def _unseen(self, n: int) -> list[str]:
+        return list(islice(reversed(self.known), n))[::-1]
+
+    def _learn(self) -> None:
+        """Ids of the runs that were numbered last: words by the tokenizer, runs of several words by theirs."""
+        first = len(self.starts)
+        runs = self._unseen(len(self.known) - first)
+        split = [self._words(r) for r in runs]
+        several = [i for i, ws in enumerate(split) if len(ws) > 1]
+        inner = self._numbers([w for i in several for w in split[i]])
+        runs += self._unseen(len(self.known) - first - len(runs))  # words that came within a run only
+        joined = set(several)
+        plain = [i for i, r in enumerate(runs) if r[0] != "\0" and i not in joined]
+        other = [i for i, r in enumerate(runs) if r[0] == "\0"]
+        parts = [self._ids([runs[i] for i in plain[at : at + 1000]]) for at in range(0, len(plain), 1000)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([runs[i][1:] for i in other], add_special_tokens=False)] if other else []
+        parts.append([np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found], np.int64)])
+        starts, ends = np.zeros((2, len(runs)), np.int64)
+
+        def keep(places: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+            ends[places] = np.cumsum(sizes) + len(self.flat)
+            starts[places] = ends[places] - sizes
             self.flat.frombytes(ids.tobytes())
 
+        keep(plain + other, *(np.concatenate(p) for p in zip(*parts)))
+        self.starts.frombytes(starts.tobytes())
+        self.ends.frombytes(ends.tobytes())
+        ids, at = self._at(inner)
+        keep(several, ids, np.diff(at[np.cumsum([0, *(len(split[i]) for i in several)])]))
+        self.starts[first:], self.ends[first:] = array("q", starts.tobytes()), array("q", ends.tobytes())
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHED:
             self.forget()
-        split = [self.split(t) for t in texts]
-        words = [w for ws in split for w in ws]
-        new = set(words) - self.known.keys()
-        if new:
-            self._learn(list(new))
-        if not words:
-            return [np.empty(0, np.uint32)] * len(texts)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        starts = np.frombuffer(self.starts, np.int64)
-        starts, sizes = starts[at], starts[at + 1] - starts[at]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
-        cuts = ends[np.concatenate(([0], np.cumsum([len(ws) for ws in split])))]
+        runs = [self._runs(t) for t in texts]
+        numbers = self._numbers([r for rs in runs for r in rs])
+        if len(self.known) > len(self.starts):
+            try:
+                self._learn()
+            except BaseException:
+                self.forget()  # no run stays numbered without its ids
+                raise
+        ids, ends = self._at(numbers)
+        cuts = ends[np.cumsum([0, *map(len, runs)])]
         return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
 
 

@@ -48,6 +48,24 @@ def test_words_are_forgotten(encoder, monkeypatch):
     assert len(encoder.known) <= 60
 
 
+def test_known_runs_are_not_taken_apart(monkeypatch):
+    made = token_files.Encoder(FILE)
+    texts = ["it's one, two; (three)...  one, 4711 <|ENDOFTEXT|>", "é! \u0301. it's <|endoftext|>, one,", "two three one 47"]
+    want = [library_ids(made, t) for t in texts]
+    assert [i.tolist() for i in made.encode(texts)] == want
+    monkeypatch.setattr(made, "WORDS", None)
+    assert [i.tolist() for i in made.encode(texts[::-1])] == want[::-1]
+
+
+def test_a_run_that_failed_is_not_known(monkeypatch):
+    made = token_files.Encoder(FILE)
+    with monkeypatch.context() as broken:
+        broken.setattr(made, "_ids", lambda words: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            made.encode(["some words, here"])
+    assert made.encode(["words, here"])[0].tolist() == library_ids(made, "words, here")
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 1000])
 def test_pack_and_unpack(n):
     rng = np.random.default_rng(n)
