@@ -91,8 +91,8 @@ JS_TAILS = ["Coming soon to", "Photo Studio", "open the saved file of", "x"]
 
 def _bundle_body() -> Column:
     """A script of the document's lines as literals, padded to a real size."""
-    clean = F.transform(F.split("body", "\n"), lambda s: F.translate(s, "\"'`\\", ""))
-    literals = F.transform(F.filter(clean, lambda s: F.length(s) >= 3), lambda s: text('t("', s, '");'))
+    bare = reduce(lambda s, c: F.replace(s, F.lit(c), F.lit("")), "\"'`\\", F.col("body"))
+    literals = F.transform(F.filter(F.split(bare, "\n"), lambda s: F.length(s) >= 3), lambda s: text('t("', s, '");'))
     tail = text("u('", pick(JS_TAILS, F.col("scan_id")), " ", F.col("target_id"), "');", F.lit("/*" + "-" * 100 + "*/"))
     return F.concat(F.array_join(literals, "\n"), F.lit("\n"), tail)
 

@@ -30,7 +30,7 @@ def script_category(s: Column) -> Column:
     """Category of a kept literal, null when it is dropped."""
     upper, one = t.starts_upper(s), t.has_words(s, 1)
     return (
-        F.when(s.rlike(p.JVM_SCRIPT_INTEREST), "high_interest")
+        F.when(t.found_by_words(s, p.JVM_SCRIPT_INTEREST, p.SCRIPT_INTEREST_NEEDS), "high_interest")
         .when(t.has_words(s, 2), F.when(t.has_words(s, 3), "ui_text").when(upper, "feature_name").otherwise("string"))
         .when(one & upper & (F.length(s) >= 5), "proper_noun")
         .when(one & (F.length(s) < 8), None)

@@ -82,6 +82,25 @@ def any_of(patterns: Sequence[str], ignore_case: bool = False, ahead: bool = Fal
     return f"(?i){body}" if ignore_case else body
 
 
+def needed_words(patterns: Sequence[str]) -> list[str]:
+    """Lower-case words one of which is in every text that ``patterns`` match, whatever its case.
+
+    Of each pattern the longest run of characters that it cannot do without;
+    none if a pattern has no such run of three, as nothing then tells.
+    """
+    found = set()
+    for pattern in patterns:
+        plain = re.sub(r"\[(?:\\.|[^\]\\])*\]|\\[^\w]|\\\w", "\0", pattern)  # classes and escapes
+        while "(" in plain and (less := re.sub(r"\([^()]*\)", "\0", plain)) != plain:
+            plain = less
+        plain = re.sub(r".(?:[?*]|\{[^}]*\})|[+^$.]", "\0", plain)
+        word = max(plain.split("\0"), key=len)
+        if "|" in plain or len(word) < 3 or not word.isascii():
+            return []
+        found.add(word.lower())
+    return sorted(w for w in found if not any(o in w for o in found - {w}))
+
+
 def any_word(words: Sequence[str]) -> str:
     """Alternation of literal words."""
     return "|".join(re.escape(w).replace("\\-", "-").replace("\\ ", " ").replace("\\/", "/") for w in words)
@@ -96,6 +115,7 @@ RESOURCE_NOISE = any_of(fv.RESOURCE_NOISE_PATTERNS, ignore_case=True)
 # the same for the JVM's matcher
 JVM_SCRIPT_INTEREST = any_of(fv.SCRIPT_INTEREST_PATTERNS, ignore_case=True, ahead=True)
 JVM_DOC_SIGNAL = any_of(fv.DOC_SIGNAL_PATTERNS, ignore_case=True, ahead=True)
+SCRIPT_INTEREST_NEEDS = needed_words(fv.SCRIPT_INTEREST_PATTERNS)
 JVM_RESOURCE_INTEREST = any_of(fv.RESOURCE_INTEREST_PATTERNS, ignore_case=True, ahead=True)
 RESOURCE_INTEREST = any_of(fv.RESOURCE_INTEREST_PATTERNS, ignore_case=True)
 CERT_NOISE_WORDS = any_word(fv.CERT_NOISE_WORDS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from html.entities import html5
 
 import pandas as pd
@@ -116,6 +117,15 @@ def contains_any(text: Column, needles: Column, if_none: bool) -> Column:
     return F.when(empty, F.lit(if_none)).otherwise(hit)
 
 
+def found_by_words(text: Column, pattern: str, words: list[str]) -> Column:
+    """Whether ``pattern`` is found; a text without any of the lower-case ``words``, one of which it needs, is not searched."""
+    if not words:
+        return text.rlike(pattern)
+    # the text is lower-cased once for all words
+    held = F.exists(F.array(F.lower(text)), lambda x: reduce(Column.__or__, [F.contains(x, F.lit(w)) for w in words]))
+    return held & text.rlike(pattern)
+
+
 def _literal(c: str) -> str:
     return c if c.isalnum() and c.isascii() else f"\\x{{{ord(c):x}}}"
 

@@ -89,9 +89,10 @@ def quoted_strings(script: Column) -> Column:
 
     Possessive repeats keep the matcher iterative: a literal of any length or
     number of escapes cannot exhaust the stack. Phase errors after a shorter
-    literal are part of the definition.
+    literal are part of the definition. Characters without escapes are run over
+    at once where literals are many.
     """
-    double = _all(script, r'"((?:[^"\\]|\\[^\n]){3,}+)"')
+    double = _all(script, r'"((?=(?:[^"\\]|\\[^\n]){3})[^"\\]*+(?:\\[^\n][^"\\]*+)*+)"')
     single = _all(script, r"'((?:[^'\\]|\\[^\n]){3,}+)'")
     template = F.transform(
         _all(script, r"`((?:[^`\\]|\\[^\n]){3,}+)`"), lambda s: t.strip(F.regexp_replace(s, r"\$\{[^}]*\}", "..."))

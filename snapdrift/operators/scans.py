@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 from snapdrift.schema import KEYS, SCAN
 
 
+def delivered(captures: DataFrame, strict: bool = False) -> DataFrame:
+    """Replies whose status says that they were delivered, with or without a body."""
+    return captures.filter(F.col("status") == 200 if strict else F.col("status").between(200, 299))
+
+
 def usable_captures(captures: DataFrame, strict: bool = False, min_length: int = 0) -> DataFrame:
     """A2: replies that were delivered; ``strict`` takes status 200 only."""
-    status = F.col("status") == 200 if strict else F.col("status").between(200, 299)
-    return captures.filter(status & F.col("body").isNotNull() & (F.length("body") >= min_length))
+    usable = delivered(captures, strict).filter(F.col("body").isNotNull())
+    return usable.filter(F.length("body") >= min_length) if min_length else usable
 
 
 def pick_by_success(captures: DataFrame, roles: Sequence[str], strict: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from snapdrift.functions import patterns as p
 from snapdrift.functions import text as t
 from snapdrift.operators import page_extractors as page
 from snapdrift.operators.diff import distinct_items
-from snapdrift.operators.scans import usable_captures
+from snapdrift.operators.scans import delivered, usable_captures
 from snapdrift.schema import KEYS, SCAN
 from snapdrift.sources.staging import dealt, stage, written
 
@@ -39,9 +39,12 @@ def bundle_items(captures: DataFrame, targets: DataFrame, entries: Column) -> tu
 
     Scripts are read where they lie, without those of trackers, which no page
     counts as naming; what meets the pages' addresses is the entries, no body.
+    A body may be made by an expression: no filter looks at it, which would make
+    it once more, and those that are missing are left out as written.
     """
-    bundles = usable_captures(captures).filter(F.col("role") == "bundle").filter(~F.lower("url").rlike(p.TRACKER_WORDS))
-    read = stage(bundles.select(*SCAN, "url", entries.alias("entries")), "bundles")
+    bundles = delivered(captures).filter(F.col("role") == "bundle").filter(~F.lower("url").rlike(p.TRACKER_WORDS))
+    read = written(bundles.select(*SCAN, "url", F.when(F.col("body").isNotNull(), entries).alias("entries")), "bundles")
+    read = read.filter(F.col("entries").isNotNull())
     named = read.join(bundle_urls(captures, targets), [*SCAN, "url"], "left_semi")
     return named, named.select(*SCAN)
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapdrift.catalog.columns import SEEDS
-from snapdrift.functions import cadence, filters, text, urls
+from snapdrift.functions import cadence, filters, patterns, text, urls
 from snapdrift.functions import fixed_values as fv
 
 
@@ -21,6 +21,17 @@ def test_strip_takes_every_blank(one):
     assert one(text.strip, cases) == [c.strip() for c in cases]
 
 
+def test_needed_words_are_in_every_match(one):
+    texts = ["% of users", "an A/B  test", "A/B TEST", "Rollout", "roll_OUT", "a role", "BETA", "alphabeta", "x-beta.", "EXPERIMENTid", "experimental", "feature flag", "features", "İnternal only", "ıntroducing", "INTRODUCING", ""]
+    assert one(lambda c: text.found_by_words(c, patterns.JVM_SCRIPT_INTEREST, patterns.SCRIPT_INTEREST_NEEDS), texts) == one(lambda c: c.rlike(patterns.JVM_SCRIPT_INTEREST), texts)
+    assert one(lambda c: text.found_by_words(c, patterns.JVM_SCRIPT_INTEREST, patterns.SCRIPT_INTEREST_NEEDS), [None]) == [None]
+    for pattern in fv.SCRIPT_INTEREST_PATTERNS:
+        (word,) = patterns.needed_words([pattern])
+        assert any(w in word for w in patterns.SCRIPT_INTEREST_NEEDS)
+    assert patterns.needed_words([r"a(?:b|c)defg?", r"x[ab]yz1", r"q\s+who"]) == ["def", "who", "yz1"]
+    assert patterns.needed_words(["foo|bar"]) == patterns.needed_words(["ab?c", "long word"]) == patterns.needed_words([r"(?:one|two)"]) == []
+
+
 def test_word_count_is_split(one):
     cases = ["", " a ", "a b", "a b c\nd", "  "]
     assert one(text.word_count, cases) == [len(c.split()) for c in cases]

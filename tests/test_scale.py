@@ -9,7 +9,7 @@ from conftest import make_captures, make_targets
 from pyspark.sql import functions as F
 
 from snapdrift.catalog import history
-from snapdrift.operators import diff, scans
+from snapdrift.operators import diff, scans, watch
 from snapdrift.operators.watch import bundle_urls
 from snapdrift.plans.detect import bucketed, detect
 from snapdrift.plans.monitors import MONITORS
@@ -89,6 +89,21 @@ def test_addresses_of_scripts_unfold_in_many_tasks(spark):
     assert len({r.task for r in got}) > 1
 
 
+def test_bodies_of_scripts_are_made_once(spark, monkeypatch):
+    rows = [{"target_id": "t", "scan_id": i, "role": r, "url": u, "body": b} for i in (1, 2) for r, u, b in PARTS]
+    captures = make_captures(spark, rows).withColumn("body", F.reverse("body"))
+    plans = []
+    write = watch.written
+    monkeypatch.setattr(watch, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    named, _ = watch.bundle_items(captures, make_targets(spark, [{"target_id": "t"}]), F.array("body"))
+    assert sorted((r.scan_id, r.entries) for r in named.collect()) == [(1, ["xyz"]), (2, ["xyz"])]
+    (made,) = plans
+    assert made.count("reverse(") == 1, made
+
+
+PARTS = [("page", None, '<script src="/a.js"></script><script src="/b.js"></script>'[::-1]), ("bundle", "https://t.example.com/a.js", "zyx"), ("bundle", "https://t.example.com/b.js", None)]
+
+
 def test_tasks_over_items_are_kept_small(spark):
     own = spark.newSession()
     split, joined = FINE
