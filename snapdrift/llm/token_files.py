@@ -168,17 +168,23 @@ class Encoder:
 
     No piece of such a tokenizer spans white space. Printable ASCII and Latin-1
     letters, which its normalisation only lower-cases, are split into the words,
-    digits and signs that it splits them into; of other runs of characters each
-    is one word here. A word is encoded once; what is looked up then is a whole
-    run between blanks, so that a text is only cut at its blanks.
+    digits and signs that it splits them into, by the classes of their bytes; of
+    other runs of characters each is one word here. A word is looked up once a
+    batch and encoded once a worker. When there are too many, those met in
+    several batches stay.
     """
 
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ\x20\x09-\x0D]*")
-    #: Fixed value: the split of the tokenizer file, for lower-case text of those characters.
+    #: Fixed value: the split of the tokenizer file, for lower-case text of those characters, which :meth:`_cut` makes.
     WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\x20\x09-\x0D]+")
     RUNS = re.compile(r"[^\x20\x09-\x0D]+")
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     END = "</w>"
+    BLANK, LETTER, DIGIT, SIGN, OTHER = range(5)
+    CLASS = np.full(256, SIGN, np.uint8)  # of the bytes of plain text in lower case
+    CLASS[[32, *range(9, 14)]] = BLANK
+    CLASS[[*range(97, 123), *range(128, 256)]] = LETTER
+    CLASS[48:58] = DIGIT
 
     def __init__(self, file: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
@@ -198,27 +204,61 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = defaultdict()  # a run that is looked up first takes the next number
+        self.known = defaultdict()  # a word that is looked up first takes the next number
         self.known.default_factory = self.known.__len__
-        self.flat, self.starts, self.ends = array("I"), array("q"), array("q")
+        self.flat, self.starts, self.ends, self.met = array("I"), array("q"), array("q"), array("I")
+
+    def _shrink(self) -> None:
+        """Forget the words that one batch only had, and the rarest of the others beyond half of what is kept."""
+        met, words = np.array(self.met), list(self.known)
+        often = np.argsort(met, kind="stable")[::-1][: CACHED // 2]
+        kept = np.sort(often[met[often] > 1])
+        ids, ends = self._at(kept)
+        self.forget()
+        self._numbers([words[i] for i in kept])
+        self.flat.frombytes(ids.tobytes())
+        self.starts.frombytes(ends[:-1].tobytes())
+        self.ends.frombytes(ends[1:].tobytes())
+        self.met.frombytes((met[kept] >> 1).tobytes())
 
     def _plain(self, text: str) -> bool:
         return self.PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
-    def _runs(self, text: str) -> list[str]:
-        """The runs of ``text`` between blanks, in lower case; what is not plain has a zero byte before it."""
+    def _marked(self, text: str) -> str:
+        """``text`` in lower case; a run between blanks that is not plain stays and has a zero byte before it."""
         if self._plain(text):
-            return text.lower().split()
-        return [r.lower() if self._plain(r) else "\0" + r for r in self.RUNS.findall(text)]
-
-    def _words(self, run: str) -> list[str]:
-        return [run] if run[0] == "\0" else self.WORDS.findall(run)
-
-    def _numbers(self, runs: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+            return text.lower()
+        return " ".join([r.lower() if self._plain(r) else "\0" + r for r in self.RUNS.findall(text)])
+
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all marked ``texts`` one after the other, and the number of them before each text and at the end."""
+        parts = [t.encode() for t in texts]
+        data = np.frombuffer(b" ".join(parts) + b"    ", np.uint8)  # no look ahead passes the end
+        kind = self.CLASS[data]
+        if not data.all():  # a run with a zero byte before it is one word
+            edges = np.flatnonzero(np.diff(kind == self.BLANK, prepend=True))
+            runs = np.flatnonzero(data[edges[0::2]] == 0) * 2
+            inside = np.zeros(len(data) + 1, np.int8)
+            inside[edges[runs]], inside[edges[runs + 1]] = 1, -1
+            kind[np.cumsum(inside[:-1], dtype=np.int8).view(bool)] = self.OTHER
+        word = kind != self.BLANK
+        first = word & ((np.diff(kind, prepend=np.uint8(self.BLANK)) != 0) | (kind == self.DIGIT))
+        at = np.flatnonzero((data == ord("'")) & first & (kind == self.SIGN))
+        one, two = data[at + 1], data[at + 2]
+        short, long = np.isin(one, list(b"stmd")), (one == ord("l")) & (two == ord("l")) | (two == ord("e")) & ((one == ord("r")) | (one == ord("v")))
+        for taken, size in ((at[short], 2), (at[long], 3)):
+            first[taken + 1] = False
+            first[taken + size] |= kind[taken + size] == self.LETTER
+        starts = np.flatnonzero(first)
+        before = np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)]))
+        offsets = np.append(np.flatnonzero(first[word]), np.count_nonzero(word))
+        return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[word])]), before
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def _at(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of numbered runs one after the other, and where each of them ends there, from 0 on."""
+        """The ids of numbered words one after the other, and where each of them ends there, from 0 on."""
         starts, sizes = np.frombuffer(self.starts, np.int64)[numbers], np.frombuffer(self.ends, np.int64)[numbers]
         sizes -= starts
         ends = np.concatenate(([0], np.cumsum(sizes)))
@@ -233,50 +273,39 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return [np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found])]
 
-    def _unseen(self, n: int) -> list[str]:
-        return list(islice(reversed(self.known), n))[::-1]
-
     def _learn(self) -> None:
-        """Ids of the runs that were numbered last: words by the tokenizer, runs of several words by theirs."""
-        first = len(self.starts)
-        runs = self._unseen(len(self.known) - first)
-        split = [self._words(r) for r in runs]
-        several = [i for i, ws in enumerate(split) if len(ws) > 1]
-        inner = self._numbers([w for i in several for w in split[i]])
-        runs += self._unseen(len(self.known) - first - len(runs))  # words that came within a run only
-        joined = set(several)
-        plain = [i for i, r in enumerate(runs) if r[0] != "\0" and i not in joined]
-        other = [i for i, r in enumerate(runs) if r[0] == "\0"]
-        parts = [self._ids([runs[i] for i in plain[at : at + 1000]]) for at in range(0, len(plain), 1000)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([runs[i][1:] for i in other], add_special_tokens=False)] if other else []
+        """Ids of the words that were numbered last."""
+        words = list(islice(reversed(self.known), len(self.known) - len(self.starts)))[::-1]
+        places = np.array([w[0] == "\0" for w in words])
+        plain, other = [w for w in words if w[0] != "\0"], [w[1:] for w in words if w[0] == "\0"]
+        parts = [self._ids(plain[at : at + 1000]) for at in range(0, len(plain), 1000)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)] if other else []
         parts.append([np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found], np.int64)])
-        starts, ends = np.zeros((2, len(runs)), np.int64)
-
-        def keep(places: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-            ends[places] = np.cumsum(sizes) + len(self.flat)
-            starts[places] = ends[places] - sizes
-            self.flat.frombytes(ids.tobytes())
-
-        keep(plain + other, *(np.concatenate(p) for p in zip(*parts)))
+        ids, sizes = (np.concatenate(p) for p in zip(*parts))
+        starts, ends = np.empty((2, len(words)), np.int64)
+        places = np.argsort(places, kind="stable")  # plain words come first in ``ids``
+        ends[places] = np.cumsum(sizes) + len(self.flat)
+        starts[places] = ends[places] - sizes
+        self.flat.frombytes(ids.tobytes())
         self.starts.frombytes(starts.tobytes())
         self.ends.frombytes(ends.tobytes())
-        ids, at = self._at(inner)
-        keep(several, ids, np.diff(at[np.cumsum([0, *(len(split[i]) for i in several)])]))
-        self.starts[first:], self.ends[first:] = array("q", starts.tobytes()), array("q", ends.tobytes())
+        self.met.frombytes(bytes(4 * len(words)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHED:
-            self.forget()
-        runs = [self._runs(t) for t in texts]
-        numbers = self._numbers([r for rs in runs for r in rs])
+            self._shrink()
+        words, before = self._cut([self._marked(t) for t in texts])
+        kinds = words.dictionary_encode()
+        numbers = self._numbers(kinds.dictionary.to_numpy(zero_copy_only=False).tolist())
         if len(self.known) > len(self.starts):
             try:
                 self._learn()
             except BaseException:
-                self.forget()  # no run stays numbered without its ids
+                self.forget()  # no word stays numbered without its ids
                 raise
-        ids, ends = self._at(numbers)
-        cuts = ends[np.cumsum([0, *map(len, runs)])]
+        np.frombuffer(self.met, np.uint32)[numbers] += 1
+        ids, ends = self._at(numbers[kinds.indices.to_numpy()])
+        cuts = ends[before]
         return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
 
 

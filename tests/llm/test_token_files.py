@@ -57,6 +57,38 @@ def test_known_runs_are_not_taken_apart(monkeypatch):
     assert [i.tolist() for i in made.encode(texts[::-1])] == want[::-1]
 
 
+def test_words_are_cut_as_the_tokenizer_does(encoder):
+    rng = random.Random(7)
+    parts = [*("'" * 5 + "stmdlrve x9éß!-"), "'ll", "'re", "'ve", " ", "\n", "\t", "\u0301", "😀", "<|endoftext|>"]
+    texts = ["", "'", "it'", "'s", " 's ", "!'s", "a's's'sx", "'l", "'ll'll'", "7're9", "''ve", "x\n'", "s"]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(3000)]
+    for got, text in zip(encoder.encode(texts), texts):
+        assert got.tolist() == library_ids(encoder, text), repr(text)
+    plain = [t.lower() for t in texts if encoder._plain(t)]
+    words, before = encoder._cut(plain)
+    assert [words[i:j].to_pylist() for i, j in zip(before[:-1], before[1:])] == [encoder.WORDS.findall(t) for t in plain]
+
+
+def test_a_word_is_looked_up_once_a_batch(monkeypatch):
+    made, asked = token_files.Encoder(FILE), []
+    look = made._numbers
+    monkeypatch.setattr(made, "_numbers", lambda words: asked.extend(words) or look(words))
+    made.encode(["one, two, one two! one", "Two; one, \u0301 \u0301", "one"])
+    assert sorted(asked) == sorted(set(asked)) == ["\0\u0301", "!", ",", ";", "one", "two"]
+
+
+def test_words_of_several_batches_stay(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED", 8)
+    made, asked = token_files.Encoder(FILE), []
+    encode = made._ids
+    monkeypatch.setattr(made, "_ids", lambda words: asked.extend(words) or encode(words))
+    for i in range(40):
+        text = f"often again {'abcdefghij'[i % 10] * (i + 1)} é {'klmnop'[i % 6] * (i + 2)} ́"
+        assert made.encode([text])[0].tolist() == library_ids(made, text)
+    assert len(made.known) <= 8 + 6
+    assert asked.count("often") == asked.count("again") == 1
+
+
 def test_a_run_that_failed_is_not_known(monkeypatch):
     made = token_files.Encoder(FILE)
     with monkeypatch.context() as broken:
