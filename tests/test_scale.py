@@ -5,15 +5,17 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 from conftest import make_captures, make_targets
 from pyspark.sql import functions as F
 
 from snapdrift.catalog import history
 from snapdrift.operators import diff, scans, watch
 from snapdrift.operators.watch import bundle_urls
-from snapdrift.plans.detect import bucketed, detect
+from snapdrift.plans.detect import VersionMonitor, bucketed, detect, extract, version_scans
 from snapdrift.plans.monitors import MONITORS
 from snapdrift.schema import SCAN
+from snapdrift.sources import staging
 from snapdrift.sources.staging import FINE, fine_tasks, spread
 
 
@@ -101,6 +103,31 @@ def test_bodies_of_scripts_are_made_once(spark, monkeypatch):
     assert made.count("reverse(") == 1, made
 
 
+READ_ONCE = {
+    "robots_txt": "Disallow: /a", "trademark": "<html></html>", "pypi": '{"info": {"version": "1.0"}}',
+    "sitemap": "<urlset><url><loc>https://t.example.com/a</loc></url></urlset>",
+}
+
+
+@pytest.mark.parametrize("name", READ_ONCE)
+def test_made_bodies_are_read_before_a_filter(spark, monkeypatch, tmp_path, name):
+    bodies = [READ_ONCE[name][::-1], None]
+    rows = [{"monitor": name, "target_id": "t", "scan_id": i, "role": "TXT", "url": "https://t.example.com/", "body": b} for i, b in enumerate(bodies)]
+    captures = make_captures(spark, rows).repartition(4).withColumn("body", F.reverse("body"))
+    targets = make_targets(spark, [{"monitor": name, "target_id": "t"}])
+    plans, write = [], staging.written
+    keep = lambda df, n: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, n)
+    monkeypatch.setattr(staging, "named_folder", lambda session: f"file://{tmp_path}")
+    monkeypatch.setattr(staging, "written", keep)
+    monkeypatch.setattr(watch, "written", keep)
+    if isinstance(MONITORS[name], VersionMonitor):
+        assert [r.scan_id for r in version_scans(captures, targets, MONITORS[name]).collect()] == [0]
+    else:
+        items, scans = extract(captures, targets, MONITORS[name])
+        items.count(), scans.count()
+    assert sum(p.count("reverse(") for p in plans) == 1, plans
+
+
 PARTS = [("page", None, '<script src="/a.js"></script><script src="/b.js"></script>'[::-1]), ("bundle", "https://t.example.com/a.js", "zyx"), ("bundle", "https://t.example.com/b.js", None)]
 
 
