@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from conftest import make_captures, make_targets
@@ -152,3 +153,35 @@ def test_changes_that_no_alert_reports_are_counted_without_their_words(spark):
     got = bucketed(changes, make_targets(spark, [{"monitor": "docs", "target_id": "t"}]), MONITORS["docs"]).collect()
     assert len(got) == 4 and sum(r.op == "removed" for r in got) == 2
     assert all((r.item is None) == (r.bucket is None) for r in got) and {r.item for r in got} == {"New API endpoint in beta", None}
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_a_run_leaves_its_results_only(spark, monkeypatch, tmp_path, named):
+    from snapdrift.plans import runner
+
+    bodies = {
+        "robots_txt": ["Disallow: /a", "Disallow: /b"], "pypi": ['{"info": {"version": "1.0"}}', '{"info": {"version": "2.0"}}'],
+        "sitemap": [f"<urlset><url><loc>https://t.example.com/{x}</loc></url></urlset>" for x in "ab"],
+    }
+    rows = [
+        {"monitor": m, "target_id": "t", "scan_id": i, "url": "https://t.example.com/", "body": b} for m, bs in bodies.items() for i, b in enumerate(bs)
+    ]
+    rows += [{"monitor": "js_deep", "target_id": "t", "scan_id": i, "role": "page", "body": '<script src="/a.js"></script>'} for i in (1, 2)]
+    rows += [
+        {"monitor": "js_deep", "target_id": "t", "scan_id": i, "role": "bundle", "url": "https://t.example.com/a.js", "body": f't("New Feature {i}")'}
+        for i in (1, 2)
+    ]
+    targets = make_targets(spark, [{"monitor": m, "target_id": "t"} for m in (*bodies, "js_deep")])
+    if named:
+        monkeypatch.setattr(staging, "named_folder", lambda session: f"file://{tmp_path}")
+    monkeypatch.setattr(staging, "_own_folder", lambda: f"file://{tmp_path}")
+    key, seen, alerts = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], runner.write_alerts
+    monkeypatch.setattr(runner, "write_alerts", lambda *a: seen.append((spark.conf.get(key), sorted(p.name for p in (tmp_path / "snapdrift").glob("*")))) or alerts(*a))
+    before = spark.conf.get(key)
+    broken = {**{m: MONITORS[m] for m in (*bodies, "js_deep")}, "robots_txt": replace(MONITORS["robots_txt"], alerts=())}
+    got = runner.run_all(make_captures(spark, rows), targets, f"{tmp_path}/d", f"{tmp_path}/a", monitors=broken, at_once=1).collect()
+    assert {r.monitor: r.status for r in got} == {"robots_txt": "failed", "pypi": "done", "sitemap": "done", "js_deep": "done"}
+    for found in ("d", "a", "d_changes"):
+        assert {r.monitor for r in spark.read.parquet(f"{tmp_path}/{found}").collect()} == {"pypi", "sitemap", "js_deep"}, found
+    assert list((tmp_path / "snapdrift").glob("*")) == [] and spark.conf.get(key) == before
+    assert {on for on, _ in seen} == {"true"} and (not named or all(len(left) == 1 and left[0].split("-")[-2] == "reports" for _, left in seen)), seen
