@@ -117,6 +117,27 @@ def contains_any(text: Column, needles: Column, if_none: bool) -> Column:
     return F.when(empty, F.lit(if_none)).otherwise(hit)
 
 
+def without_words(texts: Column, words: list[str], source: Column) -> Column:
+    """Those of ``texts`` whose lower-cased form has none of the ``words``; nulls are left out.
+
+    ``source`` is a text that has every word that is in one of them: it is searched for each word once, they
+    are only searched for what was found there.
+    """
+    whole = F.array(F.lower(source))  # lower-cased once for all words
+    some = F.array(*[F.lit(w) for w in words if not any(o != w and o in w for o in words)])
+    found = F.transform(whole, lambda s: F.filter(some, lambda w: F.contains(s, w)))[0]
+
+    def clear(text: Column, found: Column) -> Column:
+        return ~F.exists(F.array(F.lower(text)), lambda s: F.exists(found, lambda w: F.contains(s, w)))
+
+    def kept(texts: Column, found: Column) -> Column:
+        held = F.filter(texts, lambda x: x.isNotNull())
+        return F.when(F.size(found) == 0, held).otherwise(F.filter(held, lambda x: clear(x, found)))
+
+    both = F.array(F.struct(texts.alias("texts"), found.alias("found")))
+    return F.transform(both, lambda x: kept(x["texts"], x["found"]))[0]
+
+
 def found_by_words(text: Column, pattern: str, words: list[str]) -> Column:
     """Whether ``pattern`` is found; a text without any of the lower-case ``words``, one of which it needs, is not searched."""
     if not words:

@@ -29,10 +29,26 @@ def _fold_dots(path: Column) -> Column:
     return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
+def _base(base: Column) -> Column:
+    """What references need of the address of their page."""
+    origin = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
+    parts = {"whole": base, "scheme": _part(base, 1), "origin": origin, "path": _part(base, 3), "query": _part(base, 4)}
+    return F.struct(*[part.alias(name) for name, part in parts.items()])
+
+
 def resolve_url(base: Column, ref: Column) -> Column:
     """A reference made absolute against the page it stands on."""
-    origin = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
-    base_path = _part(base, 3)
+    return _resolved(_base(base), ref)
+
+
+def resolve_urls(base: Column, refs: Column) -> Column:
+    """:func:`resolve_url` of each of ``refs``; the page's address is taken apart once for all of them."""
+    both = F.array(F.struct(_base(base).alias("base"), refs.alias("refs")))
+    return F.transform(both, lambda x: F.transform(x["refs"], lambda r: _resolved(x["base"], r)))[0]
+
+
+def _resolved(base: Column, ref: Column) -> Column:
+    scheme, origin, base_path = base["scheme"], base["origin"], base["path"]
     ref_path, query, fragment = _part(ref, 3), _part(ref, 4), _part(ref, 5)
     query = F.when(query == "?", "").otherwise(query)
     fragment = F.when(fragment == "#", "").otherwise(fragment)
@@ -46,11 +62,11 @@ def resolve_url(base: Column, ref: Column) -> Column:
     plain = ref.startswith("/") & ~ref.startswith("//") & ~(marks[0] | marks[1] | marks[2])
     return (
         F.when(plain, F.concat(origin, ref))
-        .when(ref == "", base)
-        .when(ref.rlike(_SCHEME) & (_part(ref, 1) != _part(base, 1)), ref)
+        .when(ref == "", base["whole"])
+        .when(ref.rlike(_SCHEME) & (_part(ref, 1) != scheme), ref)
         .when(ref.rlike(_SCHEME), F.regexp_replace(ref, r"[?#]$", ""))
-        .when(ref.startswith("//"), F.concat(_part(base, 1), F.lit(":"), F.regexp_replace(ref, r"[?#]$", "")))
-        .when((ref_path == "") & (query == ""), F.concat(origin, base_path, _part(base, 4), fragment))
+        .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), F.regexp_replace(ref, r"[?#]$", "")))
+        .when((ref_path == "") & (query == ""), F.concat(origin, base_path, base["query"], fragment))
         .when(ref_path == "", F.concat(origin, base_path, tail))
         .otherwise(F.concat(origin, _fold_dots(path), tail))
     )

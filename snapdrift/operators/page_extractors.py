@@ -33,31 +33,31 @@ def _record(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 
 
-def _of_page(kind: T.DataType, read: Callable[[dom.Page], object]) -> Callable[[Column], Column]:
-    """A column function of a page's elements and texts; each page is read once, in Arrow batches."""
+def _of_page(kind: T.DataType, read: Callable, parse: Callable[[str], object] = dom.Page) -> Callable[[Column], Column]:
+    """A column function of a page's elements and texts, or what ``parse`` makes of it; each page is read once, in Arrow batches."""
     record = isinstance(kind, T.StructType)
     none = dict.fromkeys(kind.names) if record else None
 
     def run(bodies: pd.Series) -> pd.Series:
-        found = [none if b is None else read(dom.Page(b)) for b in bodies]
+        found = [none if b is None else read(parse(b)) for b in bodies]
         return pd.DataFrame(found, columns=kind.names) if record else pd.Series(found, dtype=object)
 
     run.__annotations__ = {"bodies": pd.Series, "return": pd.DataFrame if record else pd.Series}
     return F.pandas_udf(run, kind)
 
 
-def _script_refs(found: dom.Page) -> dict:
+def _script_refs(html: str) -> dict:
     """Addresses of scripts, of preloaded files, and the text of scripts without an address."""
-    scripts, links = found.named("script"), found.named("link")
-    pairs = [(e.attrs.get("rel", ""), e.attrs.get("href", "")) for e in links]
+    scripts, links = dom.scripts_and_links(html)
+    pairs = [(attrs.get("rel", ""), attrs.get("href", "")) for attrs in links]
     return {
-        "sources": [e.attrs["src"] for e in scripts if "src" in e.attrs],
+        "sources": [attrs["src"] for attrs, _ in scripts if "src" in attrs],
         "links": [href for rel, href in pairs if ("preload" in rel or "prefetch" in rel) and (".js" in href or "chunk" in href.lower())],
-        "inline": "\n".join("".join(found.pieces(e)) for e in scripts if "src" not in e.attrs),
+        "inline": "\n".join(raw for attrs, raw in scripts if "src" not in attrs),
     }
 
 
-_refs = _of_page(_record(sources=_STRINGS, links=_STRINGS, inline=T.StringType()), _script_refs)
+_refs = _of_page(_record(sources=_STRINGS, links=_STRINGS, inline=T.StringType()), _script_refs, str)
 
 
 def script_refs(html: Column) -> Column:
@@ -74,9 +74,12 @@ def script_refs(html: Column) -> Column:
 
 
 def script_addresses(refs: Column, base: Column) -> Column:
-    """References resolved against the page's address, without trackers."""
-    resolved = F.transform(refs, lambda r: u.resolve_url(base, r))
-    return F.sort_array(F.array_distinct(F.filter(resolved, lambda r: ~F.lower(r).rlike(p.TRACKER_WORDS))))
+    """References resolved against the page's address, without trackers.
+
+    Resolving joins parts of both at one of ``/ ? # :``, which no tracker's word has, so a word is in one of them.
+    """
+    written = F.array_join(F.concat(F.array(base), refs), "\n")
+    return F.sort_array(F.array_distinct(t.without_words(u.resolve_urls(base, refs), fv.TRACKER_WORDS, written)))
 
 
 def js_bundle_urls(html: Column, base: Column) -> Column:
@@ -221,10 +224,10 @@ _assets = _of_page(_record(media=_STRINGS, preloaded=_STRINGS), _asset_refs)
 def page_assets(html: Column, base: Column, cdn_domains: Column) -> Column:
     """Media on the page and preloaded files, without query strings."""
     found = _assets(html)
-    media = F.transform(found["media"], lambda s: u.resolve_url(base, s))
+    media = u.resolve_urls(base, found["media"])
     any_domain = cdn_domains.isNull() | (F.size(cdn_domains) == 0)
     media = F.filter(media, lambda s: any_domain | F.exists(cdn_domains, lambda d: F.contains(s, d)))
-    preloaded = F.transform(found["preloaded"], lambda s: u.resolve_url(base, s))
+    preloaded = u.resolve_urls(base, found["preloaded"])
     return F.array_distinct(F.transform(F.concat(media, preloaded), u.strip_query))
 
 

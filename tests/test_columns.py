@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from snapdrift.catalog.columns import SEEDS
 from snapdrift.functions import cadence, filters, patterns, text, urls
 from snapdrift.functions import fixed_values as fv
+from snapdrift.operators import page_extractors as page
 
 
 def test_strip_takes_every_blank(one):
@@ -113,6 +114,29 @@ def test_resolve_url_equals_urljoin(one):
     assert [(c, g) for c, g in zip(cases, got) if g != urljoin(*c)] == []
 
 
+def test_references_of_a_page_are_resolved_together(one):
+    got = one(lambda base, refs: urls.resolve_urls(base, refs), [(b, [*REFS, None]) for b in BASES])
+    assert got == [[urljoin(b, r) for r in REFS] + [None] for b in BASES]
+
+
+def test_the_address_of_a_page_is_taken_apart_once_for_all_references(spark):
+    df = spark.createDataFrame([("https://h.com/a/", ["/x", "y"])], "base string, refs array<string>").repartition(1)
+    plan = df.select(page.script_addresses(F.col("refs"), F.col("base")).alias("urls"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(base") == 5, plan  # scheme twice, host, path, query
+
+
+def test_addresses_of_trackers_are_left_out(one):
+    base, half = "https://h.com/anal", ["ytics.js", "?ytics", "lytics"]
+    cases = [
+        (base, half + ["/a/Analytics.js", "/b.js", "/GTM.js", None]),
+        ("https://segment.com/", ["/x.js", "https://o.com/y.js"]), (base, half), (None, ["/a", "https://o.com/a", "https://o.com/gtm"]), (base, []),
+    ]
+    kept = [[urljoin(base, r) for r in half], [], [urljoin(base, r) for r in half], ["https://o.com/a"], []]
+    kept[0].append("https://h.com/b.js")
+    kept[1] = ["https://o.com/y.js"]
+    assert one(lambda b, refs: page.script_addresses(refs, b), cases) == [sorted(k) for k in kept]
+
+
 def test_strip_query_equals_urlparse(one):
     cases = ["https://h.com/a?b#c", "http://h.com", "https://h.com:8/p;x", "//h.com/z"]
     assert one(urls.strip_query, cases) == [urlparse(c).netloc + urlparse(c).path for c in cases]

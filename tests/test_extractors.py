@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import json
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from snapdrift.functions import html as dom
 from snapdrift.functions import text
 from snapdrift.operators import feed_extractors as feed
 from snapdrift.operators import page_extractors as page
@@ -338,3 +340,22 @@ def test_all_dependencies_are_kept(one):
     names = {f"d{i}": "1" for i in range(25)}
     got = one(feed.npm_version, [json.dumps({"version": "1", "dependencies": names})])[0]["detail"]
     assert got["deps"] == ", ".join(names) and got["shown_deps"] == ", ".join(list(names)[:10])
+
+
+FRAGMENTS = [
+    "<script", "</script", "<SCRIPT", "</ScRiPt", "<style", "</style", "<link", "<lin\u212a", "</\u017fcript", "</scr\u0131pt", "<!--", "-->", "--!>", "<![CDATA[", "]]>",
+    "<!doctype", "</ ", ">", "/>", "/", " ", "\n", "=", '"', "'", 'src="/a.js"', "src=c.js", " src", "SRC=x/", ' rel="preload"', ' href="/x&amp;y.js"', "text", "<", "<a",
+    "<template>", "</template>", "<script>", "</script>", '<script src="/b.js"></script>', "<script/>", "<script src='a'/>", "x<b>",
+]
+
+
+def test_scripts_and_links_are_those_of_the_tree(monkeypatch):
+    rng = random.Random(11)
+    pages = ["".join(rng.choices(FRAGMENTS, k=rng.randrange(1, 25))) for _ in range(20_000)]
+    trees = [dom.Page(h) for h in pages]
+    want = [([(e.attrs, "".join(p.pieces(e))) for e in p.named("script")], [e.attrs for e in p.named("link")]) for p in trees]
+    assert [h for h, w in zip(pages, want) if dom.scripts_and_links(h) != w] == []
+    monkeypatch.setattr(dom, "Page", None)  # a common page needs no tree
+    assert dom.scripts_and_links("<p>x</p><!-- <script> --><script async src='a.js'></script><script>1<2</script><link rel=preload href=b.js>") == (
+        [({"async": "", "src": "a.js"}, ""), ({}, "1<2")], [{"rel": "preload", "href": "b.js"}],
+    )
