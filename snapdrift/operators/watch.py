@@ -23,15 +23,16 @@ FOLDED = 4
 def bundle_urls(captures: DataFrame, targets: DataFrame) -> DataFrame:
     """The script addresses of each page; its target's address meets what was read, not the page.
 
-    References unfold into far more rows than their size in a file tells, and
-    a small table of them may have been broadcast into the few tasks of the
-    watchlist: scans are dealt anew before they unfold.
+    References unfold into far more rows than their size in a file tells: scans
+    are dealt anew before they unfold, and by an outer join only the watchlist
+    may be broadcast, never they. Of unlisted targets nothing unfolds.
     """
     pages = delivered(captures).filter("role = 'page'")
     refs = read_bodies(pages, [page.script_refs(F.col("body")).alias("refs")], "script-refs", stage)
-    based = refs.join(targets.select(*KEYS, F.col("url").alias("base")), list(KEYS))
-    based = dealt(based, *SCAN)
-    return based.select(*SCAN, F.explode(page.script_addresses(F.col("refs"), F.col("base"))).alias("url"))
+    listed = targets.select(*KEYS, F.col("url").alias("base"), F.lit(True).alias("listed"))
+    based = dealt(refs.join(listed, list(KEYS), "left"), *SCAN)
+    addresses = F.when(F.col("listed"), page.script_addresses(F.col("refs"), F.col("base")))
+    return based.select(*SCAN, F.explode(addresses).alias("url"))
 
 
 def bundle_items(captures: DataFrame, targets: DataFrame, entries: Column) -> tuple[DataFrame, DataFrame]:

@@ -92,6 +92,14 @@ def test_addresses_of_scripts_unfold_in_many_tasks(spark):
     assert len({r.task for r in got}) > 1
 
 
+def test_references_are_never_broadcast(spark):
+    rows = [{"target_id": t, "scan_id": 1, "role": "page", "body": '<script src="/b.js"></script>'} for t in ("t1", "unlisted")]
+    targets = make_targets(spark, [{"target_id": f"t{i}"} for i in range(500)])
+    df = bundle_urls(make_captures(spark, rows), targets)
+    assert [(r.target_id, r.url) for r in df.collect()] == [("t1", "https://t.example.com/b.js")]
+    assert "BuildLeft" not in final_plan(df)
+
+
 def test_bodies_of_scripts_are_made_once(spark, monkeypatch):
     rows = [{"target_id": "t", "scan_id": i, "role": r, "url": u, "body": b} for i in (1, 2) for r, u, b in PARTS]
     captures = make_captures(spark, rows).withColumn("body", F.reverse("body"))
